@@ -7,6 +7,6 @@ def load_all():
     global _LOADED
     if _LOADED:
         return
-    from . import corpus  # noqa: F401
+    from . import corpus, order  # noqa: F401
 
     _LOADED = True
