@@ -90,3 +90,21 @@ def seeded_digest(seed, *keys) -> Column:
     for k in keys:
         parts += [F.lit("|"), _col(k).cast("string")]
     return F.md5(F.concat(*parts))
+
+
+def explode_rows(df, array_col, out: str, pos: str | None = None, keep=None):
+    """Explode an array column into rows without the inferred pre-filter.
+
+    Plain ``explode`` lets Catalyst infer ``size(arr) > 0`` and push it below
+    the projections that compute ``arr``, inlining (and re-running) that whole
+    computation inside the filter.  The ``_outer`` form infers nothing; empty
+    and NULL arrays are dropped right after instead.
+    """
+    keep = [c for c in df.columns if c != array_col] if keep is None else list(keep)
+    if pos is None:
+        rows = df.select(*keep, F.explode_outer(array_col).alias(out))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(array_col).alias(pos, out))
+        rows = rows.where(F.col(pos).isNotNull())
+        return rows
+    return rows.where(F.col(out).isNotNull())

@@ -59,7 +59,7 @@ def relation_inputs(documents: DataFrame):
         F.col("doc_id").cast("string").alias("doc_id"), F.lit("T2").alias("entity_id"), F.col("e2").alias("text"), (F.col("doc_id") * 3 + 1).alias("line_no")
     )
     t1_again = base.where(F.col("doc_id") % 10 == 0).select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.lit("T1").alias("entity_id"), F.upper(F.col("e1")).alias("text"), (F.col("doc_id") * 3 + 2).alias("line_no")
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("T1").alias("entity_id"), F.concat(F.col("e1"), F.lit("!")).alias("text"), (F.col("doc_id") * 3 + 2).alias("line_no")
     )
     entities = t1.unionByName(t2).unionByName(t1_again)
     relations = base.select(
@@ -92,13 +92,13 @@ def annotated(documents: DataFrame) -> DataFrame:
     Entities: the first six words typed by position % 3, word 1 again at the
     end with another type (later entry wins), and one two-word entity.
     """
-    toks = tokenise_ws("text")
-    words = [F.get(toks, i) for i in range(6)]
+    base = documents.select("doc_id", "text", tokenise_ws("text").alias("_toks"))
+    words = [F.get(F.col("_toks"), i) for i in range(6)]
     ents = [F.struct(w.alias("text"), F.lit(PICO_TYPES[i % 3]).alias("annotation_type")) for i, w in enumerate(words)]
     ents.append(F.struct(F.concat_ws(" ", words[0], words[1]).alias("text"), F.lit("Outcome").alias("annotation_type")))
     ents.append(F.struct(words[0].alias("text"), F.lit("Outcome").alias("annotation_type")))
     arr = F.filter(F.array(*ents), lambda e: e["text"].isNotNull())
-    return documents.select("doc_id", "text", arr.alias("entities"))
+    return base.select("doc_id", "text", arr.alias("entities"))
 
 
 def qa_contexts(conversations: DataFrame) -> DataFrame:
