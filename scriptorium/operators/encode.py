@@ -42,10 +42,10 @@ def special_vocab(spark) -> DataFrame:
 
 
 def _vocab_dict(vocab: DataFrame) -> dict:
-    n = vocab.limit(MAX_VOCAB + 1).count()
-    if n > MAX_VOCAB:
+    rows = vocab.select("word", "id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
         raise ValueError(f"vocabulary larger than {MAX_VOCAB} entries")
-    return {r[0]: int(r[1]) for r in vocab.select("word", "id").collect()}
+    return {r[0]: int(r[1]) for r in rows}
 
 
 def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "input_ids", add_special: bool = True) -> DataFrame:
@@ -104,26 +104,36 @@ def mask_tokens(ids: Column, key: Column, seed, vocab_size: int, p: float = K.ML
     id or the original id, as in the original collator.
     """
     specials = [K.PAD_ID, K.CLS_ID, K.SEP_ID]
+    # one digest per position, reused by every decision below
+    hashed = F.transform(ids, lambda x, i: F.struct(x.alias("x"), F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"), i.cast("string"))).alias("h")))
 
-    def h(i):
-        return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"), i.cast("string")))
+    def chosen(z):
+        return (~z["x"].isin(*specials)) & (_u(z["h"], 0) < p)
 
-    def chosen(x, i):
-        return (~x.isin(*specials)) & (_u(h(i), 0) < p)
+    labels = F.transform(hashed, lambda z: F.when(chosen(z), z["x"]).otherwise(F.lit(K.IGNORE_INDEX)))
 
-    labels = F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(K.IGNORE_INDEX)))
-
-    def new_id(x, i):
-        hh = h(i)
-        rnd = F.floor(_u(hh, 3) * vocab_size).cast("int")
+    def new_id(z):
+        rnd = F.floor(_u(z["h"], 3) * vocab_size).cast("int")
         return (
-            F.when(~chosen(x, i), x)
-            .when(_u(hh, 1) < K.MASK_REPLACE_SHARE, F.lit(K.MASK_ID))
-            .when(_u(hh, 2) < K.RANDOM_OF_REST_SHARE, rnd)
-            .otherwise(x)
+            F.when(~chosen(z), z["x"])
+            .when(_u(z["h"], 1) < K.MASK_REPLACE_SHARE, F.lit(K.MASK_ID))
+            .when(_u(z["h"], 2) < K.RANDOM_OF_REST_SHARE, rnd)
+            .otherwise(z["x"])
         )
 
-    return F.transform(ids, new_id), labels
+    return F.transform(hashed, new_id), labels
+
+
+def mask_columns(df: DataFrame, ids: str, key: str, seed, vocab_size: int, out_ids: str = "masked_ids", out_labels: str = "labels", p: float = K.MLM_PROBABILITY) -> DataFrame:
+    """M1 + M2 as DataFrame columns, with the per-position digests computed once.
+
+    The (input, label) pairs are projected as one array column first, so the
+    two output columns read it instead of re-hashing every position.
+    """
+    new_ids, labels = mask_tokens(F.col(ids), F.col(key), seed, vocab_size, p)
+    both = F.arrays_zip(new_ids.alias("i"), labels.alias("l"))
+    df = df.withColumn("_m", both)
+    return df.withColumn(out_ids, F.col("_m.i")).withColumn(out_labels, F.col("_m.l")).drop("_m")
 
 
 def word_pieces(word: Column) -> Column:

@@ -78,12 +78,13 @@ def spans(tags: Column) -> Column:
 def span_counts(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Per type: gold spans, predicted spans and exact matches."""
     s = df.select(spans(F.col(gold)).alias("g"), spans(F.col(pred)).alias("p"))
-    s = s.select("g", "p", F.array_intersect("g", "p").alias("m"))
-    rows = (
-        explode_rows(s.select(F.transform("g", lambda x: F.struct(x["type"].alias("type"), F.lit("gold").alias("kind"))).alias("a")), "a", "x", keep=[])
-        .unionByName(explode_rows(s.select(F.transform("p", lambda x: F.struct(x["type"].alias("type"), F.lit("pred").alias("kind"))).alias("a")), "a", "x", keep=[]))
-        .unionByName(explode_rows(s.select(F.transform("m", lambda x: F.struct(x["type"].alias("type"), F.lit("tp").alias("kind"))).alias("a")), "a", "x", keep=[]))
-    )
+    def tagged(arr, kind):
+        return F.transform(arr, lambda x: F.struct(x["type"].alias("type"), F.lit(kind).alias("kind")))
+
+    # one array per row (gold, predicted and matched spans) -> one explode, so
+    # the upstream plan runs once
+    allspans = F.concat(tagged(F.col("g"), "gold"), tagged(F.col("p"), "pred"), tagged(F.array_intersect("g", "p"), "tp"))
+    rows = explode_rows(s.select(allspans.alias("a")), "a", "x", keep=[])
     return rows.groupBy(F.col("x.type").alias("type")).agg(
         F.count_if(F.col("x.kind") == "gold").alias("gold"),
         F.count_if(F.col("x.kind") == "pred").alias("pred"),

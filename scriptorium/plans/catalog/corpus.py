@@ -10,7 +10,7 @@ from ...functions.text import collapse_ws, tokenise_ws, word_count
 from ...operators.dedupe import dedupe_exact
 from ...operators.filters import drop_blank_pages, filter_labelled, split_malformed, useful_content
 from ...operators import stats
-from ...sources.tables import spread, table
+from ...sources.tables import documents, spread, table
 from .. import fixtures as FX
 from .. import recipes
 from .. import sqltext as Q
@@ -18,7 +18,7 @@ from ..registry import query
 
 
 def articles(spark, sf):
-    return FX.articles(spread(table(spark, sf, "documents")))
+    return FX.articles(spread(documents(spark, sf)))
 
 
 def cleaned(spark, sf):
@@ -126,7 +126,7 @@ def useful_content_q(spark, sf):
     "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY text)",
 )
 def dedupe_exact_q(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    docs = documents(spark, sf).select("doc_id", "text", "n_chars")
     return dedupe_exact(docs, "text", "doc_id").select("doc_id", "n_chars")
 
 
@@ -147,7 +147,7 @@ def recipe_corpus_v4(spark, sf):
 
 @query("collapse_ws", f"SELECT doc_id, {Q.collapse('text')} AS text FROM documents")
 def collapse_ws_q(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", collapse_ws("text").alias("text"))
+    return documents(spark, sf).select("doc_id", collapse_ws("text").alias("text"))
 
 
 @query(
@@ -156,7 +156,7 @@ def collapse_ws_q(spark, sf):
 )
 def tokenise_ws_q(spark, sf):
     t = tokenise_ws("text")
-    return table(spark, sf, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
+    return documents(spark, sf).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
 
 
 _F3 = "SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN NULL ELSE source END AS title, text AS abstract FROM documents"
@@ -167,7 +167,7 @@ _F3 = "SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN NULL ELSE source END AS tit
     Q.with_ctes([("f3", _F3)], "SELECT doc_id, " + Q.collapse("title || ' ' || abstract") + " AS text FROM f3"),
 )
 def flatten_abstract(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     nested = docs.select(
         "doc_id",
         F.struct(
@@ -186,7 +186,7 @@ def flatten_abstract(spark, sf):
 def project_rename(spark, sf):
     from ...operators.projection import project_rename as op
 
-    return op(table(spark, sf, "documents"), drop=["n_chars", "source"], rename={"text": "content"})
+    return op(documents(spark, sf), drop=["n_chars", "source"], rename={"text": "content"})
 
 
 _F7_LABELS = (
@@ -197,7 +197,7 @@ _F7_LABELS = (
 
 
 def labelled(spark, sf):
-    lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    lab = table(spark, sf, "labels").join(documents(spark, sf).select("doc_id", "lang"), "doc_id")
     arr = F.filter(
         F.array(
             F.when(F.col("quality") == 1, F.lit(0)),
@@ -234,7 +234,7 @@ _LINES_SQL = (
     ),
 )
 def split_malformed_q(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     rel = docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("CPR"), F.lit("Y"), F.concat(F.lit("CPR:"), (F.col("doc_id") % 7).cast("string")), F.lit("Arg1:T1"), F.lit("Arg2:T2")).alias("value"))
     abs_ = docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("value"))
     empty = docs.where(F.col("doc_id") % 9 == 0).select(F.lit("").alias("value"))
@@ -250,7 +250,7 @@ _F6 = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_append(string_split(tex
     Q.with_ctes([("f6", _F6)], "SELECT doc_id, len(pages)::BIGINT AS pages_before, len(list_filter(pages, lambda p: p <> ''))::BIGINT AS pages_after FROM f6"),
 )
 def drop_blank_pages_q(spark, sf):
-    b = FX.books(table(spark, sf, "documents"))
+    b = FX.books(documents(spark, sf))
     return drop_blank_pages(b.withColumn("pages_before", F.size("pages").cast("bigint"))).select(
         "doc_id", "pages_before", F.size("pages").cast("bigint").alias("pages_after")
     )
@@ -261,7 +261,7 @@ def drop_blank_pages_q(spark, sf):
 
 @query("word_total", f"SELECT sum({Q.words('text')})::BIGINT AS words FROM documents")
 def word_total(spark, sf):
-    return stats.word_total(table(spark, sf, "documents"), "text")
+    return stats.word_total(documents(spark, sf), "text")
 
 
 @query(
@@ -269,7 +269,7 @@ def word_total(spark, sf):
     Q.with_ctes([("f6", _F6)], f"SELECT sum(list_sum(list_transform(pages, lambda p: {Q.words('p')})))::BIGINT AS words FROM f6"),
 )
 def page_word_total(spark, sf):
-    return stats.page_word_total(FX.books(table(spark, sf, "documents")), "pages")
+    return stats.page_word_total(FX.books(documents(spark, sf)), "pages")
 
 
 @query(
@@ -277,7 +277,7 @@ def page_word_total(spark, sf):
     "SELECT source, count(*)::BIGINT AS rows, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source",
 )
 def corpus_counts(spark, sf):
-    return stats.corpus_counts(table(spark, sf, "documents"), "source", "text", "n_chars")
+    return stats.corpus_counts(documents(spark, sf), "source", "text", "n_chars")
 
 
 @query(
@@ -286,4 +286,4 @@ def corpus_counts(spark, sf):
 max(w)::BIGINT AS max_words, sum(w)::BIGINT AS words FROM (SELECT lang, {Q.words('text')} AS w FROM documents) GROUP BY lang""",
 )
 def length_audit(spark, sf):
-    return stats.length_audit(table(spark, sf, "documents"), "text", group="lang", limits=(512, 4096))
+    return stats.length_audit(documents(spark, sf), "text", group="lang", limits=(512, 4096))

@@ -9,7 +9,7 @@ from ...functions.text import explode_rows
 from ...operators import encode as E
 from ...operators import order
 from ...operators import tasks as T
-from ...sources.tables import table
+from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
@@ -22,7 +22,7 @@ SEED = 42
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return documents(spark, sf)
 
 
 def vocab(spark, sf):
@@ -40,9 +40,8 @@ def padded(spark, sf):
 
 
 def masked(spark, sf):
-    p = padded(spark, sf)
-    inputs, labels = E.mask_tokens(F.col("input_ids"), F.col("doc_id"), SEED, VOCAB_SIZE)
-    return p.select("doc_id", inputs.alias("masked_ids"), labels.alias("labels"), "input_ids", "attention_mask")
+    m = E.mask_columns(padded(spark, sf), "input_ids", "doc_id", SEED, VOCAB_SIZE)
+    return m.select("doc_id", "masked_ids", "labels", "input_ids", "attention_mask")
 
 
 def _join(c, sep=","):

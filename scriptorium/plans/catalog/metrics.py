@@ -9,7 +9,7 @@ from ...functions.text import explode_rows
 from ...operators import encode as E
 from ...operators import metrics as M
 from ...operators import tasks as T
-from ...sources.tables import table
+from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
@@ -31,7 +31,7 @@ _PR = (
 
 def predictions(spark, sf):
     p = FX.predictions(table(spark, sf, "labels"))
-    d = table(spark, sf, "documents").select("doc_id", (F.col("lang") == "en").cast("int").alias("en"))
+    d = documents(spark, sf).select("doc_id", (F.col("lang") == "en").cast("int").alias("en"))
     flip2 = F.substring(F.md5(F.concat(F.lit("p2|"), F.col("doc_id").cast("string"))), 1, 1).isin("0", "1", "2", "3")
     return p.join(d, "doc_id").withColumn("pred2", F.when(flip2, 1 - F.col("ref2")).otherwise(F.col("ref2")))
 
@@ -109,7 +109,7 @@ def _prf_sql(src: str, extra: str = "") -> str:
 
 
 def _tags(spark, sf):
-    return FX.tag_sequences(table(spark, sf, "documents"))
+    return FX.tag_sequences(documents(spark, sf))
 
 
 @query("metric_spans", Q.with_ctes(SPAN_CTES + [("tot", "SELECT sum(gold) AS gold, sum(pred) AS pred, sum(tp) AS tp FROM cnt")], _prf_sql("tot")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import mix, order
-from ...sources.tables import table
+from ...sources.tables import documents, table
 from .. import sqltext as Q
 from ..registry import query
 
 
 def _docs(spark, sf, *cols):
-    return table(spark, sf, "documents").select(*(cols or ("doc_id",)))
+    return documents(spark, sf).select(*(cols or ("doc_id",)))
 
 
 def _rank(order_by: str) -> str:
@@ -136,7 +136,7 @@ def batch_rows(spark, sf):
 )
 def union_by_name(spark, sf):
     """Benchmark rows have no ``lang``; it comes back NULL."""
-    d = table(spark, sf, "documents").select("text", "doc_id", "lang")
+    d = documents(spark, sf).select("text", "doc_id", "lang")
     b = table(spark, sf, "benchmark").select("text", (F.col("item_id") + 1000000000).alias("doc_id"))
     return mix.union_by_name([d, b]).select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
@@ -150,7 +150,7 @@ _INTERLEAVE_SRC = (
 
 def _interleave(spark, sf, partial: bool):
     frames = [
-        table(spark, sf, "documents").select(F.col("doc_id").alias("id")),
+        documents(spark, sf).select(F.col("doc_id").alias("id")),
         table(spark, sf, "benchmark").select(F.col("item_id").alias("id")),
         table(spark, sf, "pages").select(F.col("page_id").alias("id")),
     ]

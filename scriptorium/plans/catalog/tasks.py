@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import constants as K
 from ...functions.text import tokenise_ws
 from ...operators import tasks as T
-from ...sources.tables import table
+from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
@@ -33,7 +33,7 @@ _F2 = [
 
 
 def _relation_inputs(spark, sf):
-    abstracts, entities, relations = FX.relation_inputs(table(spark, sf, "documents"))
+    abstracts, entities, relations = FX.relation_inputs(documents(spark, sf))
     return abstracts, entities.where(F.col("text").isNotNull()), relations
 
 
@@ -70,13 +70,13 @@ def relation_orphans(spark, sf):
 )
 def relation_prompt(spark, sf):
     e1, e2 = FX.first_words()
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select("doc_id", T.relation_prompt(e1, e2, F.col("text")).alias("sample"))
 
 
 def sentences(spark, sf):
     """XML-shaped sentences (entity and pair arrays) derived from documents."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     flat = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1)
     ent = F.filter(
         F.array(*[F.struct(F.lit(f"e{i}").alias("_id"), F.get(flat, i).alias("_text")) for i in range(3)]),
@@ -143,7 +143,7 @@ _ANN = [
 
 
 def annotated(spark, sf):
-    return T.token_annotate(FX.annotated(table(spark, sf, "documents")))
+    return T.token_annotate(FX.annotated(documents(spark, sf)))
 
 
 @query(
@@ -163,7 +163,7 @@ def token_annotate(spark, sf):
     ),
 )
 def pluck_entities(spark, sf):
-    a = FX.annotated(table(spark, sf, "documents"))
+    a = FX.annotated(documents(spark, sf))
     a = T.pluck(T.pluck(a, "entities", "text", "texts"), "entities", "annotation_type", "types")
     return a.select("doc_id", F.array_join("texts", "|").alias("texts"), F.array_join("types", "|").alias("types"))
 
@@ -184,7 +184,7 @@ def label_dimension(spark, sf):
     "SELECT source AS label, (row_number() OVER (ORDER BY min(doc_id), source) - 1)::INTEGER AS id FROM documents GROUP BY source",
 )
 def label_dimension_first_seen(spark, sf):
-    return T.label_dimension_first_seen(table(spark, sf, "documents"), "source", "doc_id")
+    return T.label_dimension_first_seen(documents(spark, sf), "source", "doc_id")
 
 
 @query(
@@ -192,13 +192,13 @@ def label_dimension_first_seen(spark, sf):
     "SELECT d.doc_id, l.id AS label_id FROM documents d JOIN (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS id FROM (SELECT DISTINCT lang FROM documents)) l USING (lang)",
 )
 def label_encode(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    docs = documents(spark, sf).select("doc_id", "lang")
     dim = T.label_dimension(docs, "lang", exclude=None, is_array=False)
     return T.label_encode(docs, "lang", dim, "label_id").select("doc_id", "label_id")
 
 
 def _tags(spark, sf):
-    return FX.tag_sequences(table(spark, sf, "documents"))
+    return FX.tag_sequences(documents(spark, sf))
 
 
 def _tag_sql(salt: str, i: str) -> str:

@@ -22,3 +22,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread over the cores when the scan is narrow."""
+    return spread(table(spark, sf_dir, "documents"))
