@@ -176,3 +176,65 @@ def align_labels(pieces: Column, labels: Column, label_ids: Column, mode: str, b
     else:
         raise ValueError(mode)
     return F.concat(F.array(ign), body, F.array(ign))
+
+
+# ---------------------------------------------------------------- V1(b): sub-word merges
+
+
+def chars(word: Column) -> Column:
+    """Code points of a word (a regex ``.`` matches a whole code point)."""
+    return F.regexp_extract_all(word, F.lit("(?s)."), 0)
+
+
+def word_table(df: DataFrame, text: str) -> DataFrame:
+    """Distinct lower-cased words with counts, as symbol arrays: (symbols, n)."""
+    words = explode_rows(df.select(lower_tokens(text).alias("_t")), "_t", "word", keep=[])
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(chars(F.col("word")).alias("symbols"), "n")
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """Adjacent symbol pairs weighted by word count (partial aggregation absorbs hot pairs)."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("symbols") - 2), lambda i: F.struct(F.get(F.col("symbols"), i).alias("a"), F.get(F.col("symbols"), i + 1).alias("b")))
+    p = words.where(F.size("symbols") >= 2).select(pairs.alias("_p"), "n")
+    rows = explode_rows(p, "_p", "pair", keep=["n"])
+    return rows.groupBy(F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).agg(F.sum("n").alias("n"))
+
+
+def best_pair(words: DataFrame):
+    """Most frequent pair; ties by (a, b) ascending.  Returns None when no pair is left."""
+    top = pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(1).collect()
+    return (top[0]["a"], top[0]["b"], top[0]["n"]) if top else None
+
+
+def apply_merge(words: DataFrame, a: str, b: str) -> DataFrame:
+    """Replace every left-to-right non-overlapping (a, b) by ``a + b``."""
+    ab = a + b
+
+    def step(acc, s):
+        last = F.element_at(acc, -1)
+        hit = (F.size(acc) > 0) & (last == F.lit(a)) & (s == F.lit(b))
+        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(ab)))).otherwise(F.concat(acc, F.array(s)))
+
+    merged = F.aggregate(F.col("symbols"), F.array().cast("array<string>"), lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s)))
+    return words.withColumn("symbols", merged)
+
+
+def learn_merges(df: DataFrame, text: str, rounds: int, checkpoint_every: int = 5) -> DataFrame:
+    """V1(b): ``rounds`` merges learned by iterated pair counts over the
+    distinct-word table.  One small job per round picks the best pair; the
+    word table is rewritten lazily and its lineage is cut with a reliable
+    checkpoint every ``checkpoint_every`` rounds.  Returns (rank, a, b, n)."""
+    from ..session import checkpoint
+
+    words = checkpoint(word_table(df, text))
+    merges = []
+    for r in range(rounds):
+        best = best_pair(words)
+        if best is None:
+            break
+        merges.append((r, best[0], best[1], int(best[2])))
+        words = apply_merge(words, best[0], best[1])
+        if (r + 1) % checkpoint_every == 0:
+            words = checkpoint(words)
+    return df.sparkSession.createDataFrame(merges, "rank int, a string, b string, n long")

@@ -257,3 +257,27 @@ def subword_total_by_split(spark, sf):
     s = order.split_90_5_5(d, "doc_id")
     n = F.aggregate(F.transform("toks", lambda w: F.size(E.word_pieces(w))), F.lit(0), lambda a, b: a + b)
     return s.groupBy("split").agg(F.sum(n.cast("bigint")).alias("pieces"))
+
+
+@query(
+    "vocab_first_merge",
+    Q.with_ctes(
+        [
+            ("tok", _TOK),
+            ("w", "SELECT word, count(*) AS n FROM (SELECT unnest(toks) AS word FROM tok) GROUP BY word"),
+            ("s", "SELECT regexp_extract_all(word, '.') AS c, n FROM w"),
+            ("p", "SELECT unnest(list_transform(range(1, len(c)), lambda i: {'a': c[i], 'b': c[i + 1]})) AS pr, n FROM s WHERE len(c) >= 2"),
+        ],
+        "SELECT pr.a AS a, pr.b AS b, sum(n)::BIGINT AS n FROM p GROUP BY pr.a, pr.b ORDER BY n DESC, a, b LIMIT 1",
+    ),
+)
+def vocab_first_merge(spark, sf):
+    """V1(b), first round: the most frequent adjacent symbol pair."""
+    words = E.word_table(_docs(spark, sf), "text")
+    return E.pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(1).select("a", "b", F.col("n").cast("bigint").alias("n"))
+
+
+@query("vocab_merges")
+def vocab_merges(spark, sf):
+    """V1(b): the first 8 merges (iterative; checked by tests against a Python learner)."""
+    return E.learn_merges(_docs(spark, sf), "text", 8, checkpoint_every=4)
