@@ -7,6 +7,6 @@ def load_all():
     global _LOADED
     if _LOADED:
         return
-    from . import corpus, encode, io, metrics, order, streaming, tasks  # noqa: F401
+    from . import corpus, encode, io, metrics, ml, order, streaming, tasks  # noqa: F401
 
     _LOADED = True
