@@ -287,3 +287,16 @@ max(w)::BIGINT AS max_words, sum(w)::BIGINT AS words FROM (SELECT lang, {Q.words
 )
 def length_audit(spark, sf):
     return stats.length_audit(documents(spark, sf), "text", group="lang", limits=(512, 4096))
+
+
+@query("map_batches_words", f"SELECT doc_id, {Q.words('text')}::BIGINT AS words FROM documents")
+def map_batches_words(spark, sf):
+    """UF1 escape hatch: per-row Python (``len(text.split())``) over Arrow batches."""
+    import pandas as pd
+
+    from ...operators.userfn import map_batches
+
+    def fn(pdf):
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "words": pdf["text"].map(lambda t: len(t.split()) if t is not None else None)})
+
+    return map_batches(documents(spark, sf).select("doc_id", "text"), fn, "doc_id long, words long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ...functions import constants as K
@@ -281,3 +282,24 @@ def vocab_first_merge(spark, sf):
 def vocab_merges(spark, sf):
     """V1(b): the first 8 merges (iterative; checked by tests against a Python learner)."""
     return E.learn_merges(_docs(spark, sf), "text", 8, checkpoint_every=4)
+
+
+@query(
+    "collate_pad",
+    Q.with_ctes(
+        ENC_CTES + [("b", "SELECT doc_id, len(content) + 2 AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM enc")],
+        "SELECT doc_id, batch, (ceil(max(n) OVER (PARTITION BY batch) / 8) * 8)::INTEGER AS padded_len FROM b",
+    ),
+)
+def collate_pad(spark, sf):
+    """UF3: dynamic padding done by a pandas collator per batch (E6 by other means)."""
+    from ...operators.userfn import collate
+
+    e = order.row_index(encoded(spark, sf, add_special=True), ["doc_id"], "_i").withColumn("batch", F.floor(F.col("_i") / 32).cast("bigint"))
+
+    def pad(pdf):
+        longest = int(pdf["ids"].map(len).max())
+        target = -(-longest // 8) * 8
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "batch": pdf["batch"], "padded_len": [target] * len(pdf)})
+
+    return collate(e.select("doc_id", "batch", "ids"), "batch", pad, "doc_id long, batch long, padded_len int")
