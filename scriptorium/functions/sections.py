@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import affix_any, blank_whitespace, digit_runs
+from .text import affix_any, blank_whitespace, digit_runs, let
 
 
 def paragraphs(text) -> Column:
@@ -46,15 +46,19 @@ def section_start(ps: Column) -> tuple[Column, Column]:
 def section_end(ps: Column, first: Column, start: Column) -> Column:
     """Exclusive end index or NULL (no end, or end <= start)."""
 
-    def candidate(p, i):
-        after_start = (first > 0) & (i > first - 1) & ~_is_start(p)
-        return F.when(
-            after_start,
-            F.when(affix_any(p, K.CONCLUSION_MARKERS), i + 2).when(affix_any(p, K.END_MARKERS), i),
-        )
+    def scan(b):
+        def candidate(p, i):
+            after_start = (b["first"] > 0) & (i > b["first"] - 1) & ~_is_start(p)
+            return F.when(
+                after_start,
+                F.when(affix_any(p, K.CONCLUSION_MARKERS), i + 2).when(affix_any(p, K.END_MARKERS), i),
+            )
 
-    hit = F.get(F.filter(F.transform(ps, candidate), lambda z: z.isNotNull()), 0)
-    return F.when(hit > start, hit)
+        hit = F.get(F.filter(F.transform(ps, candidate), lambda z: z.isNotNull()), 0)
+        return F.when(hit > b["start"], hit)
+
+    # first/start are read inside the per-paragraph lambda: bind them once
+    return let(F.struct(first.alias("first"), start.alias("start")), scan)
 
 
 def with_sections(df: DataFrame, text: str = "article") -> DataFrame:
@@ -67,7 +71,10 @@ def with_sections(df: DataFrame, text: str = "article") -> DataFrame:
 
 def kept_paragraphs(ps: Column, start: Column, end: Column) -> Column:
     """C4: slice to the section, drop empty paragraphs, collapse blanks."""
-    inside = F.filter(ps, lambda p, i: (i >= start) & (end.isNull() | (i < end)) & (p != ""))
+    def keep(b):
+        return F.filter(ps, lambda p, i: (i >= b["start"]) & (b["end"].isNull() | (i < b["end"])) & (p != ""))
+
+    inside = let(F.struct(start.alias("start"), end.alias("end")), keep)
     return F.transform(inside, lambda p: F.regexp_replace(p, " {2,}", " "))
 
 

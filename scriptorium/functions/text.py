@@ -75,6 +75,18 @@ def safe_ratio(a, b) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``fn`` as a lambda variable.
+
+    Catalyst inlines a projected column into the expression that uses it when
+    it is referenced once - even if that one reference sits inside a lambda
+    body that runs once per array element, which turns an O(n) array into
+    O(n^2) work.  Binding it as the element of a one-element array fixes the
+    evaluation count at one.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def seeded_uniform(seed, *keys) -> Column:
     """Uniform number in [0, 1) from ``md5(seed|key...)``: first 8 hex digits / 2^32.
 

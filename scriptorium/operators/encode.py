@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import explode_rows, tokenise_ws
+from ..functions.text import explode_rows, let, tokenise_ws
 
 PIECE = 6
 MAX_VOCAB = 1_000_000
@@ -164,18 +164,23 @@ def align_labels(pieces: Column, labels: Column, label_ids: Column, mode: str, b
     """
     ign = F.lit(K.IGNORE_INDEX)
 
-    def lab(x):
-        return F.coalesce(label_ids[F.get(labels, x["word"])], ign) if mode == "every" else label_ids[F.get(labels, x["word"])]
-
-    if mode == "first":
-        body = F.transform(pieces, lambda x: F.when(x["sub"] == 0, lab(x)).otherwise(ign))
-    elif mode == "all":
-        body = F.transform(pieces, lambda x: F.when(x["sub"] == 0, lab(x)).otherwise(b2i[lab(x)]))
-    elif mode == "every":
-        body = F.transform(pieces, lab)
-    else:
-        raise ValueError(mode)
-    return F.concat(F.array(ign), body, F.array(ign))
+    def build(lbs):
+        def lab(x):
+            v = label_ids[F.get(lbs, x["word"])]
+            return F.coalesce(v, ign) if mode == "every" else v
+
+        if mode == "first":
+            body = F.transform(pieces, lambda x: F.when(x["sub"] == 0, lab(x)).otherwise(ign))
+        elif mode == "all":
+            body = F.transform(pieces, lambda x: F.when(x["sub"] == 0, lab(x)).otherwise(b2i[lab(x)]))
+        elif mode == "every":
+            body = F.transform(pieces, lab)
+        else:
+            raise ValueError(mode)
+        return F.concat(F.array(ign), body, F.array(ign))
+
+    # the word labels are read inside the per-piece lambda: bind them once
+    return let(labels, build)
 
 
 # ---------------------------------------------------------------- V1(b): sub-word merges

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import explode_rows
+from ..functions.text import explode_rows, let
 from ..session import checkpoint
 
 
@@ -60,6 +60,10 @@ def spans(tags: Column) -> Column:
     A span starts at ``B-x``, or at ``I-x`` after ``O``, after the sequence
     start or after another type; it runs until the next start or ``O``.
     """
+    return let(tags, _spans)
+
+
+def _spans(tags: Column) -> Column:
     n = F.size(tags)
 
     def is_start(i):
@@ -67,12 +71,23 @@ def spans(tags: Column) -> Column:
         prev = F.get(tags, i - 1)
         return (t != "O") & ((_prefix(t) == "B") | (i == 0) | (prev == "O") | (_type(prev) != _type(t)))
 
-    def end_of(s):
-        stop = F.filter(F.sequence(s + 1, F.greatest(n - 1, s + 1)), lambda j: (j < n) & (is_start(j) | (F.get(tags, j) == "O")))
-        return F.coalesce(F.get(stop, 0), n) - 1
-
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & is_start(i))
-    return F.transform(starts, lambda s: F.struct(_type(F.get(tags, s)).alias("type"), s.alias("start"), end_of(s).alias("end")))
+    # boundaries = span starts and O tags, in order; a span ends just before
+    # the next boundary (or at the sequence end): O(n) per sequence
+    bounds = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: (j < n) & (is_start(j) | (F.get(tags, j) == "O")))
+
+    def mark(b):  # ``b`` is bound once (lambda variable), not re-evaluated per element
+        return F.transform(
+            b,
+            lambda s, k: F.struct(
+                _type(F.get(tags, s)).alias("type"),
+                s.alias("start"),
+                (F.coalesce(F.get(b, k + 1), n) - 1).alias("end"),
+                is_start(s).alias("_st"),
+            ),
+        )
+
+    marked = F.get(F.transform(F.array(bounds), mark), 0)
+    return F.transform(F.filter(marked, lambda x: x["_st"]), lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def span_counts(df: DataFrame, gold: str, pred: str) -> DataFrame:

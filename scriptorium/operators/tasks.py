@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import explode_rows, tokenise_ws
+from ..functions.text import explode_rows, let, tokenise_ws
 
 # Dimension tables are broadcast only under this many rows; above it the
 # joins fall back to shuffle joins (sizes are checked with a count first).
@@ -95,12 +95,16 @@ def token_annotate(df: DataFrame, text: str = "text", entities: str = "entities"
     entry whose text equals the token, else ``<ignore>``."""
     toks = tokenise_ws(text)
 
-    def label(t):
-        hits = F.filter(F.col(entities), lambda e: e["text"] == t)
-        return F.coalesce(F.try_element_at(hits, F.lit(-1))["annotation_type"], F.lit(K.IGNORE_TAG))
+    def labelled(ents):
+        def label(t):
+            hits = F.filter(ents, lambda e: e["text"] == t)
+            return F.coalesce(F.try_element_at(hits, F.lit(-1))["annotation_type"], F.lit(K.IGNORE_TAG))
+
+        return F.when(F.size(ents) > 0, F.transform(out_tokens, label)).otherwise(F.transform(out_tokens, lambda t: F.lit(K.IGNORE_TAG)))
 
     df = df.withColumn(out_tokens, toks)
-    return df.withColumn(out_labels, F.when(F.size(entities) > 0, F.transform(out_tokens, label)).otherwise(F.transform(out_tokens, lambda t: F.lit(K.IGNORE_TAG))))
+    # the entity list is read inside the per-token lambda: bind it once
+    return df.withColumn(out_labels, let(F.col(entities), labelled))
 
 
 def label_dimension(df: DataFrame, labels: str, exclude=(K.IGNORE_TAG,), is_array: bool = True) -> DataFrame:

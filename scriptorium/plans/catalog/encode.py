@@ -183,7 +183,7 @@ def mlm_examples(spark, sf):
 
 # ---------------------------------------------------------------- alignment
 
-ALIGN_LEN = 48
+ALIGN_LEN = 512
 
 
 def _align(spark, sf, mode):

@@ -80,15 +80,21 @@ def _start_sql(t: str, i: str) -> str:
     return f"({t}[{i}] <> 'O' AND (substr({t}[{i}], 1, 1) = 'B' OR {i} = 1 OR {t}[{i} - 1] = 'O' OR substr({t}[{i} - 1], 3) <> substr({t}[{i}], 3)))"
 
 
-def _spans_sql(t: str) -> str:
-    return (
-        f"list_transform(list_filter(range(1, len({t}) + 1), lambda i: {_start_sql(t, 'i')}), lambda s: "
-        f"{{'type': substr({t}[s], 3), 'start': s - 1, 'end': coalesce(list_filter(range(s + 1, len({t}) + 1), lambda j: {_start_sql(t, 'j')} OR {t}[j] = 'O')[1], len({t}) + 1) - 2}})"
+def _bounds_sql(t: str) -> str:
+    return f"list_filter(range(1, len({t}) + 1), lambda j: {_start_sql(t, 'j')} OR {t}[j] = 'O')"
+
+
+def _spans_sql(t: str, b: str) -> str:
+    marked = (
+        f"list_transform({b}, lambda s, k: {{'type': substr({t}[s], 3), 'start': s - 1, "
+        f"'end': coalesce({b}[k + 1], len({t}) + 1) - 2, 'st': {_start_sql(t, 's')}}})"
     )
+    return f"list_transform(list_filter({marked}, lambda x: x.st), lambda x: {{'type': x.type, 'start': x.start, 'end': x.end}})"
 
 
 SPAN_CTES = tags_ctes() + [
-    ("sp", f"SELECT doc_id, {_spans_sql('gold')} AS g, {_spans_sql('pred')} AS p FROM tags"),
+    ("bd", f"SELECT doc_id, gold, pred, {_bounds_sql('gold')} AS bg, {_bounds_sql('pred')} AS bp FROM tags"),
+    ("sp", f"SELECT doc_id, {_spans_sql('gold', 'bg')} AS g, {_spans_sql('pred', 'bp')} AS p FROM bd"),
     ("sm", "SELECT g, p, list_intersect(g, p) AS m FROM sp"),
     (
         "k",

@@ -212,7 +212,7 @@ def tags_ctes():
     toks = Q.tokens("text")
     q = "md5('q|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR))"
     return [
-        ("t0", f"SELECT doc_id, {toks}[1:30] AS tokens FROM documents"),
+        ("t0", f"SELECT doc_id, {toks} AS tokens FROM documents"),
         ("t1", f"SELECT doc_id, tokens, list_transform(tokens, lambda t, i: {_tag_sql('g', 'i - 1')}) AS gold FROM t0"),
         ("tags", f"SELECT doc_id, tokens, gold, list_transform(gold, lambda t, i: CASE WHEN substr({q}, 1, 1) IN ('0', '1', '2', '3') THEN {_tag_sql('p', 'i - 1')} ELSE t END) AS pred FROM t1"),
         ("tagdim", "SELECT label, (row_number() OVER (ORDER BY label) - 1)::INTEGER AS id FROM (SELECT DISTINCT unnest(gold) AS label FROM tags)"),

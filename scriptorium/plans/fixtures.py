@@ -144,10 +144,10 @@ def predictions(labels: DataFrame, documents: DataFrame | None = None) -> DataFr
     return out
 
 
-def tag_sequences(documents: DataFrame, n: int = 30) -> DataFrame:
-    """F7 tags: first ``n`` words; gold IOB2-ish tags from md5('g|doc|pos'),
-    predicted tags from salt 'p' on a quarter of positions."""
-    toks = F.slice(tokenise_ws("text"), 1, n)
+def tag_sequences(documents: DataFrame) -> DataFrame:
+    """F7 tags over every word of the document: gold IOB2-ish tags from
+    md5('g|doc|pos'), predicted tags from salt 'p' on a quarter of positions."""
+    toks = tokenise_ws("text")
 
     def tag(salt, i):
         h = F.md5(F.concat(F.lit(salt + "|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string")))
