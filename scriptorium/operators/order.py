@@ -72,27 +72,70 @@ def seeded_order(df: DataFrame, seed, key: str, out: str = "idx") -> DataFrame:
     return row_index(df.withColumn("_sk", seeded_key(seed, key)), ["_sk", key], out).drop("_sk")
 
 
+def _prefix_value(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
+def first_n_bound(df: DataFrame, n: int, seed, key: str):
+    """The n-th smallest (md5(seed|key), key) pair, or None when n >= row count.
+
+    A plain ``orderBy().limit(n)`` sends n rows from every map task to one
+    merge task (partitions x n rows).  The digest is uniform, so rows whose
+    first 8 hex digits are at most ``t`` form a candidate set of about
+    ``t * N`` rows: pick ``t`` for ~n + 6 sqrt(n) candidates, check that at
+    least n survive (double ``t`` otherwise), and take the exact top n among
+    the candidates only.  Every row outside the candidates has a larger
+    digest than every candidate, so the result is exact.
+    """
+    if n <= 0:
+        return ("", None)
+    keyed = df.select(seeded_key(seed, key).alias("_sk"), F.col(key))
+    total = keyed.count()
+    if n >= total:
+        return None
+    frac = min(1.0, (n + 6 * math.sqrt(n) + 16) / total)
+    while True:
+        limit = int(frac * 4294967296)
+        cand = keyed.where(_prefix_value(F.col("_sk")) <= F.lit(limit))
+        if frac >= 1.0 or cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2)
+    last = cand.orderBy("_sk", key).limit(n).orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(1).collect()
+    return (last[0][0], last[0][1])
+
+
+def _within(bound) -> Column:
+    tk, tid = bound
+    return (F.col("_sk") < F.lit(tk)) | ((F.col("_sk") == F.lit(tk)) & (F.col("_key_") <= F.lit(tid)))
+
+
 def take_skip(df: DataFrame, n: int, seed, key: str, out: str = "split", take_name: str = "validation", rest_name: str = "train") -> DataFrame:
     """The ``n`` first rows of the seeded order vs the rest.
 
-    The n-th smallest (digest, key) pair is found with one bounded top-n
-    (``TakeOrderedAndProject``) and every row is then labelled by comparing
-    with it - no join, and membership cannot drift between calls.
+    The bound is found once (``first_n_bound``) and every row is labelled by
+    comparing with it - no join, and membership cannot drift between calls.
     """
-    keyed = df.withColumn("_sk", seeded_key(seed, key))
-    if n <= 0:
-        return keyed.withColumn(out, F.lit(rest_name)).drop("_sk")
-    last = keyed.select("_sk", key).orderBy("_sk", key).limit(n).orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(1).collect()
-    if not last:
-        return keyed.withColumn(out, F.lit(rest_name)).drop("_sk")
-    tk, tid = last[0][0], last[0][1]
-    inside = (F.col("_sk") < F.lit(tk)) | ((F.col("_sk") == F.lit(tk)) & (F.col(key) <= F.lit(tid)))
-    return keyed.withColumn(out, F.when(inside, F.lit(take_name)).otherwise(F.lit(rest_name))).drop("_sk")
+    bound = first_n_bound(df, n, seed, key)
+    keyed = df.withColumn("_sk", seeded_key(seed, key)).withColumn("_key_", F.col(key))
+    if bound is None:
+        inside = F.lit(True)
+    elif bound[1] is None:
+        inside = F.lit(False)
+    else:
+        inside = _within(bound)
+    return keyed.withColumn(out, F.when(inside, F.lit(take_name)).otherwise(F.lit(rest_name))).drop("_sk", "_key_")
 
 
 def sample_n(df: DataFrame, n: int, seed, key: str) -> DataFrame:
-    """The first ``n`` rows of the seeded order (a bounded top-n)."""
-    return df.withColumn("_sk", seeded_key(seed, key)).orderBy("_sk", key).limit(n).drop("_sk")
+    """The first ``n`` rows of the seeded order (exact, without a
+    partitions x n merge)."""
+    bound = first_n_bound(df, n, seed, key)
+    if bound is None:
+        return df
+    if bound[1] is None:
+        return df.limit(0)
+    keyed = df.withColumn("_sk", seeded_key(seed, key)).withColumn("_key_", F.col(key))
+    return keyed.where(_within(bound)).drop("_sk", "_key_")
 
 
 def fraction_split(df: DataFrame, test_size: float, seed, key: str, out: str = "split", test_name: str = "test", train_name: str = "train") -> DataFrame:

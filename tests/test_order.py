@@ -73,3 +73,13 @@ def test_interleave_all_exhausted_and_partial(spark):
     assert [x for _, x in full] == [0, 100, 1, 101, 2, 100, 3, 101, 4, 100]
     part = sorted((r.pos, r.x) for r in mix.interleave([a, b], ["x", "x"], partial_last_round=True).collect())
     assert [x for _, x in part] == [0, 100, 1, 101, 2, 100, 3, 101, 4]
+
+
+def test_sample_n_matches_brute_force(spark):
+    import hashlib
+
+    df = _ids(spark, 257)
+    keyed = sorted((hashlib.md5(f"5|{k}".encode()).hexdigest(), k) for k in range(257))
+    for n in (0, 1, 17, 200, 256, 257, 400):
+        got = sorted(r.k for r in order.sample_n(df, n, 5, "k").collect())
+        assert got == sorted(k for _, k in keyed[:n]), n
