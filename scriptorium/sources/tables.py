@@ -17,11 +17,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cluster size; heavy per-row text work after it would then run serially.
     On a large input the scan already has many splits and this is a no-op.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without an RDD layer: leave the scan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
