@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import affix_any, blank_whitespace, digit_runs, let
+from .text import affix_any, blank_whitespace, digit_runs, let, safe_ratio
 
 
 def paragraphs(text) -> Column:
@@ -85,7 +85,7 @@ def not_caption(p: Column) -> Column:
 
 def digit_share(p: Column) -> Column:
     """C6 measure: digit runs per word of a collapsed, non-empty paragraph."""
-    return digit_runs(p) / F.size(F.split(p, " ", -1))
+    return safe_ratio(digit_runs(p), F.size(F.split(p, " ", -1)))
 
 
 def filter_paragraphs(kept: Column) -> Column:

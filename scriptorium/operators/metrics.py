@@ -124,6 +124,18 @@ def span_metrics(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return _prf(c).select("precision", "recall", "f1")
 
 
+def flatten_by_type(by_type: DataFrame, types, metrics=("precision", "recall", "f1", "support")) -> DataFrame:
+    """A12 flattening: per-type rows -> one row with ``{type}_{metric}`` columns.
+
+    ``types`` is the (small, known) label-type list; a type without spans gets 0.
+    """
+    aggs = []
+    for t in types:
+        for m in metrics:
+            aggs.append(F.coalesce(F.max(F.when(F.col("type") == t, F.col(m))), F.lit(0)).alias(f"{t}_{m}"))
+    return by_type.agg(*aggs)
+
+
 def token_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """A12 token accuracy: share of positions whose tags agree."""
     same = F.aggregate(F.arrays_zip(F.col(gold).alias("g"), F.col(pred).alias("p")), F.lit(0).cast("bigint"), lambda a, z: a + (z["g"] == z["p"]).cast("bigint"))

@@ -10,7 +10,7 @@ from ...operators import order
 from ...operators import tasks as TK
 from ...sources import readers as R
 from ...sources import sinks as K
-from ...sources.tables import table
+from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
@@ -201,3 +201,26 @@ def shard_write(spark, sf):
     """K5: contiguous shards written as JSON lines under shard=<k>/, read back."""
     path = K.write_shards(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 7, K.scratch_path(spark, "shards"))
     return spark.read.json(path).groupBy(F.col("shard").cast("bigint").alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("sink_jsonl", "SELECT lang, count(*)::BIGINT AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
+def sink_jsonl(spark, sf):
+    """K1: JSON lines written (overwrite) and read back."""
+    path = K.write_jsonl(documents(spark, sf).select("doc_id", "lang", "text"), K.scratch_path(spark, "sinkjsonl"))
+    back = spark.read.schema("doc_id long, lang string, text string").json(path)
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text").cast("bigint")).alias("chars"))
+
+
+@query("sink_csv", "SELECT source, count(*)::BIGINT AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
+def sink_csv(spark, sf):
+    """K2: CSV with header, quoted multi-line fields, read back."""
+    path = K.write_csv(documents(spark, sf).select("doc_id", "source", "text"), K.scratch_path(spark, "sinkcsv"))
+    back = R.read_csv_notes(spark, path)
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text").cast("bigint")).alias("chars"))
+
+
+@query("sink_lines", "SELECT md5(text) AS h, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY 1")
+def sink_lines(spark, sf):
+    """K3: newline-joined text lines, read back line by line."""
+    path = K.write_lines(documents(spark, sf), "text", K.scratch_path(spark, "sinklines"))
+    return R.read_lines(spark, path).groupBy(F.md5("value").alias("h")).agg(F.count(F.lit(1)).alias("n"))

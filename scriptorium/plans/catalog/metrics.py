@@ -311,3 +311,19 @@ def val_loss_mean(spark, sf):
 @query("val_loss_first_batches", Q.with_ctes([("f8", _F8)], "SELECT round(avg(loss), 6) AS val_loss FROM (SELECT loss FROM f8 ORDER BY step LIMIT 100)"))
 def val_loss_first_batches(spark, sf):
     return M.val_loss_mean(_log(spark, sf), order=["step"], max_batches=100).select(_r("val_loss", "val_loss"))
+
+
+def _flat_sql():
+    cols = []
+    for t in ("x", "y"):
+        for m in ("precision", "recall", "f1", "support"):
+            cols.append(f"coalesce(max(CASE WHEN type = '{t}' THEN {m} END), 0) AS {t}_{m}")
+    return Q.with_ctes(SPAN_CTES + [("bt", _prf_sql("cnt", "type, gold::BIGINT AS support, "))], "SELECT " + ", ".join(cols) + " FROM bt")
+
+
+@query("metric_spans_flat", _flat_sql())
+def metric_spans_flat(spark, sf):
+    """A12 flattened to ``{type}_{metric}`` columns."""
+    m = M.span_metrics_by_type(_tags(spark, sf), "gold", "pred")
+    m = m.select("type", "support", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"))
+    return M.flatten_by_type(m, ["x", "y"])
