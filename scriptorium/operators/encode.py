@@ -31,12 +31,34 @@ def vocab_words(df: DataFrame, text: str, k: int) -> DataFrame:
     """V1(a): top-K lower-cased whitespace words -> (word, id, n); ids start
     after the special tokens; ties by word ascending."""
     words = explode_rows(df.select(lower_tokens(text).alias("_t")), "_t", "word", keep=[])
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("word")).limit(k)
+    # the distinct-word table is read twice (histogram, then candidates): materialise it once
+    from ..session import checkpoint
+
+    counts = checkpoint(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    top = top_k_by_count(counts, k, "word", "n")
     # K rows: one ordered window over them is bounded
     return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word"))) + len(K.SPECIAL_TOKENS) - 1).cast("int"))
 
 
+def top_k_by_count(counts: DataFrame, k: int, key: str, n: str) -> DataFrame:
+    """Exact top ``k`` rows by (``n`` desc, ``key`` asc) without sending k rows
+    from every partition to one merge task.
+
+    The k-th largest count is read off the histogram of count values (at most
+    k values are needed, and there are few distinct counts); only rows at or
+    above it can be in the result, and the final top-k runs over those.
+    """
+    hist = counts.groupBy(n).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.col(n).desc()).limit(k).collect()
+    covered, cut = 0, None
+    for r in hist:
+        covered += r["_rows"]
+        if covered >= k:
+            cut = r[n]
+            break
+    cand = counts if cut is None else counts.where(F.col(n) >= cut)
+    return cand.orderBy(F.col(n).desc(), F.col(key)).limit(k)
+
+
 def special_vocab(spark) -> DataFrame:
     return spark.createDataFrame([(w, i) for i, w in enumerate(K.SPECIAL_TOKENS)], "word string, id int")
 
