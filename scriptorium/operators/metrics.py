@@ -93,9 +93,17 @@ def _spans(tags: Column) -> Column:
 def span_counts(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Per type: gold spans, predicted spans and exact matches."""
     s = df.select(spans(F.col(gold)).alias("g"), spans(F.col(pred)).alias("p"))
+    sep = "\u0001"
+
+    def keys(arr):
+        # spans as strings: array_intersect hashes atomic values, but compares
+        # struct elements pairwise (quadratic in the number of spans)
+        return F.transform(arr, lambda x: F.concat_ws(sep, x["type"], x["start"].cast("string"), x["end"].cast("string")))
+
     def tagged(arr, kind):
-        return F.transform(arr, lambda x: F.struct(x["type"].alias("type"), F.lit(kind).alias("kind")))
+        return F.transform(arr, lambda k: F.struct(F.substring_index(k, sep, 1).alias("type"), F.lit(kind).alias("kind")))
 
+    s = s.select(keys(F.col("g")).alias("g"), keys(F.col("p")).alias("p"))
     # one array per row (gold, predicted and matched spans) -> one explode, so
     # the upstream plan runs once
     allspans = F.concat(tagged(F.col("g"), "gold"), tagged(F.col("p"), "pred"), tagged(F.array_intersect("g", "p"), "tp"))

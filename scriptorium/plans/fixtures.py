@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_ws, tokenise_ws
+from ..functions.text import collapse_ws, let, tokenise_ws
 
 NL = "\n"
 
@@ -150,10 +150,12 @@ def tag_sequences(documents: DataFrame) -> DataFrame:
     toks = tokenise_ws("text")
 
     def tag(salt, i):
-        h = F.md5(F.concat(F.lit(salt + "|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string")))
-        d0 = F.conv(F.substring(h, 1, 1), 16, 10).cast("int")
-        typ = F.when(F.conv(F.substring(h, 2, 1), 16, 10).cast("int") % 2 == 0, F.lit("x")).otherwise(F.lit("y"))
-        return F.when(d0 <= 2, F.concat(F.lit("B-"), typ)).when(d0 <= 5, F.concat(F.lit("I-"), typ)).otherwise(F.lit("O"))
+        def from_digest(h):  # one md5 per position, read twice
+            d0 = F.conv(F.substring(h, 1, 1), 16, 10).cast("int")
+            typ = F.when(F.conv(F.substring(h, 2, 1), 16, 10).cast("int") % 2 == 0, F.lit("x")).otherwise(F.lit("y"))
+            return F.when(d0 <= 2, F.concat(F.lit("B-"), typ)).when(d0 <= 5, F.concat(F.lit("I-"), typ)).otherwise(F.lit("O"))
+
+        return let(F.md5(F.concat(F.lit(salt + "|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string"))), from_digest)
 
     def pred(t, i):
         h = F.md5(F.concat(F.lit("q|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string")))
