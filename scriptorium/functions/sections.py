@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import affix_any, blank_whitespace, digit_runs, let, safe_ratio
+from .text import affix_any, blank_whitespace, digit_runs, let
 
 
 def paragraphs(text) -> Column:
@@ -84,8 +84,12 @@ def not_caption(p: Column) -> Column:
 
 
 def digit_share(p: Column) -> Column:
-    """C6 measure: digit runs per word of a collapsed, non-empty paragraph."""
-    return safe_ratio(digit_runs(p), F.size(F.split(p, " ", -1)))
+    """C6 measure: digit runs per word of a collapsed, non-empty paragraph.
+
+    Empty paragraphs are dropped before this step, so the word count is at
+    least 1 and the zero-safe ratio (P12) is not needed here.
+    """
+    return digit_runs(p) / F.size(F.split(p, " ", -1))
 
 
 def filter_paragraphs(kept: Column) -> Column:
