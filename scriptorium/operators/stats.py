@@ -38,3 +38,14 @@ def length_audit(df: DataFrame, text: str, group: str | None = None, limits=(512
     aggs += [F.count_if(F.col("_w") > lim).alias(f"over_{lim}") for lim in limits]
     aggs += [F.max("_w").cast("bigint").alias("max_words"), F.sum(F.col("_w").cast("bigint")).alias("words")]
     return (scored.groupBy(group) if group else scored).agg(*aggs)
+
+
+def length_percentiles(df: DataFrame, text: str, group: str | None = None, quantiles=(0.5, 0.9, 0.99), accuracy: int = 10000) -> DataFrame:
+    """A7 percentiles of words per document with a bounded-memory sketch
+    (``percentile_approx``); exact percentiles would hold a whole group in memory."""
+    w = word_count(text)
+    scored = df.select(*([group] if group else []), w.alias("_w"))
+    aggs = [F.percentile_approx("_w", list(quantiles), accuracy).alias("_q")]
+    out = (scored.groupBy(group) if group else scored).agg(*aggs)
+    cols = ([group] if group else []) + [F.col("_q")[i].cast("bigint").alias(f"p{int(q * 100)}") for i, q in enumerate(quantiles)]
+    return out.select(*cols)

@@ -300,3 +300,9 @@ def map_batches_words(spark, sf):
         return pd.DataFrame({"doc_id": pdf["doc_id"], "words": pdf["text"].map(lambda t: len(t.split()) if t is not None else None)})
 
     return map_batches(documents(spark, sf).select("doc_id", "text"), fn, "doc_id long, words long")
+
+
+@query("length_percentiles")
+def length_percentiles(spark, sf):
+    """A7 percentiles (approximate sketch; rows-only check)."""
+    return stats.length_percentiles(documents(spark, sf), "text", group="lang")
