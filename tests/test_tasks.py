@@ -64,3 +64,23 @@ def test_bounded_tsv_split_keeps_tabs_in_last_field(spark, tmp_dir):
         fh.write("d1\tT1\tChemical\t0\t5\tname\twith\ttabs\nshort\tline\n\nd2\tT2\tGene\t1\t2\tplain\n")
     rows = read_bounded_tsv(spark, path, ["doc_id", "entity_id", "kind", "a", "b", "text"]).collect()
     assert [(r.doc_id, r.text) for r in rows] == [("d1", "name\twith\ttabs"), ("d2", "plain")]
+
+
+def test_dedupe_hot_duplicate_pre_aggregates(spark):
+    # a third of all rows carry the same text
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("t"))
+    out = dedupe_exact(df, "t", "id")
+    rows = {r.t: r.id for r in out.collect()}
+    assert rows["hot"] == 2997 and len(rows) == 2001
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan
+
+
+def test_streaming_dedupe_over_increments(spark, tmp_dir):
+    from scriptorium.streaming import ingest as S
+
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string")
+    df.withColumn("part", F.col("doc_id") % 4).write.mode("overwrite").partitionBy("part").parquet(f"{tmp_dir}/inc")
+    sink = S.dedupe(S.increments(spark, f"{tmp_dir}/inc", df.schema, max_files=1), "text", f"{tmp_dir}/sink", f"{tmp_dir}/ck")
+    hashes = [r.h for r in spark.read.parquet(sink).collect()]
+    assert len(hashes) == 7 and len(set(hashes)) == 7
