@@ -156,7 +156,7 @@ def decode_label_array(df: DataFrame, ids: str, dim: DataFrame, out: str) -> Dat
 def b_to_i(dim: DataFrame) -> DataFrame:
     """Id of ``B-x`` -> id of ``I-x`` when present, else itself."""
     i = dim.select(F.col("label").alias("_il"), F.col("id").alias("_iid"))
-    j = dim.join(F.broadcast(i), F.regexp_replace(F.col("label"), "^B-", "I-") == F.col("_il"), "left")
+    j = dim.join(broadcast_if_small(i), F.regexp_replace(F.col("label"), "^B-", "I-") == F.col("_il"), "left")
     return j.select("label", "id", F.when(F.col("label").startswith("B-") & F.col("_iid").isNotNull(), F.col("_iid")).otherwise(F.col("id")).alias("i_id"))
 
 
