@@ -66,28 +66,34 @@ def spans(tags: Column) -> Column:
 def _spans(tags: Column) -> Column:
     n = F.size(tags)
 
-    def is_start(i):
-        t = F.get(tags, i)
+    def info_at(t, i):
         prev = F.get(tags, i - 1)
-        return (t != "O") & ((_prefix(t) == "B") | (i == 0) | (prev == "O") | (_type(prev) != _type(t)))
-
-    # boundaries = span starts and O tags, in order; a span ends just before
-    # the next boundary (or at the sequence end): O(n) per sequence
-    bounds = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: (j < n) & (is_start(j) | (F.get(tags, j) == "O")))
-
-    def mark(b):  # ``b`` is bound once (lambda variable), not re-evaluated per element
-        return F.transform(
-            b,
-            lambda s, k: F.struct(
-                _type(F.get(tags, s)).alias("type"),
-                s.alias("start"),
-                (F.coalesce(F.get(b, k + 1), n) - 1).alias("end"),
-                is_start(s).alias("_st"),
-            ),
-        )
-
-    marked = F.get(F.transform(F.array(bounds), mark), 0)
-    return F.transform(F.filter(marked, lambda x: x["_st"]), lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end")))
+        st = (t != "O") & ((_prefix(t) == "B") | (i == 0) | (prev == "O") | (_type(prev) != _type(t)))
+        return F.struct(_type(t).alias("type"), st.alias("st"), (st | (t == "O")).alias("bd"))
+
+    # per position (type, starts a span, is a boundary), computed once
+    info = F.transform(tags, info_at)
+
+    def from_info(inf):
+        # boundaries = span starts and O tags, in order; a span ends just
+        # before the next boundary (or at the sequence end): O(n) per sequence
+        bounds = F.filter(F.transform(inf, lambda x, i: F.when(x["bd"], i)), lambda j: j.isNotNull())
+
+        def mark(b):
+            marked = F.transform(
+                b,
+                lambda s, k: F.struct(
+                    F.get(inf, s)["type"].alias("type"),
+                    s.alias("start"),
+                    (F.coalesce(F.get(b, k + 1), n) - 1).alias("end"),
+                    F.get(inf, s)["st"].alias("_st"),
+                ),
+            )
+            return F.transform(F.filter(marked, lambda x: x["_st"]), lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end")))
+
+        return let(bounds, mark)
+
+    return let(info, from_info)
 
 
 def span_counts(df: DataFrame, gold: str, pred: str) -> DataFrame:
