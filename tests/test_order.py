@@ -83,3 +83,19 @@ def test_sample_n_matches_brute_force(spark):
     for n in (0, 1, 17, 200, 256, 257, 400):
         got = sorted(r.k for r in order.sample_n(df, n, 5, "k").collect())
         assert got == sorted(k for _, k in keyed[:n]), n
+
+
+def test_zero_row_inputs(spark):
+    from scriptorium.operators.dedupe import dedupe_exact
+
+    empty = spark.createDataFrame([], "k long, v long")
+    assert order.row_index(empty, ["k"]).count() == 0
+    assert order.split_90_5_5(empty, "k").count() == 0
+    assert order.take_skip(empty, 5, 1, "k").count() == 0
+    assert order.sample_n(empty, 5, 1, "k").count() == 0
+    assert order.shard_ids(empty, ["k"], 4).count() == 0
+    assert order.batches(empty, ["k"], 8).count() == 0
+    assert dedupe_exact(empty.withColumn("t", F.lit("x")), "t", "k").count() == 0
+    a = spark.range(3).select(F.col("id").alias("x"))
+    got = sorted((r.pos, r.x) for r in mix.interleave([a, empty.select(F.col("k").alias("x"))], ["x", "x"]).collect())
+    assert [x for _, x in got] == [0, 1, 2]
