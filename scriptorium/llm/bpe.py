@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import append_columns, binary_texts
 
 #: Pieces kept per store; two stores alternate, so a worker holds at most twice as many.
-STORE_PIECES = 250_000
+STORE_PIECES = 200_000
 _PAIRS_KEPT = 1_000_000
 _MARK = 0x1000  # shift of a character that carries the word-end mark
 

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .bpe import bpe_encode_decode
-from .common import shared_folder
+from .common import shared_folder, written
+from .decontaminate import find_leaks
+from .htmltext import extract_text
+from .licenses import scan_licenses
+from .linededup import line_dedup
+from .lmscore import lm_scores
+from .quality import base_failed, kept, learn_rules, with_statistics
+from .simhash import fingerprint_hex, simhash_components, with_fingerprint
+from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +42,64 @@ def tokenizer_file(name: str) -> str:
     return os.path.realpath(public_tokenizers.path(name))
 
 
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+  FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines
+), ends AS (
+  SELECT *, coalesce((h + 31 * lag(h) OVER (PARTITION BY doc_id ORDER BY i)) % 3 = 0, false) AS ends FROM hashed
+), numbered AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM ends
+), chunks AS (
+  SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS piece FROM numbered GROUP BY ALL
+), marked AS (
+  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, piece ORDER BY doc_id, no) > 1 AS gone FROM chunks
+), left_over AS (
+  SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed_lines,
+         md5(coalesce(string_agg(piece, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_md5
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, text_md5
+FROM documents d LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op1_line_dedup", LINE_DEDUP_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(with_statistics(docs).drop("text"), "quality-stats")
+    rules = learn_rules(stats.where(~base_failed()), table(spark, sf_dir, "labels"))
+    s = F.col("quality")
+    return stats.select(
+        "doc_id",
+        s["n_words"].alias("n_words"),
+        s["word_chars"].alias("word_chars"),
+        s["n_symbols"].alias("n_symbols"),
+        s["n_dup_lines"].alias("n_dup_lines"),
+        s["n_repeat_words"].alias("n_repeat_words"),
+        base_failed().alias("base_failed"),
+        kept(rules).alias("kept"),
+    )
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +107,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = written(with_fingerprint(docs).select("doc_id", "fingerprint"), "simhash-fingerprints")
+    found = simhash_components(marked)
+    out = marked.join(found, marked["fingerprint"] == found["fp"], "left")
+    return out.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query("op9_bpe_encode_decode")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,3 +144,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
