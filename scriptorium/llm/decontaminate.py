@@ -35,7 +35,7 @@ from .common import binary_texts
 from .tokenhash import batches_of_words, mix
 
 #: Places that each mask selects, counted from the first (fixed values; tests verify that they are lossless).
-MASKS = ((0, 1, 2, 3),)
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7))
 #: log2 of the bits in the table of benchmark seeds: 8 MB.
 TABLE_BITS = 26
 WINDOW = 12
@@ -127,7 +127,7 @@ def _document_hits(docs: DataFrame, id_col: str, text_col: str, window: int, tab
 
 
 def overlap(doc: np.ndarray, before: int, item: np.ndarray, item_before: int, span: int, item_words: int, window: int, substitutions: int):
-    """Best window through an aligned seed: (offset from the seed, length, equal words), or None."""
+    """Windows through an aligned seed that pass: (first and last word, from the seed on; most equal words), or None."""
     length = min(window, item_words)
     allowed = substitutions * length // window
     left = min(before, item_before)
@@ -140,10 +140,10 @@ def overlap(doc: np.ndarray, before: int, item: np.ndarray, item_before: int, sp
     if hi < lo:
         return None
     equal = total[lo + length : hi + length + 1] - total[lo : hi + 1]
-    k = int(np.argmax(equal))
-    if equal[k] < length - allowed:
+    passed = np.flatnonzero(equal >= length - allowed)
+    if not len(passed):
         return None
-    return lo + k - left, length, int(equal[k])
+    return lo + int(passed[0]) - left, lo + int(passed[-1]) - left + length - 1, int(equal.max())
 
 
 def find_leaks(
@@ -158,10 +158,10 @@ def find_leaks(
     min_item_words: int = MIN_ITEM_WORDS,
     masks=MASKS,
 ) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word, equal_words, windows): every document that leaks an item.
+    """(doc_id, item_id, first_word, last_word, equal_words, hits): every document that leaks an item.
 
     ``first_word`` and ``last_word`` bound the leaked windows in the document (0-based word numbers);
-    ``equal_words`` of the best window; ``windows`` that were verified.
+    ``equal_words`` of the best window; ``hits``: seeds with a window that was verified.
     """
     wanted = _item_seeds(items, item_id_col, item_text_col, window, min_item_words, masks)
     table = docs.sparkSession.sparkContext.broadcast(bittable.build(wanted.select("seed"), TABLE_BITS))
@@ -179,7 +179,7 @@ def find_leaks(
                 if found:
                     rows.append(i)
                     first.append(c["at"][i] + found[0])
-                    last.append(c["at"][i] + found[0] + found[1] - 1)
+                    last.append(c["at"][i] + found[1])
                     equal.append(found[2])
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -189,7 +189,7 @@ def find_leaks(
 
     verified = hits.join(wanted, "seed").mapInArrow(verify, "doc_id long, item_id long, first long, last long, equal long")
     return verified.groupBy("doc_id", "item_id").agg(
-        F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("equal").alias("equal_words"), F.count("*").alias("windows")
+        F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("equal").alias("equal_words"), F.count("*").alias("hits")
     )
 
 

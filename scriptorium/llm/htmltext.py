@@ -42,6 +42,8 @@ BLOCKS = PARAGRAPHS | LINES | {"hr"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 CELLS = frozenset("td th".split())
+#: Inline tags that may be crossed by blocks.
+FORMATTING = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 TABLE_PARTS = SECTIONS | CELLS | {"tr", "caption", "colgroup", "col"}
 #: A start tag ends the named open elements, unless an element of the second set is open inside of them.
 IMPLIED_ENDS = {
@@ -176,7 +178,7 @@ class TreeBuilder(HTMLParser):
         for i in range(len(self.open) - 1, 0, -1):
             n = self.open[i]
             if n.tag == tag or (tag in HEADINGS and n.tag in HEADINGS):
-                if crossed and tag not in BLOCKS and tag not in CELLS and tag not in UNSEEN:
+                if crossed and tag in FORMATTING:
                     del self.open[i]  # a crossed inline tag ends without ending the blocks in it
                 else:
                     del self.open[i:]

@@ -9,15 +9,15 @@
    notice that shares ``gram + window - 1`` words in a row with the text is always looked at.
 3. The template is aligned with the region inside a band around the first
    diagonal: +1 for an equal word, -1 for a substitution, a missing or an added
-   word; the best local alignment is traced back.  It is reported if the equal words
+   word; of the best local alignments the one with most equal words is traced back.  It is reported if the equal words
    cover at least ``min_coverage`` of the template.
 
 Words are runs of letters and digits, A-Z as a-z.  Documents are independent
 of each other: nothing is shuffled, whatever their sources or copies.
 
 Defined results: null and empty texts and an empty table give no rows; repeated
-rows are each scanned and reported; a null id is kept; of equally good
-alignments the one that ends first, with the fewest gaps, is taken; other columns are not read.
+rows are each scanned and reported; a null id is kept; of alignments with as
+many equal words the one that ends first is taken; other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,29 +122,31 @@ def regions(index: Index, words: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int):
-    """Best local alignment inside the band: (equal words, first and last document word, score), or None."""
+    """Best local alignment inside the band: (equal words, first and last document word), or None."""
     m, n = len(template), len(words)
     width = 2 * band + 1
-    score = np.zeros((m + 1, width + 2), np.int32)  # one column of margin on both sides
+    # A value holds the score and, below it, the equal words: the larger one wins on both.
+    one, never = 1 << 20, -(1 << 50)
+    value = np.zeros((m + 1, width + 2), np.int64)  # one column of margin on both sides
     step = np.zeros((m + 1, width + 2), np.int8)  # 0 start, 1 diagonal, 2 template word missing, 3 added word
-    score[:, 0] = score[:, -1] = -(1 << 20)
+    value[:, 0] = value[:, -1] = never
     best, where = 0, None
+    gaps = np.arange(width) * one
     for i in range(1, m + 1):
         j = np.arange(diagonal + i - band, diagonal + i + band + 1)  # 1-based document word of each column
         inside = (j >= 1) & (j <= n)
         equal = np.zeros(width, bool)
         equal[inside] = words[j[inside] - 1] == template[i - 1]
-        diag = np.where(inside, score[i - 1, 1:-1] + np.where(equal, 1, -1), -(1 << 20))
-        up = np.where((j >= 0) & (j <= n), score[i - 1, 2:] - 1, -(1 << 20))  # the column of i-1 is one further right
+        diag = np.where(inside, value[i - 1, 1:-1] + np.where(equal, one + 1, -one), never)
+        up = np.where((j >= 0) & (j <= n), value[i - 1, 2:] - one, never)  # the column of i-1 is one further right
         row = np.maximum(np.maximum(diag, up), 0)
         # Added words: the best value to the left, less one for each column.
-        slide = np.maximum.accumulate(row + np.arange(width)) - np.arange(width)
-        row2 = np.where((j >= 1) & (j <= n), np.maximum(row, slide), np.where(j == 0, 0, -(1 << 20)))
-        score[i, 1:-1] = row2
-        step[i, 1:-1] = np.where(row2 <= 0, 0, np.where(diag == row2, 1, np.where(up == row2, 2, 3)))
-        k = int(np.argmax(row2))
-        if row2[k] > best:
-            best, where = int(row2[k]), (i, k + 1)
+        row = np.where(inside, np.maximum.accumulate(row + gaps) - gaps, np.where(j == 0, 0, never))
+        value[i, 1:-1] = row
+        step[i, 1:-1] = np.where(row <= 0, 0, np.where(diag == row, 1, np.where(up == row, 2, 3)))
+        k = int(np.argmax(row))
+        if row[k] > best:
+            best, where = int(row[k]), (i, k + 1)
     if where is None:
         return None
     i, k = where
@@ -161,7 +163,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int):
         else:
             first = j - 1
             k -= 1
-    return equal, first, last, best
+    return equal, first, last
 
 
 def scan_words(index: Index, words: np.ndarray, min_coverage: float):
