@@ -4,14 +4,16 @@ Re-aim of the tokenizer: a word vocabulary learned with a distributed
 ``groupBy(word).count`` + bounded top-K, and a sub-word rule (a word splits
 into pieces of at most ``PIECE`` characters, continuation pieces prefixed
 ``##``) for label alignment.  The vocabulary is bounded by K by construction,
-so it is shipped to tasks as a broadcast dictionary; encoding is then a
-per-batch pandas lookup with no shuffle (an explode + join + regroup would
+so it is shipped to tasks; encoding is then one Arrow
+lookup per batch with no shuffle (an explode + join + regroup would
 shuffle one row per token).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from ..functions import constants as K
 from ..functions.text import explode_rows, let, tokenise_ws
 
 PIECE = 6
-MAX_VOCAB = 1_000_000
 
 
 def lower_tokens(text) -> Column:
@@ -59,29 +60,27 @@ def top_k_by_count(counts: DataFrame, k: int, key: str, n: str) -> DataFrame:
     return cand.orderBy(F.col(n).desc(), F.col(key)).limit(k)
 
 
-def special_vocab(spark) -> DataFrame:
-    return spark.createDataFrame([(w, i) for i, w in enumerate(K.SPECIAL_TOKENS)], "word string, id int")
-
-
-def _vocab_dict(vocab: DataFrame) -> dict:
-    rows = vocab.select("word", "id").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"vocabulary larger than {MAX_VOCAB} entries")
-    return {r[0]: int(r[1]) for r in rows}
-
-
 def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "input_ids", add_special: bool = True) -> DataFrame:
-    """V2: token array -> id array (unknown -> [UNK]); optional [CLS] ... [SEP]."""
-    bc = df.sparkSession.sparkContext.broadcast(_vocab_dict(vocab))
-    unk, cls, sep = K.UNK_ID, K.CLS_ID, K.SEP_ID
+    """V2: token array -> id array (unknown -> [UNK]); optional [CLS] ... [SEP].
 
-    @F.pandas_udf("array<int>")
-    def _encode(col: pd.Series) -> pd.Series:
-        m = bc.value
-        head, tail = ([cls], [sep]) if add_special else ([], [])
-        return col.map(lambda toks: head + [m.get(t, unk) for t in toks] + tail if toks is not None else None)
+    The vocabulary has K rows, K being the parameter it was learned with; it
+    is shipped to the tasks, and one Arrow lookup serves a whole batch.
+    """
+    rows = vocab.select("word", F.col("id").cast("int").alias("id")).toArrow()
+    words, ids = rows.column("word").combine_chunks(), rows.column("id").combine_chunks()
+    bc = df.sparkSession.sparkContext.broadcast((words, ids))
 
-    return df.withColumn(out, _encode(F.col(tokens)))
+    @F.arrow_udf("array<int>")
+    def _encode(col: pa.Array) -> pa.Array:
+        words, ids = bc.value
+        at = pc.index_in(col.flatten(), value_set=words)
+        flat = pc.fill_null(ids.take(at), K.UNK_ID).cast(pa.int32())
+        sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=col.is_null()) if col.null_count else pa.ListArray.from_arrays(pa.array(ends), flat)
+
+    body = _encode(F.col(tokens))
+    return df.withColumn(out, F.concat(F.array(F.lit(K.CLS_ID)), body, F.array(F.lit(K.SEP_ID))) if add_special else body)
 
 
 def truncate_pad(content: Column, max_length: int) -> tuple[Column, Column]:
@@ -116,45 +115,37 @@ def _u(h: Column, part: int) -> Column:
     return F.conv(F.substring(h, 8 * part + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def mask_tokens(ids: Column, key: Column, seed, vocab_size: int, p: float = K.MLM_PROBABILITY) -> tuple[Column, Column]:
-    """M1 + M2: returns (masked input ids, labels).
+def mask_pairs(ids: Column, key: Column, seed, vocab_size: int, p: float = K.MLM_PROBABILITY) -> Column:
+    """M1 + M2: array of (input id, label) per position.
 
     Per position one md5(seed|key|pos) gives four uniforms: chosen (u1 < p and
     not a special id), replaced by [MASK] (u2 < 0.8), random id (u3 < 0.5 of
     the rest, id = floor(u4 * vocab_size)), else unchanged.  Labels keep the
     id at chosen positions and -100 elsewhere.  Random ids may hit a special
-    id or the original id, as in the original collator.
+    id or the original id, as in the original collator.  Special ids
+    (padding above all) are never chosen and not hashed.
     """
     specials = [K.PAD_ID, K.CLS_ID, K.SEP_ID]
-    # one digest per position, reused by every decision below
-    hashed = F.transform(ids, lambda x, i: F.struct(x.alias("x"), F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"), i.cast("string"))).alias("h")))
+    ignore = F.lit(K.IGNORE_INDEX)
 
-    def chosen(z):
-        return (~z["x"].isin(*specials)) & (_u(z["h"], 0) < p)
+    def pair(x, label):
+        return F.struct(x.cast("int").alias("i"), label.cast("int").alias("l"))
 
-    labels = F.transform(hashed, lambda z: F.when(chosen(z), z["x"]).otherwise(F.lit(K.IGNORE_INDEX)))
+    def decided(x, h):
+        rnd = F.floor(_u(h, 3) * vocab_size).cast("int")
+        new = F.when(_u(h, 1) < K.MASK_REPLACE_SHARE, F.lit(K.MASK_ID)).when(_u(h, 2) < K.RANDOM_OF_REST_SHARE, rnd).otherwise(x)
+        return F.when(_u(h, 0) < p, pair(new, x)).otherwise(pair(x, ignore))
 
-    def new_id(z):
-        rnd = F.floor(_u(z["h"], 3) * vocab_size).cast("int")
-        return (
-            F.when(~chosen(z), z["x"])
-            .when(_u(z["h"], 1) < K.MASK_REPLACE_SHARE, F.lit(K.MASK_ID))
-            .when(_u(z["h"], 2) < K.RANDOM_OF_REST_SHARE, rnd)
-            .otherwise(z["x"])
-        )
+    def position(x, i):
+        digest = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"), i.cast("string")))
+        return F.when(x.isin(*specials), pair(x, ignore)).otherwise(let(digest, lambda h: decided(x, h)))
 
-    return F.transform(hashed, new_id), labels
+    return F.transform(ids, position)
 
 
 def mask_columns(df: DataFrame, ids: str, key: str, seed, vocab_size: int, out_ids: str = "masked_ids", out_labels: str = "labels", p: float = K.MLM_PROBABILITY) -> DataFrame:
-    """M1 + M2 as DataFrame columns, with the per-position digests computed once.
-
-    The (input, label) pairs are projected as one array column first, so the
-    two output columns read it instead of re-hashing every position.
-    """
-    new_ids, labels = mask_tokens(F.col(ids), F.col(key), seed, vocab_size, p)
-    both = F.arrays_zip(new_ids.alias("i"), labels.alias("l"))
-    df = df.withColumn("_m", both)
+    """M1 + M2 as DataFrame columns; both read one array of pairs, so a position is hashed once."""
+    df = df.withColumn("_m", mask_pairs(F.col(ids), F.col(key), seed, vocab_size, p))
     return df.withColumn(out_ids, F.col("_m.i")).withColumn(out_labels, F.col("_m.l")).drop("_m")
 
 
@@ -177,32 +168,26 @@ def piece_table(tokens: Column, max_length: int) -> Column:
     return F.slice(F.flatten(per_word), 1, max_length - 2)
 
 
-def align_labels(pieces: Column, labels: Column, label_ids: Column, mode: str, b2i: Column | None = None) -> Column:
-    """Per-piece labels with -100 on [CLS]/[SEP].
+def align_labels(pieces: Column, label_ids: Column, mode: str, inside_ids: Column | None = None) -> Column:
+    """Per-piece labels from per-word label ids, with -100 on [CLS]/[SEP].
 
-    mode ``first``: first piece of a word gets the word label, others -100;
-    ``all``: other pieces get the I- version of the label (E10 map ``b2i``);
-    ``every``: every piece gets the word label, unknown labels -100.
+    mode ``first``: first piece of a word gets the word's id, others -100;
+    ``all``: other pieces get the id of the I- version (``inside_ids``, by E10);
+    ``every``: every piece gets the word's id (unknown labels have -100).
     """
     ign = F.lit(K.IGNORE_INDEX)
 
-    def build(lbs):
-        def lab(x):
-            v = label_ids[F.get(lbs, x["word"])]
-            return F.coalesce(v, ign) if mode == "every" else v
-
+    def build(ids):
         if mode == "first":
-            body = F.transform(pieces, lambda x: F.when(x["sub"] == 0, lab(x)).otherwise(ign))
-        elif mode == "all":
-            body = F.transform(pieces, lambda x: F.when(x["sub"] == 0, lab(x)).otherwise(b2i[lab(x)]))
-        elif mode == "every":
-            body = F.transform(pieces, lab)
-        else:
-            raise ValueError(mode)
-        return F.concat(F.array(ign), body, F.array(ign))
+            return F.transform(pieces, lambda x: F.when(x["sub"] == 0, F.get(ids, x["word"])).otherwise(ign))
+        if mode == "every":
+            return F.transform(pieces, lambda x: F.get(ids, x["word"]))
+        if mode == "all":
+            return let(inside_ids, lambda inner: F.transform(pieces, lambda x: F.when(x["sub"] == 0, F.get(ids, x["word"])).otherwise(F.get(inner, x["word"]))))
+        raise ValueError(mode)
 
     # the word labels are read inside the per-piece lambda: bind them once
-    return let(labels, build)
+    return F.concat(F.array(ign), let(label_ids, build), F.array(ign))
 
 
 # ---------------------------------------------------------------- V1(b): sub-word merges

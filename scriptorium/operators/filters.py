@@ -47,3 +47,8 @@ def split_malformed(lines: DataFrame, fields: int = 6, value: str = "value", lin
 def drop_blank_pages(df: DataFrame, pages: str = "pages") -> DataFrame:
     """Remove empty pages from a page array; NULL page arrays go away."""
     return df.where(F.col(pages).isNotNull()).withColumn(pages, F.filter(F.col(pages), lambda p: p != ""))
+
+
+def books_without_pages(df: DataFrame, pages: str = "pages") -> DataFrame:
+    """P8 side output: the rows that ``drop_blank_pages`` loses (no page array)."""
+    return df.where(F.col(pages).isNull())

@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import explode_rows, let
+from ..functions.text import safe_ratio as _ratio
 from ..session import checkpoint
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
-
-
 def accuracy(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """A8."""
     return df.agg(F.avg((F.col(pred) == F.col(ref)).cast("double")).alias("accuracy"))
@@ -47,18 +44,21 @@ def pearson(df: DataFrame, pred: str, ref: str) -> DataFrame:
 
 
 def _prefix(t: Column) -> Column:
-    return F.substring(t, 1, 1)
+    """``B`` or ``I`` of an IOB2 tag; an unprefixed tag goes on like ``I``."""
+    return F.when(t.startswith("B-"), F.lit("B")).otherwise(F.lit("I"))
 
 
 def _type(t: Column) -> Column:
-    return F.when(t == "O", F.lit(None).cast("string")).otherwise(F.substring(t, 3, 1 << 20))
+    """Class of a tag: what follows ``B-`` / ``I-``, or the whole token if it has no prefix; NULL outside."""
+    return F.when(t == "O", F.lit(None).cast("string")).when(t.rlike("^[BI]-"), F.substr(t, F.lit(3))).otherwise(t)
 
 
 def spans(tags: Column) -> Column:
     """IOB2 spans of a tag array as ``array<struct<type, start, end>>``.
 
     A span starts at ``B-x``, or at ``I-x`` after ``O``, after the sequence
-    start or after another type; it runs until the next start or ``O``.
+    start or after another type; it runs until the next start or ``O``.  Tags
+    without a prefix (plain class names) count as ``I-`` of the whole token.
     """
     return let(tags, _spans)
 
@@ -151,8 +151,8 @@ def flatten_by_type(by_type: DataFrame, types, metrics=("precision", "recall", "
 
 
 def token_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
-    """A12 token accuracy: share of positions whose tags agree."""
-    same = F.aggregate(F.arrays_zip(F.col(gold).alias("g"), F.col(pred).alias("p")), F.lit(0).cast("bigint"), lambda a, z: a + (z["g"] == z["p"]).cast("bigint"))
+    """A12 token accuracy: share of gold positions whose tags agree (a missing prediction does not)."""
+    same = F.aggregate(F.arrays_zip(F.col(gold).alias("g"), F.col(pred).alias("p")), F.lit(0).cast("bigint"), lambda a, z: a + F.coalesce(z["g"] == z["p"], F.lit(False)).cast("bigint"))
     return df.agg(_ratio(F.sum(same), F.sum(F.size(gold).cast("bigint"))).alias("accuracy"))
 
 
@@ -201,20 +201,19 @@ def running_stats(df: DataFrame, group: str, order: list[str], value: str) -> Da
     sums inside each slice, then add the totals of the earlier slices of the
     same group (a summary of at most partitions x groups rows).
     """
-    spark = df.sparkSession
     from pyspark.sql import Window
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = [group] + order
-    sliced = checkpoint(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+    sliced = checkpoint(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
     w_local = Window.partitionBy("_pid", group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn("_ls", F.sum(value).over(w_local)).withColumn("_ln", F.count(F.lit(1)).over(w_local))
     summary = sliced.groupBy("_pid", group).agg(F.sum(value).alias("_ts"), F.count(F.lit(1)).alias("_tn"))
     w_prev = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        "_pid", group, F.coalesce(F.sum("_ts").over(w_prev), F.lit(0.0)).alias("_cs"), F.coalesce(F.sum("_tn").over(w_prev), F.lit(0)).alias("_cn")
+        F.col("_pid").alias("_cp"), F.col(group).alias("_cg"), F.coalesce(F.sum("_ts").over(w_prev), F.lit(0.0)).alias("_cs"), F.coalesce(F.sum("_tn").over(w_prev), F.lit(0)).alias("_cn")
     )
-    out = local.join(carry, ["_pid", group])
+    # null-safe: a NULL group is a group like any other
+    out = local.join(carry, (F.col("_pid") == F.col("_cp")) & F.col(group).eqNullSafe(F.col("_cg"))).drop("_cp", "_cg")
     return out.withColumn("run_sum", F.col("_ls") + F.col("_cs")).withColumn("run_n", F.col("_ln") + F.col("_cn")).drop("_pid", "_ls", "_ln", "_cs", "_cn")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .order import indexed
 
+#: Most copies of a row of a short source.
+SALTS = 256
+
 
 def union_by_name(frames: list[DataFrame], source_col: str | None = None) -> DataFrame:
     """Concatenate by column name; missing columns become NULL."""
@@ -25,8 +28,14 @@ def interleave(frames: list[DataFrame], orders: list, partial_last_round: bool =
     ``partial_last_round`` the output stops right after the longest source's
     last row, as a lazy iterator would.  Frames must share a schema (use
     ``union_by_name`` first otherwise); each needs its own total order.
+
+    The positions are generated in slices over all tasks and joined with the
+    rows by (source, round mod n_s).  The rows of a short source are asked for
+    many times: they are copied to up to ``SALTS`` salts, and the rounds are
+    dealt to the salts, so one row's positions spread over as many tasks.
     """
     k = len(frames)
+    spark = frames[0].sparkSession
     tagged = [f.withColumn(source_col, F.lit(s)).withColumn("_o", F.struct(*[F.col(c) for c in ([o] if isinstance(o, str) else o)])) for s, (f, o) in enumerate(zip(frames, orders))]
     allrows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     glob, _ = indexed(allrows, [source_col, "_o"], "_g")
@@ -36,12 +45,19 @@ def interleave(frames: list[DataFrame], orders: list, partial_last_round: bool =
     max_n = max((n for _, n in sizes.values()), default=0)
     if max_n == 0:
         return glob.drop("_g", "_o").withColumn(out, F.lit(None).cast("bigint")).limit(0)
-    first = F.create_map(*[x for s, (f0, _) in sizes.items() for x in (F.lit(s), F.lit(f0))])
-    size = F.create_map(*[x for s, (_, n) in sizes.items() for x in (F.lit(s), F.lit(n))])
-    local = F.col("_g") - first[F.col(source_col)]
-    rounds = F.sequence(local, F.lit(max_n - 1).cast("bigint"), size[F.col(source_col)].cast("bigint"))
-    rep = glob.withColumn("_round", F.explode(rounds)).withColumn(out, F.col("_round") * k + F.col(source_col))
+
+    def per_source(value) -> F.Column:
+        expr = F.lit(None).cast("bigint")
+        for s, (first, n) in sizes.items():
+            expr = F.when(F.col(source_col) == s, F.lit(value(first, n)).cast("bigint")).otherwise(expr)
+        return expr
+
+    size, salts = per_source(lambda _, n: n), per_source(lambda _, n: min(SALTS, -(-max_n // n)))
+    rows = glob.withColumn("_i", F.col("_g") - per_source(lambda first, _: first)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    asked = spark.range(max_n * k).select(F.col("id").alias(out), (F.col("id") % k).cast("int").alias(source_col), F.floor(F.col("id") / k).alias("_round"))
+    asked = asked.where(F.col(source_col).isin(*sizes))
     if partial_last_round:
         longest = max(s for s, (_, n) in sizes.items() if n == max_n)
-        rep = rep.where(F.col(out) <= (max_n - 1) * k + longest)
-    return rep.drop("_g", "_o", "_round")
+        asked = asked.where(F.col(out) <= (max_n - 1) * k + longest)
+    asked = asked.withColumn("_i", F.col("_round") % size).withColumn("_salt", F.floor(F.col("_round") / size) % salts)
+    return asked.join(rows, [source_col, "_i", "_salt"]).drop("_g", "_o", "_i", "_salt", "_round")

@@ -5,21 +5,25 @@ Spark has no row order, so every positional operator takes an explicit,
 *total* order key (add a unique id as the last key).  W1 never uses an
 unpartitioned ``Window.orderBy`` (that funnels every row through one task):
 
-1. ``repartitionByRange(n, key)`` + ``sortWithinPartitions(key)`` - partition
-   ``p`` holds a contiguous key range, sorted;
+1. the key columns alone go through ``repartitionByRange(key)`` +
+   ``sortWithinPartitions(key)`` - partition ``p`` holds a contiguous key range, sorted;
 2. ``spark_partition_id`` and ``monotonically_increasing_id`` give
    (partition, rank within partition);
 3. the result is checkpointed to the shared checkpoint folder, because the
    range bounds come from sampling and a re-evaluation could move rows;
 4. per-partition counts (one row per partition: a size bound known up front)
-   become prefix offsets, broadcast back.
+   become prefix offsets, broadcast back;
+5. the other columns are joined back by the key, once.
 
-Cost: one range shuffle, one checkpoint write, one tiny aggregate.
+Cost: one range shuffle and one checkpoint of keys, one tiny aggregate, one join.  No payload is
+sampled, checkpointed or computed twice.  Splits (L3-L6) need no index: they compare a digest
+with a bound.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +34,12 @@ from ..session import checkpoint
 _SHIFT = 1 << 33  # monotonically_increasing_id = partition << 33 | row
 
 
-def _cols(order) -> list[Column]:
-    if isinstance(order, (str, Column)):
-        order = [order]
-    return [F.col(c) if isinstance(c, str) else c for c in order]
-
-
-def indexed(df: DataFrame, order, out: str = "idx", partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Adds a dense 0-based ``out`` column following ``order``; returns (df, row count)."""
+def indexed(df: DataFrame, order, out: str = "idx", keep=None) -> tuple[DataFrame, int]:
+    """Adds a dense 0-based ``out`` column following ``order`` (column names, together unique);
+    returns (df, row count).  ``keep(column) -> condition`` filters positions before the join back."""
     spark = df.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = _cols(order)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keys = [order] if isinstance(order, str) else list(order)
+    ranged = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     tagged = checkpoint(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     # one row per partition: a size bound known before the job runs
     counts = sorted((r["_pid"], r["_n"]) for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
@@ -50,12 +48,14 @@ def indexed(df: DataFrame, order, out: str = "idx", partitions: int | None = Non
         offsets.append((pid, total))
         total += cnt
     off_df = spark.createDataFrame(offsets, "_pid int, _off bigint")
-    out_df = (
-        tagged.join(F.broadcast(off_df), "_pid")
-        .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(_SHIFT))
-        .drop("_pid", "_mid", "_off")
-    )
-    return out_df, total
+    idx = tagged.join(F.broadcast(off_df), "_pid").withColumn(out, F.col("_off") + F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(_SHIFT))
+    if keep is not None:
+        idx = idx.where(keep(F.col(out)))
+    if set(df.columns) == set(keys):
+        return idx.select(*df.columns, out), total
+    idx = idx.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], out)
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(idx[f"_k{i}"]) for i, k in enumerate(keys)])
+    return df.join(idx, same).drop(*[f"_k{i}" for i in range(len(keys))]), total
 
 
 def row_index(df: DataFrame, order, out: str = "idx") -> DataFrame:
@@ -72,35 +72,39 @@ def seeded_order(df: DataFrame, seed, key: str, out: str = "idx") -> DataFrame:
     return row_index(df.withColumn("_sk", seeded_key(seed, key)), ["_sk", key], out).drop("_sk")
 
 
-def _prefix_value(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+#: Rows of the last digest bucket that are sorted to find a bound.
+_SORTED_ROWS = 10_000
 
 
-def first_n_bound(df: DataFrame, n: int, seed, key: str):
+def first_n_bound(df: DataFrame, n, seed, key: str):
     """The n-th smallest (md5(seed|key), key) pair, or None when n >= row count.
 
-    A plain ``orderBy().limit(n)`` sends n rows from every map task to one
-    merge task (partitions x n rows).  The digest is uniform, so rows whose
-    first 8 hex digits are at most ``t`` form a candidate set of about
-    ``t * N`` rows: pick ``t`` for ~n + 6 sqrt(n) candidates, check that at
-    least n survive (double ``t`` otherwise), and take the exact top n among
-    the candidates only.  Every row outside the candidates has a larger
-    digest than every candidate, so the result is exact.
+    ``n`` may be a function of the row count.  A histogram over the next four
+    hex digits of the digest (at most 65,536 rows reach the driver) names the
+    bucket that holds the n-th pair; it is refined until the bucket is small,
+    and only that bucket is sorted.  Nothing else is moved, whatever n is.
     """
-    if n <= 0:
-        return ("", None)
     keyed = df.select(seeded_key(seed, key).alias("_sk"), F.col(key))
-    total = keyed.count()
-    if n >= total:
-        return None
-    frac = min(1.0, (n + 6 * math.sqrt(n) + 16) / total)
+    prefix, left = "", None
     while True:
-        limit = int(frac * 4294967296)
-        cand = keyed.where(_prefix_value(F.col("_sk")) <= F.lit(limit))
-        if frac >= 1.0 or cand.count() >= n:
+        inside = keyed.where(F.col("_sk").startswith(prefix)) if prefix else keyed
+        hist = sorted((r["p"], r["count"]) for r in inside.groupBy(F.substring("_sk", len(prefix) + 1, 4).alias("p")).count().collect())
+        if left is None:
+            total = sum(c for _, c in hist)
+            left = n(total) if callable(n) else n
+            if left <= 0:
+                return ("", None)
+            if left >= total:
+                return None
+        for digits, size in hist:
+            if left <= size:
+                break
+            left -= size
+        prefix += digits
+        if size <= _SORTED_ROWS or len(prefix) == 32:
             break
-        frac = min(1.0, frac * 2)
-    last = cand.orderBy("_sk", key).limit(n).orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(1).collect()
+    rows = keyed.where(F.col("_sk").startswith(prefix)).orderBy("_sk", key).limit(left)
+    last = rows.orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(1).collect()
     return (last[0][0], last[0][1])
 
 
@@ -109,7 +113,14 @@ def _within(bound) -> Column:
     return (F.col("_sk") < F.lit(tk)) | ((F.col("_sk") == F.lit(tk)) & (F.col("_key_") <= F.lit(tid)))
 
 
-def take_skip(df: DataFrame, n: int, seed, key: str, out: str = "split", take_name: str = "validation", rest_name: str = "train") -> DataFrame:
+def _inside(bound) -> Column:
+    """Is a row (columns ``_sk``, ``_key_``) among the first n?"""
+    if bound is None:
+        return F.lit(True)
+    return F.lit(False) if bound[1] is None else _within(bound)
+
+
+def take_skip(df: DataFrame, n, seed, key: str, out: str = "split", take_name: str = "validation", rest_name: str = "train") -> DataFrame:
     """The ``n`` first rows of the seeded order vs the rest.
 
     The bound is found once (``first_n_bound``) and every row is labelled by
@@ -117,51 +128,46 @@ def take_skip(df: DataFrame, n: int, seed, key: str, out: str = "split", take_na
     """
     bound = first_n_bound(df, n, seed, key)
     keyed = df.withColumn("_sk", seeded_key(seed, key)).withColumn("_key_", F.col(key))
-    if bound is None:
-        inside = F.lit(True)
-    elif bound[1] is None:
-        inside = F.lit(False)
-    else:
-        inside = _within(bound)
-    return keyed.withColumn(out, F.when(inside, F.lit(take_name)).otherwise(F.lit(rest_name))).drop("_sk", "_key_")
+    return keyed.withColumn(out, F.when(_inside(bound), F.lit(take_name)).otherwise(F.lit(rest_name))).drop("_sk", "_key_")
 
 
 def sample_n(df: DataFrame, n: int, seed, key: str) -> DataFrame:
-    """The first ``n`` rows of the seeded order (exact, without a
-    partitions x n merge)."""
+    """The first ``n`` rows of the seeded order (exact)."""
     bound = first_n_bound(df, n, seed, key)
-    if bound is None:
-        return df
-    if bound[1] is None:
-        return df.limit(0)
     keyed = df.withColumn("_sk", seeded_key(seed, key)).withColumn("_key_", F.col(key))
-    return keyed.where(_within(bound)).drop("_sk", "_key_")
+    return keyed.where(_inside(bound)).drop("_sk", "_key_")
 
 
 def fraction_split(df: DataFrame, test_size: float, seed, key: str, out: str = "split", test_name: str = "test", train_name: str = "train") -> DataFrame:
     """L5 (one level): ``ceil(n * test_size)`` first rows of the seeded order are test."""
-    ordered, n = indexed(df.withColumn("_sk", seeded_key(seed, key)), ["_sk", key], "_i")
-    n_test = math.ceil(n * test_size)
-    return ordered.withColumn(out, F.when(F.col("_i") < n_test, F.lit(test_name)).otherwise(F.lit(train_name))).drop("_sk", "_i")
+    return take_skip(df, lambda n: math.ceil(n * test_size), seed, key, out, test_name, train_name)
 
 
 def split_90_5_5(df: DataFrame, key: str, seeds=(42, 43), out: str = "split") -> DataFrame:
     """L5 nested: 90 % train; the 10 % holdout is split again in half with the
-    second seed: ``ceil(m / 2)`` rows -> test, the rest -> validation."""
-    first = fraction_split(df, 0.1, seeds[0], key, out, "holdout", "train")
-    train = first.where(F.col(out) == "train")
-    hold = fraction_split(first.where(F.col(out) == "holdout").drop(out), 0.5, seeds[1], key, out, "test", "validation")
-    return train.unionByName(hold)
+    second seed: ``ceil(m / 2)`` rows -> test, the rest -> validation.
+
+    The corpus scripts use seed 42 both times (``recipes.SplitFractions`` does
+    too); with equal seeds the halves are the two halves of one seeded order.
+    """
+    first = take_skip(df, lambda n: math.ceil(n * 0.1), seeds[0], key, out, "holdout", "train")
+    held = first.where(F.col(out) == "holdout").select(key)
+    bound = first_n_bound(held, lambda n: math.ceil(n * 0.5), seeds[1], key)
+    keyed = first.withColumn("_sk", seeded_key(seeds[1], key)).withColumn("_key_", F.col(key))
+    half = F.when(_inside(bound), F.lit("test")).otherwise(F.lit("validation"))
+    return keyed.withColumn(out, F.when(F.col(out) == "train", F.col(out)).otherwise(half)).drop("_sk", "_key_")
 
 
 def select_ranges(df: DataFrame, order, ranges, out: str = "idx") -> DataFrame:
-    """P10: keep rows whose position is in any half-open range ``[a, b)``."""
-    indexed_df = row_index(df, order, out)
-    cond = None
-    for a, b in ranges:
-        c = (F.col(out) >= a) & (F.col(out) < b)
-        cond = c if cond is None else cond | c
-    return indexed_df.where(cond)
+    """P10: keep rows whose position is in any half-open range ``[a, b)``.
+
+    Only the keys are indexed; positions are filtered before the rows are joined.
+    """
+
+    def wanted(i):
+        return reduce(lambda x, y: x | y, [(i >= a) & (i < b) for a, b in ranges])
+
+    return indexed(df, order, out, keep=wanted)[0]
 
 
 def shard_ids(df: DataFrame, order, shards: int, out: str = "shard") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
@@ -40,12 +40,13 @@ def length_audit(df: DataFrame, text: str, group: str | None = None, limits=(512
     return (scored.groupBy(group) if group else scored).agg(*aggs)
 
 
-def length_percentiles(df: DataFrame, text: str, group: str | None = None, quantiles=(0.5, 0.9, 0.99), accuracy: int = 10000) -> DataFrame:
-    """A7 percentiles of words per document with a bounded-memory sketch
-    (``percentile_approx``); exact percentiles would hold a whole group in memory."""
-    w = word_count(text)
-    scored = df.select(*([group] if group else []), w.alias("_w"))
-    aggs = [F.percentile_approx("_w", list(quantiles), accuracy).alias("_q")]
-    out = (scored.groupBy(group) if group else scored).agg(*aggs)
-    cols = ([group] if group else []) + [F.col("_q")[i].cast("bigint").alias(f"p{int(q * 100)}") for i, q in enumerate(quantiles)]
-    return out.select(*cols)
+def length_percentiles(df: DataFrame, text: str, group: str, quantiles=(0.5, 0.9, 0.99)) -> DataFrame:
+    """Exact percentiles (nearest rank) of words per document.
+
+    Counted from the histogram of lengths per group: the window runs over distinct
+    lengths, not over documents, so a group with most of the rows is no larger than its lengths.
+    """
+    hist = df.select(group, word_count(text).alias("_w")).groupBy(group, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(group)
+    run = hist.withColumn("_upto", F.sum("_n").over(w.orderBy("_w"))).withColumn("_all", F.sum("_n").over(w))
+    return run.groupBy(group).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(q)), F.col("_w"))).cast("bigint").alias(f"p{int(q * 100)}") for q in quantiles])

@@ -10,16 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import explode_rows, let, tokenise_ws
 
-# Dimension tables are broadcast only under this many rows; above it the
-# joins fall back to shuffle joins (sizes are checked with a count first).
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def relation_prompt(e1, e2, text) -> Column:
     """``find relation between entities - {e1} and {e2} in {text}``."""
     pre, rest = K.RELATION_PROMPT.split("{e1}")
@@ -39,18 +29,21 @@ def latest_entities(entities: DataFrame) -> DataFrame:
     return entities.groupBy("doc_id", "entity_id").agg(F.max_by("text", "line_no").alias("text"))
 
 
-def relation_join(abstracts: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Relations ⋈ entities (arg1) ⋈ entities (arg2) ⋈ abstracts -> (sample, target).
+def relation_join(abstracts: DataFrame, entities: DataFrame, relations: DataFrame, strict: bool = False) -> DataFrame:
+    """Relations x entities (both arguments) x abstracts -> (sample, target).
 
-    Equi inner joins on (doc_id, entity_id) and doc_id; Catalyst picks
-    broadcast or shuffle joins from sizes and AQE splits skewed keys.  Rows
-    whose key is missing are reported by ``relation_orphans``.
+    The entities of a document are gathered once into a small map (id -> text,
+    the last line wins), so both arguments are read from one join on
+    ``doc_id``; Catalyst picks broadcast or shuffle joins from sizes and AQE
+    splits skewed keys.  Relations with a missing key drop out and are reported
+    by ``relation_orphans``; ``strict`` raises instead.
     """
-    ents = latest_entities(entities)
+    if strict:
+        relation_orphans(abstracts, entities, relations, strict=True)
+    ents = latest_entities(entities).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("entity_id", "text"))).alias("_ents"))
     rel = relations.select("doc_id", "grp", after_colon("arg1").alias("a1"), after_colon("arg2").alias("a2"))
-    e1 = ents.select("doc_id", F.col("entity_id").alias("a1"), F.col("text").alias("e1"))
-    e2 = ents.select("doc_id", F.col("entity_id").alias("a2"), F.col("text").alias("e2"))
-    j = rel.join(e1, ["doc_id", "a1"]).join(e2, ["doc_id", "a2"]).join(abstracts.select("doc_id", "text"), "doc_id")
+    j = rel.join(ents, "doc_id").join(abstracts.select("doc_id", "text"), "doc_id")
+    j = j.withColumn("e1", F.col("_ents")[F.col("a1")]).withColumn("e2", F.col("_ents")[F.col("a2")]).where("e1 IS NOT NULL AND e2 IS NOT NULL")
     return j.select("doc_id", relation_prompt(F.col("e1"), F.col("e2"), F.col("text")).alias("sample"), F.col("grp").alias("target"))
 
 
@@ -67,18 +60,21 @@ def relation_orphans(abstracts: DataFrame, entities: DataFrame, relations: DataF
     return out
 
 
-def ddi_relations(sentences: DataFrame, keep=()) -> DataFrame:
+def ddi_relations(sentences: DataFrame, keep=(), strict: bool = False) -> DataFrame:
     """J2 + P9: per sentence, every pair with ddi = 'true' and a type -> prompt.
 
-    Entities are looked up inside the sentence's own array (no shuffle); a
-    pair whose id matches no entity yields NULL and is dropped.
+    Entities are looked up inside the sentence's own array (no shuffle).  An
+    argument must match exactly one entity: any other pair is dropped, or, if
+    ``strict``, fails the job.
     """
     keep = list(keep)
     pairs = explode_rows(sentences.select(*keep, "_text", "pair", "entity"), "pair", "p")
     pairs = pairs.where((F.col("p._ddi") == "true") & F.col("p._type").isNotNull())
 
     def pick(eid):
-        return F.get(F.filter("entity", lambda e: e["_id"] == F.col(eid)), 0)["_text"]
+        hits = F.filter("entity", lambda e: e["_id"] == F.col(eid))
+        other = F.raise_error(F.concat(F.lit("not exactly one entity: "), F.coalesce(F.col(eid), F.lit("NULL")))).cast("string") if strict else F.lit(None).cast("string")
+        return F.when(F.size(hits) == 1, F.get(hits, 0)["_text"]).otherwise(other)
 
     out = pairs.select(
         *keep,
@@ -95,16 +91,18 @@ def token_annotate(df: DataFrame, text: str = "text", entities: str = "entities"
     entry whose text equals the token, else ``<ignore>``."""
     toks = tokenise_ws(text)
 
-    def labelled(ents):
+    # last entry wins: the entries' texts reversed, so the first position found is the last entry
+    def labelled(texts):
         def label(t):
-            hits = F.filter(ents, lambda e: e["text"] == t)
-            return F.coalesce(F.try_element_at(hits, F.lit(-1))["annotation_type"], F.lit(K.IGNORE_TAG))
+            at = F.array_position(texts, t)
+            return F.when(at > 0, F.get(F.col("_types"), (at - 1).cast("int"))).otherwise(F.lit(K.IGNORE_TAG))
 
-        return F.when(F.size(ents) > 0, F.transform(out_tokens, label)).otherwise(F.transform(out_tokens, lambda t: F.lit(K.IGNORE_TAG)))
+        return F.transform(out_tokens, label)
 
     df = df.withColumn(out_tokens, toks)
-    # the entity list is read inside the per-token lambda: bind it once
-    return df.withColumn(out_labels, let(F.col(entities), labelled))
+    df = df.withColumn("_rev", F.reverse(F.col(entities))).withColumn("_types", F.transform("_rev", lambda e: e["annotation_type"]))
+    # the entity texts are read inside the per-token lambda: bind them once
+    return df.withColumn(out_labels, let(F.transform("_rev", lambda e: e["text"]), labelled)).drop("_rev", "_types")
 
 
 def label_dimension(df: DataFrame, labels: str, exclude=(K.IGNORE_TAG,), is_array: bool = True) -> DataFrame:
@@ -125,7 +123,7 @@ def label_dimension_first_seen(df: DataFrame, label: str, order: str) -> DataFra
 def label_encode(df: DataFrame, label: str, dim: DataFrame, out: str = "label_id", strict: bool = True) -> DataFrame:
     """J4 for a scalar label: inner join (unseen labels vanish; ``strict``
     raises instead) or lenient left join with -100."""
-    d = broadcast_if_small(dim.select(F.col("label").alias(label), F.col("id").alias(out)))
+    d = dim.select(F.col("label").alias(label), F.col("id").alias(out))
     if strict:
         missing = df.join(d, label, "left_anti").limit(1).count()
         if missing:
@@ -134,29 +132,36 @@ def label_encode(df: DataFrame, label: str, dim: DataFrame, out: str = "label_id
     return df.join(d, label, "left").withColumn(out, F.coalesce(F.col(out), F.lit(K.IGNORE_INDEX)))
 
 
-def _dim_map(dim: DataFrame, key: str, value: str, max_rows: int = 10_000) -> Column:
-    rows = dim.select(key, value).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("label dimension too large for an inline map")
-    return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))]) if rows else F.create_map()
+def _by_row(df: DataFrame, array_col: str, dim: DataFrame, key: str, values: list[str], row: str) -> DataFrame:
+    """Adds ``_map``: the entries of ``dim`` that a row's array needs.
+
+    Joins the distinct elements of each row with the dimension, whatever its
+    size, and gathers them per row (as many entries as the row has distinct elements).
+    """
+    need = explode_rows(df.select(F.col(row).alias("_row"), F.array_distinct(array_col).alias("_d")), "_d", "_k", keep=["_row"])
+    found = need.join(dim.select(F.col(key).alias("_k"), F.struct(*values).alias("_v")), "_k")
+    maps = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_map"))
+    return df.join(maps, df[row] == maps["_row"], "left").drop("_row")
 
 
-def encode_label_array(df: DataFrame, labels: str, dim: DataFrame, out: str, unknown: int = K.IGNORE_INDEX) -> DataFrame:
-    """J4 for per-token label arrays: inline map of the (bounded) label dimension."""
-    m = _dim_map(dim, "label", "id")
-    return df.withColumn(out, F.transform(labels, lambda l: F.coalesce(m[l], F.lit(unknown))))
+def encode_label_array(df: DataFrame, labels: str, dim: DataFrame, out: str, unknown: int | None = K.IGNORE_INDEX, row: str = "doc_id", value: str = "id") -> DataFrame:
+    """J4 for per-token label arrays; ``row`` names the rows."""
+    found = _by_row(df, labels, dim, "label", [value], row)
+    ids = let(F.col("_map"), lambda m: F.transform(labels, lambda l: F.coalesce(m[l][value], F.lit(unknown))))
+    return found.withColumn(out, F.when(F.col("_map").isNull(), F.transform(labels, lambda l: F.lit(unknown).cast("int"))).otherwise(ids)).drop("_map")
 
 
-def decode_label_array(df: DataFrame, ids: str, dim: DataFrame, out: str) -> DataFrame:
-    """Ids -> labels through the same bounded dimension."""
-    m = _dim_map(dim, "id", "label")
-    return df.withColumn(out, F.transform(ids, lambda i: m[i]))
+def decode_label_array(df: DataFrame, ids: str, dim: DataFrame, out: str, row: str = "doc_id") -> DataFrame:
+    """Ids -> labels; an id without a label gives NULL."""
+    found = _by_row(df, ids, dim, "id", ["label"], row)
+    names = let(F.col("_map"), lambda m: F.transform(ids, lambda i: m[i]["label"]))
+    return found.withColumn(out, F.when(F.col("_map").isNull(), F.transform(ids, lambda i: F.lit(None).cast("string"))).otherwise(names)).drop("_map")
 
 
 def b_to_i(dim: DataFrame) -> DataFrame:
     """Id of ``B-x`` -> id of ``I-x`` when present, else itself."""
     i = dim.select(F.col("label").alias("_il"), F.col("id").alias("_iid"))
-    j = dim.join(broadcast_if_small(i), F.regexp_replace(F.col("label"), "^B-", "I-") == F.col("_il"), "left")
+    j = dim.join(i, F.regexp_replace(F.col("label"), "^B-", "I-") == F.col("_il"), "left")
     return j.select("label", "id", F.when(F.col("label").startswith("B-") & F.col("_iid").isNotNull(), F.col("_iid")).otherwise(F.col("id")).alias("i_id"))
 
 

@@ -10,7 +10,7 @@ from ...functions.text import collapse_ws, tokenise_ws, word_count
 from ...operators.dedupe import dedupe_exact
 from ...operators.filters import drop_blank_pages, filter_labelled, split_malformed, useful_content
 from ...operators import stats
-from ...sources.tables import documents, spread, table
+from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import recipes
 from .. import sqltext as Q
@@ -18,7 +18,7 @@ from ..registry import query
 
 
 def articles(spark, sf):
-    return FX.articles(spread(documents(spark, sf)))
+    return FX.articles(documents(spark, sf))
 
 
 def cleaned(spark, sf):
@@ -130,16 +130,27 @@ def dedupe_exact_q(spark, sf):
     return dedupe_exact(docs, "text", "doc_id").select("doc_id", "n_chars")
 
 
+_V4 = f"SELECT doc_id, lang, text FROM c2 WHERE {Q.useful()} AND doc_id IN (SELECT max(doc_id) FROM c2 WHERE {Q.useful()} GROUP BY text)"
+_RANK42 = f"(row_number() OVER (ORDER BY {Q.digest(42, 'doc_id')}, doc_id) - 1)"
+
+
 @query(
     "recipe_corpus_v4",
-    _clean_sql(
-        f"""SELECT doc_id, lang, text FROM c2 WHERE {Q.useful()}
-AND doc_id IN (SELECT max(doc_id) FROM c2 WHERE {Q.useful()} GROUP BY text)"""
+    Q.with_ctes(
+        [ART]
+        + Q.clean_ctes("f1")
+        + [
+            ("v4", _V4),
+            ("a", f"SELECT *, {_RANK42} AS i, count(*) OVER () AS n FROM v4"),
+            ("h", f"SELECT doc_id, {_RANK42} AS j, count(*) OVER () AS m FROM a WHERE i < ceil(n * 0.1)"),
+        ],
+        "SELECT a.doc_id, a.lang, a.text, CASE WHEN i >= ceil(n * 0.1) THEN 'train' WHEN j < ceil(m * 0.5) THEN 'test' ELSE 'validation' END AS split "
+        "FROM a LEFT JOIN h ON h.doc_id = a.doc_id",
     ),
 )
 def recipe_corpus_v4(spark, sf):
-    """UF5: the ordered recipe Clean -> UsefulContent -> DedupeExact."""
-    return recipes.cleaned_corpus(articles(spark, sf))
+    """UF5: the ordered recipe Clean -> UsefulContent -> DedupeExact -> SplitFractions."""
+    return recipes.published_corpus(articles(spark, sf))
 
 
 # ---------------------------------------------------------------- P1..P13
@@ -302,7 +313,29 @@ def map_batches_words(spark, sf):
     return map_batches(documents(spark, sf).select("doc_id", "text"), fn, "doc_id long, words long")
 
 
-@query("length_percentiles")
+@query(
+    "length_percentiles",
+    Q.with_ctes(
+        [("w", f"SELECT lang, {Q.words('text')} AS w FROM documents"), ("r", "SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY w) AS i, count(*) OVER (PARTITION BY lang) AS n FROM w")],
+        "SELECT lang, " + ", ".join(f"min(w) FILTER (i >= ceil(n * {q}))::BIGINT AS p{int(q * 100)}" for q in (0.5, 0.9, 0.99)) + " FROM r GROUP BY lang",
+    ),
+)
 def length_percentiles(spark, sf):
-    """A7 percentiles (approximate sketch; rows-only check)."""
+    """Exact percentiles of words per document."""
     return stats.length_percentiles(documents(spark, sf), "text", group="lang")
+
+
+@query("row_predicate", "SELECT doc_id FROM documents WHERE length(text) > 500 AND lang <> 'de'")
+def row_predicate(spark, sf):
+    """UF2: a user's predicate as a column."""
+    from ...operators.userfn import keep_where
+
+    return keep_where(documents(spark, sf), (F.length("text") > 500) & (F.col("lang") != "de")).select("doc_id")
+
+
+@query("char_ratio", "SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE len(string_split(text, chr(10))) / length(text) END, 9) AS ratio FROM documents")
+def char_ratio(spark, sf):
+    """Lines per character, 0 for an empty text."""
+    from ...functions.text import safe_ratio
+
+    return documents(spark, sf).select("doc_id", F.round(safe_ratio(F.size(F.split("text", "\n", -1)), F.length("text")), 9).alias("ratio"))

@@ -10,15 +10,16 @@ from ...functions.text import explode_rows
 from ...operators import encode as E
 from ...operators import order
 from ...operators import tasks as T
+from ...session import checkpoint
 from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
 from .tasks import tags_ctes
 
-VOCAB_K = 1000
+VOCAB_K = 32_000
 VOCAB_SIZE = VOCAB_K + len(K.SPECIAL_TOKENS)
-MAX_LEN = 128
+MAX_LEN = 4096
 SEED = 42
 
 
@@ -30,19 +31,19 @@ def vocab(spark, sf):
     return E.vocab_words(_docs(spark, sf), "text", VOCAB_K)
 
 
-def encoded(spark, sf, add_special=False):
-    d = _docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks"))
-    return E.encode_ids(d, "toks", vocab(spark, sf), "ids", add_special=add_special).drop("toks")
+def encoded(spark, sf, add_special=False, words=None, docs=None):
+    """``docs``: rows to encode (all columns but ``text`` are kept); ``words``: a vocabulary learned before."""
+    d = (_docs(spark, sf).select("doc_id", "text") if docs is None else docs).withColumn("toks", E.lower_tokens("text")).drop("text")
+    return E.encode_ids(d, "toks", vocab(spark, sf) if words is None else words, "ids", add_special=add_special).drop("toks")
 
 
-def padded(spark, sf):
+def padded(spark, sf, words=None, docs=None):
     ids, mask = E.truncate_pad(F.col("ids"), MAX_LEN)
-    return encoded(spark, sf).select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
+    return encoded(spark, sf, words=words, docs=docs).withColumn("input_ids", ids).withColumn("attention_mask", mask).drop("ids")
 
 
-def masked(spark, sf):
-    m = E.mask_columns(padded(spark, sf), "input_ids", "doc_id", SEED, VOCAB_SIZE)
-    return m.select("doc_id", "masked_ids", "labels", "input_ids", "attention_mask")
+def masked(spark, sf, words=None, docs=None):
+    return E.mask_columns(padded(spark, sf, words, docs), "input_ids", "doc_id", SEED, VOCAB_SIZE)
 
 
 def _join(c, sep=","):
@@ -115,20 +116,23 @@ def truncate_pad(spark, sf):
     return padded(spark, sf).select("doc_id", _join("input_ids").alias("input_ids"), _join("attention_mask").alias("attention_mask"))
 
 
-@query(
-    "pad_dynamic",
-    Q.with_ctes(
-        ENC_CTES
-        + [
-            ("b", "SELECT doc_id, len(content) + 2 AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM enc"),
-        ],
-        "SELECT doc_id, batch, (ceil(max(n) OVER (PARTITION BY batch) / 8) * 8)::INTEGER AS padded_len FROM b",
-    ),
-)
+_BATCHED = ENC_CTES + [
+    ("b", f"SELECT doc_id, list_concat([{K.CLS_ID}], content, [{K.SEP_ID}]) AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM enc"),
+    ("t", "SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch) / 8) * 8)::INTEGER AS padded_len FROM b"),
+]
+_PADDED = f"SELECT doc_id, batch, array_to_string(list_concat(ids, {_zeros('padded_len - len(ids)', K.PAD_ID)}), ',') AS padded FROM t"
+
+
+def _batched(spark, sf):
+    """Documents in batches of 32 by id: numbered first (ids and text only), encoded after."""
+    docs = order.row_index(_docs(spark, sf).select("doc_id", "text"), ["doc_id"], "_i").withColumn("batch", F.floor(F.col("_i") / 32).cast("bigint")).drop("_i")
+    return encoded(spark, sf, add_special=True, docs=docs)
+
+
+@query("pad_dynamic", Q.with_ctes(_BATCHED, _PADDED))
 def pad_dynamic(spark, sf):
-    e = order.row_index(encoded(spark, sf, add_special=True), ["doc_id"], "_i").withColumn("batch", F.floor(F.col("_i") / 32).cast("bigint"))
-    p = E.pad_dynamic(e, "ids", "batch", multiple_of=8)
-    return p.select("doc_id", "batch", F.size("padded").cast("int").alias("padded_len"))
+    p = E.pad_dynamic(_batched(spark, sf), "ids", "batch", multiple_of=8)
+    return p.select("doc_id", "batch", _join("padded").alias("padded"))
 
 
 @query("mlm_labels", Q.with_ctes(MASK_CTES, "SELECT doc_id, array_to_string(labels, ',') AS labels FROM msk"))
@@ -175,10 +179,15 @@ def mlm_audit(spark, sf):
     ),
 )
 def mlm_examples(spark, sf):
-    """M4: collapse -> encode -> truncate/pad -> mask -> fixed batches of 8 in seeded order."""
-    m = masked(spark, sf).withColumn("_sk", order.seeded_key(SEED, "doc_id"))
-    b = order.batches(m, ["_sk", "doc_id"], 8)
-    return b.select("doc_id", "batch", _join("masked_ids").alias("input_ids"), _join("labels").alias("labels"), _join("attention_mask").alias("attention_mask"))
+    """M4: fixed batches of 8 in seeded order, then encode -> truncate/pad -> mask.
+
+    The order depends on ids only, so documents are numbered before anything is
+    encoded, and every text is encoded and masked once.
+    """
+    docs = _docs(spark, sf).select("doc_id", "text").withColumn("_sk", order.seeded_key(SEED, "doc_id"))
+    b = order.batches(docs, ["_sk", "doc_id"], 8).drop("_sk", "pos")
+    m = masked(spark, sf, docs=b)
+    return m.select("doc_id", "batch", _join("masked_ids").alias("input_ids"), _join("labels").alias("labels"), _join("attention_mask").alias("attention_mask"))
 
 
 # ---------------------------------------------------------------- alignment
@@ -187,13 +196,16 @@ ALIGN_LEN = 512
 
 
 def _align(spark, sf, mode):
-    t = FX.tag_sequences(_docs(spark, sf))
-    dim = T.label_dimension(t, "gold", exclude=("O",) if mode == "every" else None)
-    ids = T._dim_map(dim, "label", "id")
-    b2i = T._dim_map(T.b_to_i(dim), "id", "i_id")
-    pieces = E.piece_table(F.col("tokens"), ALIGN_LEN)
-    out = t.select("doc_id", pieces.alias("pieces"), "gold")
-    return out.select("doc_id", F.array_join(E.align_labels(F.col("pieces"), F.col("gold"), ids, mode, b2i), ",").alias("labels"))
+    t = FX.tag_sequences(_docs(spark, sf)).select("doc_id", "tokens", "gold")
+    # the dimension is learned once and read by every join below
+    dim = checkpoint(T.label_dimension(t, "gold", exclude=("O",) if mode == "every" else None))
+    ids = T.encode_label_array(t, "gold", dim, "ids", unknown=K.IGNORE_INDEX if mode == "every" else None)
+    inside = None
+    if mode == "all":
+        ids = T.encode_label_array(ids, "gold", T.b_to_i(dim), "inside", unknown=None, value="i_id")
+        inside = F.col("inside")
+    out = ids.withColumn("pieces", E.piece_table(F.col("tokens"), ALIGN_LEN))
+    return out.select("doc_id", F.array_join(E.align_labels(F.col("pieces"), F.col("ids"), mode, inside), ",").alias("labels"))
 
 
 def _align_sql(mode):
@@ -254,10 +266,10 @@ def _a3_sql():
 @query("subword_total_by_split", _a3_sql())
 def subword_total_by_split(spark, sf):
     """A3: sub-word pieces per split of the 90/5/5 split."""
-    d = _docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks"))
-    s = order.split_90_5_5(d, "doc_id")
     n = F.aggregate(F.transform("toks", lambda w: F.size(E.word_pieces(w))), F.lit(0), lambda a, b: a + b)
-    return s.groupBy("split").agg(F.sum(n.cast("bigint")).alias("pieces"))
+    d = _docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks")).select("doc_id", n.cast("bigint").alias("n"))
+    s = order.split_90_5_5(d, "doc_id")
+    return s.groupBy("split").agg(F.sum("n").alias("pieces"))
 
 
 @query(
@@ -284,22 +296,15 @@ def vocab_merges(spark, sf):
     return E.learn_merges(_docs(spark, sf), "text", 8, checkpoint_every=4)
 
 
-@query(
-    "collate_pad",
-    Q.with_ctes(
-        ENC_CTES + [("b", "SELECT doc_id, len(content) + 2 AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM enc")],
-        "SELECT doc_id, batch, (ceil(max(n) OVER (PARTITION BY batch) / 8) * 8)::INTEGER AS padded_len FROM b",
-    ),
-)
+@query("collate_pad", Q.with_ctes(_BATCHED, _PADDED))
 def collate_pad(spark, sf):
-    """UF3: dynamic padding done by a pandas collator per batch (E6 by other means)."""
+    """UF3: dynamic padding by a user's pandas collator, one call per batch."""
     from ...operators.userfn import collate
 
-    e = order.row_index(encoded(spark, sf, add_special=True), ["doc_id"], "_i").withColumn("batch", F.floor(F.col("_i") / 32).cast("bigint"))
-
     def pad(pdf):
         longest = int(pdf["ids"].map(len).max())
         target = -(-longest // 8) * 8
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "batch": pdf["batch"], "padded_len": [target] * len(pdf)})
+        padded = [",".join(map(str, [*x, *[K.PAD_ID] * (target - len(x))])) for x in pdf["ids"]]
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "batch": pdf["batch"], "padded": padded})
 
-    return collate(e.select("doc_id", "batch", "ids"), "batch", pad, "doc_id long, batch long, padded_len int")
+    return collate(_batched(spark, sf).select("doc_id", "batch", "ids"), "batch", pad, "doc_id long, batch long, padded string")

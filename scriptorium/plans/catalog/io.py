@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ...operators import order
 from ...operators import tasks as TK
+from ...operators.filters import books_without_pages
 from ...sources import readers as R
 from ...sources import sinks as K
 from ...sources.tables import documents, table
@@ -34,27 +35,30 @@ def scan_jsonl(spark, sf):
 
 @query("scan_json_array", MD5_SQL)
 def scan_json_array(spark, sf):
-    """One JSON array per file (arrays of at most 1000 rows)."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 1000).alias("bucket"))
-    arrays = docs.groupBy("bucket").agg(F.to_json(F.collect_list(F.struct("doc_id", "text"))).alias("value"))
-    path = K.scratch_path(spark, "jsonarray")
-    arrays.write.mode("overwrite").partitionBy("bucket").text(path)
+    """One JSON array per file; every task of the writer makes one file of its rows."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.spark_partition_id().alias("task"))
+    path = K.write_json_arrays(docs, "task", K.scratch_path(spark, "jsonarray"))
     return _md5(R.read_json_array(spark, path, DOC_SCHEMA))
 
 
-@query("scan_csv_notes", MD5_SQL)
+_EDGE_SQL = "CASE doc_id % 4 WHEN 0 THEN '  ' || text || '  ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE text END"
+
+
+@query("scan_csv_notes", f"SELECT doc_id, md5(text) AS text_md5, md5({_EDGE_SQL}) AS note_md5 FROM documents")
 def scan_csv_notes(spark, sf):
-    """K2 -> S3: quoted multi-line CSV fields, all strings."""
-    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang"), K.scratch_path(spark, "csv"))
-    return _md5(R.read_csv_notes(spark, path))
+    """K2 -> S3: quoted multi-line CSV fields, all strings; edge blanks, empty strings and NULLs come back."""
+    edge = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  "), "text", F.lit("  "))).when(F.col("doc_id") % 4 == 1, F.lit("")).when(F.col("doc_id") % 4 == 3, F.col("text"))
+    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "text", edge.alias("note"), "lang"), K.scratch_path(spark, "csv"))
+    df = R.read_csv_notes(spark, path)
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), F.md5("note").alias("note_md5"))
 
 
-@query("scan_tsv", "SELECT doc_id, lang, source FROM documents")
+@query("scan_tsv", "SELECT doc_id, lang, source, md5(replace(text, chr(10), ' ')) AS text_md5 FROM documents")
 def scan_tsv(spark, sf):
     """Headered TSV."""
-    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source"), K.scratch_path(spark, "tsv"), sep="\t")
+    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")), K.scratch_path(spark, "tsv"), sep="\t")
     df = R.read_tsv(spark, path)
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source")
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -99,12 +103,20 @@ def _xml_escape(c):
 @query(
     "xml_abstracts",
     "SELECT CAST(doc_id AS VARCHAR) AS pmid, 0::BIGINT AS idx, " + Q.collapse("text || ' mixed tail'") + " AS text FROM documents "
-    "UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Second & part' END FROM documents",
+    "UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN chr(945) || ' ' || chr(946) || ' ' || chr(128578) WHEN 3 THEN '<raw> & kept' ELSE 'Second & part' END FROM documents "
+    "UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 'Third' FROM documents",
 )
 def xml_abstracts(spark, sf):
     """S8 on a gzip file of records with mixed content and self-closing elements."""
     d = table(spark, sf, "documents")
-    second = F.when(F.col("doc_id") % 5 == 0, F.lit("<AbstractText/>")).otherwise(F.lit("<AbstractText>Second &amp; part</AbstractText>"))
+    k = F.col("doc_id") % 5
+    second = (
+        F.when(k == 0, F.lit("<AbstractText/>"))
+        .when(k == 1, F.lit('<AbstractText Label="A/B"/>'))
+        .when(k == 2, F.lit("<AbstractText>&#945; &#x3b2; &#x1F642;</AbstractText>"))
+        .when(k == 3, F.lit("<AbstractText><![CDATA[<raw> & kept]]></AbstractText>"))
+        .otherwise(F.lit("<AbstractText>Second &amp; part</AbstractText>"))
+    )
     rec = F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID Version=\"1\">"),
         F.col("doc_id").cast("string"),
@@ -112,7 +124,7 @@ def xml_abstracts(spark, sf):
         _xml_escape(F.col("text")),
         F.lit(" <i>mixed</i> tail</AbstractText>"),
         second,
-        F.lit("</Abstract></Article></MedlineCitation></PubmedArticle>"),
+        F.lit("<AbstractText>Third</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"),
     )
     path = K.write_lines(d.select(rec.alias("value")), "value", K.scratch_path(spark, "xml"), compression="gzip")
     return R.read_xml_abstracts(spark, path)
@@ -124,7 +136,7 @@ def xml_abstracts(spark, sf):
         [
             (
                 "s",
-                "SELECT doc_id, replace(text, chr(10), ' ') AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[2]}, {'_id': 'e2', '_text': p[3]}], lambda e: e._text IS NOT NULL) AS entity, "
+                "SELECT doc_id, replace(text, chr(10), ' ') AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[2]}, {'_id': 'e2', '_text': p[3]}, {'_id': 'e2', '_text': CASE WHEN doc_id % 6 = 0 THEN 'again' END}], lambda e: e._text IS NOT NULL) AS entity, "
                 "[{'_e1': 'e0', '_e2': 'e1', '_ddi': CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1))::INTEGER % 2 = 0 THEN 'true' ELSE 'false' END, '_type': CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'mechanism' END}, "
                 "{'_e1': 'e1', '_e2': 'e2', '_ddi': 'true', '_type': 'effect'}, {'_e1': 'e0', '_e2': 'e9', '_ddi': 'true', '_type': 'advise'}] AS pair "
                 "FROM (SELECT doc_id, text, string_split(replace(text, chr(10), ' '), ' ') AS p FROM documents)",
@@ -132,7 +144,8 @@ def xml_abstracts(spark, sf):
             ("u", "SELECT doc_id, _text, entity, unnest(pair) AS p FROM s"),
             (
                 "v",
-                "SELECT doc_id, _text, list_filter(entity, lambda e: e._id = p._e1)[1]._text AS e1, list_filter(entity, lambda e: e._id = p._e2)[1]._text AS e2, p._type AS target "
+                "SELECT doc_id, _text, CASE WHEN len(list_filter(entity, lambda e: e._id = p._e1)) = 1 THEN list_filter(entity, lambda e: e._id = p._e1)[1]._text END AS e1, "
+                "CASE WHEN len(list_filter(entity, lambda e: e._id = p._e2)) = 1 THEN list_filter(entity, lambda e: e._id = p._e2)[1]._text END AS e2, p._type AS target "
                 "FROM u WHERE p._ddi = 'true' AND p._type IS NOT NULL",
             ),
         ],
@@ -165,29 +178,29 @@ def scan_tar_members(spark, sf):
     "load_splits",
     Q.with_ctes(
         [("a", f"SELECT doc_id, (row_number() OVER (ORDER BY {Q.digest(1337, 'doc_id')}, doc_id) - 1) AS i, count(*) OVER () AS n FROM documents")],
-        "SELECT doc_id, CASE WHEN i < ceil(n * 0.1) THEN 'valid' ELSE 'train' END AS split FROM a",
+        "SELECT doc_id, CASE WHEN i < ceil(n * 0.1) THEN 'valid' ELSE 'train' END AS split, md5(text) AS text_md5 FROM a JOIN documents USING (doc_id)",
     ),
 )
 def load_splits(spark, sf):
     """Train as JSON lines, valid as CSV; the reader follows the extension."""
-    s = order.fraction_split(table(spark, sf, "documents").select("doc_id", "lang"), 0.1, 1337, "doc_id", test_name="valid")
+    s = order.fraction_split(table(spark, sf, "documents").select("doc_id", "lang", "text"), 0.1, 1337, "doc_id", test_name="valid")
     root = K.scratch_path(spark, "splits")
     K.write_jsonl(s.where(F.col("split") == "train").drop("split"), f"{root}/train.jsonl")
     K.write_csv(s.where(F.col("split") == "valid").drop("split"), f"{root}/valid.csv")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
     df = R.load_splits(spark, {"train": f"{root}/train.jsonl", "valid": f"{root}/valid.csv"}, schema)
-    return df.select("doc_id", "split")
+    return df.select("doc_id", "split", F.md5("text").alias("text_md5"))
 
 
 @query(
     "sink_splits",
-    "WITH x AS (" + _SPLIT_90_5_5 + ") SELECT split, count(*)::BIGINT AS rows FROM x GROUP BY split",
+    "WITH x AS (" + _SPLIT_90_5_5 + ") SELECT x.split, x.doc_id, md5(text) AS text_md5 FROM x JOIN documents USING (doc_id)",
 )
 def sink_splits(spark, sf):
     """K4: partitioned parquet per split, read back."""
-    s = order.split_90_5_5(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    s = order.split_90_5_5(table(spark, sf, "documents"), "doc_id")
     path = K.write_splits(s, K.scratch_path(spark, "splitset"))
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(path).select("split", "doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -224,3 +237,40 @@ def sink_lines(spark, sf):
     """K3: newline-joined text lines, read back line by line."""
     path = K.write_lines(documents(spark, sf), "text", K.scratch_path(spark, "sinklines"))
     return R.read_lines(spark, path).groupBy(F.md5("value").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "tsv_relations",
+    Q.with_ctes(
+        _F2 + [("ents", "SELECT doc_id, entity_id, arg_max(text, line_no) AS text FROM entities GROUP BY doc_id, entity_id")],
+        "SELECT r.doc_id, "
+        + PROMPT_SQL.format(e1="x.text", e2="y.text", text="a.text")
+        + " AS sample, r.grp AS target FROM rel r JOIN ents x ON x.doc_id = r.doc_id AND x.entity_id = r.a1 "
+        "JOIN ents y ON y.doc_id = r.doc_id AND y.entity_id = r.a2 JOIN abstracts a ON a.doc_id = r.doc_id",
+    ),
+)
+def tsv_relations(spark, sf):
+    """K3 -> S5 -> J1: entities in two files of different size, in path order; a repeated key keeps its last line."""
+    abstracts, entities, relations = FX.relation_inputs(table(spark, sf, "documents"))
+    entities = entities.where(F.col("text").isNotNull())
+    first = F.col("line_no") % 3 != 2  # the repeated entries are in the second file
+    root = K.scratch_path(spark, "entityfiles")
+    K.write_lines(FX.entity_lines(entities.where(first)).coalesce(1), "value", f"{root}/a")
+    K.write_lines(FX.entity_lines(entities.where(~first)).coalesce(1), "value", f"{root}/b")
+    back = R.read_bounded_tsv(spark, f"{root}/*", ["doc_id", "entity_id", "kind", "a", "b", "text"])
+    return TK.relation_join(abstracts, back, relations)
+
+
+@query(
+    "rejected_rows",
+    "SELECT 'tsv line' AS kind, count(*)::BIGINT AS rows FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'book', count(*)::BIGINT FROM documents WHERE doc_id % 11 = 0",
+)
+def rejected_rows(spark, sf):
+    """Side outputs: S5 / P7 lines with too few fields, and P8 books without pages."""
+    docs = table(spark, sf, "documents")
+    short = F.when(F.col("doc_id") % 7 == 0, F.concat_ws("\t", "doc_id", F.lit("T1"))).otherwise(F.concat_ws("\t", "doc_id", F.lit("T1"), F.lit("x"), F.lit("0"), F.lit("1"), "lang"))
+    path = K.write_lines(docs.select(short.alias("value")), "value", K.scratch_path(spark, "badlines"))
+    lines = R.rejected_tsv_lines(spark, path, 6).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("tsv line").alias("kind"), "rows")
+    books = FX.books(docs).withColumn("pages", F.when(F.col("doc_id") % 11 != 0, F.col("pages")))
+    lost = books_without_pages(books).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("book").alias("kind"), "rows")
+    return lines.unionByName(lost)

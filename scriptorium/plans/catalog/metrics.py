@@ -9,11 +9,12 @@ from ...functions.text import explode_rows
 from ...operators import encode as E
 from ...operators import metrics as M
 from ...operators import tasks as T
+from ...session import checkpoint
 from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
-from .encode import MASK_CTES, masked, vocab
+from .encode import MASK_CTES, VOCAB_K, masked, vocab
 from .tasks import tags_ctes
 
 
@@ -67,17 +68,21 @@ def metric_multilabel_pos(spark, sf):
 @query(
     "metric_pearson",
     Q.with_ctes(
-        [("p0", "SELECT a.conv_id, a.text AS s1, b.text AS s2 FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) a JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) b USING (conv_id)")],
-        f"SELECT round(corr(length(s2) / length(s1), CASE WHEN len({Q.tokens('s1')}) = 0 THEN 0.0 ELSE len({Q.tokens('s2')}) / len({Q.tokens('s1')}) END), 6) AS pearson FROM p0",
+        [("p0", "SELECT a.text AS s1, b.text AS s2 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")],
+        f"SELECT round(corr(CASE WHEN length(s1) = 0 THEN 0.0 ELSE length(s2) / length(s1) END, CASE WHEN len({Q.tokens('s1')}) = 0 THEN 0.0 ELSE len({Q.tokens('s2')}) / len({Q.tokens('s1')}) END), 6) AS pearson FROM p0",
     ),
 )
 def metric_pearson(spark, sf):
-    p = FX.sentence_pairs(table(spark, sf, "conversations")).withColumn("pred", F.length("sentence2") / F.length("sentence1"))
+    p = FX.sentence_pairs(table(spark, sf, "conversations")).withColumn("pred", F.when(F.length("sentence1") == 0, F.lit(0.0)).otherwise(F.length("sentence2") / F.length("sentence1")))
     return M.pearson(p, "pred", "score").select(_r("pearson", "pearson"))
 
 
+def _class_sql(x: str) -> str:
+    return f"(CASE WHEN substr({x}, 1, 2) IN ('B-', 'I-') THEN substr({x}, 3) ELSE {x} END)"
+
+
 def _start_sql(t: str, i: str) -> str:
-    return f"({t}[{i}] <> 'O' AND (substr({t}[{i}], 1, 1) = 'B' OR {i} = 1 OR {t}[{i} - 1] = 'O' OR substr({t}[{i} - 1], 3) <> substr({t}[{i}], 3)))"
+    return f"({t}[{i}] <> 'O' AND (starts_with({t}[{i}], 'B-') OR {i} = 1 OR {t}[{i} - 1] = 'O' OR {_class_sql(f'{t}[{i} - 1]')} <> {_class_sql(f'{t}[{i}]')}))"
 
 
 def _bounds_sql(t: str) -> str:
@@ -86,7 +91,7 @@ def _bounds_sql(t: str) -> str:
 
 def _spans_sql(t: str, b: str) -> str:
     marked = (
-        f"list_transform({b}, lambda s, k: {{'type': substr({t}[s], 3), 'start': s - 1, "
+        f"list_transform({b}, lambda s, k: {{'type': {_class_sql(t + '[s]')}, 'start': s - 1, "
         f"'end': coalesce({b}[k + 1], len({t}) + 1) - 2, 'st': {_start_sql(t, 's')}}})"
     )
     return f"list_transform(list_filter({marked}, lambda x: x.st), lambda x: {{'type': x.type, 'start': x.start, 'end': x.end}})"
@@ -141,15 +146,15 @@ def metric_token_accuracy(spark, sf):
 
 
 _XENT = (
-    "SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS lg, "
-    "CASE WHEN vec_id % 5 = 0 THEN -100 ELSE ((label % 8) + 8) % 8 END AS lab FROM embeddings"
+    "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS lg, "
+    "CASE WHEN vec_id % 5 = 0 THEN -100 ELSE ((label % len(embedding)) + len(embedding)) % len(embedding) END AS lab FROM embeddings"
 )
 
 
 def _xent_input(spark, sf):
     e = table(spark, sf, "embeddings")
-    lab = F.when(F.col("vec_id") % 5 == 0, F.lit(K.IGNORE_INDEX)).otherwise(((F.col("label") % 8) + 8) % 8)
-    return e.select("vec_id", F.slice("embedding", 1, 8).alias("logits"), lab.alias("label"))
+    lab = F.when(F.col("vec_id") % 5 == 0, F.lit(K.IGNORE_INDEX)).otherwise(F.pmod(F.col("label"), F.size("embedding"))).cast("int")
+    return e.select("vec_id", F.col("embedding").alias("logits"), lab.alias("label"))
 
 
 @query(
@@ -163,19 +168,19 @@ def metric_masked_xent(spark, sf):
     return M.masked_cross_entropy(_xent_input(spark, sf), "logits", "label").select(_r("loss", "loss"))
 
 
-@query("argmax_decode", "SELECT vec_id, (list_position(embedding[1:8], list_max(embedding[1:8])) - 1)::INTEGER AS pred FROM embeddings")
+@query("argmax_decode", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS pred FROM embeddings")
 def argmax_decode(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", M.argmax(F.slice("embedding", 1, 8)).alias("pred"))
+    return e.select("vec_id", M.argmax(F.col("embedding")).alias("pred"))
 
 
 @query(
     "threshold_decode",
-    "SELECT vec_id, array_to_string(list_transform(embedding[1:8], lambda x: CASE WHEN x >= 0.5 THEN 1 ELSE 0 END), ',') AS pred FROM embeddings",
+    "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0.5 THEN 1 ELSE 0 END), ',') AS pred FROM embeddings",
 )
 def threshold_decode(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.array_join(M.threshold(F.slice("embedding", 1, 8)), ",").alias("pred"))
+    return e.select("vec_id", F.array_join(M.threshold(F.col("embedding")), ",").alias("pred"))
 
 
 @query(
@@ -184,25 +189,28 @@ def threshold_decode(spark, sf):
         MASK_CTES
         + [
             ("slots", f"SELECT doc_id, unnest(list_filter(range(0, len(masked_ids)), lambda i: masked_ids[i + 1] = {K.MASK_ID})) AS pos FROM msk"),
-            (
-                "best",
-                "SELECT s.doc_id, s.pos, (5 + list_position(e.embedding[(s.pos % 8) * 8 + 1:(s.pos % 8) * 8 + 8], list_max(e.embedding[(s.pos % 8) * 8 + 1:(s.pos % 8) * 8 + 8])) - 1)::INTEGER AS token_id "
-                "FROM slots s JOIN embeddings e ON e.vec_id = s.doc_id",
-            ),
+            ("ev", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1) AS best, len(embedding) AS dim, count(*) OVER () AS n FROM embeddings"),
+            ("best", f"SELECT s.doc_id, s.pos, (5 + (e.best + e.dim * s.pos) % {VOCAB_K})::INTEGER AS token_id FROM slots s LEFT JOIN ev e ON e.vec_id = s.doc_id % e.n"),
         ],
-        "SELECT b.doc_id, b.pos::BIGINT AS pos, b.token_id, v.word AS token FROM best b JOIN v ON v.id = b.token_id",
+        "SELECT b.doc_id, b.pos::BIGINT AS pos, b.token_id, v.word AS token FROM best b LEFT JOIN v ON v.id = b.token_id",
     ),
 )
 def mask_slot_decode(spark, sf):
-    """[MASK] positions of the masked ids, best token from a score table, decoded through the vocabulary."""
-    m = masked(spark, sf).select("doc_id", "masked_ids")
+    """Every [MASK] position of the masked ids, the best token of its scores, decoded through the vocabulary.
+
+    The score vector of a document is row ``doc_id mod rows`` of ``embeddings``; its best entry is
+    shifted by the position, so all of the vocabulary can be hit.
+    """
+    words = vocab(spark, sf)
+    m = masked(spark, sf, words).select("doc_id", "masked_ids")
     slots = explode_rows(m, "masked_ids", "tok", pos="pos", keep=["doc_id"]).where(F.col("tok") == K.MASK_ID)
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    j = slots.join(e, "doc_id")
-    scores = F.slice("embedding", (F.col("pos") % 8) * 8 + 1, 8)
-    best = j.select("doc_id", F.col("pos").cast("bigint").alias("pos"), (M.argmax(scores) + 5).alias("token_id"))
-    v = T.broadcast_if_small(vocab(spark, sf).select(F.col("id").alias("token_id"), F.col("word").alias("token")))
-    return best.join(v, "token_id").select("doc_id", "pos", "token_id", "token")
+    e = table(spark, sf, "embeddings").select("vec_id", M.argmax(F.col("embedding")).alias("best"), F.size("embedding").alias("dim"))
+    n = e.count()
+    j = slots.join(e, F.col("doc_id") % F.lit(max(n, 1)) == F.col("vec_id"), "left")
+    token_id = (5 + (F.col("best") + F.col("dim") * F.col("pos")) % VOCAB_K).cast("int")
+    best = j.select("doc_id", F.col("pos").cast("bigint").alias("pos"), token_id.alias("token_id"))
+    v = words.select(F.col("id").alias("token_id"), F.col("word").alias("token"))
+    return best.join(v, "token_id", "left").select("doc_id", "pos", "token_id", "token")
 
 
 @query(
@@ -217,7 +225,7 @@ def dedupe_predictions(spark, sf):
 
 def _tag_ids(spark, sf):
     t = _tags(spark, sf)
-    dim = T.label_dimension(t, "gold", exclude=None)
+    dim = checkpoint(T.label_dimension(t, "gold", exclude=None))
     t = T.encode_label_array(t, "gold", dim, "gold_ids")
     t = T.encode_label_array(t, "pred", dim, "pred_ids")
     return t.withColumn("ref_ids", F.transform("gold_ids", lambda x, i: F.when(i % 5 == 4, F.lit(K.IGNORE_INDEX)).otherwise(x)))
@@ -255,20 +263,22 @@ def drop_ignored(spark, sf):
 @query(
     "pad_pairs",
     Q.with_ctes(
-        _TAG_IDS + [("q", "SELECT doc_id, pred_ids AS a, gold_ids[1:20] AS b FROM ti")],
+        _TAG_IDS + [("q", "SELECT doc_id, pred_ids AS a, list_filter(gold_ids, lambda x, i: (i - 1) % 2 = 0) AS b FROM ti")],
         "SELECT doc_id, array_to_string(list_concat(a, list_transform(range(0, greatest(len(a), len(b)) - len(a)), lambda z: -100)), ',') AS a, "
         "array_to_string(list_concat(b, list_transform(range(0, greatest(len(a), len(b)) - len(b)), lambda z: -100)), ',') AS b FROM q",
     ),
 )
 def pad_pairs(spark, sf):
     t = _tag_ids(spark, sf)
-    a, b = E.pad_pairs(F.col("pred_ids"), F.slice("gold_ids", 1, 20))
+    # every second gold position: arrays of two lengths
+    a, b = E.pad_pairs(F.col("pred_ids"), F.filter("gold_ids", lambda x, i: i % 2 == 0))
     return t.select("doc_id", F.array_join(a, ",").alias("a"), F.array_join(b, ",").alias("b"))
 
 
 # ---------------------------------------------------------------- training log (F8)
 
-_F8 = "SELECT event_id AS step, value AS loss, event_id % 3 AS epoch FROM events"
+# every 4th epoch number is NULL: steps that were logged without an epoch
+_F8 = "SELECT event_id AS step, value AS loss, nullif(event_id % 4, 3) AS epoch FROM events"
 
 
 def _log(spark, sf):
@@ -279,28 +289,27 @@ def _log(spark, sf):
     "loss_running_mean",
     Q.with_ctes(
         [("f8", _F8)],
-        "SELECT step, round(sum(loss) OVER w, 6) AS running_sum, count(*) OVER w AS running_steps FROM f8 "
+        "SELECT step, coalesce(epoch, -1) AS epoch, round(sum(loss) OVER w, 6) AS running_sum, count(*) OVER w AS running_steps, round(sum(loss) OVER w, 6) / count(*) OVER w AS running_mean FROM f8 "
         "WINDOW w AS (PARTITION BY epoch ORDER BY step ROWS UNBOUNDED PRECEDING)",
     ),
 )
 def loss_running_mean(spark, sf):
-    """W3.  The mean is ``running_sum / running_steps``; the query returns the
-    two exact parts because engines round a ratio that falls on a half-way
-    decimal differently."""
+    """Running sum, steps and mean; the mean is taken of the rounded sum, so engines agree on it."""
     r = M.running_stats(_log(spark, sf), "epoch", ["step"], "loss")
-    return r.select("step", _r("run_sum", "running_sum"), F.col("run_n").alias("running_steps"))
+    mean = F.round("run_sum", 6) / F.col("run_n")
+    return r.select("step", F.coalesce("epoch", F.lit(-1)).alias("epoch"), _r("run_sum", "running_sum"), F.col("run_n").alias("running_steps"), mean.alias("running_mean"))
 
 
 @query(
     "loss_bucket_mean",
     Q.with_ctes(
         [("f8", _F8), ("b", "SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY step) - 1) // 50 AS bucket, loss FROM f8")],
-        "SELECT epoch, bucket, round(sum(loss) / 50, 6) AS mean_loss FROM b GROUP BY epoch, bucket HAVING count(*) = 50",
+        "SELECT coalesce(b.epoch, -1) AS epoch, bucket, round(sum(loss) / 50, 6) AS mean_loss FROM b GROUP BY b.epoch, bucket HAVING count(*) = 50",
     ),
 )
 def loss_bucket_mean(spark, sf):
     m = M.loss_bucket_mean(_log(spark, sf), 50)
-    return m.select("epoch", "bucket", _r("mean_loss", "mean_loss"))
+    return m.select(F.coalesce("epoch", F.lit(-1)).alias("epoch"), "bucket", _r("mean_loss", "mean_loss"))
 
 
 @query("val_loss_mean", Q.with_ctes([("f8", _F8)], "SELECT round(avg(loss), 6) AS val_loss FROM f8"))
@@ -327,3 +336,45 @@ def metric_spans_flat(spark, sf):
     m = M.span_metrics_by_type(_tags(spark, sf), "gold", "pred")
     m = m.select("type", "support", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"))
     return M.flatten_by_type(m, ["x", "y"])
+
+
+# PICO-like tags: plain class names without a prefix, made of the same digests
+_PLAIN_CTES = [
+    (name, sql.replace("FROM tags", "FROM plain"))
+    for name, sql in SPAN_CTES
+    if name not in ("t0", "t1", "tags", "tagdim")
+]
+_PLAIN = [
+    c for c in SPAN_CTES if c[0] in ("t0", "t1", "tags")
+] + [
+    (
+        "plain",
+        "SELECT doc_id, list_transform(gold, lambda t: CASE WHEN t = 'O' THEN t WHEN substr(t, 3) = 'x' THEN 'Baseline' ELSE 'Outcome' END) AS gold, "
+        "list_transform(pred, lambda t: CASE WHEN t = 'O' THEN t WHEN substr(t, 3) = 'x' THEN 'Baseline' ELSE 'Outcome' END) AS pred FROM tags",
+    )
+]
+
+
+@query("metric_spans_plain_tags", Q.with_ctes(_PLAIN + _PLAIN_CTES, _prf_sql("cnt", "type, gold::BIGINT AS support, ")))
+def metric_spans_plain_tags(spark, sf):
+    """A12 over tags without a prefix: the whole token is the class."""
+
+    def plain(c):
+        return F.transform(c, lambda t: F.when(t == "O", t).when(F.substr(t, F.lit(3)) == "x", F.lit("Baseline")).otherwise(F.lit("Outcome")))
+
+    t = _tags(spark, sf).select("doc_id", plain("gold").alias("gold"), plain("pred").alias("pred"))
+    m = M.span_metrics_by_type(t, "gold", "pred")
+    return m.select("type", "support", _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"))
+
+
+@query(
+    "metric_token_accuracy_unequal",
+    Q.with_ctes(
+        tags_ctes() + [("u", "SELECT gold, pred[1:(len(pred) * 3) // 4] AS pred FROM tags")],
+        "SELECT round(sum(len(list_filter(range(1, len(gold) + 1), lambda i: i <= len(pred) AND gold[i] = pred[i]))) / sum(len(gold)), 6) AS accuracy FROM u",
+    ),
+)
+def metric_token_accuracy_unequal(spark, sf):
+    """A12 token accuracy where predictions stop after three quarters of a sequence: the rest counts as wrong."""
+    t = _tags(spark, sf).withColumn("pred", F.slice("pred", F.lit(1), F.floor(F.size("pred") * 3 / 4).cast("int")))
+    return M.token_accuracy(t, "gold", "pred").select(_r("accuracy", "accuracy"))

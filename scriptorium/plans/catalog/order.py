@@ -142,27 +142,27 @@ def union_by_name(spark, sf):
 
 
 _INTERLEAVE_SRC = (
-    "SELECT 0 AS source, doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents "
-    "UNION ALL SELECT 1, item_id, row_number() OVER (ORDER BY item_id) - 1, count(*) OVER () FROM benchmark "
-    "UNION ALL SELECT 2, page_id, row_number() OVER (ORDER BY page_id) - 1, count(*) OVER () FROM pages"
+    "SELECT 0 AS source, doc_id AS id, md5(text) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents "
+    "UNION ALL SELECT 1, item_id, md5(text), row_number() OVER (ORDER BY item_id) - 1, count(*) OVER () FROM benchmark "
+    "UNION ALL SELECT 2, page_id, md5(html), row_number() OVER (ORDER BY page_id) - 1, count(*) OVER () FROM pages"
 )
 
 
 def _interleave(spark, sf, partial: bool):
     frames = [
-        documents(spark, sf).select(F.col("doc_id").alias("id")),
-        table(spark, sf, "benchmark").select(F.col("item_id").alias("id")),
-        table(spark, sf, "pages").select(F.col("page_id").alias("id")),
+        documents(spark, sf).select(F.col("doc_id").alias("id"), "text"),
+        table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"),
+        table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")),
     ]
     out = mix.interleave(frames, ["id", "id", "id"], partial_last_round=partial)
-    return out.select(F.col("pos").cast("bigint").alias("pos"), F.col("source").cast("int").alias("source"), "id")
+    return out.select(F.col("pos").cast("bigint").alias("pos"), F.col("source").cast("int").alias("source"), "id", F.md5("text").alias("text_md5"))
 
 
 @query(
     "interleave_all_exhausted",
     Q.with_ctes(
         [("s", _INTERLEAVE_SRC), ("m", "SELECT max(n) AS mx FROM s")],
-        "SELECT (r * 3 + source)::BIGINT AS pos, source, id FROM (SELECT source, id, unnest(range(i, mx, n)) AS r FROM s, m)",
+        "SELECT (r * 3 + source)::BIGINT AS pos, source, id, text_md5 FROM (SELECT source, id, text_md5, unnest(range(i, mx, n)) AS r FROM s, m)",
     ),
 )
 def interleave_all_exhausted(spark, sf):
@@ -177,7 +177,7 @@ def interleave_all_exhausted(spark, sf):
             ("m", "SELECT max(n) AS mx FROM s"),
             ("l", "SELECT max(source) AS ls FROM s, m WHERE n = mx"),
         ],
-        "SELECT pos, source, id FROM (SELECT (r * 3 + source)::BIGINT AS pos, source, id FROM (SELECT source, id, unnest(range(i, mx, n)) AS r FROM s, m)), m, l WHERE pos <= (mx - 1) * 3 + ls",
+        "SELECT pos, source, id, text_md5 FROM (SELECT (r * 3 + source)::BIGINT AS pos, source, id, text_md5 FROM (SELECT source, id, text_md5, unnest(range(i, mx, n)) AS r FROM s, m)), m, l WHERE pos <= (mx - 1) * 3 + ls",
     ),
 )
 def interleave_partial(spark, sf):

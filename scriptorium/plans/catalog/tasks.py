@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ...functions import constants as K
 from ...functions.text import tokenise_ws
 from ...operators import tasks as T
+from ...session import checkpoint
 from ...sources.tables import documents, table
 from .. import fixtures as FX
 from .. import sqltext as Q
 from ..registry import query
 from .corpus import labelled, _F7_LABELS
 
-PROMPT_SQL = "'find relation between entities - ' || {e1} || ' and ' || {e2} || ' in ' || {text}"
+# the fixed template as an SQL expression
+PROMPT_SQL = " || ".join(x if x.startswith("{") else Q.lit(x) for x in re.split(r"(\{\w+\})", K.RELATION_PROMPT) if x)
 
 _F2 = [
     ("base", "SELECT doc_id, text, string_split(replace(text, chr(10), ' '), ' ') AS parts FROM documents"),
@@ -79,7 +83,11 @@ def sentences(spark, sf):
     docs = documents(spark, sf)
     flat = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1)
     ent = F.filter(
-        F.array(*[F.struct(F.lit(f"e{i}").alias("_id"), F.get(flat, i).alias("_text")) for i in range(3)]),
+        F.array(
+            *[F.struct(F.lit(f"e{i}").alias("_id"), F.get(flat, i).alias("_text")) for i in range(3)],
+            # every sixth sentence has two entities e2: its pairs match no single one
+            F.struct(F.lit("e2").alias("_id"), F.when(F.col("doc_id") % 6 == 0, F.lit("again")).alias("_text")),
+        ),
         lambda e: e["_text"].isNotNull(),
     )
     ddi = F.when(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), 16, 10).cast("int") % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
@@ -93,7 +101,7 @@ def sentences(spark, sf):
 
 
 _SENT = (
-    "SELECT doc_id, text AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[2]}, {'_id': 'e2', '_text': p[3]}], lambda e: e._text IS NOT NULL) AS entity, "
+    "SELECT doc_id, text AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[2]}, {'_id': 'e2', '_text': p[3]}, {'_id': 'e2', '_text': CASE WHEN doc_id % 6 = 0 THEN 'again' END}], lambda e: e._text IS NOT NULL) AS entity, "
     "[{'_e1': 'e0', '_e2': 'e1', '_ddi': CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1))::INTEGER % 2 = 0 THEN 'true' ELSE 'false' END, '_type': CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'mechanism' END}, "
     "{'_e1': 'e1', '_e2': 'e2', '_ddi': 'true', '_type': 'effect'}, {'_e1': 'e0', '_e2': 'e9', '_ddi': 'true', '_type': 'advise'}] AS pair "
     "FROM (SELECT doc_id, text, string_split(replace(text, chr(10), ' '), ' ') AS p FROM documents)"
@@ -108,7 +116,8 @@ _SENT = (
             ("u", "SELECT doc_id, _text, entity, unnest(pair) AS p FROM s"),
             (
                 "v",
-                "SELECT doc_id, _text, list_filter(entity, lambda e: e._id = p._e1)[1]._text AS e1, list_filter(entity, lambda e: e._id = p._e2)[1]._text AS e2, p._type AS target "
+                "SELECT doc_id, _text, CASE WHEN len(list_filter(entity, lambda e: e._id = p._e1)) = 1 THEN list_filter(entity, lambda e: e._id = p._e1)[1]._text END AS e1, "
+                "CASE WHEN len(list_filter(entity, lambda e: e._id = p._e2)) = 1 THEN list_filter(entity, lambda e: e._id = p._e2)[1]._text END AS e2, p._type AS target "
                 "FROM u WHERE p._ddi = 'true' AND p._type IS NOT NULL",
             ),
         ],
@@ -240,7 +249,7 @@ def label_dimension_tags(spark, sf):
 )
 def label_decode(spark, sf):
     t = _tags(spark, sf)
-    dim = T.label_dimension(t, "gold", exclude=None)
+    dim = checkpoint(T.label_dimension(t, "gold", exclude=None))
     enc = T.encode_label_array(t, "gold", dim, "ids")
     dec = T.decode_label_array(enc, "ids", dim, "decoded")
     return dec.select("doc_id", F.array_join("ids", ",").alias("ids"), F.array_join("decoded", "|").alias("decoded"))
@@ -269,26 +278,24 @@ def qa_pair(spark, sf):
     return T.qa_pair(FX.qa_contexts(table(spark, sf, "conversations"))).select("conv_id", "question", "context")
 
 
-_F5_P = (
-    "SELECT a.conv_id, a.text AS sentence1, b.text AS sentence2 FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) a "
-    "JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) b USING (conv_id)"
-)
+_F5_P = "SELECT a.conv_id, a.turn, a.text AS sentence1, b.text AS sentence2 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
 
 
 def pairs_sql():
     n1 = f"len({Q.tokens('sentence1')})"
     n2 = f"len({Q.tokens('sentence2')})"
-    return [("p0", _F5_P), ("pairs", f"SELECT conv_id, sentence1, sentence2, {n1} AS n1, {n2} AS n2, CASE WHEN {n1} = 0 THEN 0.0 ELSE {n2} / {n1} END AS score FROM p0")]
+    return [("p0", _F5_P), ("pairs", f"SELECT conv_id, turn, sentence1, sentence2, {n1} AS n1, {n2} AS n2, CASE WHEN {n1} = 0 THEN 0.0 ELSE {n2} / {n1} END AS score FROM p0")]
 
 
 @query(
     "sentence_pair",
-    Q.with_ctes(pairs_sql(), "SELECT conv_id, n1::BIGINT AS n1, n2::BIGINT AS n2, round(score, 6) AS score FROM pairs"),
+    Q.with_ctes(pairs_sql(), "SELECT conv_id, turn, n1::BIGINT AS n1, n2::BIGINT AS n2, round(score, 6) AS score FROM pairs"),
 )
 def sentence_pair(spark, sf):
     p = T.sentence_pair(FX.sentence_pairs(table(spark, sf, "conversations")))
     return p.select(
         "conv_id",
+        "turn",
         F.size("pair.first").cast("bigint").alias("n1"),
         F.size("pair.second").cast("bigint").alias("n2"),
         F.round("pair.score", 6).alias("score"),

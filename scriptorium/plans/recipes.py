@@ -18,6 +18,8 @@ from ..functions.sections import clean_articles, fence
 from ..functions.text import word_count_blanks
 from ..operators.dedupe import dedupe_exact
 from ..operators.filters import useful_content
+from ..operators.order import split_90_5_5
+from ..session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -47,16 +49,41 @@ class DedupeExact:
         return dedupe_exact(df, self.column, self.order_id)
 
 
+@dataclass(frozen=True)
+class SplitFractions:
+    """L5 as the corpus scripts do it: 90 / 5 / 5, both cuts with one seed; drops and renames columns."""
+
+    key: str = "doc_id"
+    seed: int = 42
+    drop: tuple[str, ...] = ("article",)
+    rename: tuple[tuple[str, str], ...] = ()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out = split_90_5_5(df.drop(*self.drop), self.key, seeds=(self.seed, self.seed))
+        return out.withColumnsRenamed(dict(self.rename)) if self.rename else out
+
+
 def run(df: DataFrame, stages) -> DataFrame:
     return reduce(lambda acc, stage: acc.transform(stage), stages, df)
 
 
-CORPUS_V4 = (Clean(), UsefulContent(), DedupeExact())
+CORPUS_V4 = (Clean(target="clean_text"), UsefulContent("clean_text"), DedupeExact("clean_text"))
+#: The published form: split, without the raw article, the cleaned text named ``text``.
+CORPUS_V4_SPLIT = (*CORPUS_V4, SplitFractions(rename=(("clean_text", "text"),)))
 
 
 def cleaned_corpus(articles: DataFrame, stages=CORPUS_V4) -> DataFrame:
     """Articles -> C1..C7 -> P5 -> W2 (the v4 corpus), columns (doc_id, lang, text)."""
-    return run(articles, stages).select("doc_id", "lang", "text")
+    return run(articles, stages).select("doc_id", "lang", F.col("clean_text").alias("text"))
+
+
+def published_corpus(articles: DataFrame, stages=CORPUS_V4_SPLIT) -> DataFrame:
+    """C -> P5 -> W2 -> L5 (the whole recipe), columns (doc_id, lang, text, split).
+
+    The cleaned corpus is written once; the split reads ids only to find its bounds.
+    """
+    cleaned = checkpoint(run(articles, stages[:-1]))
+    return stages[-1](cleaned).select("doc_id", "lang", "text", "split")
 
 
 def counts_by_lang(corpus: DataFrame) -> DataFrame:

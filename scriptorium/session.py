@@ -2,10 +2,10 @@
 
 The library never creates a session behind the user's back when one is
 running: ``get_spark`` reuses the active session and only fills in settings
-that matter for correctness (UTC, AQE).  The checkpoint folder is taken from
+that matter for correctness (UTC, AQE).  A master is set only where none is
+configured (not under ``spark-submit``).  The checkpoint folder is taken from
 ``spark.checkpoint.dir`` on the session (the cluster's shared folder); a
-local temporary folder is used only when nothing is configured, which is the
-case in tests.
+temporary folder is used only by a local session that names none, as in tests.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _submitted() -> bool:
+    """Started by spark-submit, which brings its own master."""
+    return "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def get_spark(master: str | None = None, partitions: int | None = None, app: str = "scriptorium") -> SparkSession:
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    master = master or os.environ.get("SCRIPTORIUM_MASTER", "local[8]")
+    master = master or os.environ.get("SCRIPTORIUM_MASTER") or (None if _submitted() else "local[*]")
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -31,8 +35,12 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "16g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if master is not None:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "16g"))
     if partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
@@ -44,8 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, configuring the context if needed.
 
     Order: a folder already set on the context, then the session setting
-    ``spark.checkpoint.dir`` (the shared folder a cluster names), and only
-    when both are missing a fresh temporary folder (local runs and tests).
+    ``spark.checkpoint.dir`` (the shared folder a cluster names).  Where both
+    are missing, a local session gets a fresh temporary folder; a cluster
+    session raises, since its executors do not share one.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -53,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse_ws, explode_rows
+from ..operators.filters import split_malformed
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -30,8 +31,15 @@ def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_csv_notes(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """S3: headered CSV, every column a string, quoted fields may span lines."""
+    """S3: headered CSV, every column a string, quoted fields may span lines.
+
+    Edge blanks stay, ``""`` is an empty string and nothing between two
+    separators is NULL.  A multi-line file is one scan task.
+    """
     r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    # a NULL value of its own, or the empty string would count as NULL too
+    r = r.option("emptyValue", "").option("nullValue", "\u0000")
     if schema is not None:
         return r.schema(schema).csv(path)
     return r.option("inferSchema", False).csv(path)
@@ -50,13 +58,31 @@ def read_lines(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFram
 
 def read_bounded_tsv(spark: SparkSession, path: str, names: list[str], line_sep: str = "\n") -> DataFrame:
     """S5 + P7: header-less TSV split on the first ``len(names) - 1`` tabs only
-    (the last field keeps its tabs).  Adds ``line_no`` in file order; short and
-    empty lines are dropped."""
-    n = len(names)
-    lines = read_lines(spark, path, line_sep).withColumn("line_no", F.monotonically_increasing_id())
-    parts = F.split(F.col("value"), "\t", n)
-    good = lines.where((F.length("value") > 0) & (F.size(parts) >= n))
-    return good.select(*[F.get(parts, i).alias(c) for i, c in enumerate(names)], "line_no")
+    (the last field keeps its tabs).
+
+    Adds ``line_no``, a struct that sorts like the lines of the files, taken in
+    the order of their paths: (file, start of the split in it, row of the
+    split).  Short and empty lines are dropped; ``rejected_tsv_lines`` returns them.
+    """
+    good, _ = _bounded(spark, path, len(names), line_sep)
+    return good.select(*[F.get("parts", i).alias(c) for i, c in enumerate(names)], "line_no")
+
+
+def rejected_tsv_lines(spark: SparkSession, path: str, fields: int, line_sep: str = "\n") -> DataFrame:
+    """P7 side output of S5: the lines with fewer than ``fields`` fields -> (value, line_no)."""
+    return _bounded(spark, path, fields, line_sep)[1]
+
+
+def _bounded(spark: SparkSession, path: str, fields: int, line_sep: str):
+    lines = spark.read.option("lineSep", line_sep).text(path).select(
+        "value",
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),  # rises within a split, and only splits of one start compare by it
+        ).alias("line_no"),
+    )
+    return split_malformed(lines, fields)
 
 
 def read_whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -80,14 +106,53 @@ def read_whole_files(spark: SparkSession, path: str, glob: str | None = None) ->
 
 # FIXED VALUES: the five predefined XML entities, ampersand replaced last.
 XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+_CDATA_OPEN, _CDATA_CLOSE = "<![CDATA[", "]]>"
 
 
-def xml_text(raw) -> "F.Column":
-    """Descendant text of an XML fragment: drop tags, unescape, collapse."""
-    c = F.regexp_replace(raw, "<[^>]*>", "")
+def _code_point(number) -> "F.Column":
+    """Character of a code point (UTF-8 bytes put together; out of range gives '')."""
+    n = number.cast("int")
+
+    def byte(shift, mark, bits):
+        return F.lpad(F.hex(F.shiftright(n, shift).bitwiseAND((1 << bits) - 1).bitwiseOR(mark)), 2, "0")
+
+    tail = [byte(s, 0x80, 6) for s in (12, 6, 0)]
+    text = (
+        F.when(n < 0x80, byte(0, 0, 7))
+        .when(n < 0x800, F.concat(byte(6, 0xC0, 5), tail[2]))
+        .when(n < 0x10000, F.concat(byte(12, 0xE0, 4), *tail[1:]))
+        .when(n < 0x110000, F.concat(byte(18, 0xF0, 3), *tail))
+    )
+    return F.coalesce(F.decode(F.unhex(text), "UTF-8"), F.lit(""))
+
+
+def _unescape(text) -> "F.Column":
+    """Numeric references and the predefined entities of markup text."""
+    parts = F.split(text, r"&#(?=[0-9]+;|[xX][0-9A-Fa-f]+;)", -1)
+
+    def joined(ps):
+        def resolved(p, i):
+            ref = F.substring_index(p, ";", 1)
+            number = F.when(ref.rlike("^[xX]"), F.conv(F.substr(ref, F.lit(2)), 16, 10)).otherwise(ref)
+            return F.when(i == 0, p).otherwise(F.concat(_code_point(number), F.substr(p, F.length(ref) + 2)))
+
+        return F.array_join(F.transform(ps, resolved), "")
+
+    c = F.when(F.contains(text, F.lit("&#")), joined(parts)).otherwise(text)
     for ent, ch in XML_ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return collapse_ws(c)
+    return c
+
+
+def xml_text(raw) -> "F.Column":
+    """Descendant text of an XML fragment: tags and comments dropped, references resolved, CDATA kept as it is."""
+
+    def section(p, i):
+        # sections after the first begin inside CDATA, up to its close
+        markup = _unescape(F.regexp_replace(F.when(i == 0, p).otherwise(F.substr(p, F.instr(p, _CDATA_CLOSE) + 3)), r"<!--[\s\S]*?-->|<[^>]*>", ""))
+        return F.when(i == 0, markup).otherwise(F.concat(F.substring_index(p, _CDATA_CLOSE, 1), markup))
+
+    return collapse_ws(F.array_join(F.transform(F.split(raw, r"<!\[CDATA\[", -1), section), ""))
 
 
 def read_xml_abstracts(spark: SparkSession, path: str, record_tag: str = "PubmedArticle", element: str = "AbstractText", id_tag: str = "PMID") -> DataFrame:
@@ -95,17 +160,21 @@ def read_xml_abstracts(spark: SparkSession, path: str, record_tag: str = "Pubmed
 
     Records are split on the closing record tag (so ``.gz`` files and any
     record size work without an XML tree), the raw elements are taken with a
-    regex, mixed content is flattened, and a self-closing element gives ''.
+    regex, mixed content is flattened, and a self-closing element (with
+    attributes or without) gives ''.  A gzip file is one scan task; its rows
+    are dealt to all tasks before the text work.
     """
-    recs = spark.read.option("lineSep", f"</{record_tag}>").text(path)
-    pat = rf"<{element}(?:\s[^>]*)?(?:/>|>([\s\S]*?)</{element}>)"
+    recs = spark.read.option("lineSep", f"</{record_tag}>").text(path).hint("rebalance")
+    closed = rf"<{element}(?:\s[^>]*)?/>"
+    opened = rf"<{element}(?:\s[^>]*[^/>])?\s*>"
+    pat = rf"{closed}|{opened}[\s\S]*?</{element}\s*>"
     body = F.regexp_extract_all(F.col("value"), F.lit(pat), 0)
     pmid = F.regexp_extract(F.col("value"), rf"<{id_tag}[^>]*>([^<]*)</{id_tag}>", 1)
     recs = recs.select(pmid.alias("pmid"), body.alias("els")).where(F.size("els") > 0)
     rows = explode_rows(recs, "els", "el", pos="idx")
-    inner = F.regexp_replace(F.regexp_replace(F.col("el"), rf"^<{element}[^>]*?(/>|>)", ""), rf"</{element}>$", "")
-    inner = F.when(F.col("el").rlike(rf"^<{element}[^>]*/>$"), F.lit("")).otherwise(inner)
-    return rows.select("pmid", F.col("idx").cast("bigint").alias("idx"), xml_text(inner).alias("text"))
+    empty = F.col("el").rlike(rf"^{closed}$")
+    inner = F.regexp_replace(F.regexp_replace(F.col("el"), rf"^{opened}", ""), rf"</{element}\s*>$", "")
+    return rows.select("pmid", F.col("idx").cast("bigint").alias("idx"), xml_text(F.when(empty, F.lit("")).otherwise(inner)).alias("text"))
 
 
 SENTENCE_SCHEMA = T.StructType(
@@ -135,25 +204,33 @@ def read_xml_sentences(spark: SparkSession, path: str, schema=SENTENCE_SCHEMA) -
     return spark.read.format("xml").option("rowTag", "sentence").schema(schema).load(path)
 
 
+#: Characters of archive members that leave a task at a time.
+MEMBER_CHARS = 8_000_000
 TAR_SCHEMA = "archive string, member string, text string"
 
 
 def read_tar_members(spark: SparkSession, path: str, glob: str = "*.tar.gz") -> DataFrame:
     """Every regular member of every tar archive -> (archive, member, text).
 
-    One archive is one task; members are decoded like S7.
+    One archive is one task; its members are read one after the other and
+    leave in small batches, decoded like S7.  (``binaryFile`` holds an archive of
+    up to 2 GiB; larger ones must be cut where they are made.)
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
 
     def _members(batches):
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for p, content in zip(pdf["path"], pdf["content"]):
-                with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r:*") as tf:
-                    for m in tf.getmembers():
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tf:
+                    for m in tf:
                         if m.isfile():
                             data = tf.extractfile(m).read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
                             out.append((p, m.name, data))
+                            size += len(data)
+                            if size > MEMBER_CHARS:
+                                yield pd.DataFrame(out, columns=["archive", "member", "text"])
+                                out, size = [], 0
             yield pd.DataFrame(out, columns=["archive", "member", "text"])
 
     return files.mapInPandas(_members, TAR_SCHEMA)

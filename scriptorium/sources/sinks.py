@@ -27,9 +27,25 @@ def write_jsonl(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_json_arrays(df: DataFrame, task: str, path: str) -> str:
+    """One JSON array per file: the rows of a scan task (column ``task``) become one array.
+
+    A scan task holds at most ``spark.sql.files.maxPartitionBytes`` of input, so an array is bounded.
+    """
+    rest = [c for c in df.columns if c != task]
+    arrays = df.groupBy(task).agg(F.to_json(F.collect_list(F.struct(*rest))).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    """K2: header, no index, quotes doubled inside quoted fields."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+    """K2: header, no index, quotes doubled inside quoted fields.
+
+    Edge blanks are kept, and an empty string is written as ``""``, so it does
+    not come back as NULL.
+    """
+    w = df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').csv(path)
     return path
 
 

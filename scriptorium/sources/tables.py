@@ -4,27 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: deal the rows of ``documents`` to so many tasks after the scan.  Unset (the
+#: default, and right for a large input) the scan's own splits stand and nothing is shuffled.
+SPREAD_CONF = "spark.scriptorium.scan.tasks"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan ``<sf_dir>/<name>.parquet``; pruning and pushdown are left to Catalyst."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer tasks than cores.
-
-    A parquet file with a single row group is read by one task whatever the
-    cluster size; heavy per-row text work after it would then run serially.
-    On a large input the scan already has many splits and this is a no-op.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without an RDD layer: leave the scan as is
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, spread over the cores when the scan is narrow."""
-    return spread(table(spark, sf_dir, "documents"))
+    """The documents table; spread if the session asks for it (a file of one row group is one task)."""
+    df = table(spark, sf_dir, "documents")
+    tasks = spark.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(tasks)) if tasks else df

@@ -38,13 +38,15 @@ def test_token_annotate_last_entry_wins(spark):
 
 
 def test_label_dimension_and_encode(spark):
-    df = spark.createDataFrame([(["B-x", "O", "I-x"],), (["B-y", "<ignore>"],)], "labels array<string>")
+    df = spark.createDataFrame([(1, ["B-x", "O", "I-x"]), (2, ["B-y", "<ignore>"]), (3, [])], "doc_id long, labels array<string>")
     dim = T.label_dimension(df, "labels")
     assert [(r.label, r.id) for r in dim.orderBy("id").collect()] == [("B-x", 0), ("B-y", 1), ("I-x", 2), ("O", 3)]
     b2i = {r.label: r.i_id for r in T.b_to_i(dim).collect()}
     assert b2i == {"B-x": 2, "B-y": 1, "I-x": 2, "O": 3}
-    enc = T.encode_label_array(df, "labels", dim, "ids").collect()
-    assert [list(r.ids) for r in enc] == [[0, 3, 2], [1, -100]]
+    enc = T.encode_label_array(df, "labels", dim, "ids")
+    assert [list(r.ids) for r in enc.orderBy("doc_id").collect()] == [[0, 3, 2], [1, -100], []]
+    dec = T.decode_label_array(enc, "ids", dim, "back").orderBy("doc_id").collect()
+    assert [list(r.back) for r in dec] == [["B-x", "O", "I-x"], ["B-y", None], []]
 
 
 def test_label_encode_strict_and_lenient(spark):
@@ -73,7 +75,7 @@ def test_dedupe_hot_duplicate_pre_aggregates(spark):
     rows = {r.t: r.id for r in out.collect()}
     assert rows["hot"] == 2997 and len(rows) == 2001
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "partial_max_by" in plan
+    assert "partial_max" in plan and "SortAggregate" not in plan
 
 
 def test_streaming_dedupe_over_increments(spark, tmp_dir):
