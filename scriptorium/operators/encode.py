@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import explode_rows, let, tokenise_ws
+from ..session import checkpoint
+from .order import indexed, row_index
 
 PIECE = 6
 
@@ -32,32 +34,32 @@ def vocab_words(df: DataFrame, text: str, k: int) -> DataFrame:
     """V1(a): top-K lower-cased whitespace words -> (word, id, n); ids start
     after the special tokens; ties by word ascending."""
     words = explode_rows(df.select(lower_tokens(text).alias("_t")), "_t", "word", keep=[])
-    # the distinct-word table is read twice (histogram, then candidates): materialise it once
-    from ..session import checkpoint
-
+    # the distinct-word table is read several times: materialise it once
     counts = checkpoint(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    top = top_k_by_count(counts, k, "word", "n")
-    # K rows: one ordered window over them is bounded
-    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word"))) + len(K.SPECIAL_TOKENS) - 1).cast("int"))
+    top = top_k_by_count(counts, k, "word", "n").withColumn("_less", -F.col("n"))
+    ranked = row_index(top, ["_less", "word"], "_i")
+    return ranked.select("word", "n", (F.col("_i") + len(K.SPECIAL_TOKENS)).cast("int").alias("id"))
 
 
 def top_k_by_count(counts: DataFrame, k: int, key: str, n: str) -> DataFrame:
-    """Exact top ``k`` rows by (``n`` desc, ``key`` asc) without sending k rows
-    from every partition to one merge task.
+    """Exact top ``k`` rows by (``n`` desc, ``key`` asc) without a merge in one task.
 
-    The k-th largest count is read off the histogram of count values (at most
-    k values are needed, and there are few distinct counts); only rows at or
-    above it can be in the result, and the final top-k runs over those.
+    The k-th largest count is read off the histogram of count values (there are
+    few distinct counts, and at most k are needed).  All rows above it are in; of the rows that have it,
+    however many, the first ones by key are found by their global position (W1).
     """
     hist = counts.groupBy(n).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.col(n).desc()).limit(k).collect()
-    covered, cut = 0, None
+    above, cut = 0, None
     for r in hist:
-        covered += r["_rows"]
-        if covered >= k:
+        if above + r["_rows"] >= k:
             cut = r[n]
             break
-    cand = counts if cut is None else counts.where(F.col(n) >= cut)
-    return cand.orderBy(F.col(n).desc(), F.col(key)).limit(k)
+        above += r["_rows"]
+    if cut is None:
+        return counts
+    need = k - above
+    ties, _ = indexed(counts.where(F.col(n) == cut), [key], "_i", keep=lambda i: i < need)
+    return counts.where(F.col(n) > cut).unionByName(ties.drop("_i"))
 
 
 def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "input_ids", add_special: bool = True) -> DataFrame:
@@ -213,10 +215,36 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def best_pair(words: DataFrame):
-    """Most frequent pair; ties by (a, b) ascending.  Returns None when no pair is left."""
-    top = pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(1).collect()
-    return (top[0]["a"], top[0]["b"], top[0]["n"]) if top else None
+#: Pairs looked at per round of merges.
+ROUND_PAIRS = 512
+
+
+def independent_pairs(ranked: list[tuple], want: int) -> list[tuple]:
+    """The first pairs of a ranking that one round may merge, as if merged one after the other.
+
+    ``ranked``: (a, b, n) by n falling, then a, b.  A merge changes the counts
+    of pairs that share a symbol with it and makes new pairs, none of which is
+    more frequent than the pair it came from.  So the next pair is safe
+    if it shares no symbol with the pairs taken and is more frequent than every pair that does.
+    """
+    taken: list[tuple] = []
+    used: set[str] = set()
+    for i, (a, b, n) in enumerate(ranked):
+        if len(taken) == want:
+            break
+        if taken:
+            rival = max((m for x, y, m in ranked[i:] if x in used or y in used), default=0)
+            if a in used or b in used or n <= rival or (len(ranked) == ROUND_PAIRS and n <= ranked[-1][2]):
+                break
+        taken.append((a, b, n))
+        used |= {a, b, a + b}
+    return taken
+
+
+def top_pairs(words: DataFrame, limit: int = ROUND_PAIRS) -> list[tuple]:
+    """Most frequent pairs; ties by (a, b) ascending."""
+    rows = pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(limit).collect()
+    return [(r["a"], r["b"], int(r["n"])) for r in rows]
 
 
 def apply_merge(words: DataFrame, a: str, b: str) -> DataFrame:
@@ -232,21 +260,22 @@ def apply_merge(words: DataFrame, a: str, b: str) -> DataFrame:
     return words.withColumn("symbols", merged)
 
 
-def learn_merges(df: DataFrame, text: str, rounds: int, checkpoint_every: int = 5) -> DataFrame:
-    """V1(b): ``rounds`` merges learned by iterated pair counts over the
-    distinct-word table.  One small job per round picks the best pair; the
-    word table is rewritten lazily and its lineage is cut with a reliable
-    checkpoint every ``checkpoint_every`` rounds.  Returns (rank, a, b, n)."""
-    from ..session import checkpoint
+def learn_merges(df: DataFrame, text: str, rounds: int) -> DataFrame:
+    """V1(b): ``rounds`` merges learned over the distinct-word table.
 
+    One small job counts the pairs; all merges that cannot influence each other
+    are taken from it at once (``independent_pairs``), with the same result as one
+    by one.  The word table's lineage is cut with a reliable checkpoint after
+    each.  Returns (rank, a, b, n).
+    """
     words = checkpoint(word_table(df, text))
-    merges = []
-    for r in range(rounds):
-        best = best_pair(words)
-        if best is None:
+    merges: list[tuple] = []
+    while len(merges) < rounds:
+        found = independent_pairs(top_pairs(words), rounds - len(merges))
+        if not found:
             break
-        merges.append((r, best[0], best[1], int(best[2])))
-        words = apply_merge(words, best[0], best[1])
-        if (r + 1) % checkpoint_every == 0:
-            words = checkpoint(words)
-    return df.sparkSession.createDataFrame(merges, "rank int, a string, b string, n long")
+        merges += found
+        for a, b, _ in found:
+            words = apply_merge(words, a, b)
+        words = checkpoint(words)
+    return df.sparkSession.createDataFrame([(r, *m) for r, m in enumerate(merges)], "rank int, a string, b string, n long")

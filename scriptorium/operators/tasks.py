@@ -4,11 +4,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import explode_rows, let, tokenise_ws
+from .order import row_index
 
 def relation_prompt(e1, e2, text) -> Column:
     """``find relation between entities - {e1} and {e2} in {text}``."""
@@ -106,18 +107,16 @@ def token_annotate(df: DataFrame, text: str = "text", entities: str = "entities"
 
 
 def label_dimension(df: DataFrame, labels: str, exclude=(K.IGNORE_TAG,), is_array: bool = True) -> DataFrame:
-    """A4: sorted distinct labels with 0-based ids.  The distinct set is a label
-    dimension (tiny), so one ordered window over it is fine."""
+    """A4: sorted distinct labels with 0-based ids (numbered by W1: any number of labels)."""
     vals = explode_rows(df, labels, "label", keep=[]) if is_array else df.select(F.col(labels).alias("label"))
     vals = vals.where(~F.col("label").isin(*exclude)) if exclude else vals
-    d = vals.distinct()
-    return d.withColumn("id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    return row_index(vals.distinct(), ["label"], "id").withColumn("id", F.col("id").cast("int"))
 
 
 def label_dimension_first_seen(df: DataFrame, label: str, order: str) -> DataFrame:
     """A5: distinct labels numbered by first occurrence along ``order``."""
     first = df.groupBy(F.col(label).alias("label")).agg(F.min(order).alias("_first"))
-    return first.withColumn("id", (F.row_number().over(Window.orderBy("_first", "label")) - 1).cast("int")).drop("_first")
+    return row_index(first, ["_first", "label"], "id").select("label", F.col("id").cast("int").alias("id"))
 
 
 def label_encode(df: DataFrame, label: str, dim: DataFrame, out: str = "label_id", strict: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -290,10 +292,40 @@ def vocab_first_merge(spark, sf):
     return E.pair_counts(words).orderBy(F.col("n").desc(), "a", "b").limit(1).select("a", "b", F.col("n").cast("bigint").alias("n"))
 
 
-@query("vocab_merges")
+MERGES = 24
+
+
+def _merges_sql():
+    """The merges one by one; a symbol is chr(1) || symbol || chr(2)."""
+    ctes = [
+        ("tok", _TOK),
+        ("w", "SELECT word, count(*) AS n FROM (SELECT unnest(toks) AS word FROM tok) GROUP BY word"),
+        ("s0", "SELECT regexp_replace(word, '(.)', chr(1) || '\\1' || chr(2), 'gs') AS s, n FROM w"),
+    ]
+    for r in range(MERGES):
+        ctes += [
+            (f"y{r}", f"SELECT string_split(trim(replace(s, chr(2) || chr(1), chr(3)), chr(1) || chr(2)), chr(3)) AS c, n FROM s{r}"),
+            (f"p{r}", f"SELECT unnest(list_transform(range(1, len(c)), lambda i: {{'a': c[i], 'b': c[i + 1]}})) AS pr, n FROM y{r} WHERE len(c) >= 2"),
+            (f"b{r}", f"SELECT pr.a AS a, pr.b AS b, sum(n)::BIGINT AS n FROM p{r} GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 1"),
+            (f"s{r + 1}", f"SELECT replace(s.s, chr(1) || b.a || chr(2) || chr(1) || b.b || chr(2), chr(1) || b.a || b.b || chr(2)) AS s, s.n FROM s{r} s, b{r} b"),
+        ]
+    sql = Q.with_ctes(ctes, " UNION ALL ".join(f"SELECT {r}::INTEGER AS rank, a, b, n FROM b{r}" for r in range(MERGES)))
+    return re.sub(r"\b([sb]\d+) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
+@query("vocab_merges", _merges_sql())
 def vocab_merges(spark, sf):
-    """V1(b): the first 8 merges (iterative; checked by tests against a Python learner)."""
-    return E.learn_merges(_docs(spark, sf), "text", 8, checkpoint_every=4)
+    """V1(b): the first merges of a sub-word vocabulary."""
+    return E.learn_merges(_docs(spark, sf), "text", MERGES)
+
+
+_SAMPLED = [("sampled", f"SELECT doc_id, text FROM documents ORDER BY {Q.digest(SEED, 'doc_id')}, doc_id LIMIT 100000"), ("tok", _TOK.replace("FROM documents", "FROM sampled"))] + VOCAB_CTES[1:]
+
+
+@query("vocab_sampled", Q.with_ctes(_SAMPLED, "SELECT word, id, n FROM v"))
+def vocab_sampled(spark, sf):
+    """L4 -> V1: a vocabulary of 32,000 words learned from a seeded sample of 100,000 rows."""
+    return E.vocab_words(order.sample_n(_docs(spark, sf).select("doc_id", "text"), 100_000, SEED, "doc_id"), "text", VOCAB_K)
 
 
 @query("collate_pad", Q.with_ctes(_BATCHED, _PADDED))

@@ -25,7 +25,7 @@ def _increments(spark, df, name):
 def stream_ingest(spark, sf):
     """SR1: every increment file ingested once into a parquet table."""
     folder, schema = _increments(spark, table(spark, sf, "documents").select("doc_id", "text"), "inc")
-    sink = S.ingest(S.increments(spark, folder, schema, max_files=1), scratch_path(spark, "sink"), scratch_path(spark, "ck"))
+    sink = S.ingest(S.increments(spark, folder, schema), scratch_path(spark, "sink"), scratch_path(spark, "ck"))
     return spark.read.parquet(sink).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -33,7 +33,7 @@ def stream_ingest(spark, sf):
 def stream_dedupe(spark, sf):
     """SR2: digests that survive incremental dedupe (= distinct texts)."""
     folder, schema = _increments(spark, table(spark, sf, "documents").select("doc_id", "text"), "inc")
-    sink = S.dedupe(S.increments(spark, folder, schema, max_files=1), "text", scratch_path(spark, "sink"), scratch_path(spark, "ck"))
+    sink = S.dedupe(S.increments(spark, folder, schema), "text", scratch_path(spark, "sink"), scratch_path(spark, "ck"))
     return spark.read.parquet(sink).select("h")
 
 
@@ -44,5 +44,14 @@ def stream_dedupe(spark, sf):
 def stream_word_total(spark, sf):
     """SR3: clean + filter + running rows/words per language over increments."""
     folder, schema = _increments(spark, FX.articles(table(spark, sf, "documents")), "inc")
-    sink = S.cleaned_word_totals(S.increments(spark, folder, schema, max_files=1), scratch_path(spark, "sink"), scratch_path(spark, "ck"))
+    sink = S.cleaned_word_totals(S.increments(spark, folder, schema), scratch_path(spark, "sink"), scratch_path(spark, "ck"))
     return spark.read.parquet(sink).select("lang", "rows", "words")
+
+
+@query("stream_dedupe_watermark", "SELECT DISTINCT md5(text) AS h FROM documents")
+def stream_dedupe_watermark(spark, sf):
+    """SR2 with bounded state: a digest is kept for a day of event time (all rows here lie within one)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 86_400).alias("seen_at"))
+    folder, schema = _increments(spark, docs, "inc")
+    sink = S.dedupe(S.increments(spark, folder, schema), "text", scratch_path(spark, "sink"), scratch_path(spark, "ck"), event_time="seen_at", delay="1 day")
+    return spark.read.parquet(sink).select("h")

@@ -37,7 +37,7 @@ def py_merges(texts, rounds):
 
 def test_learn_merges_matches_python(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
-    got = [(r.a, r.b, r.n) for r in E.learn_merges(df, "text", 6, checkpoint_every=2).orderBy("rank").collect()]
+    got = [(r.a, r.b, r.n) for r in E.learn_merges(df, "text", 6).orderBy("rank").collect()]
     assert got == py_merges(TEXTS, 6)
 
 
@@ -55,3 +55,28 @@ def test_truncate_pad(spark):
     rows = df.select(ids.alias("i"), mask.alias("m")).collect()
     assert [list(r.i) for r in rows] == [[2, 7, 8, 9, 3], [2, 7, 3, 0, 0]]
     assert [list(r.m) for r in rows] == [[1, 1, 1, 1, 1], [1, 1, 1, 0, 0]]
+
+
+def test_many_merges_in_few_rounds(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(80)) for _ in range(6)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r.a, r.b, r.n) for r in E.learn_merges(df, "text", 25).orderBy("rank").collect()]
+    assert got == py_merges(texts, 25)
+
+
+def test_independent_pairs():
+    ranked = [("a", "b", 9), ("c", "d", 8), ("b", "e", 7), ("f", "g", 6)]
+    assert E.independent_pairs(ranked, 4) == [("a", "b", 9), ("c", "d", 8)]
+    assert E.independent_pairs([("a", "b", 9), ("c", "d", 7), ("b", "e", 7)], 4) == [("a", "b", 9)]
+    assert E.independent_pairs([], 4) == []
+
+
+def test_top_k_takes_ties_by_word(spark):
+    df = spark.createDataFrame([(f"w{i:03d}", 5 if i < 3 else 1) for i in range(200)], "word string, n long")
+    got = sorted(r.word for r in E.top_k_by_count(df, 10, "word", "n").collect())
+    assert got == [f"w{i:03d}" for i in range(10)]
+    plan = E.top_k_by_count(df, 10, "word", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
