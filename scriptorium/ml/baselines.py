@@ -61,16 +61,15 @@ def multilabel(df: DataFrame, text: str, labels: list[str], key: str, features:
     return M.multilabel_positive(preds.select(pv.alias("pv"), rv.alias("rv")), "pv", "rv")
 
 
+def pair_features(df: DataFrame, s1: str, s2: str) -> DataFrame:
+    """Words of both sentences and distinct words in common (n1, n2, common)."""
+    t1, t2 = tokenise_ws(F.lower(F.col(s1))), tokenise_ws(F.lower(F.col(s2)))
+    return df.withColumn("n1", F.size(t1).cast("double")).withColumn("n2", F.size(t2).cast("double")).withColumn("common", F.size(F.array_intersect(t1, t2)).cast("double"))
+
+
 def pair_regression(df: DataFrame, s1: str, s2: str, score: str, key: str) -> DataFrame:
     """Word-overlap features + linear regression; Pearson on held-out pairs."""
-    t1, t2 = tokenise_ws(F.lower(F.col(s1))), tokenise_ws(F.lower(F.col(s2)))
-    feats = df.select(
-        key,
-        F.size(t1).cast("double").alias("n1"),
-        F.size(t2).cast("double").alias("n2"),
-        F.size(F.array_intersect(t1, t2)).cast("double").alias("common"),
-        F.col(score).cast("double").alias("label"),
-    )
+    feats = pair_features(df, s1, s2).select(key, "n1", "n2", "common", F.col(score).cast("double").alias("label"))
     feats = VectorAssembler(inputCols=["n1", "n2", "common"], outputCol="features").transform(feats)
     train, test = _split(feats, key)
     pred = LinearRegression(maxIter=50).fit(train).transform(test)

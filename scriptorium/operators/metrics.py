@@ -217,10 +217,14 @@ def running_stats(df: DataFrame, group: str, order: list[str], value: str) -> Da
     return out.withColumn("run_sum", F.col("_ls") + F.col("_cs")).withColumn("run_n", F.col("_ln") + F.col("_cn")).drop("_pid", "_ls", "_ln", "_cs", "_cn")
 
 
-def loss_running_mean(log: DataFrame, epoch: str = "epoch", step: str = "step", loss: str = "loss") -> DataFrame:
-    """Mean loss since the start of the epoch, per step."""
+def loss_running_mean(log: DataFrame, epoch: str = "epoch", step: str = "step", loss: str = "loss", digits: int = 6) -> DataFrame:
+    """Sum, steps and mean of the loss since the start of the epoch, per step.
+
+    The sum is rounded before the division, so the order of summation does not show.
+    """
     r = running_stats(log, epoch, [step], loss)
-    return r.withColumn("running_mean", F.col("run_sum") / F.col("run_n")).drop("run_sum", "run_n")
+    total = F.round("run_sum", digits)
+    return r.withColumn("running_sum", total).withColumn("running_steps", F.col("run_n")).withColumn("running_mean", total / F.col("run_n")).drop("run_sum", "run_n")
 
 
 def loss_bucket_mean(log: DataFrame, k: int, epoch: str = "epoch", step: str = "step", loss: str = "loss") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions import constants as K
 from ...functions.text import explode_rows
 from ...operators import encode as E
-from ...operators import order
+from ...operators import mix, order
 from ...operators import tasks as T
 from ...session import checkpoint
 from ...sources.tables import documents, table
@@ -340,3 +340,36 @@ def collate_pad(spark, sf):
         return pd.DataFrame({"doc_id": pdf["doc_id"], "batch": pdf["batch"], "padded": padded})
 
     return collate(_batched(spark, sf).select("doc_id", "batch", "ids"), "batch", pad, "doc_id long, batch long, padded string")
+
+
+def _chain_sql():
+    src = [
+        ("src", "SELECT 0 AS source, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark"),
+        ("num", "SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM src"),
+        ("mx", "SELECT max(n) AS mx FROM num"),
+        ("documents", "SELECT (r * 2 + source)::BIGINT AS doc_id, text FROM (SELECT source, text, unnest(range(i, mx, n)) AS r FROM num, mx)"),
+        ("ord", f"SELECT doc_id, row_number() OVER (ORDER BY {Q.digest(SEED, 'doc_id')}, doc_id) - 1 AS rank FROM documents"),
+    ]
+    # the vocabulary is that of the documents table; the texts are the interleaved ones
+    voc = [("tok", _TOK), *VOCAB_CTES[1:]]
+    voc = [(f"{n}0", _renamed(sql)) for n, sql in voc]
+    own = [("tok", _TOK), ("v", "SELECT * FROM v0"), *ENC_CTES[len(VOCAB_CTES) :], *MASK_CTES[len(ENC_CTES) :]]
+    return Q.with_ctes(
+        voc + src + own,
+        "SELECT m.doc_id, array_to_string(masked_ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM msk m JOIN ord USING (doc_id) WHERE rank >= 100",
+    )
+
+
+def _renamed(sql: str) -> str:
+    """The vocabulary's common table names with a 0, so that they do not meet the chain's own."""
+    return re.sub(r"\bFROM (tok|w|c)\b", r"FROM \g<1>0", sql).replace("FROM documents", "FROM main.documents")
+
+
+@query("pretraining_chain", _chain_sql())
+def pretraining_chain(spark, sf):
+    """Texts of several sources interleaved (U2), the first 100 of a seeded order held out (L3), the rest encoded and masked (M4)."""
+    frames = [_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")]
+    mixed = mix.interleave(frames, ["id", "id"], out="doc_id").select("doc_id", "text")
+    train = order.take_skip(mixed, 100, SEED, "doc_id").where(F.col("split") == "train").drop("split")
+    m = masked(spark, sf, docs=train)
+    return m.select("doc_id", _join("masked_ids").alias("input_ids"), _join("labels").alias("labels"))

@@ -136,7 +136,7 @@ def xml_abstracts(spark, sf):
         [
             (
                 "s",
-                "SELECT doc_id, replace(text, chr(10), ' ') AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[2]}, {'_id': 'e2', '_text': p[3]}, {'_id': 'e2', '_text': CASE WHEN doc_id % 6 = 0 THEN 'again' END}], lambda e: e._text IS NOT NULL) AS entity, "
+                "SELECT doc_id, replace(text, chr(10), ' ') AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[1 + (len(p) - 1) // 2]}, {'_id': 'e2', '_text': p[len(p)]}, {'_id': 'e2', '_text': CASE WHEN doc_id % 6 = 0 THEN 'again' END}], lambda e: e._text IS NOT NULL) AS entity, "
                 "[{'_e1': 'e0', '_e2': 'e1', '_ddi': CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1))::INTEGER % 2 = 0 THEN 'true' ELSE 'false' END, '_type': CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'mechanism' END}, "
                 "{'_e1': 'e1', '_e2': 'e2', '_ddi': 'true', '_type': 'effect'}, {'_e1': 'e0', '_e2': 'e9', '_ddi': 'true', '_type': 'advise'}] AS pair "
                 "FROM (SELECT doc_id, text, string_split(replace(text, chr(10), ' '), ' ') AS p FROM documents)",
@@ -258,7 +258,8 @@ def tsv_relations(spark, sf):
     K.write_lines(FX.entity_lines(entities.where(first)).coalesce(1), "value", f"{root}/a")
     K.write_lines(FX.entity_lines(entities.where(~first)).coalesce(1), "value", f"{root}/b")
     back = R.read_bounded_tsv(spark, f"{root}/*", ["doc_id", "entity_id", "kind", "a", "b", "text"])
-    return TK.relation_join(abstracts, back, relations)
+    path = K.write_lines(FX.relation_lines(relations), "value", K.scratch_path(spark, "relations"))
+    return TK.relation_join(abstracts, back, R.read_bounded_tsv(spark, path, ["doc_id", "kind", "use", "grp", "arg1", "arg2"]))
 
 
 @query(

@@ -8,7 +8,9 @@ from ...ml import baselines as B
 from ...operators import tasks as T
 from ...sources.tables import documents, table
 from .. import fixtures as FX
+from .. import sqltext as Q
 from ..registry import query
+from .tasks import pairs_sql
 
 
 @query("baseline_multiclass")
@@ -38,3 +40,37 @@ def baseline_tagger(spark, sf):
     """B4 on the tag sequences."""
     t = FX.tag_sequences(documents(spark, sf))
     return B.tagger(t, "tokens", "gold", "doc_id")
+
+
+def _held_out(source: str, key: str) -> str:
+    order_by = Q.digest(1337, key)
+    return f"SELECT *, row_number() OVER (ORDER BY {order_by}, {key}) - 1 AS i, count(*) OVER () AS n FROM ({source})"
+
+
+@query(
+    "baseline_split_sizes",
+    Q.with_ctes(
+        [("l", _held_out("SELECT d.doc_id, quality, toxic FROM documents d JOIN labels USING (doc_id)", "doc_id"))],
+        "SELECT CASE WHEN i < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS rows, sum(quality)::BIGINT AS quality, sum(toxic)::BIGINT AS toxic FROM l GROUP BY 1",
+    ),
+)
+def baseline_split_sizes(spark, sf):
+    """B2's inputs: rows and positive labels of the two splits it trains and tests on."""
+    d = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "toxic")
+    train, test = B._split(d, "doc_id")
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("quality").cast("bigint").alias("quality"), F.sum("toxic").cast("bigint").alias("toxic"))
+
+
+@query(
+    "baseline_pair_features",
+    Q.with_ctes(
+        pairs_sql() + [("t", f"SELECT conv_id, turn, {Q.tokens('lower(sentence1)')} AS a, {Q.tokens('lower(sentence2)')} AS b FROM pairs")],
+        "SELECT conv_id, turn, len(a)::BIGINT AS n1, len(b)::BIGINT AS n2, len(list_intersect(a, b))::BIGINT AS common FROM t",
+    ),
+)
+def baseline_pair_features(spark, sf):
+    """B3's features: words of both sentences and distinct words in common."""
+    p = FX.sentence_pairs(table(spark, sf, "conversations"))
+    f = B.pair_features(p, "sentence1", "sentence2")
+    return f.select("conv_id", "turn", *[F.col(c).cast("bigint").alias(c) for c in ("n1", "n2", "common")])

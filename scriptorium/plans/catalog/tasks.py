@@ -25,7 +25,7 @@ _F2 = [
     (
         "entities",
         "SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'T1' AS entity_id, parts[1] AS text, doc_id * 3 AS line_no FROM base "
-        "UNION ALL SELECT CAST(doc_id AS VARCHAR), 'T2', parts[2], doc_id * 3 + 1 FROM base WHERE doc_id % 50 <> 0 "
+        "UNION ALL SELECT CAST(doc_id AS VARCHAR), 'T2', parts[len(parts)], doc_id * 3 + 1 FROM base WHERE doc_id % 50 <> 0 "
         "UNION ALL SELECT CAST(doc_id AS VARCHAR), 'T1', parts[1] || '!', doc_id * 3 + 2 FROM base WHERE doc_id % 10 = 0) WHERE text IS NOT NULL",
     ),
     (
@@ -70,10 +70,10 @@ def relation_orphans(spark, sf):
 
 @query(
     "relation_prompt",
-    Q.with_ctes(_F2, "SELECT doc_id, " + PROMPT_SQL.format(e1="parts[1]", e2="parts[2]", text="text") + " AS sample FROM base"),
+    Q.with_ctes(_F2, "SELECT doc_id, " + PROMPT_SQL.format(e1="parts[1]", e2="parts[len(parts)]", text="text") + " AS sample FROM base"),
 )
 def relation_prompt(spark, sf):
-    e1, e2 = FX.first_words()
+    e1, e2 = FX.spread_words()
     docs = documents(spark, sf)
     return docs.select("doc_id", T.relation_prompt(e1, e2, F.col("text")).alias("sample"))
 
@@ -81,10 +81,10 @@ def relation_prompt(spark, sf):
 def sentences(spark, sf):
     """XML-shaped sentences (entity and pair arrays) derived from documents."""
     docs = documents(spark, sf)
-    flat = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1)
+    words = FX.spread_words(n=3)
     ent = F.filter(
         F.array(
-            *[F.struct(F.lit(f"e{i}").alias("_id"), F.get(flat, i).alias("_text")) for i in range(3)],
+            *[F.struct(F.lit(f"e{i}").alias("_id"), words[i].alias("_text")) for i in range(3)],
             # every sixth sentence has two entities e2: its pairs match no single one
             F.struct(F.lit("e2").alias("_id"), F.when(F.col("doc_id") % 6 == 0, F.lit("again")).alias("_text")),
         ),
@@ -101,7 +101,7 @@ def sentences(spark, sf):
 
 
 _SENT = (
-    "SELECT doc_id, text AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[2]}, {'_id': 'e2', '_text': p[3]}, {'_id': 'e2', '_text': CASE WHEN doc_id % 6 = 0 THEN 'again' END}], lambda e: e._text IS NOT NULL) AS entity, "
+    "SELECT doc_id, text AS _text, list_filter([{'_id': 'e0', '_text': p[1]}, {'_id': 'e1', '_text': p[1 + (len(p) - 1) // 2]}, {'_id': 'e2', '_text': p[len(p)]}, {'_id': 'e2', '_text': CASE WHEN doc_id % 6 = 0 THEN 'again' END}], lambda e: e._text IS NOT NULL) AS entity, "
     "[{'_e1': 'e0', '_e2': 'e1', '_ddi': CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1))::INTEGER % 2 = 0 THEN 'true' ELSE 'false' END, '_type': CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'mechanism' END}, "
     "{'_e1': 'e1', '_e2': 'e2', '_ddi': 'true', '_type': 'effect'}, {'_e1': 'e0', '_e2': 'e9', '_ddi': 'true', '_type': 'advise'}] AS pair "
     "FROM (SELECT doc_id, text, string_split(replace(text, chr(10), ' '), ' ') AS p FROM documents)"
@@ -131,11 +131,10 @@ def ddi_relations(spark, sf):
 
 def _ents_sql():
     toks = Q.tokens("text")
-    w = [f"{toks}[{i + 1}]" for i in range(6)]
-    items = [f"{{'text': {w[i]}, 'annotation_type': '{FX.PICO_TYPES[i % 3]}'}}" for i in range(6)]
-    items.append(f"{{'text': concat_ws(' ', {w[0]}, {w[1]}), 'annotation_type': 'Outcome'}}")
-    items.append(f"{{'text': {w[0]}, 'annotation_type': 'Outcome'}}")
-    return f"SELECT doc_id, text, list_filter([{', '.join(items)}], lambda e: e.text IS NOT NULL) AS entities FROM documents"
+    types = "[" + ", ".join(f"'{t}'" for t in FX.PICO_TYPES) + "]"
+    chosen = f"list_transform(list_filter(t, lambda w: substr(md5(w), 1, 1) = '0'), lambda w: {{'text': w, 'annotation_type': {types}[1 + ('0x' || substr(md5(w), 2, 1))::INTEGER % 3]}})"
+    more = "[{'text': concat_ws(' ', t[1], t[2]), 'annotation_type': 'Outcome'}, {'text': t[1], 'annotation_type': 'Outcome'}]"
+    return f"SELECT doc_id, text, list_filter(list_concat({chosen}, {more}), lambda e: e.text IS NOT NULL) AS entities FROM (SELECT doc_id, text, {toks} AS t FROM documents)"
 
 
 _ANN = [

@@ -36,10 +36,10 @@ def articles(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "lang", expr.alias("article"))
 
 
-def first_words(text_col: str = "text", n: int = 2):
-    flat = F.replace(F.col(text_col), F.lit(NL), F.lit(" "))
-    parts = F.split(flat, " ", -1)
-    return [F.get(parts, i) for i in range(n)]
+def spread_words(text_col: str = "text", n: int = 2):
+    """``n`` words spread evenly over the whole text, from the first to the last one."""
+    parts = F.split(F.replace(F.col(text_col), F.lit(NL), F.lit(" ")), " ", -1)
+    return [F.get(parts, F.floor(F.lit(i) * (F.size(parts) - 1) / (n - 1)).cast("int")) for i in range(n)]
 
 
 def relation_inputs(documents: DataFrame):
@@ -51,7 +51,7 @@ def relation_inputs(documents: DataFrame):
     second time with a higher line number (last wins).
     relations: ``(doc_id, grp, arg1, arg2, line_no)``.
     """
-    e1, e2 = first_words()
+    e1, e2 = spread_words()
     base = documents.select("doc_id", "text", e1.alias("e1"), e2.alias("e2"))
     abstracts = base.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     t1 = base.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("T1").alias("entity_id"), F.col("e1").alias("text"), (F.col("doc_id") * 3).alias("line_no"))
@@ -89,15 +89,23 @@ PICO_TYPES = ("Participant", "Intervention", "Outcome")
 def annotated(documents: DataFrame) -> DataFrame:
     """``(doc_id, text, entities array<struct<text, annotation_type>>)``.
 
-    Entities: the first six words typed by position % 3, word 1 again at the
-    end with another type (later entry wins), and one two-word entity.
+    Entities, over the whole text: every word whose md5 starts with 0, typed by
+    the next digit; then the first two words as one entity, and word 1 again
+    with another type (the later entry wins).
     """
     base = documents.select("doc_id", "text", tokenise_ws("text").alias("_toks"))
-    words = [F.get(F.col("_toks"), i) for i in range(6)]
-    ents = [F.struct(w.alias("text"), F.lit(PICO_TYPES[i % 3]).alias("annotation_type")) for i, w in enumerate(words)]
-    ents.append(F.struct(F.concat_ws(" ", words[0], words[1]).alias("text"), F.lit("Outcome").alias("annotation_type")))
-    ents.append(F.struct(words[0].alias("text"), F.lit("Outcome").alias("annotation_type")))
-    arr = F.filter(F.array(*ents), lambda e: e["text"].isNotNull())
+
+    def entity(w):
+        digit = F.conv(F.substring(F.md5(w), 2, 1), 16, 10).cast("int") % 3
+        return F.struct(w.alias("text"), F.get(F.array(*[F.lit(t) for t in PICO_TYPES]), digit).alias("annotation_type"))
+
+    chosen = F.transform(F.filter("_toks", lambda w: F.substring(F.md5(w), 1, 1) == "0"), entity)
+    first, second = F.get("_toks", 0), F.get("_toks", 1)
+    more = F.array(
+        F.struct(F.concat_ws(" ", first, second).alias("text"), F.lit("Outcome").alias("annotation_type")),
+        F.struct(first.alias("text"), F.lit("Outcome").alias("annotation_type")),
+    )
+    arr = F.filter(F.concat(chosen, more), lambda e: e["text"].isNotNull())
     return base.select("doc_id", "text", arr.alias("entities"))
 
 
