@@ -16,9 +16,13 @@ from ..session import ensure_checkpoint_dir
 BLANKS = " \t\n\x0b\f\r"
 
 
+_named: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name inside the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _named.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,9 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the folders that ``shared_folder`` named in this session; DataFrames that read them are void after it."""
+    n = 0
+    while _named:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:

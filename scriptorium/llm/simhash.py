@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bittable
 from .common import append_columns, binary_texts, written
 from .components import connected_components
 
@@ -127,31 +128,13 @@ def anchors(fps: np.ndarray, part: int, threshold: int):
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    """Place of an anchor in the table of homes."""
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HOME_BITS)
-
-
-def _home_table(fps: DataFrame) -> np.ndarray:
-    """The bit table of homes: per 64 bits of it, Spark ors the bits of all fingerprints."""
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            slots = _slot(np.concatenate([homes(x, part) for part in range(len(PART_SHIFTS))]))
-            bits = (np.uint64(1) << (slots & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int32)), pa.array(bits)], ["word", "bits"])
-
-    words = fps.select("fp").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    got = words.toArrow()  # at most 2^(HOME_BITS - 6) rows
-    table = np.zeros(1 << (HOME_BITS - 6), np.uint64)
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return table
+def _all_homes(fps: np.ndarray) -> np.ndarray:
+    return np.concatenate([homes(fps, part) for part in range(len(PART_SHIFTS))])
 
 
 def _replicate(fps: DataFrame, threshold: int) -> DataFrame:
     """(anchor, fp, home): each fingerprint at all its anchors that somebody may have as home."""
-    spread = fps.sparkSession.sparkContext.broadcast(_home_table(fps))
+    spread = fps.sparkSession.sparkContext.broadcast(bittable.build(fps.select("fp"), HOME_BITS, _all_homes))
 
     def run(batches):
         table = spread.value
@@ -161,8 +144,7 @@ def _replicate(fps: DataFrame, threshold: int) -> DataFrame:
                 x = every[i : i + _STEP]
                 for part in range(len(PART_SHIFTS)):
                     rows, keys = anchors(x, part, threshold)
-                    slots = _slot(keys)
-                    there = (table[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+                    there = bittable.present(table, keys, HOME_BITS)
                     rows, keys = rows[there], keys[there]
                     at_home = homes(x, part)[rows] == keys
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(x[rows].view(np.int64)), pa.array(at_home)], ["anchor", "fp", "home"])
