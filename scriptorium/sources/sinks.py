@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tarfile
 import uuid
 
@@ -84,14 +83,14 @@ def write_tar_archives(df: DataFrame, name: str, text: str, path: str, group: st
     """Write one ``.tar.gz`` per value of ``group`` with one member per row.
 
     Used to produce archive inputs for S11; each archive is built by one task
-    from its own group (groups must be bounded, e.g. ``id div 100``).
+    from its own group (groups must be bounded, e.g. ``id div 100``) and written
+    through Arrow's file systems (local mounts, HDFS, object stores).
     """
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if not local.startswith("/"):
-        raise ValueError("archive fixtures need a mounted shared folder (a POSIX path)")
-    os.makedirs(local, exist_ok=True)
+    root = (path if "://" in path else "file://" + path.removeprefix("file:")).rstrip("/")
 
     def _write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
         g = pdf[group].iloc[0]
         buf = io.BytesIO()
         with tarfile.open(fileobj=buf, mode="w:gz") as tf:
@@ -100,9 +99,11 @@ def write_tar_archives(df: DataFrame, name: str, text: str, path: str, group: st
                 info = tarfile.TarInfo(name=str(n))
                 info.size = len(data)
                 tf.addfile(info, io.BytesIO(data))
-        target = f"{local.rstrip('/')}/part-{g}.tar.gz"
-        with open(target, "wb") as fh:
-            fh.write(buf.getvalue())
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        target = f"{folder}/part-{g}.tar.gz"
+        with store.open_output_stream(target, compression=None) as out:
+            out.write(buf.getvalue())
         return pd.DataFrame({"archive": [target], "members": [len(pdf)]})
 
     out = df.groupBy(group).applyInPandas(_write, "archive string, members long")
