@@ -40,8 +40,10 @@ def main():
     os.environ.setdefault("SCRIPTORIUM_MASTER", f"local[{cpus}]")
     from scriptorium.plans import registry
     from scriptorium.session import get_spark
+    from scriptorium.sources.tables import SPREAD_CONF
 
     spark = get_spark(master=f"local[{cpus}]", partitions=cpus)
+    spark.conf.set(SPREAD_CONF, str(cpus))  # the file has one row group: its scan is one task
     qs = registry.queries()
     times = {}
     for name in HEADLINE:

@@ -26,23 +26,26 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Files holding one JSON array each (possibly pretty-printed)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files holding one JSON array each (possibly pretty-printed).
+
+    A file is one scan task; its rows are dealt to all tasks after it.
+    """
+    return spark.read.schema(schema).option("multiLine", True).json(path).hint("rebalance")
 
 
 def read_csv_notes(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """S3: headered CSV, every column a string, quoted fields may span lines.
 
     Edge blanks stay, ``""`` is an empty string and nothing between two
-    separators is NULL.  A multi-line file is one scan task.
+    separators is NULL.  A multi-line file is one scan task; its
+    rows are dealt to all tasks after it.
     """
     r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     # a NULL value of its own, or the empty string would count as NULL too
     r = r.option("emptyValue", "").option("nullValue", "\u0000")
-    if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", False).csv(path)
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
+    return r.csv(path).hint("rebalance")
 
 
 def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -233,7 +236,7 @@ def read_tar_members(spark: SparkSession, path: str, glob: str = "*.tar.gz") ->
                                 out, size = [], 0
             yield pd.DataFrame(out, columns=["archive", "member", "text"])
 
-    return files.mapInPandas(_members, TAR_SCHEMA)
+    return files.mapInPandas(_members, TAR_SCHEMA).hint("rebalance")
 
 
 def load_splits(spark: SparkSession, files: dict[str, str], schema) -> DataFrame:
