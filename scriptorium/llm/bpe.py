@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from .common import append_columns, binary_texts
 
 #: Pieces kept per store; two stores alternate, so a worker holds at most twice as many.
-STORE_PIECES = 200_000
-_PAIRS_KEPT = 1_000_000
+STORE_PIECES = 120_000
+_PAIRS_KEPT = 300_000
 _MARK = 0x1000  # shift of a character that carries the word-end mark
 
 
@@ -68,12 +68,10 @@ class PrefixBpe:
         self.merge: dict[tuple[int, int], int] = {}  # pair -> rank
         self.rank: dict[int, int] = {}  # token -> rank of the merge that makes it
         self.halves: dict[int, tuple[int, int]] = {}
-        self.made: dict[tuple[int, int], int] = {}
         for r, (a, b) in enumerate(model["merges"] if not isinstance(model["merges"][0], str) else [m.split(" ") for m in model["merges"]]):
             pair = vocab[a], vocab[b]
             token = vocab[a + b]
             self.merge[pair] = r
-            self.made[pair] = token
             if token not in self.rank:
                 self.rank[token] = r
                 self.halves[token] = pair
@@ -201,7 +199,7 @@ class _Store(dict):
 
     def turn(self) -> None:
         if len(self) > STORE_PIECES:
-            self.older = dict(self)
+            self.older = dict(self)  # the store before that is dropped
             self.clear()
 
 

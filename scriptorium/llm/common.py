@@ -16,6 +16,9 @@ from ..session import ensure_checkpoint_dir
 BLANKS = " \t\n\x0b\f\r"
 
 
+#: Input bytes that a Python worker turns into output rows at a time.
+SLICE_BYTES = 2_000_000
+
 _named: list[str] = []
 
 
@@ -46,8 +49,16 @@ def remove_intermediate(spark: SparkSession) -> int:
     return n
 
 
+def sliced(batches):
+    """Arrow batches in runs of rows of about ``SLICE_BYTES``, so that what is made of them stays small."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
-    """Append columns made by ``fn(batch) -> list of arrays``, one Arrow batch at a time.
+    """Append columns made by ``fn(batch) -> list of arrays``, some ``SLICE_BYTES`` of an Arrow batch at a time.
 
     An input column that has the name of an appended one is replaced by it.
     """
@@ -58,7 +69,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = fn(batch)
             arrays = [batch.column(k) for k in keep] + list(made)
             yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, arrow, strict=True)], schema=arrow)
