@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_intermediate(spark: SparkSession) -> int:
-    """Delete the folders that ``shared_folder`` named in this session; DataFrames that read them are void after it."""
+@contextmanager
+def named_since():
+    """The folders that ``shared_folder`` names inside of the block."""
+    before, found = len(_named), []
+    try:
+        yield found
+    finally:
+        found += _named[before:]
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> int:
+    """Delete folders that ``shared_folder`` named; DataFrames that read them are void after it."""
     n = 0
-    while _named:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
+    for name in list(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 

@@ -17,10 +17,11 @@ def test_bit_table_reports_all_that_is_there(spark):
 
 
 def test_intermediate_tables_can_be_removed(spark):
-    common.remove_intermediate(spark)
-    df = common.written(spark.range(10).withColumn("x", F.lit("a")), "t")
-    assert df.count() == 10
-    assert common.remove_intermediate(spark) == 1 and common.remove_intermediate(spark) == 0
+    with common.named_since() as named:
+        df = common.written(spark.range(10).withColumn("x", F.lit("a")), "t")
+    common.written(spark.range(1), "other")
+    assert df.count() == 10 and len(named) == 1
+    assert common.remove_folders(spark, named) == 1 and common.remove_folders(spark, named) == 0
 
 
 def test_clashing_names_are_replaced(spark):
