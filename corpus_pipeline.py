@@ -11,6 +11,9 @@ rereads as the docs of the next stage.  All but the last return the columns of
 4. benchmark decontamination: documents that leak a benchmark item go;
 5. BPE encoding: ids of what is left, and a digest of the text they decode to.
 
+The intermediate tables of a stage are deleted when the next stage begins: by then its result has been
+written, and nothing reads them any more.
+
 Null texts fail the quality rules (no words).  Empty tables pass through.
 SQL cannot express the learned rules, the fingerprints or the encoding, so
 there is no ``ORACLE_SQL``; tests hold every stage against a brute-force version.
@@ -18,11 +21,13 @@ there is no ``ORACLE_SQL``; tests hold every stage against a brute-force version
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import bpe_encode_decode
-from scriptorium.llm.common import written
+from scriptorium.llm.common import named_since, remove_folders, shared_folder, written
 from scriptorium.llm.decontaminate import without_leaks
 from scriptorium.llm.linededup import line_dedup
 from scriptorium.llm.quality import base_failed, kept, learn_rules, with_statistics
@@ -31,14 +36,29 @@ from scriptorium.llm.simhash import keep_one_per_component
 from scriptorium.sources.tables import table
 
 _STATS = "__quality"
+_left_over: list[str] = []  # intermediate tables of the stage before
+
+
+def _stage(fn):
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_folders(spark, _left_over)
+        with named_since() as named:
+            out = fn(spark, docs, sf_dir)
+        _left_over[:] = named
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = written(with_statistics(docs, stats_col=_STATS), "pipeline-quality")
     rules = learn_rules(marked.where(~base_failed(_STATS)).select("doc_id", _STATS), table(spark, sf_dir, "labels"), stats_col=_STATS)
     return marked.where(kept(rules, _STATS)).select(*docs.columns)
 
 
+@_stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup(docs, lines_col="__lines", removed_col="__removed")
     if "n_chars" in docs.columns:
@@ -46,14 +66,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select(*docs.columns)
 
 
+@_stage
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_per_component(docs, shingle=4, distance=4).select(*docs.columns)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+@_stage
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = bpe_encode_decode(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
     return out.select(
@@ -78,5 +101,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        path = shared_folder(spark, "pipeline-" + name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
