@@ -1,7 +1,9 @@
 """Operator 2 against a full alignment of every template with every text."""
 
 import random
+import re
 
+import pytest
 from scriptorium.llm import licenses as L
 from scriptorium.llm import queries as Q
 from scriptorium.llm.licensetexts import TEMPLATES
@@ -83,3 +85,38 @@ def test_query(spark):
     lines = {n: t for n, t in TEMPLATES.items() if n.endswith("/line")}
     planted = {(i, n) for i, t in docs.items() for n, x in lines.items() if x in t}
     assert planted and planted <= {(r.doc_id, r.license) for r in out.collect()}
+
+
+@pytest.mark.parametrize("sf", [SF001, "/root/testdata/sf0.01"])
+def test_notice_lines_of_documents(spark, sf):
+    """Every whole line that speaks of a licence or of rights lies inside a reported span, whatever the templates say."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    notices = [(i, m.start(), m.end()) for i, t in docs.items() for m in re.finditer(r"(?im)^.*(licen[sc]e|rights reserved|copyright|public domain).*$", t) if len(m[0]) < 200]
+    spans = {}
+    for r in Q.QUERIES["op2_license_scan"](spark, sf).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.stop))
+    assert notices
+    lost = [docs[i][a:b] for i, a, b in notices if not any(s <= a and b <= e + 1 for s, e in spans.get(i, []))]
+    assert not lost
+
+
+def test_bare_and_full_texts(spark):
+    """A bare reservation of rights; the texts behind a licence's first paragraph; the other GNU licences."""
+    texts = [
+        "Some words.\nALL RIGHTS RESERVED\nMore words.",
+        TEMPLATES["mit/text"] + ' The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of '
+        "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other "
+        "liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999",
+        "It is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. It is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ]
+    got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.license, texts[0][r.start : r.stop]) for r in got if r.doc_id == 0] == [("all-rights-reserved/bare", "ALL RIGHTS RESERVED")]
+    most = {}
+    for r in got:
+        most[r.doc_id] = max(most.get(r.doc_id, (0, "")), (r.matched_words, r.license))
+    assert [most[i][1] for i in (1, 2, 3)] == ["mit/full", "lgpl-2.1/title", "agpl-3.0/header"]
+    [full] = [r for r in got if r.license == "mit/full"]
+    assert full.coverage == 1 and full.stop >= len(texts[1]) - 1
