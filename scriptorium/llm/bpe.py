@@ -2,8 +2,9 @@
 
 For every prefix of a word there is exactly one token that can be the last one
 of the prefix's encoding.  The last tokens are found from left to right: all
-vocabulary entries that end at a position come out of a suffix automaton over
-the vocabulary; the right one is the entry whose start has a last token that it
+vocabulary entries that end at a position come out of an Aho-Corasick automaton over
+the vocabulary (the method's name says suffix automaton; both find the same entries,
+and a compiled library has this one); the right one is the entry whose start has a last token that it
 is compatible with.  Two neighbouring tokens are compatible if the merges that
 made them would have happened before any merge across their border.  Following
 the back-pointers from the full word emits the ids.
