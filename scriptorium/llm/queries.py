@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 from .bpe import bpe_encode_decode
-from .common import shared_folder, written
+from .common import written
 from .decontaminate import find_leaks
 from .htmltext import extract_text
 from .licenses import scan_licenses
@@ -42,6 +43,14 @@ def tokenizer_file(name: str) -> str:
     return os.path.realpath(public_tokenizers.path(name))
 
 
+def token_cache(spark: SparkSession) -> str:
+    """One folder for all runs: a later run, also of another session with the same
+    ``spark.checkpoint.dir``, reads the counts that earlier ones stored."""
+    key = "spark.checkpoint.dir"  # the context's own folder is a fresh one inside of it
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None) or ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/token-cache"
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
@@ -103,7 +112,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = count_tokens(docs, shared_folder(spark, "token-cache"), tokenizer_file("piece_bpe_32k.model"))
+    out = count_tokens(docs, token_cache(spark), tokenizer_file("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 

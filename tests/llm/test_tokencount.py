@@ -4,6 +4,7 @@ import sentencepiece
 from scriptorium.llm import queries as Q
 from scriptorium.llm.common import shared_folder
 from scriptorium.llm.tokencount import count_tokens, read_cache
+from scriptorium.session import ensure_checkpoint_dir
 from tests.llm.conftest import SF001
 
 PATH = Q.tokenizer_file("piece_bpe_32k.model")
@@ -37,3 +38,15 @@ def test_query(spark):
     for r in got:
         n = len(sp.encode(texts[r.doc_id]))
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 4096)
+
+
+def test_query_reads_stored_counts(spark):
+    """A second run of the registered query adds nothing to the cache and gives the same counts."""
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None) or ensure_checkpoint_dir(spark)
+    cache = f"{root.rstrip('/')}/token-cache"
+    first = sorted(map(tuple, Q.QUERIES["op5_token_counts"](spark, SF001).collect()))
+    stored = read_cache(spark, cache).count()
+    assert stored >= len({r.text or "" for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()})
+    assert sorted(map(tuple, Q.QUERIES["op5_token_counts"](spark, SF001).collect())) == first
+    assert spark.read.parquet(cache).count() == stored
