@@ -13,6 +13,7 @@ from ..sources.tables import table
 from .bpe import bpe_encode_decode
 from .common import written
 from .decontaminate import find_leaks
+from .divergence import Audit, source_divergence, term_divergence
 from .htmltext import extract_text
 from .licenses import scan_licenses
 from .linededup import line_dedup
@@ -158,3 +159,49 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), found AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM docs
+), occ AS (
+  SELECT row, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM found
+), kept AS (
+  SELECT lang, term, count(*) AS n_lang FROM occ GROUP BY ALL HAVING count(DISTINCT row) >= 3
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), v AS (
+  SELECT lang, count(*) AS v, sum(n_lang) AS n_lang FROM kept GROUP BY lang
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) + v.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.n_lang + 1)) // (v.n_lang + v.v)::HUGEINT AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+             FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value,
+                 row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q) * (p - q)) // q DESC, term) AS rank
+                 FROM shares WHERE n > 0 AND p > q) WHERE rank <= 200
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = Audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+    parts = [("pair", source_divergence(audit)), ("term", term_divergence(audit, top=200))]
+    pair, term = (x.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for part, x in parts)
+    return pair.unionByName(term)
