@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one to its whole table."""
+"""The registered queries of the operators: each applies one to its whole table."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from .htmltext import extract_text
 from .licenses import scan_licenses
 from .linededup import line_dedup
 from .lmscore import lm_scores
+from .prefixtrie import prefix_trie
 from .quality import base_failed, kept, learn_rules, with_statistics
 from .simhash import fingerprint_hex, simhash_components, with_fingerprint
 from .suffixdedup import remove_repeats
@@ -205,3 +206,45 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [("pair", source_divergence(audit)), ("term", term_divergence(audit, top=200))]
     pair, term = (x.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for part, x in parts)
     return pair.unionByName(term)
+
+
+PREFIX_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS item, length(coalesce(text, '')) AS chars, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT c, item, chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, item) - 1 AS pos FROM t
+), convs AS (
+  SELECT c, count(*) AS n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))) % 6 AS h
+  FROM turns GROUP BY c
+), shared AS (
+  SELECT a.c, a.h, a.n, least(a.h, coalesce(b.n, 0)) AS b FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 100
+), rebuilt AS (
+  SELECT s.c, t.pos + 1 AS d, t.item, t.chars FROM shared s JOIN turns t ON t.c = s.c - s.c % 100 AND t.pos < s.b
+  UNION ALL
+  SELECT s.c, t.pos - s.h + s.b + 1, t.item, t.chars FROM shared s JOIN turns t ON t.c = s.c AND t.pos >= s.h
+), prefixes AS (
+  SELECT c, d, chars, md5(string_agg(item, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM rebuilt
+  UNION ALL
+  SELECT c, 0, 0, '' FROM convs
+), linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, lead(node) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM prefixes
+), nodes AS (
+  SELECT node, parent, min(c) AS rep, max(d) AS depth, count(*) AS n, (count(*) - 1) * max(chars) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends FROM linked GROUP BY node, parent
+), family AS (
+  SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.parent = n.node) AS children FROM nodes n
+), below AS (
+  SELECT p.node, count(*) FILTER (f.children = 0) AS leaves, sum(f.saved) AS saved
+  FROM family f JOIN prefixes p ON p.c = f.rep AND p.d <= f.depth GROUP BY p.node
+)
+SELECT f.rep AS conv_id, f.depth::BIGINT AS depth, p.rep AS parent_conv_id, f.n AS n_convs, f.children AS n_children,
+       b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM family f JOIN below b USING (node) LEFT JOIN nodes p ON p.node = f.parent
+"""
+
+
+@query("op11_prefix_trie", PREFIX_TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
