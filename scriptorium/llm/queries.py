@@ -20,6 +20,7 @@ from .linededup import line_dedup
 from .lmscore import lm_scores
 from .prefixtrie import prefix_trie
 from .quality import base_failed, kept, learn_rules, with_statistics
+from .secretscan import scan_secrets, train
 from .simhash import fingerprint_hex, simhash_components, with_fingerprint
 from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
@@ -248,3 +249,13 @@ FROM family f JOIN below b USING (node) LEFT JOIN nodes p ON p.node = f.parent
 @query("op11_prefix_trie", PREFIX_TRIE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scan_secrets(docs, train(docs)).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "tagged")
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
