@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ...operators import order
 from ...operators import tasks as TK
 from ...operators.filters import books_without_pages
+from ...sources import ranges
 from ...sources import readers as R
 from ...sources import sinks as K
 from ...sources.tables import documents, table
@@ -47,18 +48,63 @@ _EDGE_SQL = "CASE doc_id % 4 WHEN 0 THEN '  ' || text || '  ' WHEN 1 THEN '' WHE
 @query("scan_csv_notes", f"SELECT doc_id, md5(text) AS text_md5, md5({_EDGE_SQL}) AS note_md5 FROM documents")
 def scan_csv_notes(spark, sf):
     """K2 -> S3: quoted multi-line CSV fields, all strings; edge blanks, empty strings and NULLs come back."""
-    edge = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  "), "text", F.lit("  "))).when(F.col("doc_id") % 4 == 1, F.lit("")).when(F.col("doc_id") % 4 == 3, F.col("text"))
-    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "text", edge.alias("note"), "lang"), K.scratch_path(spark, "csv"))
-    df = R.read_csv_notes(spark, path)
+    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "text", _edge("text").alias("note"), "lang"), K.scratch_path(spark, "csv"))
+    return _notes_md5(R.read_csv_notes(spark, path))
+
+
+def _edge(text):
+    """Edge blanks, empty strings and NULLs, as in ``_EDGE_SQL``."""
+    kind = F.col("doc_id") % 4
+    return F.when(kind == 0, F.concat(F.lit("  "), text, F.lit("  "))).when(kind == 1, F.lit("")).when(kind == 3, F.col(text))
+
+
+def _notes_md5(df):
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), F.md5("note").alias("note_md5"))
 
 
-@query("scan_tsv", "SELECT doc_id, lang, source, md5(replace(text, chr(10), ' ')) AS text_md5 FROM documents")
+# Quotes, separators, doubled quotes and line breaks at the edges of the text.
+_QUOTED_SQL = """CASE doc_id % 5 WHEN 0 THEN '"' || text WHEN 1 THEN text || ',"' WHEN 2 THEN '""' || chr(10) || text || chr(10) || '"' WHEN 3 THEN text || chr(10) ELSE text END"""
+
+
+def _quoted(text):
+    kind = F.col("doc_id") % 5
+    two = F.when(kind == 0, F.concat(F.lit('"'), text)).when(kind == 1, F.concat(text, F.lit(',"')))
+    return two.when(kind == 2, F.concat(F.lit('""\n'), text, F.lit('\n"'))).when(kind == 3, F.concat(text, F.lit("\n"))).otherwise(F.col(text))
+
+
+@query("scan_csv_one_file", f"SELECT doc_id, md5({_QUOTED_SQL}) AS text_md5, md5({_EDGE_SQL}) AS note_md5 FROM documents")
+def scan_csv_one_file(spark, sf):
+    """K2 -> S3 by byte ranges: one multi-line file, read by as many tasks as it has ranges."""
+    docs = table(spark, sf, "documents").select("doc_id", _quoted("text").alias("text"), _edge("text").alias("note"))
+    path = K.write_csv(docs.coalesce(1), K.scratch_path(spark, "csvfile"))
+    return _notes_md5(ranges.read_csv_ranges(spark, path))
+
+
+# Brackets, quotes and backslashes inside of strings.
+_BRACKETS_SQL = """CASE doc_id % 3 WHEN 0 THEN text || '}]' WHEN 1 THEN '{"' || chr(92) || text || chr(92) ELSE text END"""
+
+
+@query("scan_json_one_file", f"SELECT doc_id, md5({_BRACKETS_SQL}) AS text_md5, md5(lang) AS lang_md5 FROM documents")
+def scan_json_one_file(spark, sf):
+    """S2 by byte ranges: one JSON array with nested objects, read by as many tasks as it has ranges."""
+    kind = F.col("doc_id") % 3
+    text = F.when(kind == 0, F.concat("text", F.lit("}]"))).when(kind == 1, F.concat(F.lit('{"\\'), "text", F.lit("\\"))).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"), F.array(F.struct(F.struct("lang").alias("a"), F.array(F.lit("]"), F.lit("{")).alias("b"))).alias("more"))
+    path = K.write_json_array_file(docs, K.scratch_path(spark, "jsonfile"))
+    back = ranges.read_json_array_ranges(spark, path, "doc_id long, text string, more array<struct<a: struct<lang: string>, b: array<string>>>")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.md5(F.col("more")[0]["a"]["lang"]).alias("lang_md5"))
+
+
+_ONE_LINE_SQL = "replace(text, chr(10), ' ')"
+
+
+@query("scan_tsv", f"SELECT doc_id, lang, source, md5({_ONE_LINE_SQL}) AS text_md5, md5({_EDGE_SQL.replace('text', _ONE_LINE_SQL)}) AS note_md5 FROM documents")
 def scan_tsv(spark, sf):
-    """Headered TSV."""
-    path = K.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")), K.scratch_path(spark, "tsv"), sep="\t")
+    """Headered TSV; quotes, edge blanks, empty strings and NULLs come back."""
+    docs = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    path = K.write_csv(docs.select("doc_id", "lang", "source", "text", _edge("text").alias("note")), K.scratch_path(spark, "tsv"), sep="\t")
     df = R.read_tsv(spark, path)
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", F.md5("text").alias("text_md5"))
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", F.md5("text").alias("text_md5"), F.md5("note").alias("note_md5"))
 
 
 @query(
@@ -192,6 +238,18 @@ def load_splits(spark, sf):
     return df.select("doc_id", "split", F.md5("text").alias("text_md5"))
 
 
+@query("load_splits_tsv", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split, md5({_EDGE_SQL.replace('text', _ONE_LINE_SQL)}) AS text_md5 FROM documents")
+def load_splits_tsv(spark, sf):
+    """Train as TSV, valid as Parquet, test as CSV; the reader follows the extension."""
+    docs = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))).select("doc_id", _edge("text").alias("text"))
+    root, part = K.scratch_path(spark, "splitfiles"), F.col("doc_id") % 3
+    K.write_csv(docs.where(part == 2), f"{root}/train.tsv", sep="\t")
+    docs.where(part == 0).write.mode("overwrite").parquet(f"{root}/valid.parquet")
+    K.write_csv(docs.where(part == 1), f"{root}/test.csv")
+    df = R.load_splits(spark, {"train": f"{root}/train.tsv", "valid": f"{root}/valid.parquet", "test": f"{root}/test.csv"}, DOC_SCHEMA)
+    return df.select("doc_id", "split", F.md5("text").alias("text_md5"))
+
+
 @query(
     "sink_splits",
     "WITH x AS (" + _SPLIT_90_5_5 + ") SELECT x.split, x.doc_id, md5(text) AS text_md5 FROM x JOIN documents USING (doc_id)",

@@ -40,18 +40,24 @@ def read_csv_notes(spark: SparkSession, path: str, schema=None) -> DataFrame:
     separators is NULL.  A multi-line file is one scan task; its
     rows are dealt to all tasks after it.
     """
-    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    return _delimited(spark, ",", schema).option("multiLine", True).csv(path).hint("rebalance")
+
+
+def _delimited(spark: SparkSession, sep: str, schema):
+    """Headered values with doubled quotes, all of them kept as they are."""
+    r = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
     r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     # a NULL value of its own, or the empty string would count as NULL too
     r = r.option("emptyValue", "").option("nullValue", "\u0000")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    return r.csv(path).hint("rebalance")
+    return r.schema(schema) if schema is not None else r.option("inferSchema", False)
 
 
 def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Headered tab-separated file."""
-    r = spark.read.option("header", True).option("sep", "\t")
-    return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(path)
+    """Headered tab-separated file, one row a line; quotes, blanks, empty strings and NULLs as in S3.
+
+    Lines split over tasks, so no value may hold a line break.
+    """
+    return _delimited(spark, "\t", schema).csv(path)
 
 
 def read_lines(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:

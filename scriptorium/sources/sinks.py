@@ -37,6 +37,14 @@ def write_json_arrays(df: DataFrame, task: str, path: str) -> str:
     return path
 
 
+def write_json_array_file(df: DataFrame, path: str) -> str:
+    """All rows as one JSON array in one file, a row at a time (one writing task: a file has one writer)."""
+    one = df.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "").otherwise(","), F.to_json(F.struct(*df.columns))).alias("value"))
+    edge = df.sparkSession.range(1)
+    edge.select(F.lit("[").alias("value")).coalesce(1).unionAll(one).unionAll(edge.select(F.lit("]")).coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     """K2: header, no index, quotes doubled inside quoted fields.
 
