@@ -11,6 +11,7 @@ from ...functions import constants as K
 from ...functions.text import explode_rows
 from ...operators import encode as E
 from ...operators import mix, order
+from ...operators import subword as SW
 from ...operators import tasks as T
 from ...session import checkpoint
 from ...sources.tables import documents, table
@@ -192,6 +193,81 @@ def mlm_examples(spark, sf):
     return m.select("doc_id", "batch", _join("masked_ids").alias("input_ids"), _join("labels").alias("labels"), _join("attention_mask").alias("attention_mask"))
 
 
+# ---------------------------------------------------------------- sub-words: vocabulary, longest match (V1, V2)
+
+LONGEST = 6
+SUBWORD_CTES = [
+    ("tok", _TOK),
+    ("sw", f"SELECT word, count(*) AS n FROM (SELECT unnest(toks) AS word FROM tok) WHERE length(word) BETWEEN 1 AND {SW.MAX_WORD} GROUP BY word"),
+    ("cut", f"SELECT (CASE WHEN i = 1 THEN '' ELSE '##' END) || substr(word, i, l) AS token, n FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM sw), range(1, {LONGEST + 1}) t(l) WHERE i + l - 1 <= length(word)"),
+    ("sc", "SELECT token, sum(n)::BIGINT AS n FROM cut GROUP BY token"),
+    ("sv", f"SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 4)::INTEGER AS id, n FROM sc QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_K}"),
+]
+
+
+def _matched(words: str) -> list[tuple]:
+    """CTEs that cut the words of a query into the longest pieces: ``pieces`` (word, ids)."""
+    return [
+        ("mw", f"SELECT DISTINCT word FROM ({words})"),
+        (
+            "m",
+            "SELECT word, 1::BIGINT AS pos, []::INTEGER[] AS ids FROM mw UNION ALL SELECT word, pos + l, list_append(ids, id) FROM ("
+            "SELECT m.word, m.pos, m.ids, v.id, t.l, row_number() OVER (PARTITION BY m.word ORDER BY t.l DESC) AS r "
+            f"FROM m, range(1, {LONGEST + 1}) t(l), sv v WHERE m.pos + t.l - 1 <= length(m.word) AND length(m.word) <= {SW.MAX_WORD} "
+            "AND v.token = (CASE WHEN m.pos = 1 THEN '' ELSE '##' END) || substr(m.word, m.pos, t.l)) WHERE r = 1",
+        ),
+        ("pieces", f"SELECT word, coalesce(ids, [{K.UNK_ID}]) AS ids FROM mw LEFT JOIN (SELECT word, ids FROM m WHERE pos > length(word)) USING (word)"),
+    ]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def subword_vocab(spark, sf):
+    return SW.vocab_substrings(_docs(spark, sf), "text", VOCAB_K, LONGEST)
+
+
+@query("vocab_substrings", Q.with_ctes(SUBWORD_CTES, "SELECT token, id, n FROM sv"))
+def vocab_substrings(spark, sf):
+    """V1(c): the 32,000 most frequent pieces of words."""
+    return subword_vocab(spark, sf)
+
+
+@query("vocab_subwords")
+def vocab_subwords(spark, sf):
+    """L4 -> V1(b): a vocabulary of 32,000 merged pieces learned from a seeded sample of 100,000 rows."""
+    return SW.learn_subwords(order.sample_n(_docs(spark, sf).select("doc_id", "text"), 100_000, SEED, "doc_id"), "text", VOCAB_K)
+
+
+_WORDS_BY_DOC = "SELECT doc_id, unnest(toks) AS word, unnest(range(1, len(toks) + 1)) AS pos FROM tok"
+
+
+@query(
+    "encode_subwords",
+    _recursive(
+        Q.with_ctes(
+            [*SUBWORD_CTES, ("e", _WORDS_BY_DOC), *_matched("SELECT word FROM e")],
+            f"SELECT doc_id, (len(content) + 2)::BIGINT AS n_ids, array_to_string(list_concat([{K.CLS_ID}], content, [{K.SEP_ID}]), ',') AS ids FROM ("
+            "SELECT doc_id, coalesce(flatten(list(ids ORDER BY pos) FILTER (ids IS NOT NULL)), []::INTEGER[]) AS content FROM tok LEFT JOIN e USING (doc_id) LEFT JOIN pieces USING (word) GROUP BY doc_id)",
+        )
+    ),
+)
+def encode_subwords(spark, sf):
+    """V2: longest match over a sub-word vocabulary."""
+    docs = _docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks"))
+    e = SW.encode_subwords(docs, "toks", subword_vocab(spark, sf), "ids")
+    return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), _join("ids").alias("ids"))
+
+
+@query("encode_learned_subwords")
+def encode_learned_subwords(spark, sf):
+    """V1(b) -> V2: the learned vocabulary of 32,000 merged pieces, longest match over all documents."""
+    docs = _docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks"))
+    e = SW.encode_subwords(docs, "toks", vocab_subwords(spark, sf), "ids")
+    return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), _join("ids").alias("ids"))
+
+
 # ---------------------------------------------------------------- alignment
 
 ALIGN_LEN = 512
@@ -206,22 +282,23 @@ def _align(spark, sf, mode):
     if mode == "all":
         ids = T.encode_label_array(ids, "gold", T.b_to_i(dim), "inside", unknown=None, value="i_id")
         inside = F.col("inside")
-    out = ids.withColumn("pieces", E.piece_table(F.col("tokens"), ALIGN_LEN))
+    cut = SW.subword_ids(ids.withColumn("_words", F.transform("tokens", F.lower)), "_words", subword_vocab(spark, sf))
+    out = cut.withColumn("pieces", SW.subword_table(F.col("pieces"), ALIGN_LEN))
     return out.select("doc_id", F.array_join(E.align_labels(F.col("pieces"), F.col("ids"), mode, inside), ",").alias("labels"))
 
 
 def _align_sql(mode):
-    pieces = (
-        "list_transform(tokens, lambda w, i: list_transform(range(0, greatest(ceil(length(w) / 6)::INTEGER, 1)), "
-        "lambda k: {'word': i - 1, 'sub': k}))"
-    )
     dim = "tagdim" if mode != "every" else "tagdim2"
     lab = f"(SELECT map(list(label), list(id)) FROM {dim})"
     ctes = tags_ctes() + [
+        *SUBWORD_CTES,
+        ("tw", "SELECT doc_id, lower(unnest(tokens)) AS word, unnest(range(0, len(tokens))) AS i FROM tags"),
+        *_matched("SELECT word FROM tw"),
         ("tagdim2", "SELECT label, (row_number() OVER (ORDER BY label) - 1)::INTEGER AS id FROM (SELECT DISTINCT unnest(gold) AS label FROM tags) WHERE label <> 'O'"),
         ("bi", "SELECT d.id, CASE WHEN starts_with(d.label, 'B-') AND i.id IS NOT NULL THEN i.id ELSE d.id END AS i_id FROM tagdim d LEFT JOIN tagdim i ON i.label = regexp_replace(d.label, '^B-', 'I-')"),
-        ("m", f"SELECT {lab} AS lm, (SELECT map(list(id), list(i_id)) FROM bi) AS bm"),
-        ("pc", f"SELECT doc_id, gold, flatten({pieces})[1:{ALIGN_LEN - 2}] AS pieces FROM tags"),
+        ("lb", f"SELECT {lab} AS lm, (SELECT map(list(id), list(i_id)) FROM bi) AS bm"),
+        ("cutup", "SELECT doc_id, flatten(list(list_transform(range(0, len(ids)), lambda k: {'word': i, 'sub': k}) ORDER BY i)) AS pieces FROM tw JOIN pieces USING (word) GROUP BY doc_id"),
+        ("pc", f"SELECT doc_id, gold, coalesce(pieces, [])[1:{ALIGN_LEN - 2}] AS pieces FROM tags LEFT JOIN cutup USING (doc_id)"),
     ]
     word_label = "lm[gold[x.word + 1]]"
     if mode == "first":
@@ -230,7 +307,8 @@ def _align_sql(mode):
         body = f"list_transform(pieces, lambda x: CASE WHEN x.sub = 0 THEN {word_label} ELSE bm[{word_label}] END)"
     else:
         body = f"list_transform(pieces, lambda x: coalesce({word_label}, -100))"
-    return Q.with_ctes(ctes, f"SELECT doc_id, array_to_string(list_concat([-100], {body}, [-100]), ',') AS labels FROM pc, m")
+    sql = Q.with_ctes(ctes, f"SELECT doc_id, array_to_string(list_concat([-100], {body}, [-100]), ',') AS labels FROM pc, lb")
+    return _recursive(sql)
 
 
 @query("align_labels_first", _align_sql("first"))
@@ -259,17 +337,19 @@ def _a3_sql():
             "SELECT doc_id, 'train' AS split FROM a WHERE i >= ceil(n * 0.1) "
             "UNION ALL SELECT doc_id, CASE WHEN j < ceil(m * 0.5) THEN 'test' ELSE 'validation' END AS split FROM h",
         ),
-        ("tok", _TOK),
+        *SUBWORD_CTES,
+        ("e", _WORDS_BY_DOC),
+        *_matched("SELECT word FROM e"),
+        ("dn", "SELECT doc_id, sum(len(ids))::BIGINT AS n FROM e JOIN pieces USING (word) GROUP BY doc_id"),
     ]
-    n = "coalesce(list_sum(list_transform(toks, lambda w: greatest(ceil(length(w) / 6)::INTEGER, 1))), 0)"
-    return Q.with_ctes(ctes, f"SELECT split, sum({n})::BIGINT AS pieces FROM sp JOIN tok USING (doc_id) GROUP BY split")
+    return _recursive(Q.with_ctes(ctes, "SELECT split, sum(coalesce(n, 0))::BIGINT AS pieces FROM sp LEFT JOIN dn USING (doc_id) GROUP BY split"))
 
 
 @query("subword_total_by_split", _a3_sql())
 def subword_total_by_split(spark, sf):
     """A3: sub-word pieces per split of the 90/5/5 split."""
-    n = F.aggregate(F.transform("toks", lambda w: F.size(E.word_pieces(w))), F.lit(0), lambda a, b: a + b)
-    d = _docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks")).select("doc_id", n.cast("bigint").alias("n"))
+    docs = SW.subword_ids(_docs(spark, sf).select("doc_id", E.lower_tokens("text").alias("toks")), "toks", subword_vocab(spark, sf))
+    d = docs.select("doc_id", F.size(F.flatten("pieces")).cast("bigint").alias("n"))
     s = order.split_90_5_5(d, "doc_id")
     return s.groupBy("split").agg(F.sum("n").alias("pieces"))
 
