@@ -48,7 +48,7 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Fewest characters of a tagged span.
 MIN_TAGGED = 8
 #: Rows that training looks at (in expectation), and windows of each kind it takes.
-SAMPLE_ROWS, WINDOWS = 60_000, 1_500
+SAMPLE_ROWS, WINDOWS = 60_000, 1_000  # Spark limits each task's rows to the windows while these are 1,000 at most
 #: Longer texts are tagged in pieces with a margin.
 PIECE, MARGIN = 4_000_000, 65_536
 
@@ -258,7 +258,8 @@ def _sample_windows(batches):
             others = [o for o in others if not any(s[0] < o[1] and o[0] < s[2] for s in spans)]
             if others:
                 picks.append((1, *rng.choice(others)))
-            picks.append((2, at, at))
+            if rng.random() < 0.1:
+                picks.append((2, at, at))
             if not raw:
                 continue
             file = file_feature(raw[:PIECE])
