@@ -34,6 +34,10 @@ def losing_ids(df: DataFrame, text: str, order_id: str) -> DataFrame:
     return pairs.join(best, same & (pairs["_lost"] < best["_best"])).select("_lost")
 
 
-def dedupe_exact(df: DataFrame, text: str, order_id: str) -> DataFrame:
+def dedupe_exact(df: DataFrame, text: str, order_id: str, computed: bool = False) -> DataFrame:
+    """``computed``: the rows come out of costly work, not out of a scan.  They are written once; otherwise the
+    input is read twice, the second time without the text if that is not selected."""
+    if computed:
+        df = checkpoint(df)
     lost = losing_ids(df, text, order_id)
     return df.join(lost, df[order_id] == lost["_lost"], "left_anti")

@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import explode_rows, let, tokenise_ws
 from ..session import checkpoint
+from .lookup import row_lookup
 from .order import indexed, row_index
 
 PIECE = 6
+#: Rows of the largest vocabulary that is sent to the tasks (some 50 MB); beyond, encoding is a join.
+SHIPPED = 1_000_000
 
 
 def lower_tokens(text) -> Column:
@@ -65,10 +68,13 @@ def top_k_by_count(counts: DataFrame, k: int, key: str, n: str) -> DataFrame:
 def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "input_ids", add_special: bool = True) -> DataFrame:
     """V2: token array -> id array (unknown -> [UNK]); optional [CLS] ... [SEP].
 
-    The vocabulary has K rows, K being the parameter it was learned with; it
-    is shipped to the tasks, and one Arrow lookup serves a whole batch.
+    A vocabulary of at most ``SHIPPED`` rows is shipped to the tasks, and one Arrow
+    lookup serves a whole batch; a larger one is joined with the distinct tokens.
     """
-    rows = vocab.select("word", F.col("id").cast("int").alias("id")).toArrow()
+    rows = vocab.select("word", F.col("id").cast("int").alias("id")).limit(SHIPPED + 1).toArrow()
+    if rows.num_rows > SHIPPED:
+        body = _encode_by_join(df, tokens, vocab, out)
+        return body.withColumn(out, F.concat(F.array(F.lit(K.CLS_ID)), F.col(out), F.array(F.lit(K.SEP_ID)))) if add_special else body
     words, ids = rows.column("word").combine_chunks(), rows.column("id").combine_chunks()
     bc = df.sparkSession.sparkContext.broadcast((words, ids))
 
@@ -85,15 +91,37 @@ def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "input_i
     return df.withColumn(out, F.concat(F.array(F.lit(K.CLS_ID)), body, F.array(F.lit(K.SEP_ID))) if add_special else body)
 
 
+def _encode_by_join(df: DataFrame, tokens: str, vocab: DataFrame, out: str) -> DataFrame:
+    """Ids from an equi-join of the distinct tokens of each text with the vocabulary, and a lookup in the row.
+
+    Texts are told apart by a digest of their tokens, so equal ones share their entries.
+    """
+    keyed = df.withColumn("_key", F.xxhash64(tokens))
+    need = explode_rows(keyed.select("_key", F.array_distinct(tokens).alias("_d")), "_d", "word", keep=["_key"]).distinct()
+    entries = need.join(vocab.select("word", F.col("id").cast("int").alias("id")), "word").groupBy("_key").agg(F.collect_list(F.struct(F.col("word").alias("k"), F.col("id").alias("v"))).alias("_entries"))
+    found = keyed.join(entries, "_key", "left").withColumn("_entries", F.coalesce("_entries", F.array().cast("array<struct<k: string, v: int>>")))
+    return found.withColumn(out, row_lookup(F.col(tokens), F.col("_entries"), "int", K.UNK_ID)).drop("_key", "_entries")
+
+
 def truncate_pad(content: Column, max_length: int) -> tuple[Column, Column]:
     """E5: [CLS] + content[:max_length-2] + [SEP], padded with [PAD] to
     ``max_length``; returns (ids, attention_mask)."""
-    body = F.slice(content, 1, max_length - 2)
-    ids = F.concat(F.array(F.lit(K.CLS_ID)), body, F.array(F.lit(K.SEP_ID)))
-    pad = F.greatest(F.lit(max_length) - F.size(ids), F.lit(0))
-    padded = F.concat(ids, F.array_repeat(F.lit(K.PAD_ID), pad))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), pad))
-    return padded, mask
+    ids = truncate(content, max_length)
+    return pad_right(ids, max_length), attention(ids, max_length)
+
+
+def truncate(content: Column, max_length: int) -> Column:
+    """[CLS] + content[:max_length-2] + [SEP]."""
+    return F.concat(F.array(F.lit(K.CLS_ID)), F.slice(content, 1, max_length - 2), F.array(F.lit(K.SEP_ID)))
+
+
+def pad_right(a: Column, max_length: int, fill: int = K.PAD_ID) -> Column:
+    return F.concat(a, F.array_repeat(F.lit(fill), F.greatest(F.lit(max_length) - F.size(a), F.lit(0))))
+
+
+def attention(ids: Column, max_length: int) -> Column:
+    """1 for every id, 0 for the padding up to ``max_length``."""
+    return pad_right(F.array_repeat(F.lit(1), F.size(ids)), max_length, 0)
 
 
 def pad_dynamic(df: DataFrame, ids: str, batch: str, multiple_of: int | None = None, pad_id: int = K.PAD_ID, out: str = "padded") -> DataFrame:
@@ -146,7 +174,10 @@ def mask_pairs(ids: Column, key: Column, seed, vocab_size: int, p: float = K.MLM
 
 
 def mask_columns(df: DataFrame, ids: str, key: str, seed, vocab_size: int, out_ids: str = "masked_ids", out_labels: str = "labels", p: float = K.MLM_PROBABILITY) -> DataFrame:
-    """M1 + M2 as DataFrame columns; both read one array of pairs, so a position is hashed once."""
+    """M1 + M2 as DataFrame columns; both read one array of pairs, so a position is hashed once.
+
+    Mask first and pad then: padding is never chosen, and need not be looked at.
+    """
     df = df.withColumn("_m", mask_pairs(F.col(ids), F.col(key), seed, vocab_size, p))
     return df.withColumn(out_ids, F.col("_m.i")).withColumn(out_labels, F.col("_m.l")).drop("_m")
 

@@ -50,7 +50,7 @@ def _prefix(t: Column) -> Column:
 
 def _type(t: Column) -> Column:
     """Class of a tag: what follows ``B-`` / ``I-``, or the whole token if it has no prefix; NULL outside."""
-    return F.when(t == "O", F.lit(None).cast("string")).when(t.rlike("^[BI]-"), F.substr(t, F.lit(3))).otherwise(t)
+    return F.when(t == "O", F.lit(None).cast("string")).when(t.startswith("B-") | t.startswith("I-"), F.substr(t, F.lit(3))).otherwise(t)
 
 
 def spans(tags: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import explode_rows
 from ..session import checkpoint
-from .encode import chars, lower_tokens, top_k_by_count
+from .encode import SHIPPED, chars, lower_tokens, top_k_by_count
 from .order import row_index
 
 #: Longer words are not learned from and are unknown to the encoder.
@@ -258,10 +258,12 @@ class Trie:
 def subword_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "pieces") -> DataFrame:
     """V2: word array -> array of the piece ids of every word (``array<array<int>>``).
 
-    The vocabulary has the K rows it was learned with and is shipped to the
-    tasks as two Arrow arrays; every task builds one trie.  A batch looks up its distinct words once each.
+    The vocabulary, of at most ``SHIPPED`` rows, is shipped to the tasks as two Arrow arrays;
+    every task builds one trie.  A batch looks up its distinct words once each.
     """
-    rows = vocab.select("token", F.col("id").cast("int").alias("id")).toArrow()
+    rows = vocab.select("token", F.col("id").cast("int").alias("id")).limit(SHIPPED + 1).toArrow()
+    if rows.num_rows > SHIPPED:
+        raise ValueError(f"a sub-word vocabulary has at most {SHIPPED} rows")
     bc = df.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks(), rows.column("id").combine_chunks()))
     held: dict = {}
 

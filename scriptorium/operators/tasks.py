@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import explode_rows, let, tokenise_ws
+from ..functions.text import explode_rows, tokenise_ws
+from .lookup import row_lookup
 from .order import row_index
 
+
 def relation_prompt(e1, e2, text) -> Column:
     """``find relation between entities - {e1} and {e2} in {text}``."""
     pre, rest = K.RELATION_PROMPT.split("{e1}")
@@ -90,20 +92,9 @@ def ddi_relations(sentences: DataFrame, keep=(), strict: bool = False) -> DataFr
 def token_annotate(df: DataFrame, text: str = "text", entities: str = "entities", out_tokens: str = "tokens", out_labels: str = "labels") -> DataFrame:
     """Whitespace tokens, each labelled with the type of the *last* entity
     entry whose text equals the token, else ``<ignore>``."""
-    toks = tokenise_ws(text)
-
-    # last entry wins: the entries' texts reversed, so the first position found is the last entry
-    def labelled(texts):
-        def label(t):
-            at = F.array_position(texts, t)
-            return F.when(at > 0, F.get(F.col("_types"), (at - 1).cast("int"))).otherwise(F.lit(K.IGNORE_TAG))
-
-        return F.transform(out_tokens, label)
-
-    df = df.withColumn(out_tokens, toks)
-    df = df.withColumn("_rev", F.reverse(F.col(entities))).withColumn("_types", F.transform("_rev", lambda e: e["annotation_type"]))
-    # the entity texts are read inside the per-token lambda: bind them once
-    return df.withColumn(out_labels, let(F.transform("_rev", lambda e: e["text"]), labelled)).drop("_rev", "_types")
+    df = df.withColumn(out_tokens, tokenise_ws(text))
+    entries = F.coalesce(F.transform(entities, lambda e: F.struct(e["text"].alias("k"), e["annotation_type"].alias("v"))), F.array().cast("array<struct<k: string, v: string>>"))
+    return df.withColumn(out_labels, row_lookup(F.col(out_tokens), entries, "string", K.IGNORE_TAG))
 
 
 def label_dimension(df: DataFrame, labels: str, exclude=(K.IGNORE_TAG,), is_array: bool = True) -> DataFrame:
@@ -131,30 +122,30 @@ def label_encode(df: DataFrame, label: str, dim: DataFrame, out: str = "label_id
     return df.join(d, label, "left").withColumn(out, F.coalesce(F.col(out), F.lit(K.IGNORE_INDEX)))
 
 
-def _by_row(df: DataFrame, array_col: str, dim: DataFrame, key: str, values: list[str], row: str) -> DataFrame:
-    """Adds ``_map``: the entries of ``dim`` that a row's array needs.
+def _by_row(df: DataFrame, array_col: str, dim: DataFrame, key: str, value: str, row: str) -> DataFrame:
+    """Adds ``_entries``: the (key, value) entries of ``dim`` that a row's array needs.
 
     Joins the distinct elements of each row with the dimension, whatever its
-    size, and gathers them per row (as many entries as the row has distinct elements).
+    size, and gathers them per row id: as many entries as its rows have distinct
+    elements.  Rows that share an id (a null one too) share the entries of all of them.
     """
-    need = explode_rows(df.select(F.col(row).alias("_row"), F.array_distinct(array_col).alias("_d")), "_d", "_k", keep=["_row"])
-    found = need.join(dim.select(F.col(key).alias("_k"), F.struct(*values).alias("_v")), "_k")
-    maps = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_map"))
-    return df.join(maps, df[row] == maps["_row"], "left").drop("_row")
+    need = explode_rows(df.select(F.col(row).alias("_row"), F.array_distinct(array_col).alias("_d")), "_d", "_k", keep=["_row"]).distinct()
+    found = need.join(dim.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k")
+    entries = found.groupBy("_row").agg(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_v").alias("v"))).alias("_entries"))
+    none = F.array().cast(entries.schema["_entries"].dataType)
+    return df.join(entries, df[row].eqNullSafe(entries["_row"]), "left").drop("_row").withColumn("_entries", F.coalesce("_entries", none))
 
 
 def encode_label_array(df: DataFrame, labels: str, dim: DataFrame, out: str, unknown: int | None = K.IGNORE_INDEX, row: str = "doc_id", value: str = "id") -> DataFrame:
-    """J4 for per-token label arrays; ``row`` names the rows."""
-    found = _by_row(df, labels, dim, "label", [value], row)
-    ids = let(F.col("_map"), lambda m: F.transform(labels, lambda l: F.coalesce(m[l][value], F.lit(unknown))))
-    return found.withColumn(out, F.when(F.col("_map").isNull(), F.transform(labels, lambda l: F.lit(unknown).cast("int"))).otherwise(ids)).drop("_map")
+    """J4 for per-token label arrays; ``row`` names the rows and may repeat."""
+    found = _by_row(df, labels, dim, "label", value, row)
+    return found.withColumn(out, row_lookup(F.col(labels), F.col("_entries"), dim.schema[value].dataType.simpleString(), unknown)).drop("_entries")
 
 
 def decode_label_array(df: DataFrame, ids: str, dim: DataFrame, out: str, row: str = "doc_id") -> DataFrame:
     """Ids -> labels; an id without a label gives NULL."""
-    found = _by_row(df, ids, dim, "id", ["label"], row)
-    names = let(F.col("_map"), lambda m: F.transform(ids, lambda i: m[i]["label"]))
-    return found.withColumn(out, F.when(F.col("_map").isNull(), F.transform(ids, lambda i: F.lit(None).cast("string"))).otherwise(names)).drop("_map")
+    found = _by_row(df, ids, dim, "id", "label", row)
+    return found.withColumn(out, row_lookup(F.col(ids), F.col("_entries"), "string")).drop("_entries")
 
 
 def b_to_i(dim: DataFrame) -> DataFrame:

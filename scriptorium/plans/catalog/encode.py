@@ -46,7 +46,12 @@ def padded(spark, sf, words=None, docs=None):
 
 
 def masked(spark, sf, words=None, docs=None):
-    return E.mask_columns(padded(spark, sf, words, docs), "input_ids", "doc_id", SEED, VOCAB_SIZE)
+    """Truncated, masked, then padded."""
+    ids = F.col("input_ids")
+    cut = encoded(spark, sf, words=words, docs=docs).withColumn("input_ids", E.truncate(F.col("ids"), MAX_LEN)).drop("ids")
+    m = E.mask_columns(cut, "input_ids", "doc_id", SEED, VOCAB_SIZE)
+    m = m.withColumn("attention_mask", E.attention(ids, MAX_LEN)).withColumn("input_ids", E.pad_right(ids, MAX_LEN))
+    return m.withColumn("masked_ids", E.pad_right(F.col("masked_ids"), MAX_LEN)).withColumn("labels", E.pad_right(F.col("labels"), MAX_LEN, K.IGNORE_INDEX))
 
 
 def _join(c, sep=","):

@@ -46,7 +46,7 @@ class DedupeExact:
     order_id: str = "doc_id"
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return dedupe_exact(df, self.column, self.order_id)
+        return dedupe_exact(df, self.column, self.order_id, computed=True)
 
 
 @dataclass(frozen=True)

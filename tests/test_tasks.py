@@ -86,3 +86,34 @@ def test_streaming_dedupe_over_increments(spark, tmp_dir):
     sink = S.dedupe(S.increments(spark, f"{tmp_dir}/inc", df.schema, max_files=1), "text", f"{tmp_dir}/sink", f"{tmp_dir}/ck")
     hashes = [r.h for r in spark.read.parquet(sink).collect()]
     assert len(hashes) == 7 and len(set(hashes)) == 7
+
+
+def test_label_arrays_with_repeated_and_null_row_ids(spark):
+    rows = [(1, ["a", "b"]), (1, ["c", "a", None, "zz"]), (1, ["a", "b"]), (None, ["b"]), (None, ["c"]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "doc_id long, labels array<string>")
+    dim = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "label string, id int")
+    table = {"a": 0, "b": 1, "c": 2}
+    enc = T.encode_label_array(df, "labels", dim, "ids")
+    want = sorted(((r, None if x is None else [table.get(l, -100) for l in x]) for r, x in rows), key=str)
+    assert sorted(((r.doc_id, r.ids) for r in enc.collect()), key=str) == want
+    back = T.decode_label_array(enc, "ids", dim, "back").collect()
+    names = {i: l for l, i in table.items()}
+    assert all(r.back is None if r.ids is None else r.back == [names.get(i) for i in r.ids] for r in back)
+
+
+def test_row_lookup_last_entry_wins_and_long_rows(spark):
+    import time
+
+    from scriptorium.operators.lookup import row_lookup
+
+    rows = [(["x", None, "y", "q"], [("x", "1"), ("y", None), ("x", "2"), (None, "3")]), (None, [("x", "1")]), ([], []), (["x"], []), (["y"], [("x", "5"), ("y", "6")])]
+    df = spark.createDataFrame(rows, "k array<string>, e array<struct<k: string, v: string>>")
+    got = [r.o for r in df.select(row_lookup(F.col("k"), F.col("e"), "string", "-").alias("o")).collect()]
+    assert got == [["2", "-", None, "-"], None, [], ["-"], ["6"]]
+    words = [f"w{i % 9000}" for i in range(60_000)]
+    big = spark.createDataFrame([(" ".join(words), [(w, f"t{i}") for i, w in enumerate(words[:20_000])])], "text string, entities array<struct<text: string, annotation_type: string>>")
+    t0 = time.time()
+    r = T.token_annotate(big).first()
+    assert time.time() - t0 < 20  # 60,000 tokens x 20,000 entries would be 1.2 billion comparisons
+    last = {w: f"t{i}" for i, w in enumerate(words[:20_000])}
+    assert r.labels == [last[w] for w in words]

@@ -80,3 +80,11 @@ def test_top_k_takes_ties_by_word(spark):
     assert got == [f"w{i:03d}" for i in range(10)]
     plan = E.top_k_by_count(df, 10, "word", "n")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan
+
+
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(0, ["b", "a", "zz", "b"]), (1, []), (2, None), (0, ["a"]), (3, ["zz", None])], "id int, t array<string>")
+    v = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "word string, id int")
+    want = sorted(((r.id, r.ids) for r in E.encode_ids(df, "t", v, "ids").collect()), key=str)
+    monkeypatch.setattr(E, "SHIPPED", 2)
+    assert sorted(((r.id, r.ids) for r in E.encode_ids(df, "t", v, "ids").collect()), key=str) == want
