@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import json
 import re
+import struct
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -34,9 +36,10 @@ from pyspark.sql import types as T
 
 from .common import append_columns, binary_texts
 
-#: Pieces kept per store; two stores alternate, so a worker holds at most twice as many.
-STORE_PIECES = 120_000
+#: Pieces and words kept in one half of a store; two halves alternate, so a task holds at most twice as many.
+STORE_PIECES, STORE_WORDS = 60_000, 60_000
 _PAIRS_KEPT = 300_000
+_LATIN = 0x180
 _MARK = 0x1000  # shift of a character that carries the word-end mark
 
 
@@ -84,6 +87,10 @@ class PrefixBpe:
             self.automaton.add_word(s, (t, len(s)))
         self.automaton.make_automaton()
         self.ascii_word = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+        # Below _LATIN no character combines with another, and lower case stays there, one for one (but for U+0130).
+        kinds = {k: "".join(chr(c) for c in range(0x80, _LATIN) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        self.latin_word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{kinds['L']}]+|[0-9{kinds['N']}]|[^\sa-z0-9{kinds['L']}{kinds['N']}]+")
+        self.as_letters = {b: ord(x) for b, x in enumerate(self.letters)}
 
     def _symbols(self, token: str) -> str:
         """A vocabulary entry as symbols: the word-end mark moves into the last character."""
@@ -127,23 +134,23 @@ class PrefixBpe:
         n = len(s)
         last: list = [None] * (n + 1)
         size = [0] * (n + 1)
-        fits = self.fits
+        fits, known = self.fits, self.fits.get
         for end, (token, length) in self.automaton.iter(s):
             end += 1
             if last[end] is not None:
                 continue
-            start = end - length
-            if start:
-                before = last[start]
+            if end != length:
+                before = last[end - length]
                 if before is None:
                     continue
                 key = before << 20 | token
-                ok = fits.get(key)
+                ok = known(key)
                 if ok is None:
                     ok = fits[key] = self.compatible(before, token)
                 if not ok:
                     continue
-            last[end], size[end] = token, length
+            last[end] = token
+            size[end] = length
         ids = []
         while n:
             ids.append(last[n])
@@ -156,65 +163,91 @@ class PrefixBpe:
         if piece.isascii():
             found = self.ascii_word.findall(piece.lower())
             return [w[:-1] + chr(ord(w[-1]) + _MARK) if w.isprintable() else self._marked(w.encode()) for w in found]
+        if max(piece) < chr(_LATIN) and "\u0130" not in piece:
+            return [self._marked(w.encode()) for w in self.latin_word.findall(piece.lower())]
         normal = self.parts.normalizer.normalize_str(piece)
         return [w[:-1] + chr(ord(w[-1]) + _MARK) for w, _ in self.parts.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _marked(self, raw: bytes) -> str:
-        w = "".join(self.letters[b] for b in raw)
+        w = raw.decode("latin-1").translate(self.as_letters)
         return w[:-1] + chr(ord(w[-1]) + _MARK)
 
-    def encode_piece(self, raw: bytes) -> list[int]:
-        """Ids of a text without ASCII blanks."""
+    def piece_words(self, raw: bytes) -> list[str]:
+        """Words and special tokens of a text without ASCII blanks."""
         piece = raw.decode("utf-8", "replace")
-        runs = self.split_specials.split(piece) if self.split_specials and "<|" in piece else [piece]
-        ids: list[int] = []
-        for run in runs:
-            if run in self.specials:
-                ids.append(self.specials[run])
-            elif run:
-                for w in self.words(run):
-                    ids += self.encode_symbols(w)
+        if not (self.split_specials and "<|" in piece):
+            return self.words(piece)
+        found: list[str] = []
+        for run in self.split_specials.split(piece):
+            found += [run] if run in self.specials else self.words(run) if run else []
+        return found
+
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one of ``piece_words``."""
+        if word in self.specials:
+            return [self.specials[word]]
         if len(self.fits) > _PAIRS_KEPT:
             self.fits.clear()
-        return ids
+        return self.encode_symbols(word)
+
+    def encode_piece(self, raw: bytes) -> list[int]:
+        """Ids of a text without ASCII blanks."""
+        return [i for w in self.piece_words(raw) for i in self.encode_word(w)]
 
     def decode(self, ids) -> str:
         """Token strings with blanks between them: the file names no decoder."""
         return " ".join(self.names[i] for i in ids)
 
 
-class _Store(dict):
-    """piece -> (packed ids, decoded text and a blank); refilled from the older store."""
+class _Kept(dict):
+    """key -> (packed ids, decoded text and a blank), made by ``make``; refilled from the older half of the store."""
 
-    def __init__(self, bpe: PrefixBpe):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.bpe, self.older = bpe, {}
+        self.make, self.size, self.older = make, size, {}
 
-    def __missing__(self, raw: bytes):
-        found = self.older.get(raw)
+    def __missing__(self, key):
+        found = self.older.get(key)
         if found is None:
-            ids = self.bpe.encode_piece(raw)
-            found = np.asarray(ids, "<u4").tobytes(), (self.bpe.decode(ids) + " ").encode() if ids else b""
-        self[raw] = found
+            found = self.make(key)
+        self[key] = found
         return found
 
     def turn(self) -> None:
-        if len(self) > STORE_PIECES:
-            self.older = dict(self)  # the store before that is dropped
+        if len(self) > self.size:
+            self.older = dict(self)  # the half before that is dropped
             self.clear()
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> PrefixBpe:
-    return PrefixBpe(path)
+class Store(_Kept):
+    """Results of pieces, made of the results of their words: a word comes with many marks and in many cases."""
+
+    def __init__(self, bpe: PrefixBpe):
+        super().__init__(self._piece, STORE_PIECES)
+        self.bpe, self.words = bpe, _Kept(self._word, STORE_WORDS)
+
+    def _word(self, word: str):
+        ids = self.bpe.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids), (self.bpe.decode(ids) + " ").encode() if ids else b""
+
+    def _piece(self, raw: bytes):
+        kept = self.words
+        found = [kept[w] for w in self.bpe.piece_words(raw)]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+
+    def turn(self) -> None:
+        super().turn()
+        self.words.turn()
 
 
 @lru_cache(maxsize=2)
-def _store(path: str) -> _Store:
-    return _Store(load(path))
+def load(path: str) -> PrefixBpe:
+    return PrefixBpe(path)
 
 
-def encode_text(raw: bytes, store: _Store) -> tuple[bytes, bytes]:
+def encode_text(raw: bytes, store: Store) -> tuple[bytes, bytes]:
     """Packed ids (little-endian unsigned 32 bit) and decoded text of one text."""
     pieces = raw.split()
     if len(pieces) > 100_000:  # a very long text: the store turns over between slices
@@ -232,8 +265,12 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
     integers (4 bytes a token); otherwise ``array<bigint>``.
     """
 
+    stores: list[Store] = []  # of the task, empty where it begins
+
     def encode(batch):
-        store = _store(tokenizer_path)
+        if not stores:
+            stores.append(Store(load(tokenizer_path)))
+        store = stores[0]
         made = [encode_text(x, store) for x in binary_texts(batch.column(text_col))]
         if packed:
             ids = pa.array([m[0] for m in made], pa.binary())
@@ -244,4 +281,4 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
         return [ids, pa.array([m[1] for m in made], pa.binary()).cast(pa.string())]
 
     kind = T.BinaryType() if packed else T.ArrayType(T.LongType())
-    return append_columns(df, [T.StructField(ids_col, kind), T.StructField(decoded_col, T.StringType())], encode)
+    return append_columns(df, [T.StructField(ids_col, kind), T.StructField(decoded_col, T.StringType())], encode, done=stores.clear)

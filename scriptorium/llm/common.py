@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from contextlib import contextmanager
 
@@ -68,10 +69,22 @@ def sliced(batches):
             yield batch.slice(i, rows)
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
+def release_memory() -> None:
+    """Give what a task's Python worker has freed back to the machine; the process waits for the next task with it otherwise."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def append_columns(df: DataFrame, fields: list[T.StructField], fn, done=None) -> DataFrame:
     """Append columns made by ``fn(batch) -> list of arrays``, some ``SLICE_BYTES`` of an Arrow batch at a time.
 
-    An input column that has the name of an appended one is replaced by it.
+    An input column that has the name of an appended one is replaced by it.  ``done()`` is called at the
+    end of a task: its worker process goes on, and should not hold what only the task needed.
     """
     names = {f.name.lower() for f in fields}
     rest = [f for f in df.schema.fields if f.name.lower() not in names]
@@ -80,10 +93,15 @@ def append_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in sliced(batches):
-            made = fn(batch)
-            arrays = [batch.column(k) for k in keep] + list(made)
-            yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, arrow, strict=True)], schema=arrow)
+        try:
+            for batch in sliced(batches):
+                made = fn(batch)
+                arrays = [batch.column(k) for k in keep] + list(made)
+                yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, arrow, strict=True)], schema=arrow)
+        finally:
+            if done is not None:
+                done()
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -39,6 +39,15 @@ def test_ids_equal_the_library(lib):
         assert b.decode(got) == lib.decode(want, skip_special_tokens=False), t
 
 
+def test_latin_letters_equal_the_library(lib):
+    b = load(PATH)
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0x21, 0x1A0)]
+    for _ in range(4000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 25)))
+        assert [i for p in t.encode().split() for i in b.encode_piece(p)] == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_every_prefix_has_one_last_token():
     b = load(PATH)
     rng = random.Random(3)
