@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ...operators import order
 from ...operators import tasks as TK
 from ...operators.filters import books_without_pages
-from ...sources import ranges
+from ...sources import archives, ranges
 from ...sources import readers as R
 from ...sources import sinks as K
 from ...sources.tables import documents, table
@@ -216,7 +216,7 @@ def scan_tar_members(spark, sf):
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text", F.floor(F.col("doc_id") / 100).alias("g")
     )
     path = K.write_tar_archives(d, "name", "text", K.scratch_path(spark, "tar"), "g")
-    m = R.read_tar_members(spark, path)
+    m = archives.read_tar_members(spark, path)
     return m.select(F.regexp_extract("member", r"^(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 

@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...sources.sinks import scratch_path
+from ...sources import archives
+from ...sources.sinks import scratch_path, write_tar_archives
 from ...sources.tables import table
 from ...streaming import ingest as S
 from .. import fixtures as FX
@@ -55,3 +56,23 @@ def stream_dedupe_watermark(spark, sf):
     folder, schema = _increments(spark, docs, "inc")
     sink = S.dedupe(S.increments(spark, folder, schema), "text", scratch_path(spark, "sink"), scratch_path(spark, "ck"), event_time="seen_at", delay="1 day")
     return spark.read.parquet(sink).select("h")
+
+
+@query("stream_dedupe_latest", "SELECT max(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
+def stream_dedupe_latest(spark, sf):
+    """SR2 with W2's rule: rows of the highest id, over increments of one file each."""
+    folder, schema = _increments(spark, table(spark, sf, "documents").select("doc_id", "text"), "inc")
+    root = S.dedupe_latest(S.increments(spark, folder, schema, max_files=1), "text", "doc_id", scratch_path(spark, "latest"), scratch_path(spark, "ck"))
+    return S.latest_rows(spark, root, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("stream_archives", "SELECT doc_id, md5(text) AS text_md5, CASE doc_id // 100 % 2 WHEN 0 THEN 0 ELSE 1 END AS run FROM documents")
+def stream_archives(spark, sf):
+    """SR1 over archives: the second run reads only the archives that came after the first."""
+    docs = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text", F.floor(F.col("doc_id") / 100).alias("g"))
+    folder, sink, ck = (scratch_path(spark, n) for n in ("tar", "sink", "ck"))
+    for run in (0, 1):
+        write_tar_archives(docs.where(F.col("g") % 2 == run), "name", "text", folder, "g")
+        S.ingest_batches(archives.stream_tar_members(spark, folder), sink, ck)
+    found = spark.read.schema(archives.SCHEMA + ", batch int").parquet(sink)
+    return found.select(F.regexp_extract("member", r"^(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), F.col("batch").alias("run"))

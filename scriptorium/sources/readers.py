@@ -1,16 +1,13 @@
-"""File sources S1-S9, S11, S12.
+"""File sources S1-S9, S12.
 
 Every reader returns a DataFrame with an explicit schema where the format
 allows it (inference only at the edge).  Python is used only where Spark has
-no built-in decoder: lenient UTF-8 decoding of whole files (S7) and tar
-archives (S11), both as Arrow-batched pandas functions per file.
+no built-in decoder: lenient UTF-8 decoding of whole files (S7).  Tar archives (S11)
+are a data source of their own (``archives``), large single files are read by ``ranges``.
 """
 
 from __future__ import annotations
 
-import io
-import tarfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,38 +210,6 @@ def read_xml_sentences(spark: SparkSession, path: str, schema=SENTENCE_SCHEMA) -
     return spark.read.format("xml").option("rowTag", "sentence").schema(schema).load(path)
 
 
-#: Characters of archive members that leave a task at a time.
-MEMBER_CHARS = 8_000_000
-TAR_SCHEMA = "archive string, member string, text string"
-
-
-def read_tar_members(spark: SparkSession, path: str, glob: str = "*.tar.gz") -> DataFrame:
-    """Every regular member of every tar archive -> (archive, member, text).
-
-    One archive is one task; its members are read one after the other and
-    leave in small batches, decoded like S7.  (``binaryFile`` holds an archive of
-    up to 2 GiB; larger ones must be cut where they are made.)
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
-
-    def _members(batches):
-        for pdf in batches:
-            out, size = [], 0
-            for p, content in zip(pdf["path"], pdf["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tf:
-                    for m in tf:
-                        if m.isfile():
-                            data = tf.extractfile(m).read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-                            out.append((p, m.name, data))
-                            size += len(data)
-                            if size > MEMBER_CHARS:
-                                yield pd.DataFrame(out, columns=["archive", "member", "text"])
-                                out, size = [], 0
-            yield pd.DataFrame(out, columns=["archive", "member", "text"])
-
-    return files.mapInPandas(_members, TAR_SCHEMA).hint("rebalance")
-
-
 def load_splits(spark: SparkSession, files: dict[str, str], schema) -> DataFrame:
     """One file (or folder) per split; the reader follows the extension."""
     frames = []

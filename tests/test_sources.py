@@ -8,6 +8,7 @@ import tarfile
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.sources import archives
 from scriptorium.sources import readers as R
 from scriptorium.sources import sinks as K
 
@@ -62,7 +63,7 @@ def test_tar_members(spark, tmp_dir):
             tf.addfile(info, io.BytesIO(data))
     with open(f"{tmp_dir}/a.tar.gz", "wb") as fh:
         fh.write(buf.getvalue())
-    rows = sorted((r.member, r.text) for r in R.read_tar_members(spark, tmp_dir).collect())
+    rows = sorted((r.member, r.text) for r in archives.read_tar_members(spark, tmp_dir).collect())
     assert rows == [("x/1.txt", "one\n"), ("x/2.txt", "two ")]
 
 
