@@ -151,11 +151,11 @@ def tagged(df: DataFrame, tokens: str, tags: str, key: str, features: int = 1 <<
 
     @F.arrow_udf("array<int>")
     def decode(probabilities: pa.Array) -> pa.Array:
-        found = []
-        for row in probabilities:
-            p = np.array(row.as_py(), dtype=float)[:, : len(labels)]
-            found.append(viterbi(np.log(np.maximum(p, 1e-12)), moves))
-        return pa.array(found, pa.list_(pa.int32()))
+        per_token = probabilities.flatten()
+        p = np.asarray(per_token.flatten()).reshape(len(per_token), -1)[:, : len(labels)]
+        scores = np.log(np.maximum(p, 1e-12))
+        cuts = np.cumsum([len(row) for row in probabilities])[:-1]
+        return pa.array([viterbi(x, moves) for x in np.split(scores, cuts)], pa.list_(pa.int32()))
 
     seq = seq.select(key, F.col("_s._y").alias("gold"), decode(F.col("_s._p")).alias("_t"))
     return seq.select(key, "gold", F.transform("_t", lambda t: F.get(names, t)).alias("pred"))

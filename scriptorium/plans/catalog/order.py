@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import mix, order
@@ -18,6 +21,7 @@ def _rank(order_by: str) -> str:
     return f"(row_number() OVER (ORDER BY {order_by}) - 1)"
 
 
+SEED = 42
 SEEDED = f"{Q.digest(42, 'doc_id')}, doc_id"
 
 
@@ -182,3 +186,49 @@ def interleave_all_exhausted(spark, sf):
 )
 def interleave_partial(spark, sf):
     return _interleave(spark, sf, True)
+
+
+EPOCHS = (0, 1, 2)
+
+
+def _epoch_sql(epoch: int) -> str:
+    """The places of one epoch: the Feistel rounds as nested queries, walked until below n."""
+    keys = order.EpochOrder(1, SEED, epoch).keys
+
+    def rounds(source: str) -> str:
+        sql = f"SELECT *, x >> rb AS l, x & rm AS r FROM ({source})"
+        for i, key in enumerate(keys):
+            side, other, mask = ("l", "r", "lm") if i % 2 == 0 else ("r", "l", "rm")
+            sql = f"SELECT *, xor({other}, {key}) & {order._M31} AS t FROM ({sql})"
+            for factor, shift in order._MIX:
+                sql = f"SELECT * REPLACE (xor(t, t >> {shift}) AS t) FROM (SELECT * REPLACE ((t * {factor}) & {order._M31} AS t) FROM ({sql}))"
+            sql = f"SELECT * EXCLUDE t REPLACE (xor({side}, t & {mask}) AS {side}) FROM ({sql})"
+        return f"SELECT doc_id, n, rb, lm, rm, (l << rb) | r AS x FROM ({sql})"
+
+    numbered = (
+        "SELECT doc_id, n, rb, ((1::BIGINT << (bits - rb)) - 1)::BIGINT AS lm, ((1::BIGINT << rb) - 1)::BIGINT AS rm, i AS x FROM ("
+        "SELECT *, (bits // 2)::INTEGER AS rb FROM (SELECT *, greatest(2, length(bin(n - 1)))::INTEGER AS bits FROM ("
+        "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)))"
+    )
+    return f"e{epoch} AS ({rounds(numbered)} UNION ALL {rounds(f'SELECT * FROM e{epoch} WHERE x >= n')})"
+
+
+@query(
+    "epoch_order",
+    "WITH RECURSIVE " + ", ".join(_epoch_sql(e) for e in EPOCHS) + " " + " UNION ALL ".join(f"SELECT {e} AS epoch, doc_id, x AS place FROM e{e} WHERE x < n" for e in EPOCHS),
+)
+def epoch_order(spark, sf):
+    """L2 for training: every document's place in three epochs, from one numbering and without a sort."""
+    docs, n = order.indexed(documents(spark, sf).select("doc_id"), "doc_id", out="i")
+    frames = [order.epoch_order(docs, "i", n, SEED, e).select(F.lit(e).alias("epoch"), "doc_id", "place") for e in EPOCHS]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query(
+    "epoch_batch",
+    "WITH RECURSIVE " + _epoch_sql(2) + " SELECT doc_id, x AS place FROM e2 WHERE x < n AND x // 32 = 3",
+)
+def epoch_batch(spark, sf):
+    """One batch of 32 of an epoch, found by the inverse order."""
+    docs, n = order.indexed(documents(spark, sf).select("doc_id"), "doc_id", out="i")
+    return order.epoch_batch(docs, "i", n, SEED, 2, 3, 32).select("doc_id", "place")

@@ -99,3 +99,37 @@ def test_zero_row_inputs(spark):
     a = spark.range(3).select(F.col("id").alias("x"))
     got = sorted((r.pos, r.x) for r in mix.interleave([a, empty.select(F.col("k").alias("x"))], ["x", "x"]).collect())
     assert [x for _, x in got] == [0, 1, 2]
+
+
+def test_epoch_orders_are_permutations(spark):
+    for n in (1, 2, 3, 7, 100, 257, 1000):
+        for epoch in (0, 1):
+            o = order.EpochOrder(n, 42, epoch)
+            places = [o.place(i) for i in range(n)]
+            assert sorted(places) == list(range(n)) and all(o.row(p) == i for i, p in enumerate(places))
+    df = spark.range(1000).withColumnRenamed("id", "i")
+    for epoch in (0, 5):
+        o = order.EpochOrder(1000, 42, epoch)
+        got = {r.i: r.place for r in order.epoch_order(df, "i", 1000, 42, epoch).collect()}
+        assert got == {i: o.place(i) for i in range(1000)}
+    a, b = ([order.EpochOrder(1000, 42, e).place(i) for i in range(1000)] for e in (0, 1))
+    assert sum(x == y for x, y in zip(a, b)) < 20 and sum(abs(x - y) < 3 for x, y in zip(a, a[1:])) < 30
+    plan = order.epoch_order(df, "i", 1000, 42, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_epoch_batches_cover_an_epoch(spark):
+    df = spark.range(70).withColumnRenamed("id", "i")
+    found = [order.epoch_batch(df, "i", 70, 1, 3, b, 32) for b in range(4)]
+    places = [sorted(r.place for r in f.collect()) for f in found]
+    assert places == [list(range(32)), list(range(32, 64)), list(range(64, 70)), []]
+    o = order.EpochOrder(70, 1, 3)
+    assert all(o.place(r.i) == r.place for r in found[1].collect())
+    assert "Exchange" not in found[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_epoch_orders_of_large_tables():
+    n = 10**12 + 7
+    o = order.EpochOrder(n, "s", 9)
+    for i in (0, 1, 12345, n // 3, n - 1):
+        assert 0 <= o.place(i) < n and o.row(o.place(i)) == i
