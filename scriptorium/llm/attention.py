@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 32
+BLOCK = 16
 NAMES = ("embed", "query", "key", "value", "out", "place", "classes", "bias")
 
+_LARGEST = np.float32(60)
 # Distance of a key from a query, and what the causal mask lets through.
 _DISTANCE = (BLOCK + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK)[None, :]
 _CAUSAL = np.where(_DISTANCE >= 0, 0.0, -1e9).astype(np.float32)
@@ -57,13 +58,19 @@ def blocks(inputs: np.ndarray, first: np.ndarray):
     return np.concatenate([before, inputs], axis=1), np.where(first[:, None], _FIRST, np.float32(0))
 
 
+def _bounded(x: np.ndarray) -> None:
+    """Scores inside of what float32 can raise e to; cheaper than taking off each row's largest one."""
+    np.clip(x, -_LARGEST, _LARGEST, out=x)
+
+
 def _attend(p, tables, window, masked):
     own = window[:, BLOCK:]
     q, k, v = tables[0][own], tables[1][window], tables[2][window]
     s = q @ k.transpose(0, 2, 1)
-    s += (p["place"][np.maximum(_DISTANCE, 0)] + _CAUSAL)[None]
+    s += p["place"][np.maximum(_DISTANCE, 0)][None]
+    _bounded(s)
+    s += _CAUSAL[None]
     s += masked[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(axis=2, keepdims=True)
     mixed = s @ v
@@ -82,29 +89,30 @@ def log_probabilities(p, made, prior, window, masked, targets) -> np.ndarray:
     logits = h @ p["classes"].T
     logits += p["bias"]
     logits += prior[window[:, BLOCK:].ravel()]
-    top = logits.max(axis=1)
+    _bounded(logits)
     wanted = logits[np.arange(len(logits)), targets.ravel()]
-    logits -= top[:, None]
     np.exp(logits, out=logits)
-    return (wanted - top - np.log(logits.sum(axis=1))).reshape(targets.shape)
+    return (wanted - np.log(logits.sum(axis=1))).reshape(targets.shape)
 
 
 def gradients(p, prior, window, masked, targets, weights):
-    """Mean loss over the weighted tokens of a batch, and its gradient."""
+    """Mean loss over the weighted tokens of a batch, and its gradient; that of ``embed`` as (rows met, their gradient)."""
     width = p["embed"].shape[1]
     scale = np.float32(1 / np.sqrt(width))
     # Only the inputs of the batch have tables and gradients; ``near`` numbers them.
     prior_of = window[:, BLOCK:].ravel()
     kinds, near = np.unique(window, return_inverse=True)
     near = near.reshape(window.shape)
-    own, embed = near[:, BLOCK:], p["embed"]
-    p = {**p, "embed": embed[kinds]}
+    own = near[:, BLOCK:]
+    p = {**p, "embed": p["embed"][kinds]}
     q, k, v, a, mixed, h = _attend(p, tables(p), near, masked)
     flat = h.reshape(-1, width)
-    logits = flat @ p["classes"].T + p["bias"] + prior[prior_of]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    prob = logits / logits.sum(axis=1, keepdims=True)
+    prob = flat @ p["classes"].T
+    prob += p["bias"]
+    prob += prior[prior_of]
+    _bounded(prob)
+    np.exp(prob, out=prob)
+    prob /= prob.sum(axis=1, keepdims=True)
     t, w = targets.ravel(), weights.ravel().astype(np.float32)
     total = max(1.0, float(w.sum()))
     loss = float(-(np.log(np.maximum(prob[np.arange(len(t)), t], 1e-30)) * w).sum() / total)
@@ -126,32 +134,36 @@ def gradients(p, prior, window, masked, targets, weights):
     g["value"] = x.T @ dv.reshape(-1, width)
     dx = dk @ p["key"].T + dv @ p["value"].T
     dx[:, BLOCK:] += dh + dq @ p["query"].T * scale
-    order = np.argsort(near, axis=None, kind="stable")
-    first = np.searchsorted(near.ravel()[order], np.arange(len(kinds)))
-    e = np.zeros_like(embed)
-    e[kinds] = np.add.reduceat(dx.reshape(-1, width)[order], first, axis=0)
-    g["embed"] = e
+    cells = near.reshape(-1, 1) * width + np.arange(width)
+    g["embed"] = kinds, np.bincount(cells.ravel(), dx.ravel(), len(kinds) * width).reshape(-1, width).astype(np.float32)
     return loss, g
 
 
 class Adam:
+    """Adam; a table whose gradient comes as (rows, gradient) moves in these rows only, each by its own count of steps."""
+
     def __init__(self, p, rate: float):
-        self.rate, self.t = rate, 0
+        self.rate, self.t = rate, {n: 0 for n in p}
         self.m = {n: np.zeros_like(x) for n, x in p.items()}
         self.v = {n: np.zeros_like(x) for n, x in p.items()}
 
     def step(self, p, g) -> None:
-        self.t += 1
-        fix = np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for n in p:
-            self.m[n] *= 0.9
-            self.m[n] += 0.1 * g[n]
-            d = g[n] * g[n]
-            d *= 0.01
-            self.v[n] *= 0.99
-            self.v[n] += d
-            np.sqrt(self.v[n], out=d)
-            d += 1e-8
-            np.divide(self.m[n], d, out=d)
-            d *= self.rate * fix
-            p[n] -= d
+            if isinstance(g[n], tuple):
+                rows, own = g[n]
+                if not isinstance(self.t[n], np.ndarray):
+                    self.t[n] = np.zeros(len(p[n]), np.int32)
+                self.t[n][rows] += 1
+                m, v = self.m[n][rows], self.v[n][rows]
+                p[n][rows] -= self._move(m, v, own, self.t[n][rows][:, None].astype(np.float32))
+                self.m[n][rows], self.v[n][rows] = m, v
+            else:
+                self.t[n] += 1
+                p[n] -= self._move(self.m[n], self.v[n], g[n], self.t[n])
+
+    def _move(self, m, v, g, t):
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.99
+        v += 0.01 * g * g
+        return m * (self.rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)) / (np.sqrt(v) + 1e-8)

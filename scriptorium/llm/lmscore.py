@@ -22,8 +22,8 @@ all training texts, plus what the causal self-attention adds from the context.
 
 Work: (1) all words of all training texts are counted, by 64-bit hash: per batch, then by Spark.
 (2) With the listed words known, byte sequences of the other words and (unit, next class) pairs of all
-training texts are counted.
-(3) Training: the training texts are dealt into ``SHARE`` parts by hash, one for each of the ``ROUNDS``
+training texts are counted, and the texts are written as unit ids and classes, 4 bytes a token.
+(3) Training reads these: the training texts are dealt into ``SHARE`` parts by hash, one for each of the ``ROUNDS``
 rounds, so every training text passes through the gradient once.  In a round every partition trains its own copy
 of the model on its texts of the part, and Spark averages the copies, in two steps.  (4) One pass
 scores all texts.  Both scores take the ``LISTED`` most frequent words from lists of bounded
@@ -50,16 +50,16 @@ from .common import binary_texts, written
 from .tokenhash import mix
 
 PIECE = 4
-HEAD, TAIL, LISTED = 95, 95, 1 << 18
+HEAD, TAIL, LISTED = 31, 31, 1 << 18
 INPUTS, SHARED = 4096, 256
-WIDTH = 24
+WIDTH = 16
 ROUNDS, SHARE = 2, 2
 RATE = 0.015
 #: Weight of the classes' overall shares in their shares after a unit, per distinct class found there.
 SMOOTH = 2.0
 #: Blocks per training step.
-STEP_BLOCKS = 24
-_SCORE_BLOCKS = 64
+STEP_BLOCKS = 128
+_SCORE_BLOCKS = 128
 _SLICE = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -67,7 +67,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _AT = np.random.default_rng(1867).integers(1, 1 << 62, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 END_WORD = 1  # hash that stands for the end among the words
-WORDS, TEXTS, BYTES, PAIRS = 0, 1, 2, 3  # kinds of counted rows
+WORDS, TEXTS, BYTES, PAIRS, UNITS = 0, 1, 2, 3, 4  # kinds of rows
 
 END_CLASS = HEAD + TAIL
 SPELLED = END_CLASS + 1
@@ -296,26 +296,47 @@ def count_words(train: DataFrame) -> DataFrame:
     return written(rows.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.max(F.struct("most", "place"))["place"].alias("place")), "lm-words")
 
 
-def count_units(train: DataFrame, v: Vocabulary) -> DataFrame:
-    """(kind, id, n): byte sequences of words that are not listed, and the pairs of an input and the class after it."""
+def pack_units(inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, first: np.ndarray) -> bytes:
+    """The blocks of a slice of training texts, 4 bytes a token."""
+    return b"".join([np.int64(len(first)).tobytes(), inputs.astype("<u2").tobytes(), targets.astype(np.uint8).tobytes(), real.astype(np.uint8).tobytes(), first.astype(np.uint8).tobytes()])
+
+
+def unpack_units(raw: bytes):
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    size, at = n * A.BLOCK, 8
+    inputs = np.frombuffer(raw, "<u2", size, at).astype(np.int64).reshape(n, A.BLOCK)
+    targets, real = (np.frombuffer(raw, np.uint8, size, at + (2 + k) * size).reshape(n, A.BLOCK) for k in (0, 1))
+    return inputs, targets.astype(np.int64), real.astype(bool), np.frombuffer(raw, np.uint8, n, at + 4 * size).astype(bool)
+
+
+def read_into_units(train: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """Counts (kind, id, n) of byte sequences of words that are not listed and of the pairs of an input and the
+    class after it; and the training texts as units (part, units), which the training rounds read in their place."""
     shared = train.sparkSession.sparkContext.broadcast(v)
+    names = ["kind", "id", "n", "units"]
+
+    def counted(kind, ids, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array(n), pa.nulls(len(ids), pa.binary())], names)
 
     def run(batches):
         v = shared.value
         pairs = np.zeros(N_INPUTS * CLASSES, np.int64)
         for batch in batches:
+            texts, part = binary_texts(batch.column(0)), batch.column(1).to_numpy()
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for _, _, c, ends in slices(binary_texts(batch.column(0))):
-                inputs, targets, _, real, _, _, keys, _ = _blocked(v, c, ends, True)
-                pairs += np.bincount((inputs * CLASSES + targets)[real], minlength=len(pairs))
-                found.append(np.unique(keys, return_counts=True))
-            ids, n = _added(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), BYTES, np.int32)), pa.array(ids), pa.array(n)], ["kind", "id", "n"])
+            for k in np.unique(part):
+                for _, _, c, ends in slices([texts[i] for i in np.flatnonzero(part == k)]):
+                    inputs, targets, _, real, first, _, keys, _ = _blocked(v, c, ends, True)
+                    pairs += np.bincount((inputs * CLASSES + targets)[real], minlength=len(pairs))
+                    found.append(np.unique(keys, return_counts=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([UNITS], pa.int32()), pa.array([k], pa.int64()), pa.array([0], pa.int64()), pa.array([pack_units(inputs, targets, real, first)], pa.binary())], names)
+            yield counted(BYTES, *_added(found))
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), PAIRS, np.int32)), pa.array(at), pa.array(pairs[at])], ["kind", "id", "n"])
+        yield counted(PAIRS, at, pairs[at])
 
-    rows = train.mapInArrow(run, "kind int, id long, n long")
-    return written(rows.groupBy("kind", "id").agg(F.sum("n").alias("n")), "lm-units")
+    rows = written(train.mapInArrow(run, "kind int, id long, n long, units binary"), "lm-units")
+    counts = rows.where(F.col("kind") != UNITS).groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    return written(counts, "lm-unit-counts"), rows.where(F.col("kind") == UNITS).select(F.col("id").alias("part"), "units")
 
 
 def _most(rows: DataFrame, limit: int, *more: str):
@@ -365,20 +386,34 @@ def classes_of(ids: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
     return klass
 
 
-def byte_model(keys: np.ndarray, n: np.ndarray) -> list:
-    """Counts of all orders from those of the longest one."""
+def byte_model(orders: list[tuple[np.ndarray, np.ndarray]]) -> list:
+    """Per order: sequences and counts, and of their contexts the sums and the numbers of followers.
+
+    ``orders[k]`` holds sequences of k symbols of context and one more, with their counts.
+    """
     out = []
-    for order in range(ORDER + 1):
-        grams, total = _added([(keys & ((1 << 9 * (order + 1)) - 1), n)])
+    for keys, n in orders:
+        grams, total = _added([(keys, n)])
         contexts, sums = _added([(grams >> 9, total)])
         out.append((grams, total, contexts, sums, _added([(grams >> 9, np.ones(len(grams), np.int64))])[1]))
     return out
 
 
+def byte_counts(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The most frequent byte sequences of each order, counted from all sequences: what a longer
+    order leaves out is still in the shorter ones."""
+    rows = counts.where(F.col("kind") == BYTES)
+    out = []
+    for order in range(ORDER + 1):
+        cut_down = rows.groupBy(F.col("id").bitwiseAND(F.lit((1 << 9 * (order + 1)) - 1)).alias("id")).agg(F.sum("n").alias("n"))
+        keys, n = _most(cut_down, LISTED)
+        out.append((keys.view(np.int64), n))
+    return out
+
+
 def read_units(v: Vocabulary, counts: DataFrame) -> Vocabulary:
     """Adds the byte model and the priors of the classes."""
-    keys, n = _most(counts.where(F.col("kind") == BYTES), LISTED)
-    v.bytes_ = byte_model(keys.view(np.int64), n)
+    v.bytes_ = byte_model(byte_counts(counts))
     got = counts.where(F.col("kind") == PAIRS).select("id", "n").toArrow()  # at most inputs x classes rows
     pairs = np.zeros(N_INPUTS * CLASSES)
     pairs[got.column("id").to_numpy()] = got.column("n").to_numpy()
@@ -413,25 +448,25 @@ def _blocked(v: Vocabulary, c: Cut, ends: np.ndarray, learning: bool = False):
     return inputs[:-1].reshape(shape), targets.reshape(shape), inside.reshape(shape), real.reshape(shape), first, np.repeat(np.arange(len(ends)), rows), keys, word
 
 
-def train_round(train: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, rate: float) -> np.ndarray:
+def train_round(units: DataFrame, prior: np.ndarray, flat: np.ndarray, rate: float) -> np.ndarray:
     """One round: a copy per partition, averaged by tokens; all copies of a bucket are added in a stream."""
-    shared = train.sparkSession.sparkContext.broadcast((vocabulary, flat))
+    shared = units.sparkSession.sparkContext.broadcast((prior, flat))
 
     def learn(batches):
         from pyspark import TaskContext
 
-        v, begin = shared.value
+        prior, begin = shared.value
         p = A.unpack(begin, N_INPUTS, CLASSES, WIDTH)
         adam, tokens = A.Adam(p, rate), 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            for _, _, c, ends in slices(binary_texts(batch.column(0))):
-                inputs, targets, _, real, first, _, _, _ = _blocked(v, c, ends, True)
+            for raw in batch.column(0):
+                inputs, targets, real, first = unpack_units(raw.as_py())
                 window, masked = A.blocks(inputs, first)
                 order = rng.permutation(len(window))
                 for i in range(0, len(order), STEP_BLOCKS):
                     k = order[i : i + STEP_BLOCKS]
-                    _, g = A.gradients(p, v.prior, window[k], masked[k], targets[k], real[k])
+                    _, g = A.gradients(p, prior, window[k], masked[k], targets[k], real[k])
                     adam.step(p, g)
                     tokens += int(real[k].sum())
         if tokens:
@@ -450,7 +485,7 @@ def train_round(train: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, rate
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([tokens]), pa.array([sums.tobytes()], pa.binary())], ["bucket", "tokens", "sums"])
 
     kind = "bucket int, tokens double, sums binary"
-    copies = train.mapInArrow(learn, kind).repartition(64, "bucket").mapInArrow(add, kind).collect()  # at most 64 models
+    copies = units.mapInArrow(learn, kind).repartition(64, "bucket").mapInArrow(add, kind).collect()  # at most 64 models
     if not copies:
         return flat
     return (sum(np.frombuffer(r["sums"], "<f8") for r in copies) / sum(r["tokens"] for r in copies)).astype(np.float32)
@@ -519,10 +554,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     train = df.where(~held_out(id_col)).select(text.alias("__text"), F.pmod(F.xxhash64(F.lit(8), F.col(id_col)), F.lit(share)).alias("__part"))
     counts = count_words(train.select("__text"))
     v = read_words(counts)
-    v = read_units(v, count_units(train.select("__text"), v))
+    unit_counts, units = read_into_units(train, v)
+    v = read_units(v, unit_counts)
     flat = A.pack(A.start(N_INPUTS, CLASSES, WIDTH))
     for k in range(rounds):
-        flat = train_round(train.where(F.col("__part") == k % share).select("__text"), v, flat, rate / (k + 1))
+        flat = train_round(units.where(F.col("part") == k % share).select("units"), v.prior, flat, rate / (k + 1))
 
     rows = score_rows(df.select(key.alias("__key"), text.alias("__text")), v, flat)
     # Repeated rows have one key, and each sent the same values.

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from scriptorium.llm import attention as A
 from scriptorium.llm import lmscore as M
 from scriptorium.llm import queries as Q
@@ -90,7 +91,11 @@ def _vocabulary(spark):
     texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(60)) for _ in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     v = M.read_words(M.count_words(df))
-    return texts, M.read_units(v, M.count_units(df, v))
+    return texts, M.read_units(v, _unit_counts(df, v))
+
+
+def _unit_counts(df, v):
+    return M.read_into_units(df.withColumn("part", F.lit(0).cast("long")), v)[0]
 
 
 def test_probabilities_sum_to_one(spark, monkeypatch):
@@ -106,8 +111,8 @@ def test_probabilities_sum_to_one(spark, monkeypatch):
         assert (10.0 ** v.spelled(np.arange(1, 258) + base)).sum() == pytest.approx(1)
     assert np.allclose(np.exp(v.prior).sum(axis=1), 1, atol=1e-4)
     p = A.start(M.N_INPUTS, M.CLASSES, M.WIDTH)
-    window, masked = A.blocks(np.arange(64).reshape(2, 32), np.array([True, False]))
-    total = sum(np.exp(A.log_probabilities(p, A.tables(p), v.prior, window, masked, np.full((2, 32), c))) for c in range(M.CLASSES))
+    window, masked = A.blocks(np.arange(2 * A.BLOCK).reshape(2, A.BLOCK), np.array([True, False]))
+    total = sum(np.exp(A.log_probabilities(p, A.tables(p), v.prior, window, masked, np.full((2, A.BLOCK), c))) for c in range(M.CLASSES))
     assert np.allclose(total, 1, atol=1e-4)
 
 
@@ -116,9 +121,12 @@ def test_gradients():
     p = {n: x.astype(np.float64) for n, x in A.start(9, 5, 4).items()}
     p["place"] += rng.standard_normal(p["place"].shape) * 0.1
     prior = rng.standard_normal((9, 5))
-    window, masked = A.blocks(rng.integers(0, 9, (3, 32)), np.array([True, False, True]))
-    targets, weights = rng.integers(0, 5, (3, 32)), rng.random((3, 32)) > 0.2
+    window, masked = A.blocks(rng.integers(0, 9, (3, A.BLOCK)), np.array([True, False, True]))
+    targets, weights = rng.integers(0, 5, (3, A.BLOCK)), rng.random((3, A.BLOCK)) > 0.2
     _, g = A.gradients(p, prior, window, masked, targets, weights)
+    rows, own = g["embed"]
+    g["embed"] = np.zeros(p["embed"].shape)
+    g["embed"][rows] = own
     for name in A.NAMES:
         for _ in range(4):
             at = tuple(rng.integers(0, n) for n in p[name].shape)
@@ -157,6 +165,7 @@ def test_each_token_once_and_causal(spark, monkeypatch):
         s = (e @ p["query"]) @ (keys @ p["key"]).T / math.sqrt(M.WIDTH) + p["place"][np.arange(t - lo, -1, -1)]
         a = np.exp(s - s.max())
         h = e + (a / a.sum()) @ (keys @ p["value"]) @ p["out"]
+        assert np.abs(s).max() < A._LARGEST
         z = h @ p["classes"].T + p["bias"] + v.prior[inputs[t]]
         total += (z[targets[t]] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10)
     assert together[0] == pytest.approx(total, rel=1e-4)
@@ -183,7 +192,7 @@ def test_score_by_hand(spark, monkeypatch):
     train = df.where(~M.held_out("doc_id")).select("text")
     counts = M.count_words(train)
     v = M.read_words(counts)
-    v = M.read_units(v, M.count_units(train, v))
+    v = M.read_units(v, _unit_counts(train, v))
     p = A.start(M.N_INPUTS, M.CLASSES, M.WIDTH)
     p["classes"][:] = 0
     n = Counter(w for r in train.collect() for w in r.text.split())
@@ -208,9 +217,58 @@ def test_model_learns(spark):
 
 def test_every_training_text_once(spark, monkeypatch):
     """The rounds together hand every training text to the gradient, none twice."""
-    rows = [(i, f"text number {i}") for i in range(300)] + [(None, "no id")]
+    rows = [(i, f"text number n{i}") for i in range(300)] + [(None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    given = []
-    monkeypatch.setattr(M, "train_round", lambda train, v, flat, rate: given.extend(r[0] for r in train.collect()) or flat)
+    given, parts = [], []
+
+    def take(units, prior, flat, rate):
+        parts.append(0)
+        for r in units.collect():
+            inputs, targets, real, first = M.unpack_units(r["units"])
+            assert inputs.shape == targets.shape == real.shape and len(first) == len(inputs)
+            given.append((int(first.sum()), int(real.sum())))
+        return flat
+
+    monkeypatch.setattr(M, "train_round", take)
     M.lm_scores(df)
-    assert sorted(given) == sorted(r.text for r in df.where(~M.held_out("doc_id")).collect())
+    n = df.where(~M.held_out("doc_id")).count()
+    assert len(parts) == M.ROUNDS and sum(f for f, _ in given) == n
+    assert sum(r for _, r in given) == sum(len(r.text.split()) + 1 for r in df.where(~M.held_out("doc_id")).collect())
+
+
+def test_units_pack_and_unpack():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5):
+        shape = (n, A.BLOCK)
+        given = rng.integers(0, M.N_INPUTS, shape), rng.integers(0, M.CLASSES, shape), rng.random(shape) > 0.5, rng.random(n) > 0.5
+        for x, y in zip(given, M.unpack_units(M.pack_units(*given)), strict=True):
+            assert x.shape == y.shape and (x == y).all()
+    assert M.N_INPUTS < 1 << 16 and M.CLASSES <= 256
+
+
+def test_rows_not_met_do_not_move():
+    rng = np.random.default_rng(4)
+    p = {"embed": rng.random((6, 3)).astype(np.float32), "bias": rng.random(3).astype(np.float32)}
+    before = p["embed"].copy()
+    adam = A.Adam(p, 0.1)
+    for rows in ([1, 4], [4], [1, 2]):
+        adam.step(p, {"embed": (np.array(rows), np.ones((len(rows), 3), np.float32)), "bias": np.ones(3, np.float32)})
+    assert (p["embed"][[0, 3, 5]] == before[[0, 3, 5]]).all() and adam.t["embed"].tolist() == [0, 2, 1, 0, 2, 0]
+    # the first step of a row has Adam's full rate, whenever it comes
+    assert np.allclose(before[2] - p["embed"][2], 0.1, atol=1e-4)
+
+
+def test_left_out_byte_sequences_stay_in_the_shorter_orders(spark, monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    letters = np.frombuffer("".join(words).encode(), np.uint8).astype(np.uint64)
+    keys, _ = M.byte_sequences(np.array([len(w) for w in words]), letters)
+    rows = [(M.BYTES, int(k), n) for k, n in Counter(keys.tolist()).items()]
+    df = spark.createDataFrame(rows, "kind int, id long, n long")
+    monkeypatch.setattr(M, "LISTED", 60)
+    got = M.byte_counts(df)
+    assert len(got[M.ORDER][0]) <= 60 < len(rows)
+    for order in (0, 1):  # few enough to be kept whole: they count every symbol of every word
+        want = Counter((keys & ((1 << 9 * (order + 1)) - 1)).tolist())
+        assert len(want) <= 60 and dict(zip(*(x.tolist() for x in got[order]))) == want
+        assert got[order][1].sum() == len(keys)
