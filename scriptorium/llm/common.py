@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -21,13 +22,20 @@ BLANKS = " \t\n\x0b\f\r"
 #: Input bytes that a Python worker turns into output rows at a time.
 SLICE_BYTES = 2_000_000
 
-_named: list[str] = []
+class _Named(threading.local):
+    """Folders that this thread named: runs of other threads are not its own."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_named = _Named()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name inside the shared checkpoint folder."""
-    _named.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _named[-1]
+    _named.folders.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _named.folders[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,11 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def named_since():
     """The folders that ``shared_folder`` names inside of the block."""
-    before, found = len(_named), []
+    before, found = len(_named.folders), []
     try:
         yield found
     finally:
-        found += _named[before:]
+        found += _named.folders[before:]
 
 
 def remove_folders(spark: SparkSession, paths: list[str]) -> int:

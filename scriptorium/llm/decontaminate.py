@@ -2,8 +2,9 @@
 
 Words are lower-case runs of letters and digits.  A document leaks an item if
 some ``window`` consecutive words of it equal ``window`` consecutive words of the
-item in all but at most ``substitutions`` places (an item shorter than the window is
-compared as a whole, with substitutions in proportion).
+item in all but at most ``substitutions`` places.  An item shorter than the window
+leaks where all its words stand in a document as they are: the mask for it selects
+every word.
 
 Each of the fixed masks selects some of the words it spans and ignores the
 others; the hash of the selected words is the seed.  Together the masks are
@@ -17,9 +18,8 @@ positions that the table reports are shuffled, with the words around them
 positions is shuffled in vain.  A passage that a third of the documents share
 is a hot seed: the skew join splits it.
 
-Defined results: null and empty texts have no words and leak nothing; an item
-with fewer words than ``min_item_words`` is too short to tell and never
-reported; documents that repeat an id give one row with the widest span; null
+Defined results: null and empty texts have no words and leak nothing; ids keep their
+own type; items with fewer words than ``min_item_words`` (1: none) are left out; documents that repeat an id give one row with the widest span; null
 ids are kept as a null id; extra columns are not read; empty tables give an empty result.
 """
 
@@ -40,7 +40,7 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7))
 TABLE_BITS = 26
 WINDOW = 12
 SUBSTITUTIONS = 2
-MIN_ITEM_WORDS = 12
+MIN_ITEM_WORDS = 1
 _FACTORS = np.random.default_rng(977).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,7 +68,15 @@ def _around(words: np.ndarray, at: np.ndarray, lo: int, hi: int, span: int, wind
     return [words[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)], (at - first)
 
 
+def _all_masks(masks, window: int):
+    """The spaced masks, and one for each length of the items below the window: all of their words."""
+    return (*masks, *(tuple(range(n)) for n in range(1, window)))
+
+
 def _item_seeds(items: DataFrame, id_col: str, text_col: str, window: int, min_words: int, masks) -> DataFrame:
+    """Seeds of the items; ``masks`` as ``_all_masks`` gives them."""
+    spaced = len(masks) - window + 1
+
     def run(batches):
         for batch in batches:
             texts = binary_texts(batch.column(1))
@@ -77,7 +85,8 @@ def _item_seeds(items: DataFrame, id_col: str, text_col: str, window: int, min_w
                 lo = 0
                 for k, hi in enumerate(ends.tolist()):
                     n = hi - lo
-                    for m, mask in enumerate(masks):
+                    for m in range(spaced) if n >= window else [spaced + n - 1] if n else []:
+                        mask = masks[m]
                         s = seeds(words[lo:hi], m, masks)
                         if n < min_words or not len(s):
                             continue
@@ -86,7 +95,7 @@ def _item_seeds(items: DataFrame, id_col: str, text_col: str, window: int, min_w
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(s.view(np.int64)),
-                                pa.array([ids[i0 + k].as_py()] * len(s), pa.int64()),
+                                ids.take(pa.array(np.full(len(s), i0 + k))),
                                 pa.array(np.full(len(s), n, np.int32)),
                                 pa.array(np.full(len(s), m, np.int32)),
                                 pa.array((at - lo).astype(np.int32)),
@@ -97,19 +106,23 @@ def _item_seeds(items: DataFrame, id_col: str, text_col: str, window: int, min_w
                         )
                     lo = hi
 
-    return items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "seed long, item_id long, item_words int, mask int, item_at int, item_before int, item_around binary"
+    rows = items.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(
+        run, f"seed long, item_id {rows.schema[0].dataType.simpleString()}, item_words int, mask int, item_at int, item_before int, item_around binary"
     )
 
 
-def _document_hits(docs: DataFrame, id_col: str, text_col: str, window: int, table, masks) -> DataFrame:
+def _document_hits(docs: DataFrame, id_col: str, text_col: str, window: int, table, masks, numbers: list[int]) -> DataFrame:
+    """Places of documents that the table of seeds reports, for the masks with these numbers."""
+
     def run(batches):
         for batch in batches:
             texts = binary_texts(batch.column(1))
             ids = batch.column(0)
             for i0, words, ends in batches_of_words(texts):
                 starts = np.concatenate([[0], ends[:-1]])
-                for m, mask in enumerate(masks):
+                for m in numbers:
+                    mask = masks[m]
                     s = seeds(words, m, masks)
                     at = np.flatnonzero(bittable.present(table.value, s, TABLE_BITS))
                     k = np.searchsorted(ends, at, side="right")
@@ -123,13 +136,14 @@ def _document_hits(docs: DataFrame, id_col: str, text_col: str, window: int, tab
                         ["seed", "doc_id", "at", "before", "around"],
                     )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "seed long, doc_id long, at long, before int, around binary")
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, f"seed long, doc_id {rows.schema[0].dataType.simpleString()}, at long, before int, around binary")
 
 
 def overlap(doc: np.ndarray, before: int, item: np.ndarray, item_before: int, span: int, item_words: int, window: int, substitutions: int):
     """Windows through an aligned seed that pass: (first and last word, from the seed on; most equal words), or None."""
     length = min(window, item_words)
-    allowed = substitutions * length // window
+    allowed = substitutions if length == window else 0
     left = min(before, item_before)
     n = left + min(len(doc) - before, len(item) - item_before)
     if n < length:
@@ -163,9 +177,11 @@ def find_leaks(
     ``first_word`` and ``last_word`` bound the leaked windows in the document (0-based word numbers);
     ``equal_words`` of the best window; ``hits``: seeds with a window that was verified.
     """
+    masks = _all_masks(masks, window)
     wanted = _item_seeds(items, item_id_col, item_text_col, window, min_item_words, masks)
     table = docs.sparkSession.sparkContext.broadcast(bittable.build(wanted.select("seed"), TABLE_BITS))
-    hits = _document_hits(docs, id_col, text_col, window, table, masks)
+    used = sorted(r["mask"] for r in wanted.select("mask").distinct().collect())  # no more than there are masks
+    hits = _document_hits(docs, id_col, text_col, window, table, masks, used)
     spans = [_span(m) for m in masks]
 
     def verify(batches):
@@ -187,7 +203,8 @@ def find_leaks(
                 ["doc_id", "item_id", "first", "last", "equal"],
             )
 
-    verified = hits.join(wanted, "seed").mapInArrow(verify, "doc_id long, item_id long, first long, last long, equal long")
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (items, item_id_col))]
+    verified = hits.join(wanted, "seed").mapInArrow(verify, f"doc_id {kinds[0]}, item_id {kinds[1]}, first long, last long, equal long")
     return verified.groupBy("doc_id", "item_id").agg(
         F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("equal").alias("equal_words"), F.count("*").alias("hits")
     )
@@ -196,4 +213,4 @@ def find_leaks(
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that leak no item; all input columns."""
     bad = find_leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")

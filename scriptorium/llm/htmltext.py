@@ -22,9 +22,12 @@ ties and repeated rows give equal results; all input columns are returned, a cla
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,30 +80,39 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
+    """Open elements, and of each tag the numbers of its open ones: no tag looks through all that is open."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("body", {})
         self.open = [self.root]
+        self.numbers = [0]  # rising numbers of the open elements
+        self.of_tag: dict[str, list[int]] = {}
+        self.pushed = 0
+
+    def _last(self, tags) -> int:
+        """Number of the innermost open element of these tags; 0 if there is none."""
+        return max((self.of_tag[t][-1] for t in tags if self.of_tag.get(t)), default=0)
+
+    def _cut(self, at: int) -> None:
+        """End the open elements from place ``at`` on."""
+        for n in self.open[at:]:
+            self.of_tag[n.tag].pop()
+        del self.open[at:], self.numbers[at:]
 
     def _pop_through(self, names, walls) -> None:
         """End the outermost open element among ``names`` that no wall hides."""
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in names:
-                at = i
-            elif tag in walls:
-                break
-        if at is not None:
-            del self.open[at:]
+        wall, found = self._last(w for w in walls if w not in names), None
+        for t in names:
+            own = self.of_tag.get(t)
+            if own and own[-1] > wall:
+                first = own[bisect.bisect_right(own, wall)]
+                found = first if found is None else min(found, first)
+        if found is not None:
+            self._cut(bisect.bisect_left(self.numbers, found))
 
     def _within(self, tag: str, walls) -> bool:
-        for n in reversed(self.open):
-            if n.tag == tag:
-                return True
-            if n.tag in walls:
-                return False
-        return False
+        return 0 < self._last((tag,)) > self._last(w for w in walls if w != tag)
 
     def _add(self, what) -> None:
         """Append to the open element; what may not stand between table tags goes before the table."""
@@ -108,10 +120,12 @@ class TreeBuilder(HTMLParser):
         if top.tag in ("table", "tr") or top.tag in SECTIONS:
             blank = isinstance(what, str) and not what.strip(" \t\n\f\r")
             if not blank and not (isinstance(what, Node) and (what.tag in TABLE_PARTS or what.tag in UNSEEN)):
-                i = max(k for k, n in enumerate(self.open) if n.tag == "table") if any(n.tag == "table" for n in self.open) else 0
-                if i:
-                    kids = self.open[i - 1].kids
-                    kids.insert(kids.index(self.open[i]) if self.open[i] in kids else len(kids), what)
+                number = self._last(("table",))
+                if number:
+                    i = bisect.bisect_left(self.numbers, number)
+                    kids, table = self.open[i - 1].kids, self.open[i]
+                    # an open table is among the last of its parent
+                    kids.insert(next((k for k in range(len(kids) - 1, -1, -1) if kids[k] is table), len(kids)), what)
                     return
         top.kids.append(what)
 
@@ -133,7 +147,7 @@ class TreeBuilder(HTMLParser):
         if tag in _END_P:
             self._pop_through({"p"}, _WALLS)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in TABLE_PARTS and not self._within("table", ()):
             return  # a part without a table is not an element
         if tag in IMPLIED_ENDS:
@@ -141,7 +155,7 @@ class TreeBuilder(HTMLParser):
         if tag in CELLS and not self._within("tr", {"table"}):
             self._push(Node("tr", {}))
         if tag == "table" and self.open[-1].tag == "table":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, given)
         if tag in VOID:
             self._add(node)
@@ -150,11 +164,14 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, node: Node) -> None:
         self._add(node)
+        self.pushed += 1
         self.open.append(node)
+        self.numbers.append(self.pushed)
+        self.of_tag.setdefault(node.tag, []).append(self.pushed)
 
     def _end_head(self) -> None:
         if len(self.open) > 1 and self.open[1].tag == "head":
-            del self.open[1:]
+            self._cut(1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing outside foreign content
@@ -174,18 +191,15 @@ class TreeBuilder(HTMLParser):
             self._add(Node("p", {}))
             return
         walls = () if tag == "table" else {"table"} if tag in TABLE_PARTS else CELLS | {"caption", "table"}
-        crossed = False
-        for i in range(len(self.open) - 1, 0, -1):
-            n = self.open[i]
-            if n.tag == tag or (tag in HEADINGS and n.tag in HEADINGS):
-                if crossed and tag in FORMATTING:
-                    del self.open[i]  # a crossed inline tag ends without ending the blocks in it
-                else:
-                    del self.open[i:]
-                return
-            if n.tag in walls:
-                return
-            crossed = crossed or n.tag in BLOCKS
+        number = self._last(HEADINGS if tag in HEADINGS else (tag,))
+        if not number or self._last(w for w in walls if w != tag) > number:
+            return
+        i = bisect.bisect_left(self.numbers, number)
+        if tag in FORMATTING and self._last(BLOCKS) > number:
+            self.of_tag[tag].pop()
+            del self.open[i], self.numbers[i]  # a crossed inline tag ends without ending the blocks in it
+        else:
+            self._cut(i)
 
     def handle_data(self, data):
         if len(self.open) == 2 and self.open[1].tag == "head" and data.strip(" \t\n\f\r"):
@@ -314,15 +328,16 @@ class Table:
                         if w > there and len(row) > 1:
                             widths[c + n - 1] = widths.get(c + n - 1, 0) + w - there
         out = list(self.caption)
+        begins = [0, *accumulate(widths.get(j, 0) + 2 for j in range(columns + 1))] if several else []
         for row in placed:
             for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                text, width = "", 0
+                parts, width = [], 0
                 for c, _, lines in row:
                     if k < len(lines) and lines[k]:
-                        start = sum(widths.get(j, 0) + 2 for j in range(c)) if several else 0
-                        text += " " * max(start - width, 2 if text else 0) + lines[k]
-                        width = _width(text)
-                out.append(text)
+                        gap = max((begins[c] if several else 0) - width, 2 if parts else 0)
+                        parts.append(" " * gap + lines[k])
+                        width += gap + _width(lines[k])
+                out.append("".join(parts))
         return out
 
 
@@ -446,8 +461,18 @@ def html_to_text(page: str | None) -> str:
     if not page:
         return ""
     builder = TreeBuilder()
-    builder.feed(page)
-    builder.close()
+    # Behind the last > no tag is finished: it is text, and need not be tried as a tag from every < again.
+    cut = page.rfind(">") + 1
+    builder.feed(page[:cut])
+    if builder.cdata_elem is not None:
+        builder.feed(page[cut:])
+        builder.close()
+    else:
+        builder.close()
+        first = page.find("<", cut)
+        for part in (page[cut:], "") if first < 0 else (page[cut:first], page[first:]):
+            if part:
+                builder.handle_data(unescape(part))
     return render(builder.root)
 
 

@@ -22,6 +22,7 @@ many equal words the one that ends first is taken; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,6 +167,25 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int):
     return equal, first, last
 
 
+def closest(found: list[tuple], sizes: list[int]) -> list[bool]:
+    """Of alignments (template, equal words, first, last) that share words, is each one the closest?
+
+    They are taken by most equal words, then by coverage and template; one that shares a
+    word with one taken before is not the closest there.
+    """
+    order = sorted(range(len(found)), key=lambda i: (-found[i][1], -found[i][1] / sizes[found[i][0]], found[i][0], found[i][2]))
+    taken: list[tuple[int, int]] = []  # disjoint, sorted
+    best = [False] * len(found)
+    for i in order:
+        _, _, a, b = found[i]
+        k = bisect.bisect_left(taken, (a, b))
+        if (k and taken[k - 1][1] >= a) or (k < len(taken) and taken[k][0] <= b):
+            continue
+        taken.insert(k, (a, b))
+        best[i] = True
+    return best
+
+
 def scan_words(index: Index, words: np.ndarray, min_coverage: float):
     """(template, equal words, first, last) of the reported alignments, each span once."""
     found = {}
@@ -193,8 +213,10 @@ def scan_licenses(
     window: int = WINDOW,
     min_coverage: float = MIN_COVERAGE,
 ) -> DataFrame:
-    """(doc_id, license, start, stop, matched_words, template_words, coverage): every notice found.
+    """(doc_id, license, start, stop, matched_words, template_words, coverage, closest): every notice found.
 
+    Notices that share words (near-equal licences) are all returned; ``closest`` marks the one
+    that fits best there.
     ``start`` and ``stop`` are 0-based character positions in the whole text.
     """
     index = Index.of(TEMPLATES if templates is None else templates, gram, window)
@@ -202,7 +224,7 @@ def scan_licenses(
     def run(batches):
         for batch in batches:
             texts, ids = binary_texts(batch.column(1)), batch.column(0)
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for i0, words, ends in batches_of_words(texts):
                 at, _, _ = index.hits(words)
                 for k in np.unique(np.searchsorted(ends, at, side="right")).tolist():
@@ -211,14 +233,15 @@ def scan_licenses(
                     if not found:
                         continue
                     spans = _word_spans(texts[i0 + k], [f[2] for f in found], [f[3] for f in found])
-                    for (t, equal, _, _), (a, b) in zip(found, spans, strict=True):
+                    best = closest(found, [len(w) for w in index.words])
+                    for (t, equal, _, _), (a, b), own_best in zip(found, spans, best, strict=True):
                         n = len(index.words[t])
-                        for o, v in zip(out, (i0 + k, index.names[t], a, b, equal, n, equal / n), strict=True):
+                        for o, v in zip(out, (i0 + k, index.names[t], a, b, equal, n, equal / n, own_best), strict=True):
                             o.append(v)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), *[pa.array(o, pa.int64()) for o in out[2:6]], pa.array(out[6], pa.float64())],
-                ["doc_id", "license", "start", "stop", "matched_words", "template_words", "coverage"],
+                [ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), *[pa.array(o, pa.int64()) for o in out[2:6]], pa.array(out[6], pa.float64()), pa.array(out[7], pa.bool_())],
+                ["doc_id", "license", "start", "stop", "matched_words", "template_words", "coverage", "closest"],
             )
 
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, license string, start long, stop long, matched_words long, template_words long, coverage double")
+    rows = df.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, license string, start long, stop long, matched_words long, template_words long, coverage double, closest boolean")

@@ -329,8 +329,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(*rest, F.xxhash64(F.col(id_col), text).alias("__key"), text.alias("__text"))
     spans = repeated_spans(docs.select("__key", "__text"), threshold, gram, group_rows)
-    lists = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
-    joined = docs.join(lists, docs["__key"] == lists["key"], "left").drop("key", "__key")
+    lists = spans.groupBy(F.col("key").alias("__of")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
+    joined = docs.join(lists, docs["__key"] == lists["__of"], "left").drop("__of", "__key")
 
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 

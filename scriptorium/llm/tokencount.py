@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import named_since, remove_folders, written
+
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Texts encoded per call of the library; bounds the memory of a batch.
 ENCODE_BYTES = 4_000_000
@@ -83,6 +85,7 @@ def _encode_misses(misses: DataFrame, path: str) -> DataFrame:
 def count_tokens(df: DataFrame, cache_path: str, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", count_col: str = "n_tokens", bytes_col: str = "n_bytes") -> DataFrame:
     """Append ``n_tokens`` (and the UTF-8 length) to every row; misses are encoded once and cached.
 
+    The digests alone say which contents the cache lacks; the texts are only shuffled if there are any.
     Shuffles: digests, to pick the row with the smallest id of every missing
     content (a content that fills a third of the table meets as partial
     minima); the texts by row id, to the rows picked; digests again, to join
@@ -96,11 +99,14 @@ def count_tokens(df: DataFrame, cache_path: str, tokenizer_path: str, text_col:
     content = F.unhex(F.sha2(text.cast("binary"), 256))
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
 
-    picked = df.groupBy(content.alias("content")).agg(F.min(id_col).alias("__id")).join(known, "content", "left_anti")
-    texts = df.select(F.col(id_col).alias("__row"), content.alias("__c"), text.alias("__text"))
-    misses = texts.join(picked, texts["__row"].eqNullSafe(picked["__id"]) & (texts["__c"] == picked["content"]), "left_semi")
-    fresh = _encode_misses(misses.select("__c", "__text"), tokenizer_path).dropDuplicates(["content"])
-    fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    with named_since() as named:
+        picked = written(df.groupBy(content.alias("content")).agg(F.min(id_col).alias("__id")).join(known, "content", "left_anti"), "token-misses")
+    if not picked.isEmpty():  # without a miss no text moves, and nothing is appended
+        texts = df.select(F.col(id_col).alias("__row"), content.alias("__c"), text.alias("__text"))
+        misses = texts.join(picked, texts["__row"].eqNullSafe(picked["__id"]) & (texts["__c"] == picked["content"]), "left_semi")
+        fresh = _encode_misses(misses.select("__c", "__text"), tokenizer_path).dropDuplicates(["content"])
+        fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    remove_folders(spark, named)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", F.col("n_tokens").alias("__n"))
     rows = df.select(*kept, F.octet_length(text).cast("long").alias(bytes_col), content.alias("__content"))

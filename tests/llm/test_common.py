@@ -31,3 +31,24 @@ def test_clashing_names_are_replaced(spark):
     df = spark.createDataFrame([(1, "x"), (None, None)], "a long, B string")
     out = common.append_columns(df, [T.StructField("b", T.LongType())], lambda batch: [pa.array([7] * batch.num_rows)])
     assert out.columns == ["a", "b"] and sorted((r.a or 0, r.b) for r in out.collect()) == [(0, 7), (1, 7)]
+
+
+def test_tables_of_other_threads_are_not_ones_own(spark):
+    import threading
+
+    found = {}
+
+    def work(name, wait, go):
+        with common.named_since() as named:
+            common.shared_folder(spark, name)
+            go.set()
+            wait.wait(10)
+        found[name] = [n.rsplit("/", 1)[1].split("-")[0] for n in named]
+
+    a, b = threading.Event(), threading.Event()
+    threads = [threading.Thread(target=work, args=x) for x in (("one", a, b), ("two", b, a))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found == {"one": ["one"], "two": ["two"]}

@@ -29,7 +29,7 @@ def plain(docs, items, window=D.WINDOW, substitutions=D.SUBSTITUTIONS, least=D.M
                 same = [d[k + shift] == w[k] for k in range(lo, hi)]
                 for a in range(len(same) - n + 1):
                     e = sum(same[a : a + n])
-                    if e >= n - substitutions * n // window:
+                    if e >= n - (substitutions if n == window else 0):  # a short item: as it is, whole
                         first, last, best = found.get((i, j), (10**9, -1, 0))
                         found[i, j] = min(first, a + lo + shift), max(last, a + lo + shift + n - 1), max(best, e)
     return found
@@ -104,3 +104,25 @@ def test_query(spark, sf):
     some = [d for d in docs if any(k[0] == d[0] for k in got)][:10] + docs[:10]
     ids = {i for i, _ in some}
     assert {k: v for k, v in got.items() if k[0] in ids} == plain(some, items)
+
+
+def test_short_items_and_text_ids(spark):
+    """Items of 1 to 11 words: every exact copy is found, a changed one is not; ids keep their type."""
+    rng = random.Random(4)
+    items = [(f"q{n}", " ".join(f"word{n}x{k}" for k in range(n))) for n in range(0, 14)] + [("q14", None)]
+    docs = []
+    for j, t in items:
+        filler = " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))
+        docs += [(f"copy-{j}", f"{filler} {t or ''}! {filler}"), (f"alone-{j}", (t or "").upper())]
+        w = (t or "").split()
+        for k in range(len(w)):
+            docs.append((f"changed-{j}-{k}", " ".join([*w[:k], "other", *w[k + 1 :]])))
+    docs += [(None, items[5][1]), ("none", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.last_word, r.equal_words) for r in D.find_leaks(df, benchmark).collect()}
+    want = plain(docs, items)
+    assert got == want
+    assert {(f"copy-q{n}", f"q{n}") for n in range(1, 14)} <= set(got) and not any(i and i.startswith("changed-q7") for i, _ in got)
+    kept = {r.doc_id for r in D.without_leaks(df, benchmark).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in want}

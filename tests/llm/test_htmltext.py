@@ -3,6 +3,8 @@
 import random
 import re
 
+import time
+
 import pytest
 from scriptorium.llm import queries as Q
 from scriptorium.llm.htmltext import extract_text, html_to_text
@@ -93,3 +95,23 @@ def test_query(spark):
         seen = re.sub(r"(?s)<!--.*?-->|<(script|style|title|noscript|template|head)\b.*?</\1>", " ", html)
         for w in H.unescape(re.sub(r"<[^>]*>", "\n", seen)).split()[:50]:
             assert w in got[k]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 8000, "<table><tr>" + "<td>x" * 8000 + "<tr>" + "<td>y" * 8000 + "</table>", "<div>" * 8000 + "x", "<table>" + "<b>x" * 8000, "<b><p>" * 4000 + "</b>" * 4000, "<!--" * 8000],
+    ids=["unfinished tags", "wide rows", "open blocks", "text in a table", "crossed tags", "open comments"],
+)
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_to_text(page)
+    once = time.process_time() - began
+    assert once < 2
+    began = time.process_time()
+    html_to_text(page * 2 if page.endswith(">") or page.endswith(" ") else page + page)
+    assert time.process_time() - began < 4
+
+
+def test_text_behind_the_last_tag():
+    for page, want in (("<p>a</p>x <a b <c d", "a\n\nx <a b <c d"), ("a &lt; b <i", "a < b <i"), ("<p>a<script>x < y <b", "a"), ('q <a href="r>s" <b', 'q <a href="r>s" <b')):
+        assert html_to_text(page) == want, page

@@ -120,3 +120,17 @@ def test_bare_and_full_texts(spark):
     assert [most[i][1] for i in (1, 2, 3)] == ["mit/full", "lgpl-2.1/title", "agpl-3.0/header"]
     [full] = [r for r in got if r.license == "mit/full"]
     assert full.coverage == 1 and full.stop >= len(texts[1]) - 1
+
+
+def test_closest_notice_and_text_ids(spark):
+    """Near-equal licences share the words of one header; one of them is the closest. Ids keep their type."""
+    header = max((t for n, t in TEMPLATES.items() if n.startswith("gpl")), key=len)
+    rows = [("one", "x y z " + header + " a b c"), (None, header), ("two", header + " and then " + TEMPLATES["mit/line"])]
+    got = L.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    for i, t in rows:
+        own = [r for r in got if r.doc_id == i]
+        best = sorted((r for r in own if r.closest), key=lambda r: r.start)
+        assert own and best and all(a.stop <= b.start for a, b in zip(best, best[1:]))
+        for r in own:  # whatever is not the closest shares words with one that fits better
+            assert r.closest or any(b.start < r.stop and r.start < b.stop and b.matched_words >= r.matched_words for b in best)
+    assert {r.license for r in got if r.doc_id == "two" and r.closest} >= {"mit/line"}

@@ -83,3 +83,11 @@ def test_query(spark, tmp_path):
         kept = b"".join(b[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2))
         want[i] = (i, len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
     assert {r.doc_id: tuple(r) for r in out.collect()} == want
+
+
+def test_internal_names_as_input_columns(spark):
+    text = "a repeated passage that is long enough to be removed " * 6
+    rows = [(i, f"{i} {text}", "k", 1, "g") for i in range(4)]
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string, start int, gram string"))
+    assert out.columns == ["doc_id", "text", "key", "start", "gram", "removed_spans", "kept"]
+    assert all(r.key == "k" and r.start == 1 and r.gram == "g" and r.removed_spans for r in out.collect())

@@ -50,3 +50,17 @@ def test_query_reads_stored_counts(spark):
     assert stored >= len({r.text or "" for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()})
     assert sorted(map(tuple, Q.QUERIES["op5_token_counts"](spark, SF001).collect())) == first
     assert spark.read.parquet(cache).count() == stored
+
+
+def test_a_second_run_appends_nothing(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)] + [(None, None)], "doc_id long, text string").repartition(3)
+    cache = f"{tmp_path}/cache"
+    first = sorted(map(str, count_tokens(df, cache, PATH).collect()))
+    files = sorted(os.listdir(cache))
+    assert files and sorted(map(str, count_tokens(df, cache, PATH).collect())) == first
+    assert sorted(os.listdir(cache)) == files
+    more = df.unionAll(spark.createDataFrame([(99, "a new text")], "doc_id long, text string"))
+    assert count_tokens(more, cache, PATH).count() == 42 and len(os.listdir(cache)) > len(files)
+    assert count_tokens(df.limit(0), f"{tmp_path}/other", PATH).count() == 0
