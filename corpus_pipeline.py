@@ -14,13 +14,17 @@ rereads as the docs of the next stage.  All but the last return the columns of
 The intermediate tables of a stage are deleted when the next stage begins: by then its result has been
 written, and nothing reads them any more.
 
-Null texts fail the quality rules (no words).  Empty tables pass through.
+Null texts fail the quality rules (no words).  Empty tables pass through.  Rows that repeat an id and a text
+meet the same decision in every stage but the third, which keeps one of them; of a group of near copies the one with
+the smallest id stays, a null id comes last.  Rows with a null id or equal ids are judged by their own texts, but in the fourth stage,
+where a leak removes all rows of its id.
 SQL cannot express the learned rules, the fingerprints or the encoding, so
 there is no ``ORACLE_SQL``; tests hold every stage against a brute-force version.
 """
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +40,25 @@ from scriptorium.llm.simhash import keep_one_per_component
 from scriptorium.sources.tables import table
 
 _STATS = "__quality"
-_left_over: list[str] = []  # intermediate tables of the stage before
+
+
+class _LeftOver(threading.local):
+    """Intermediate tables of the stage before, of this thread's run."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_left_over = _LeftOver()
 
 
 def _stage(fn):
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_folders(spark, _left_over)
+        remove_folders(spark, _left_over.folders)
         with named_since() as named:
             out = fn(spark, docs, sf_dir)
-        _left_over[:] = named
+        _left_over.folders = named
         return out
 
     return run_stage
