@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as K
 from ...functions.text import tokenise_ws
+from ...operators import observed as OB
 from ...operators import tasks as T
 from ...session import checkpoint
 from ...sources.tables import documents, table
@@ -307,3 +308,42 @@ def sentence_pair(spark, sf):
 )
 def multi_hot(spark, sf):
     return T.multi_hot(labelled(spark, sf), "labels", 8).select("doc_id", F.array_join("multi_hot", ",").alias("multi_hot"))
+
+
+def _observed_sql():
+    orphan = "NOT EXISTS (SELECT 1 FROM entities e WHERE e.doc_id = r.doc_id AND e.entity_id = r.{a})"
+    return Q.with_ctes(
+        _F2
+        + [
+            ("s", _SENT),
+            ("u", "SELECT entity, p FROM (SELECT entity, unnest(pair) AS p FROM s) WHERE p._ddi = 'true' AND p._type IS NOT NULL"),
+        ],
+        f"SELECT 'arg1' AS kind, count(*) FILTER ({orphan.format(a='a1')})::BIGINT AS n FROM rel r "
+        f"UNION ALL SELECT 'arg2', count(*) FILTER ({orphan.format(a='a2')})::BIGINT FROM rel r "
+        "UNION ALL SELECT 'abstract', count(*) FILTER (NOT EXISTS (SELECT 1 FROM abstracts a WHERE a.doc_id = r.doc_id))::BIGINT FROM rel r "
+        "UNION ALL SELECT 'relations', count(*)::BIGINT FROM rel "
+        "UNION ALL SELECT 'pairs', count(*)::BIGINT FROM u "
+        "UNION ALL SELECT 'ambiguous', count(*) FILTER (len(list_filter(entity, lambda e: e._id = p._e1)) <> 1 OR len(list_filter(entity, lambda e: e._id = p._e2)) <> 1)::BIGINT FROM u "
+        "UNION ALL SELECT 'unseen', count(*) FILTER (source IN ('src1', 'src2'))::BIGINT FROM documents "
+        "UNION ALL SELECT 'rejected', count(*) FILTER (doc_id % 7 = 0)::BIGINT FROM documents",
+    )
+
+
+@query("observed_losses", _observed_sql())
+def observed_losses(spark, sf):
+    """What each operator loses, counted in the pass that makes its rows."""
+    docs = documents(spark, sf)
+    dim = T.label_dimension(docs.where(~F.col("source").isin("src1", "src2")), "source", is_array=False)
+    short = F.when(F.col("doc_id") % 7 == 0, F.concat_ws("\t", "doc_id", F.lit("T1"))).otherwise(F.concat_ws("\t", "doc_id", F.lit("T1"), F.lit("x"), F.lit("0"), F.lit("1"), "lang"))
+    counts: dict[str, int] = {}
+    for rows, seen in (
+        OB.relation_join_counted(*_relation_inputs(spark, sf)),
+        OB.ddi_relations_counted(sentences(spark, sf)),
+        OB.label_encode_counted(docs.select("doc_id", "source"), "source", dim),
+        OB.well_formed_lines(docs.select(short.alias("value")), 6),
+    ):
+        rows.write.format("noop").mode("overwrite").save()
+        got = dict(seen.get)
+        total = got.pop("rows")
+        counts |= got | ({"relations": total} if "arg1" in got else {"pairs": total} if "ambiguous" in got else {})
+    return spark.createDataFrame(list(counts.items()), "kind string, n long")

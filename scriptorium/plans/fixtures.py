@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, tokenise_ws
+from ..functions.text import explode_rows, let, tokenise_ws
 
 NL = "\n"
 
@@ -54,14 +54,17 @@ def relation_inputs(documents: DataFrame):
     e1, e2 = spread_words()
     base = documents.select("doc_id", "text", e1.alias("e1"), e2.alias("e2"))
     abstracts = base.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    t1 = base.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("T1").alias("entity_id"), F.col("e1").alias("text"), (F.col("doc_id") * 3).alias("line_no"))
-    t2 = base.where(F.col("doc_id") % 50 != 0).select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.lit("T2").alias("entity_id"), F.col("e2").alias("text"), (F.col("doc_id") * 3 + 1).alias("line_no")
-    )
-    t1_again = base.where(F.col("doc_id") % 10 == 0).select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.lit("T1").alias("entity_id"), F.concat(F.col("e1"), F.lit("!")).alias("text"), (F.col("doc_id") * 3 + 2).alias("line_no")
+
+    def entity(name, text, line, there=None):
+        e = F.struct(F.lit(name).alias("entity_id"), text.alias("text"), (F.col("doc_id") * 3 + line).alias("line_no"))
+        return e if there is None else F.when(there, e)
+
+    found = F.array(
+        entity("T1", F.col("e1"), 0),
+        entity("T2", F.col("e2"), 1, F.col("doc_id") % 50 != 0),
+        entity("T1", F.concat(F.col("e1"), F.lit("!")), 2, F.col("doc_id") % 10 == 0),
     )
-    entities = t1.unionByName(t2).unionByName(t1_again)
+    entities = explode_rows(base.select(F.col("doc_id").cast("string").alias("doc_id"), found.alias("_e")), "_e", "e").select("doc_id", "e.*")
     relations = base.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(F.lit("CPR:"), (F.col("doc_id") % 7).cast("string")).alias("grp"),
