@@ -63,6 +63,11 @@ def _bounded(x: np.ndarray) -> None:
     np.clip(x, -_LARGEST, _LARGEST, out=x)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, as a product with ones: several times faster on short rows."""
+    return (x @ np.ones(x.shape[-1], x.dtype))[..., None]
+
+
 def _attend(p, tables, window, masked):
     own = window[:, BLOCK:]
     q, k, v = tables[0][own], tables[1][window], tables[2][window]
@@ -72,7 +77,7 @@ def _attend(p, tables, window, masked):
     s += _CAUSAL[None]
     s += masked[:, None, :]
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s /= _sums(s)
     mixed = s @ v
     return q, k, v, s, mixed, p["embed"][own] + mixed @ p["out"]
 
@@ -92,17 +97,18 @@ def log_probabilities(p, made, prior, window, masked, targets) -> np.ndarray:
     _bounded(logits)
     wanted = logits[np.arange(len(logits)), targets.ravel()]
     np.exp(logits, out=logits)
-    return (wanted - np.log(logits.sum(axis=1))).reshape(targets.shape)
+    return (wanted - np.log(_sums(logits)[:, 0])).reshape(targets.shape)
 
 
 def gradients(p, prior, window, masked, targets, weights):
     """Mean loss over the weighted tokens of a batch, and its gradient; that of ``embed`` as (rows met, their gradient)."""
-    width = p["embed"].shape[1]
+    width, embed_type = p["embed"].shape[1], p["embed"].dtype
     scale = np.float32(1 / np.sqrt(width))
     # Only the inputs of the batch have tables and gradients; ``near`` numbers them.
     prior_of = window[:, BLOCK:].ravel()
-    kinds, near = np.unique(window, return_inverse=True)
-    near = near.reshape(window.shape)
+    met = np.zeros(len(p["embed"]), bool)
+    met[window.ravel()] = True
+    kinds, near = np.flatnonzero(met), (np.cumsum(met) - 1)[window]
     own = near[:, BLOCK:]
     p = {**p, "embed": p["embed"][kinds]}
     q, k, v, a, mixed, h = _attend(p, tables(p), near, masked)
@@ -112,7 +118,7 @@ def gradients(p, prior, window, masked, targets, weights):
     prob += prior[prior_of]
     _bounded(prob)
     np.exp(prob, out=prob)
-    prob /= prob.sum(axis=1, keepdims=True)
+    prob /= _sums(prob)
     t, w = targets.ravel(), weights.ravel().astype(np.float32)
     total = max(1.0, float(w.sum()))
     loss = float(-(np.log(np.maximum(prob[np.arange(len(t)), t], 1e-30)) * w).sum() / total)
@@ -124,7 +130,8 @@ def gradients(p, prior, window, masked, targets, weights):
     dm = dh @ p["out"].T
     dv = a.transpose(0, 2, 1) @ dm
     da = dm @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    ds = a * da
     place = ds.sum(axis=0)
     g["place"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), place.ravel() * (_DISTANCE.ravel() >= 0), 2 * BLOCK).astype(np.float32)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -134,8 +141,8 @@ def gradients(p, prior, window, masked, targets, weights):
     g["value"] = x.T @ dv.reshape(-1, width)
     dx = dk @ p["key"].T + dv @ p["value"].T
     dx[:, BLOCK:] += dh + dq @ p["query"].T * scale
-    cells = near.reshape(-1, 1) * width + np.arange(width)
-    g["embed"] = kinds, np.bincount(cells.ravel(), dx.ravel(), len(kinds) * width).reshape(-1, width).astype(np.float32)
+    columns, at = np.ascontiguousarray(dx.reshape(-1, width).T), near.ravel()
+    g["embed"] = kinds, np.stack([np.bincount(at, c, len(kinds)) for c in columns], axis=1).astype(embed_type)
     return loss, g
 
 

@@ -209,10 +209,10 @@ class Vocabulary:
     bytes_: list | None = None  # byte model: per order sorted (context, symbol) numbers, their counts, and the contexts'
     prior: np.ndarray | None = None  # log of a class's share after an input
 
-    def units(self, c: Cut, learning: bool = False):
+    def units(self, c: Cut, learning: bool = False, kinds_of=None):
         """Per unit: input id, class (-1: a piece that must follow), log10 inside the class of listed words;
         units per word; the byte sequences of the other words, and the number of the word of each."""
-        kinds, back = np.unique(c.hashes, return_inverse=True)
+        kinds, back = np.unique(c.hashes, return_inverse=True) if kinds_of is None else kinds_of
         at, known = _find(self.listed, kinds)
         if learning:
             known[known] = self.counts[at[known]] > 1
@@ -424,10 +424,10 @@ def read_units(v: Vocabulary, counts: DataFrame) -> Vocabulary:
     return v
 
 
-def _blocked(v: Vocabulary, c: Cut, ends: np.ndarray, learning: bool = False):
+def _blocked(v: Vocabulary, c: Cut, ends: np.ndarray, learning: bool = False, kinds_of=None):
     """Texts as rows of BLOCK tokens: inputs, target classes, log10 inside the class, is a class to be
     predicted, is it a text's first block; the text of each block; byte sequences and their words."""
-    ids, klass, share, per_word, keys, word = v.units(c, learning)
+    ids, klass, share, per_word, keys, word = v.units(c, learning, kinds_of)
     ends = np.concatenate([[0], np.cumsum(per_word)])[ends]
     starts = np.concatenate([[0], ends[:-1]])
     n = ends - starts + 1  # with the end
@@ -491,10 +491,10 @@ def train_round(units: DataFrame, prior: np.ndarray, flat: np.ndarray, rate: flo
     return (sum(np.frombuffer(r["sums"], "<f8") for r in copies) / sum(r["tokens"] for r in copies)).astype(np.float32)
 
 
-def _score(v: Vocabulary, p, made, c: Cut, ends):
+def _score(v: Vocabulary, p, made, c: Cut, ends, kinds_of=None):
     """log10 probability of every text of a slice but for the other words inside their class, and log10 of
     these by the byte model (0 for listed words)."""
-    inputs, targets, inside, real, first, text, keys, word = _blocked(v, c, ends)
+    inputs, targets, inside, real, first, text, keys, word = _blocked(v, c, ends, False, kinds_of)
     window, masked = A.blocks(inputs, first)
     got = np.zeros(len(window))
     for i in range(0, len(window), _SCORE_BLOCKS):
@@ -519,9 +519,9 @@ def score_rows(texts: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for i, j, c, ends in slices(binary_texts(batch.column(1))):
-                score, spelled = _score(v, p, made, c, ends)
-                text = np.repeat(np.arange(j - i), np.diff(ends, prepend=0))
                 kinds, where, back = np.unique(c.hashes, return_index=True, return_inverse=True)
+                score, spelled = _score(v, p, made, c, ends, (kinds, back))
+                text = np.repeat(np.arange(j - i), np.diff(ends, prepend=0))
                 at, listed = _find(v.listed, kinds)
                 logs = np.zeros(len(kinds))
                 logs[listed] = np.log10(v.counts[at[listed]] + 0.1)
