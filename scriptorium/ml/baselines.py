@@ -66,6 +66,13 @@ def pair_features(df: DataFrame, s1: str, s2: str) -> DataFrame:
     return df.withColumn("n1", F.size(t1).cast("double")).withColumn("n2", F.size(t2).cast("double")).withColumn("common", F.size(F.array_intersect(t1, t2)).cast("double"))
 
 
+def pair_model(df: DataFrame, s1: str, s2: str, score: str):
+    """B3's model on all rows of ``df``, by the normal equations (three features and the intercept)."""
+    feats = pair_features(df, s1, s2).select("n1", "n2", "common", F.col(score).cast("double").alias("label"))
+    feats = VectorAssembler(inputCols=["n1", "n2", "common"], outputCol="features").transform(feats)
+    return LinearRegression(solver="normal").fit(feats)
+
+
 def pair_regression(df: DataFrame, s1: str, s2: str, score: str, key: str) -> DataFrame:
     """Word-overlap features + linear regression; Pearson on held-out pairs."""
     feats = pair_features(df, s1, s2).select(key, "n1", "n2", "common", F.col(score).cast("double").alias("label"))

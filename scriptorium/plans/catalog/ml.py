@@ -74,3 +74,43 @@ def baseline_pair_features(spark, sf):
     p = FX.sentence_pairs(table(spark, sf, "conversations"))
     f = B.pair_features(p, "sentence1", "sentence2")
     return f.select("conv_id", "turn", *[F.col(c).cast("bigint").alias(c) for c in ("n1", "n2", "common")])
+
+
+_TERMS = ("1.0", "n1", "n2", "common")
+
+
+def _det(rows: list[list[str]]) -> str:
+    """Determinant of a matrix of SQL expressions."""
+    if len(rows) == 1:
+        return rows[0][0]
+    parts = []
+    for k, x in enumerate(rows[0]):
+        minor = _det([[c for j, c in enumerate(r) if j != k] for r in rows[1:]])
+        parts.append(f"{'-' if k % 2 else '+'} {x} * ({minor})")
+    return " ".join(parts)
+
+
+def _normal_equations() -> str:
+    sums = ", ".join(f"sum({a} * {b})::DOUBLE AS m{i}{j}" for i, a in enumerate(_TERMS) for j, b in enumerate(_TERMS) if i <= j)
+    sums += ", " + ", ".join(f"sum({a} * score)::DOUBLE AS y{i}" for i, a in enumerate(_TERMS))
+    matrix = [[f"m{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+    names = ("intercept", "n1", "n2", "common")
+    solved = [[["y%d" % i if j == k else matrix[i][j] for j in range(4)] for i in range(4)] for k in range(4)]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS term, round(({_det(s)}) / ({_det(matrix)}), 8) AS coefficient FROM sums" for n, s in zip(names, solved))
+    return Q.with_ctes(
+        pairs_sql()
+        + [
+            ("t", f"SELECT score::DOUBLE AS score, {Q.tokens('lower(sentence1)')} AS a, {Q.tokens('lower(sentence2)')} AS b FROM pairs"),
+            ("f", "SELECT score, len(a)::DOUBLE AS n1, len(b)::DOUBLE AS n2, len(list_intersect(a, b))::DOUBLE AS common FROM t"),
+            ("sums", f"SELECT {sums} FROM f"),
+        ],
+        rows,
+    )
+
+
+@query("baseline_pair_coefficients", _normal_equations())
+def baseline_pair_coefficients(spark, sf):
+    """B3's coefficients on all sentence pairs, against the normal equations solved by Cramer's rule."""
+    model = B.pair_model(FX.sentence_pairs(table(spark, sf, "conversations")), "sentence1", "sentence2", "score")
+    found = [("intercept", float(model.intercept)), *zip(("n1", "n2", "common"), map(float, model.coefficients.toArray()))]
+    return spark.createDataFrame(found, "term string, coefficient double").select("term", F.round("coefficient", 8).alias("coefficient"))
