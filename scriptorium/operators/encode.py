@@ -1,12 +1,9 @@
 """Vocabulary, encoding, padding and masked-LM examples.
 
 Re-aim of the tokenizer: a word vocabulary learned with a distributed
-``groupBy(word).count`` + bounded top-K, and a sub-word rule (a word splits
-into pieces of at most ``PIECE`` characters, continuation pieces prefixed
-``##``) for label alignment.  The vocabulary is bounded by K by construction,
-so it is shipped to tasks; encoding is then one Arrow
-lookup per batch with no shuffle (an explode + join + regroup would
-shuffle one row per token).
+``groupBy(word).count`` + bounded top-K; encoding is one Arrow lookup per batch
+with no shuffle while the vocabulary is small enough to be shipped to the tasks
+(an explode + join + regroup would shuffle one row per token).  Sub-words are in ``subword``.
 """
 
 from __future__ import annotations
@@ -23,7 +20,6 @@ from ..session import checkpoint
 from .lookup import row_lookup
 from .order import indexed, row_index
 
-PIECE = 6
 #: Rows of the largest vocabulary that is sent to the tasks (some 50 MB); beyond, encoding is a join.
 SHIPPED = 1_000_000
 
@@ -182,25 +178,6 @@ def mask_columns(df: DataFrame, ids: str, key: str, seed, vocab_size: int, out_i
     return df.withColumn(out_ids, F.col("_m.i")).withColumn(out_labels, F.col("_m.l")).drop("_m")
 
 
-def word_pieces(word: Column) -> Column:
-    """Sub-word rule: pieces of at most PIECE characters, ``##`` on continuations."""
-    n = F.greatest(F.ceil(F.length(word) / PIECE).cast("int"), F.lit(1))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.concat(F.when(k == 0, F.lit("")).otherwise(F.lit("##")), F.substring(word, k * PIECE + 1, PIECE)),
-    )
-
-
-def piece_table(tokens: Column, max_length: int) -> Column:
-    """Pieces of a word list as structs (piece, word index, piece index within
-    the word), truncated to leave room for [CLS]/[SEP]."""
-    per_word = F.transform(
-        tokens,
-        lambda w, i: F.transform(word_pieces(w), lambda p, j: F.struct(p.alias("piece"), i.alias("word"), j.alias("sub"))),
-    )
-    return F.slice(F.flatten(per_word), 1, max_length - 2)
-
-
 def align_labels(pieces: Column, label_ids: Column, mode: str, inside_ids: Column | None = None) -> Column:
     """Per-piece labels from per-word label ids, with -100 on [CLS]/[SEP].
 
