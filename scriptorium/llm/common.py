@@ -77,6 +77,35 @@ def sliced(batches):
             yield batch.slice(i, rows)
 
 
+@contextmanager
+def one_blas_thread():
+    """Inside of the block numpy multiplies matrices in the calling thread alone.
+
+    OpenBLAS starts helpers that spin while they wait, on cores that other tasks use; small products
+    then cost a multiple of their CPU time.  Other BLAS libraries are left as they are.
+    """
+    import ctypes
+    import glob
+    import os
+
+    import numpy
+
+    setters = []
+    for lib in glob.glob(os.path.join(os.path.dirname(os.path.dirname(numpy.__file__)), "numpy.libs", "*openblas*")):
+        handle = ctypes.CDLL(lib)
+        for prefix, suffix in (("scipy_openblas", "64_"), ("scipy_openblas", ""), ("openblas", "64_"), ("openblas", "")):
+            get, put = (getattr(handle, f"{prefix}_{verb}_num_threads{suffix}", None) for verb in ("get", "set"))
+            if get is not None and put is not None:
+                setters.append((put, get()))
+                put(1)
+                break
+    try:
+        yield
+    finally:
+        for put, was in setters:
+            put(was)
+
+
 def release_memory() -> None:
     """Give what a task's Python worker has freed back to the machine; the process waits for the next task with it otherwise."""
     import ctypes

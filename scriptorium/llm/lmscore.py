@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as A
-from .common import binary_texts, written
+from .common import binary_texts, one_blas_thread, written
 from .tokenhash import mix
 
 PIECE = 4
@@ -455,24 +455,25 @@ def train_round(units: DataFrame, prior: np.ndarray, flat: np.ndarray, rate: flo
     def learn(batches):
         from pyspark import TaskContext
 
-        prior, begin = shared.value
-        p = A.unpack(begin, N_INPUTS, CLASSES, WIDTH)
-        adam, tokens = A.Adam(p, rate), 0
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        for batch in batches:
-            for raw in batch.column(0):
-                inputs, targets, real, first = unpack_units(raw.as_py())
-                window, masked = A.blocks(inputs, first)
-                order = rng.permutation(len(window))
-                for i in range(0, len(order), STEP_BLOCKS):
-                    k = order[i : i + STEP_BLOCKS]
-                    _, g = A.gradients(p, prior, window[k], masked[k], targets[k], real[k])
-                    adam.step(p, g)
-                    tokens += int(real[k].sum())
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(tokens)]), pa.array([(A.pack(p) * np.float64(tokens)).astype("<f8").tobytes()], pa.binary())], ["bucket", "tokens", "sums"]
-            )
+        with one_blas_thread():
+            prior, begin = shared.value
+            p = A.unpack(begin, N_INPUTS, CLASSES, WIDTH)
+            adam, tokens = A.Adam(p, rate), 0
+            rng = np.random.default_rng(TaskContext.get().partitionId())
+            for batch in batches:
+                for raw in batch.column(0):
+                    inputs, targets, real, first = unpack_units(raw.as_py())
+                    window, masked = A.blocks(inputs, first)
+                    order = rng.permutation(len(window))
+                    for i in range(0, len(order), STEP_BLOCKS):
+                        k = order[i : i + STEP_BLOCKS]
+                        _, g = A.gradients(p, prior, window[k], masked[k], targets[k], real[k])
+                        adam.step(p, g)
+                        tokens += int(real[k].sum())
+            if tokens:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(tokens)]), pa.array([(A.pack(p) * np.float64(tokens)).astype("<f8").tobytes()], pa.binary())], ["bucket", "tokens", "sums"]
+                )
 
     def add(batches):
         tokens, sums = 0.0, None
@@ -513,31 +514,32 @@ def score_rows(texts: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((v, flat))
 
     def run(batches):
-        v, flat = shared.value
-        p = A.unpack(flat, N_INPUTS, CLASSES, WIDTH)
-        made = A.tables(p)
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for i, j, c, ends in slices(binary_texts(batch.column(1))):
-                kinds, where, back = np.unique(c.hashes, return_index=True, return_inverse=True)
-                score, spelled = _score(v, p, made, c, ends, (kinds, back))
-                text = np.repeat(np.arange(j - i), np.diff(ends, prepend=0))
-                at, listed = _find(v.listed, kinds)
-                logs = np.zeros(len(kinds))
-                logs[listed] = np.log10(v.counts[at[listed]] + 0.1)
-                known = np.bincount(text, listed[back], j - i).astype(np.int64) + (v.texts > 0)
-                base = np.bincount(text, logs[back], j - i) + math.log10(v.texts + 0.1)
-                tokens = np.diff(np.concatenate([[0], ends])) + 1
-                m = j - i
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j]), none, none, pa.nulls(m, pa.float64()), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], _NAMES)
-                rare = np.flatnonzero(~listed[back])
-                if len(rare):
-                    pair = text[rare].astype(np.int64) * len(kinds) + back[rare]
-                    pair, n = np.unique(pair, return_counts=True)
-                    m = len(pair)
-                    none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i + pair // len(kinds)]), pa.array(kinds[pair % len(kinds)].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(spelled[where[pair % len(kinds)]]), *none], _NAMES)
+        with one_blas_thread():
+            v, flat = shared.value
+            p = A.unpack(flat, N_INPUTS, CLASSES, WIDTH)
+            made = A.tables(p)
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                for i, j, c, ends in slices(binary_texts(batch.column(1))):
+                    kinds, where, back = np.unique(c.hashes, return_index=True, return_inverse=True)
+                    score, spelled = _score(v, p, made, c, ends, (kinds, back))
+                    text = np.repeat(np.arange(j - i), np.diff(ends, prepend=0))
+                    at, listed = _find(v.listed, kinds)
+                    logs = np.zeros(len(kinds))
+                    logs[listed] = np.log10(v.counts[at[listed]] + 0.1)
+                    known = np.bincount(text, listed[back], j - i).astype(np.int64) + (v.texts > 0)
+                    base = np.bincount(text, logs[back], j - i) + math.log10(v.texts + 0.1)
+                    tokens = np.diff(np.concatenate([[0], ends])) + 1
+                    m = j - i
+                    none = pa.nulls(m, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:j]), none, none, pa.nulls(m, pa.float64()), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], _NAMES)
+                    rare = np.flatnonzero(~listed[back])
+                    if len(rare):
+                        pair = text[rare].astype(np.int64) * len(kinds) + back[rare]
+                        pair, n = np.unique(pair, return_counts=True)
+                        m = len(pair)
+                        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[i + pair // len(kinds)]), pa.array(kinds[pair % len(kinds)].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(spelled[where[pair % len(kinds)]]), *none], _NAMES)
 
     return written(texts.mapInArrow(run, _ROWS), "lm-scores")
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, binary_texts
+from .common import append_columns, binary_texts, one_blas_thread
 from .crf import BEGIN, IN, Crf
 
 KINDS = ["assign", "access", "hex", "tagged"]
@@ -351,7 +351,8 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
     if not any(r["kind"] == 0 for r in found):
         return None
     model = Crf(SIZES)
-    model.fit(*training_set(found), rounds=rounds)
+    with one_blas_thread():
+        model.fit(*training_set(found), rounds=rounds)
     return model
 
 

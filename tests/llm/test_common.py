@@ -52,3 +52,22 @@ def test_tables_of_other_threads_are_not_ones_own(spark):
     for t in threads:
         t.join()
     assert found == {"one": ["one"], "two": ["two"]}
+
+
+def test_one_blas_thread_is_restored():
+    import ctypes
+    import glob
+    import os
+
+    def threads():
+        found = []
+        for lib in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+            get = getattr(ctypes.CDLL(lib), "scipy_openblas_get_num_threads64_", None)
+            found += [get()] if get else []
+        return found
+
+    before = threads()
+    with common.one_blas_thread():
+        assert all(n == 1 for n in threads())
+        assert (np.ones((50, 50)) @ np.ones((50, 50)) == 50).all()
+    assert threads() == before
