@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 
 from .common import append_columns, binary_texts
 
-#: Pieces and words kept in one half of a store; two halves alternate, so a task holds at most twice as many (some 160 MB).
-STORE_PIECES, STORE_WORDS = 150_000, 150_000
+#: Pieces and words kept in one half of a store; two halves alternate, so a task holds at most twice as many (some 50 MB).
+STORE_PIECES, STORE_WORDS = 60_000, 60_000
 _PAIRS_KEPT = 300_000
 _LATIN = 0x180
 _MARK = 0x1000  # shift of a character that carries the word-end mark
