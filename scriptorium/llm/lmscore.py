@@ -287,13 +287,19 @@ def count_words(train: DataFrame) -> DataFrame:
             order = np.lexsort((-n, ids))  # of each word the place in the slice with most of it
             ids, n, place = ids[order], n[order], place[order]
             at = np.flatnonzero(np.diff(ids.view(np.int64), prepend=~ids[:1].view(np.int64)))
-            n_at, sums = n[at], np.add.reduceat(n, at) if len(at) else n
-            columns = [np.full(len(at), WORDS, np.int32), ids[at].view(np.int64), sums, n_at, place[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "id", "n", "most", "place"])
-            yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), pa.array([END_WORD], pa.int64()), pa.array([len(texts)], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], ["kind", "id", "n", "most", "place"])
+            sums = np.add.reduceat(n, at) if len(at) else n
+            columns = [np.full(len(at), WORDS, np.int32), ids[at].view(np.int64), sums, weighed(n[at], place[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "id", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), pa.array([END_WORD], pa.int64()), pa.array([len(texts)], pa.int64()), pa.array([0], pa.int64())], ["kind", "id", "n", "place"])
 
-    rows = train.mapInArrow(run, "kind int, id long, n long, most long, place long")
-    return written(rows.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.max(F.struct("most", "place"))["place"].alias("place")), "lm-words")
+    rows = train.mapInArrow(run, "kind int, id long, n long, place long")
+    return written(rows.groupBy("kind", "id").agg(F.sum("n").alias("n"), (F.max("place") % (1 << 47)).alias("place")), "lm-words")
+
+
+def weighed(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A place (15 bits of a word, then the first 4 bytes) behind its count, up to 32,767, as one number:
+    the largest is that of the slice with most occurrences, and whole numbers are aggregated without a sort."""
+    return np.minimum(n, 0x7FFF) << 47 | (place >> 16)
 
 
 def pack_units(inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, first: np.ndarray) -> bytes:

@@ -272,3 +272,12 @@ def test_left_out_byte_sequences_stay_in_the_shorter_orders(spark, monkeypatch):
         want = Counter((keys & ((1 << 9 * (order + 1)) - 1)).tolist())
         assert len(want) <= 60 and dict(zip(*(x.tolist() for x in got[order]))) == want
         assert got[order][1].sum() == len(keys)
+
+
+def test_places_of_the_slice_with_most_occurrences():
+    place = np.array([3 << 48 | 0xAABBCCDDEEFF, 5 << 48 | 1 << 40, 0x7FFF << 48], np.int64)
+    n = np.array([7, 9, 2], np.int64)
+    w = M.weighed(n, place)
+    assert (w > 0).all() and int(w.argmax()) == 1 and (w % (1 << 47) == place >> 16).all()
+    assert M.weighed(np.array([10**9]), place[:1])[0] == 0x7FFF << 47 | place[0] >> 16
+'''
