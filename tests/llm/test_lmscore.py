@@ -280,4 +280,3 @@ def test_places_of_the_slice_with_most_occurrences():
     w = M.weighed(n, place)
     assert (w > 0).all() and int(w.argmax()) == 1 and (w % (1 << 47) == place >> 16).all()
     assert M.weighed(np.array([10**9]), place[:1])[0] == 0x7FFF << 47 | place[0] >> 16
-'''

@@ -122,5 +122,5 @@ def test_entry_lists_the_queries():
     import __spark_entry__ as E
 
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
-    assert names["pipeline"] is P.run and "op1_line_dedup" in E.oracle_sql()
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
+    assert names["pipeline"] is P.run and {"op1_line_dedup", "op11_prefix_trie", "op12_source_divergence"} <= set(E.oracle_sql())
