@@ -76,7 +76,7 @@ def _quoted(text):
 def scan_csv_one_file(spark, sf):
     """K2 -> S3 by byte ranges: one multi-line file, read by as many tasks as it has ranges."""
     docs = table(spark, sf, "documents").select("doc_id", _quoted("text").alias("text"), _edge("text").alias("note"))
-    path = K.write_csv(docs.coalesce(1), K.scratch_path(spark, "csvfile"))
+    path = K.write_csv_file(docs, K.scratch_path(spark, "csvfile"))
     return _notes_md5(ranges.read_csv_ranges(spark, path))
 
 
@@ -308,13 +308,13 @@ def sink_lines(spark, sf):
     ),
 )
 def tsv_relations(spark, sf):
-    """K3 -> S5 -> J1: entities in two files of different size, in path order; a repeated key keeps its last line."""
+    """K3 -> S5 -> J1: entities in two folders of different size, in path order; a repeated key keeps its last line."""
     abstracts, entities, relations = FX.relation_inputs(table(spark, sf, "documents"))
     entities = entities.where(F.col("text").isNotNull())
     first = F.col("line_no") % 3 != 2  # the repeated entries are in the second file
     root = K.scratch_path(spark, "entityfiles")
-    K.write_lines(FX.entity_lines(entities.where(first)).coalesce(1), "value", f"{root}/a")
-    K.write_lines(FX.entity_lines(entities.where(~first)).coalesce(1), "value", f"{root}/b")
+    K.write_lines(FX.entity_lines(entities.where(first)), "value", f"{root}/a")
+    K.write_lines(FX.entity_lines(entities.where(~first)), "value", f"{root}/b")
     back = R.read_bounded_tsv(spark, f"{root}/*", ["doc_id", "entity_id", "kind", "a", "b", "text"])
     path = K.write_lines(FX.relation_lines(relations), "value", K.scratch_path(spark, "relations"))
     return TK.relation_join(abstracts, back, R.read_bounded_tsv(spark, path, ["doc_id", "kind", "use", "grp", "arg1", "arg2"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import tarfile
 import uuid
 
@@ -38,20 +39,82 @@ def write_json_arrays(df: DataFrame, task: str, path: str) -> str:
 
 
 def write_json_array_file(df: DataFrame, path: str) -> str:
-    """All rows as one JSON array in one file, a row at a time (one writing task: a file has one writer)."""
-    one = df.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "").otherwise(","), F.to_json(F.struct(*df.columns))).alias("value"))
-    edge = df.sparkSession.range(1)
-    edge.select(F.lit("[").alias("value")).coalesce(1).unionAll(one).unionAll(edge.select(F.lit("]")).coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
+    """All rows as one JSON array in one file: the tasks write their rows as parts, each with a comma before it, and ``join_parts`` puts the parts together."""
+    parts = f"{path}.parts"
+    df.select(F.concat(F.lit(","), F.to_json(F.struct(*df.columns))).alias("value")).write.mode("overwrite").text(parts)
+    return join_parts(df.sparkSession, parts, path, "part-00000.txt", b"[\n", b"]\n", skip=1)
+
+
+def write_csv_file(df: DataFrame, path: str, sep: str = ",") -> str:
+    """K2 into one file: a header, and the rows that all tasks write (``join_parts``)."""
+    parts = f"{path}.parts"
+    write_csv(df, parts, sep, header=False)
+    names = ('"' + c.replace('"', '""') + '"' if set(c) & {sep, '"', "\n", "\r"} else c for c in df.columns)
+    return join_parts(df.sparkSession, parts, path, "part-00000.csv", (sep.join(names) + "\n").encode(), b"")
+
+
+#: Bytes that a task of ``join_parts`` holds at a time.
+_COPY = 8 << 20
+
+
+def join_parts(spark: SparkSession, parts: str, path: str, name: str, head: bytes, tail: bytes, skip: int = 0) -> str:
+    """One file ``path/name`` of the part files of a folder, in their order, between ``head`` and ``tail``.
+
+    The sizes of the parts (one row each, known to the store) tell where each one begins in the file, and every task
+    copies its parts to their places: no task reads more than its parts, however large the file is.
+    ``skip`` bytes are left out at the begin of the first part that has any.  The folder ``parts`` is removed after it.
+    A store that cannot write at a place (all but mounted file systems) gets the bytes one part after the other.
+    """
+    source, target = spark._jvm.org.apache.hadoop.fs.Path(parts), spark._jvm.org.apache.hadoop.fs.Path(path, name)
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().getName(), f.getLen()) for f in store.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen())
+    if store.getUri().getScheme() != "file":
+        out = store.create(target, True)
+        out.write(bytearray(head))
+        for i, (part, _) in enumerate(found):
+            read = store.open(spark._jvm.org.apache.hadoop.fs.Path(source, part))
+            read.seek(skip if i == 0 else 0)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, _COPY, False)
+            read.close()
+        out.write(bytearray(tail))
+        out.close()
+    else:
+        folder, to = source.toUri().getPath(), target.toUri().getPath()
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        rows, at = [], len(head)
+        for i, (part, size) in enumerate(found):
+            first = skip if i == 0 else 0
+            rows.append((f"{folder}/{part}", first, at))
+            at += size - first
+        with open(to, "wb") as out:
+            out.write(head)
+            out.seek(at)
+            out.write(tail)
+
+        def copy(batches):
+            for batch in batches:
+                for part, first, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    with open(part, "rb") as read, open(to, "r+b") as out:
+                        read.seek(first)
+                        out.seek(at)
+                        while data := read.read(_COPY):
+                            out.write(data)
+                yield batch
+
+        if rows:
+            todo = spark.createDataFrame(rows, "part string, first long, at long")
+            todo.repartition(len(rows), "part").mapInArrow(copy, todo.schema).write.format("noop").mode("overwrite").save()
+    store.delete(source, True)
     return path
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    """K2: header, no index, quotes doubled inside quoted fields.
+def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> str:
+    """K2: header (if wanted), no index, quotes doubled inside quoted fields.
 
     Edge blanks are kept, and an empty string is written as ``""``, so it does
     not come back as NULL.
     """
-    w = df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    w = df.write.mode("overwrite").option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
     w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').csv(path)
     return path
 
