@@ -40,10 +40,19 @@ def collapse_ws(c) -> Column:
     return F.trim(F.regexp_replace(blank_whitespace(c), " {2,}", " "))
 
 
+def _character_class(chars: str) -> str:
+    """Regex class of ``chars``: those of one byte by name, which makes a bit set, the others behind one range check."""
+    near, far = (sorted(c for c in chars if (ord(c) < 256) == here) for here in (True, False))
+    return "[" + "".join(f"\\x{ord(c):02x}" for c in near) + f"[\\u{ord(far[0]):04x}-\\u{ord(far[-1]):04x}&&[" + "".join(f"\\u{ord(c):04x}" for c in far) + "]]]"
+
+
+_WHITESPACE_RUN = _character_class(WHITESPACE) + "+"
+
+
 def tokenise_ws(c) -> Column:
     """Whitespace tokens as ``array<string>``; empty text -> empty array."""
-    collapsed = collapse_ws(c)
-    return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(collapsed, " ", -1))
+    # one pass; only the edges of the text can leave empty parts
+    return F.array_remove(F.split(_col(c), _WHITESPACE_RUN, -1), "")
 
 
 def word_count(c) -> Column:

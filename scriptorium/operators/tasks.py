@@ -136,14 +136,47 @@ def _by_row(df: DataFrame, array_col: str, dim: DataFrame, key: str, value: str,
     return df.join(entries, df[row].eqNullSafe(entries["_row"]), "left").drop("_row").withColumn("_entries", F.coalesce("_entries", none))
 
 
+#: Rows of a dimension that becomes part of the expression; beyond, it is joined.
+SMALL = 64
+
+
+def _small(dim: DataFrame, key: str, value: str):
+    """(key, value) of a dimension of few rows with distinct keys and no null values, else None."""
+    rows = dim.select(F.col(key).alias("k"), F.col(value).alias("v")).limit(SMALL + 1).collect()
+    entries = [(r["k"], r["v"]) for r in rows if r["k"] is not None]
+    whole = len(rows) <= SMALL and len({k for k, _ in entries}) == len(entries) and all(v is not None for _, v in entries)
+    return entries if whole else None
+
+
+def _by_entries(keys: Column, entries: list[tuple], value_type: str, missing=None) -> Column:
+    """``row_lookup`` for few entries that all rows share: no join, and no Python in the tasks."""
+    none = F.lit(missing).cast(value_type)
+
+    def one(x):
+        found = None
+        for k, v in entries:
+            then = F.lit(v).cast(value_type)
+            found = F.when(x == F.lit(k), then) if found is None else found.when(x == F.lit(k), then)
+        return none if found is None else found.otherwise(none)
+
+    return F.transform(keys, one)
+
+
 def encode_label_array(df: DataFrame, labels: str, dim: DataFrame, out: str, unknown: int | None = K.IGNORE_INDEX, row: str = "doc_id", value: str = "id") -> DataFrame:
     """J4 for per-token label arrays; ``row`` names the rows and may repeat."""
+    value_type = dim.schema[value].dataType.simpleString()
+    entries = _small(dim, "label", value)
+    if entries is not None:
+        return df.withColumn(out, _by_entries(F.col(labels), entries, value_type, unknown))
     found = _by_row(df, labels, dim, "label", value, row)
-    return found.withColumn(out, row_lookup(F.col(labels), F.col("_entries"), dim.schema[value].dataType.simpleString(), unknown)).drop("_entries")
+    return found.withColumn(out, row_lookup(F.col(labels), F.col("_entries"), value_type, unknown)).drop("_entries")
 
 
 def decode_label_array(df: DataFrame, ids: str, dim: DataFrame, out: str, row: str = "doc_id") -> DataFrame:
     """Ids -> labels; an id without a label gives NULL."""
+    entries = _small(dim, "id", "label")
+    if entries is not None:
+        return df.withColumn(out, _by_entries(F.col(ids), entries, "string"))
     found = _by_row(df, ids, dim, "id", "label", row)
     return found.withColumn(out, row_lookup(F.col(ids), F.col("_entries"), "string")).drop("_entries")
 

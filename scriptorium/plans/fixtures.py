@@ -160,21 +160,22 @@ def tag_sequences(documents: DataFrame) -> DataFrame:
     md5('g|doc|pos'), predicted tags from salt 'p' on a quarter of positions."""
     toks = tokenise_ws("text")
 
-    def tag(salt, i):
-        def from_digest(h):  # one md5 per position, read twice
-            d0 = F.conv(F.substring(h, 1, 1), 16, 10).cast("int")
-            typ = F.when(F.conv(F.substring(h, 2, 1), 16, 10).cast("int") % 2 == 0, F.lit("x")).otherwise(F.lit("y"))
-            return F.when(d0 <= 2, F.concat(F.lit("B-"), typ)).when(d0 <= 5, F.concat(F.lit("I-"), typ)).otherwise(F.lit("O"))
+    def digests(salt, tokens):
+        # what all positions of a document share is put together once
+        start = F.concat(F.lit(salt + "|"), F.col("doc_id").cast("string"), F.lit("|"))
+        return let(start, lambda s: F.transform(tokens, lambda t, i: F.md5(F.concat(s, i.cast("string")))))
 
-        return let(F.md5(F.concat(F.lit(salt + "|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string"))), from_digest)
+    def tag(h):
+        # hex digits sort like the numbers they stand for: first one 0-2, 3-5, others; second one even or odd
+        typ = F.when(F.substring(h, 2, 1).isin(*"02468ace"), F.lit("x")).otherwise(F.lit("y"))
+        return F.when(h < "3", F.concat(F.lit("B-"), typ)).when(h < "6", F.concat(F.lit("I-"), typ)).otherwise(F.lit("O"))
 
     def pred(t, i):
-        h = F.md5(F.concat(F.lit("q|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string")))
-        return F.when(F.substring(h, 1, 1).isin("0", "1", "2", "3"), tag("p", i)).otherwise(t)
+        return let(F.md5(F.concat(F.lit("p|"), F.col("doc_id").cast("string"), F.lit("|"), i.cast("string"))), tag)
 
     df = documents.select("doc_id", toks.alias("tokens"))
-    df = df.withColumn("gold", F.transform("tokens", lambda t, i: tag("g", i)))
-    return df.withColumn("pred", F.transform("gold", pred))
+    df = df.withColumn("gold", F.transform(digests("g", F.col("tokens")), tag))
+    return df.withColumn("pred", F.transform(F.arrays_zip(F.col("gold").alias("t"), digests("q", F.col("gold")).alias("h")), lambda z, i: F.when(z["h"] < "4", pred(z["t"], i)).otherwise(z["t"])))
 
 
 def training_log(events: DataFrame) -> DataFrame:
