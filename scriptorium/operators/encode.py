@@ -8,6 +8,8 @@ with no shuffle while the vocabulary is small enough to be shipped to the tasks
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import explode_rows, let, tokenise_ws
-from ..session import checkpoint
+from ..session import bound_batches, checkpoint
 from .lookup import row_lookup
 from .order import indexed, row_index
 
@@ -72,6 +74,7 @@ def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "input_i
         body = _encode_by_join(df, tokens, vocab, out)
         return body.withColumn(out, F.concat(F.array(F.lit(K.CLS_ID)), F.col(out), F.array(F.lit(K.SEP_ID)))) if add_special else body
     words, ids = rows.column("word").combine_chunks(), rows.column("id").combine_chunks()
+    bound_batches(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast((words, ids))
 
     @F.arrow_udf("array<int>")
@@ -141,6 +144,13 @@ def _u(h: Column, part: int) -> Column:
     return F.conv(F.substring(h, 8 * part + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def _u_below(h: Column, part: int, p: float) -> Column:
+    """``_u(h, part) < p``, read off the hex digits: they sort like the number that they stand for."""
+    bound = math.ceil(p * 4294967296)
+    digits = F.substring(h, 8 * part + 1, 8)
+    return digits.isNotNull() if bound >= 1 << 32 else digits < f"{max(bound, 0):08x}"
+
+
 def mask_pairs(ids: Column, key: Column, seed, vocab_size: int, p: float = K.MLM_PROBABILITY) -> Column:
     """M1 + M2: array of (input id, label) per position.
 
@@ -159,14 +169,17 @@ def mask_pairs(ids: Column, key: Column, seed, vocab_size: int, p: float = K.MLM
 
     def decided(x, h):
         rnd = F.floor(_u(h, 3) * vocab_size).cast("int")
-        new = F.when(_u(h, 1) < K.MASK_REPLACE_SHARE, F.lit(K.MASK_ID)).when(_u(h, 2) < K.RANDOM_OF_REST_SHARE, rnd).otherwise(x)
-        return F.when(_u(h, 0) < p, pair(new, x)).otherwise(pair(x, ignore))
+        new = F.when(_u_below(h, 1, K.MASK_REPLACE_SHARE), F.lit(K.MASK_ID)).when(_u_below(h, 2, K.RANDOM_OF_REST_SHARE), rnd).otherwise(x)
+        return F.when(_u_below(h, 0, p), pair(new, x)).otherwise(pair(x, ignore))
+
+    def positions(start):
+        def position(x, i):
+            return F.when(x.isin(*specials), pair(x, ignore)).otherwise(let(F.md5(F.concat(start, i.cast("string"))), lambda h: decided(x, h)))
 
-    def position(x, i):
-        digest = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"), i.cast("string")))
-        return F.when(x.isin(*specials), pair(x, ignore)).otherwise(let(digest, lambda h: decided(x, h)))
+        return F.transform(ids, position)
 
-    return F.transform(ids, position)
+    # what all positions of a row share is put together once
+    return let(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|")), positions)
 
 
 def mask_columns(df: DataFrame, ids: str, key: str, seed, vocab_size: int, out_ids: str = "masked_ids", out_labels: str = "labels", p: float = K.MLM_PROBABILITY) -> DataFrame:

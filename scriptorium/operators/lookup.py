@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 
 def row_lookup(keys: Column, entries: Column, value_type: str, missing=None) -> Column:
     """Array of the value of the *last* entry whose key equals each element of ``keys``.
@@ -17,6 +19,7 @@ def row_lookup(keys: Column, entries: Column, value_type: str, missing=None) ->
     batch are looked up at once by composite keys (row, key), so the work grows with the
     elements plus the entries, not with their product.  Null arrays of keys give NULL.
     """
+    bound_batches()
 
     @F.arrow_udf(f"array<{value_type}>")
     def look(ks: pa.Array, es: pa.Array) -> pa.Array:

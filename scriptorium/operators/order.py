@@ -49,7 +49,8 @@ def indexed(df: DataFrame, order, out: str = "idx", keep=None) -> tuple[DataFram
     for pid, cnt in counts:
         offsets.append((pid, total))
         total += cnt
-    off_df = spark.createDataFrame(offsets, "_pid int, _off bigint")
+    # an Arrow table needs no Python worker on the executors
+    off_df = spark.createDataFrame(pa.table({"_pid": pa.array([p for p, _ in offsets], pa.int32()), "_off": pa.array([o for _, o in offsets], pa.int64())}))
     idx = tagged.join(F.broadcast(off_df), "_pid").withColumn(out, F.col("_off") + F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(_SHIFT))
     if keep is not None:
         idx = idx.where(keep(F.col(out)))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import explode_rows
-from ..session import checkpoint
+from ..session import bound_batches, checkpoint
 from .encode import SHIPPED, chars, lower_tokens, top_k_by_count
 from .order import row_index
 
@@ -264,6 +264,7 @@ def subword_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "pieces
     rows = vocab.select("token", F.col("id").cast("int").alias("id")).limit(SHIPPED + 1).toArrow()
     if rows.num_rows > SHIPPED:
         raise ValueError(f"a sub-word vocabulary has at most {SHIPPED} rows")
+    bound_batches(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks(), rows.column("id").combine_chunks()))
     held: dict = {}
 

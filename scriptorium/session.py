@@ -77,3 +77,15 @@ def checkpoint(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of one Arrow batch that goes to the Python of a task (Spark's setting counts rows first, and a row can be a whole text).
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """Keep the memory of Python tasks apart from the input's size: batches of ``BATCH_BYTES``, unless the session asks for a size itself."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
