@@ -12,8 +12,9 @@ that a merge makes is never more frequent than the pairs it was made of, so all
 merges down to t happen inside of runs of symbols whose neighbours are all hot.
 One round therefore counts the distinct hot runs of the words (few, as few pairs are hot), merges
 them on the driver one by one, in the one and only order, until no pair occurs t times, and applies
-the merges to the words.  Words say which pairs they lost and got, so the
-pair counts are kept up by differences, and words that are one piece drop out.
+the merges to the words that have such runs.  Words say which pairs they lost and got, so the
+pair counts are kept up by differences, and words that are one piece drop out.  Rounds take more pairs
+as the runs become few: their number follows the size of the vocabulary, not that of the input.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .order import row_index
 
 #: Longer words are not learned from and are unknown to the encoder.
 MAX_WORD = 100
-#: A round takes the pairs that are as frequent as the one of this rank.
+#: The first round takes the pairs that are as frequent as the one of this rank, later ones twice as many while their runs are few.
 ROUND_PAIRS = 1_000
 #: Distinct hot runs that may reach the driver; a round that has more takes fewer pairs.
 MAX_RUNS = 300_000
@@ -51,22 +52,42 @@ def _pairs(symbols: list[str]):
     return zip(symbols, symbols[1:], strict=False)
 
 
-def _hot_runs(hot: set):
-    """Maximal runs of symbols whose neighbours are hot pairs."""
+class HotPairs:
+    """Pairs of symbols as whole numbers: the places of both among all symbols of hot pairs."""
+
+    def __init__(self, pairs):
+        names = sorted({s for p in pairs for s in p})
+        at = {s: i for i, s in enumerate(names)}
+        self.names = pa.array(names, pa.string())
+        self.codes = np.array(sorted(at[a] * len(names) + at[b] for a, b in pairs), np.int64)
+
+    def spans(self, symbols: pa.Array):
+        """Places of the symbols of a column of words among the names (-1: none), and the maximal runs of symbols
+        whose neighbours are hot: first symbols, ends, and words."""
+        flat = symbols.flatten()
+        at = pc.fill_null(pc.index_in(flat, value_set=self.names.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(symbols).to_numpy(zero_copy_only=False))
+        pair = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] * len(self.names) + at[1:], -1)
+        pair[ends[:-1] - 1] = -1  # not over the end of a word
+        place = np.minimum(np.searchsorted(self.codes, pair), len(self.codes) - 1)
+        edge = np.flatnonzero(np.diff(self.codes[place] == pair, prepend=False, append=False))
+        return at.astype(np.int32), edge[::2], edge[1::2] + 1, np.searchsorted(ends, edge[::2], side="right")
+
+
+def _hot_runs(hot: HotPairs):
+    """Maximal runs of symbols whose neighbours are hot pairs, as places among the names."""
 
     def run(batches):
         for batch in batches:
-            found: dict[tuple, int] = defaultdict(int)
-            for symbols, n in zip(batch.column("symbols").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                begin = 0
-                for i, pair in enumerate(_pairs(symbols), 1):
-                    if pair not in hot:
-                        if i - begin > 1:
-                            found[tuple(symbols[begin:i])] += n
-                        begin = i
-                if len(symbols) - begin > 1:
-                    found[tuple(symbols[begin:])] += n
-            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in found], pa.list_(pa.string())), pa.array(list(found.values()), pa.int64())], ["run", "n"])
+            if not batch.num_rows:
+                continue
+            at, begins, ends, words = hot.spans(batch.column("symbols"))
+            found: dict[bytes, int] = defaultdict(int)
+            for i, j, n in zip(begins.tolist(), ends.tolist(), batch.column("n").to_numpy()[words].tolist(), strict=True):
+                found[at[i:j].tobytes()] += n
+            sizes = [0, *(len(k) // 4 for k in found)]
+            runs = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([runs, pa.array(list(found.values()), pa.int64())], ["run", "n"])
 
     return run
 
@@ -126,30 +147,66 @@ def merge_runs(runs: list[tuple[list[str], int]], least: int, room: int, known:
     return merges
 
 
-def _apply(merges: list[tuple]):
-    """Words with the merges applied in their order, and the pairs that each one lost and got."""
+def _merged(symbols: list[str], rank: dict) -> list[str]:
+    """Symbols with the merges applied in their order."""
+    while True:
+        r, a, b = min(((rank[p], *p) for p in _pairs(symbols) if p in rank), default=(None, "", ""))
+        if r is None:
+            return symbols
+        symbols = _merge(symbols, a, b)
+
+
+def _apply(merges: list[tuple], hot: HotPairs):
+    """Words with the merges applied in their order, and rows (a, b, n): what the pairs of a batch lost and got.
+
+    Merges happen inside of hot runs; a task merges each distinct run once, and words without one pass through.
+    """
     rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
-    pair = pa.struct([("a", pa.string()), ("b", pa.string()), ("d", pa.int64())])
+    names = ["symbols", "a", "b", "n"]
+
+    def words_of(symbols, n):
+        return pa.RecordBatch.from_arrays([symbols, pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string()), n], names)
 
     def run(batches):
+        done: dict[bytes, list | None] = {}
         for batch in batches:
-            words, deltas = [], []
-            for symbols in batch.column("symbols").to_pylist():
-                new = symbols
-                while True:
-                    r, a, b = min(((rank[p], *p) for p in _pairs(new) if p in rank), default=(None, "", ""))
-                    if r is None:
-                        break
-                    new = _merge(new, a, b)
-                change: dict[tuple, int] = defaultdict(int)
-                if new is not symbols:
-                    for p in _pairs(symbols):
-                        change[p] -= 1
-                    for p in _pairs(new):
-                        change[p] += 1
-                words.append(new)
-                deltas.append([{"a": a, "b": b, "d": d} for (a, b), d in change.items() if d])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column("n"), pa.array(deltas, pa.list_(pair))], ["symbols", "n", "deltas"])
+            if not batch.num_rows:
+                continue
+            symbols, n = batch.column("symbols"), batch.column("n")
+            at, begins, ends, words = hot.spans(symbols)
+            offsets = np.cumsum(pc.list_value_length(symbols).to_numpy(zero_copy_only=False))
+            new: dict[int, list] = {}  # per word its changed runs, from left to right
+            for i, j, w in zip(begins.tolist(), ends.tolist(), words.tolist(), strict=True):
+                key = at[i:j].tobytes()
+                if key not in done:
+                    old = hot.names.take(pa.array(at[i:j])).to_pylist()
+                    got = _merged(old, rank)
+                    done[key] = got if len(got) < len(old) else None
+                if done[key] is not None:
+                    new.setdefault(w, []).append((i, j, done[key]))
+            touched = np.zeros(batch.num_rows, bool)
+            touched[list(new)] = True
+            yield words_of(symbols.filter(pa.array(~touched)), n.filter(pa.array(~touched)))
+            if not new:
+                continue
+            change: dict[tuple, int] = defaultdict(int)
+            out, changed = [], n.filter(pa.array(touched))
+            for w, old, k in zip(np.flatnonzero(touched).tolist(), symbols.filter(pa.array(touched)).to_pylist(), changed.to_pylist(), strict=True):
+                first, word, last = int(offsets[w]) - len(old), [], 0
+                for i, j, got in new[w]:
+                    word += old[last : i - first]
+                    word += got
+                    last = j - first
+                word += old[last:]
+                for p in _pairs(old):
+                    change[p] -= k
+                for p in _pairs(word):
+                    change[p] += k
+                out.append(word)
+            yield words_of(pa.array(out, symbols.type), changed)
+            change = {p: d for p, d in change.items() if d}
+            pairs = [pa.array([p[i] for p in change], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(change), symbols.type), *pairs, pa.array(list(change.values()), pa.int64())], names)
 
     return run
 
@@ -179,31 +236,37 @@ def merges_of(df: DataFrame, text: str, size: int, least: int = 2, pairs_per_rou
 
     merges: list[tuple] = []
     known: set[str] = set(letters)
-    rounds = 0
+    rounds, wanted = 0, pairs_per_round
     while room > 0:
-        top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc()).limit(pairs_per_round).select("n").collect()
+        top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc()).limit(wanted).select("n").collect()
         if not top:
             break
         rounds += 1
-        level = top[-1]["n"]
+        level, whole = top[-1]["n"], True
         while True:  # fewer pairs where their runs would be too many
-            hot = {(r["a"], r["b"]) for r in counts.where(F.col("n") >= level).collect()}
-            runs = words.mapInArrow(_hot_runs(hot), "run array<string>, n long").groupBy("run").agg(F.sum("n").alias("n")).limit(MAX_RUNS + 1).collect()
-            if len(runs) <= MAX_RUNS or level >= top[0]["n"]:
+            got = counts.where(F.col("n") >= level).select("a", "b").toArrow()
+            hot = HotPairs(list(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)))
+            found_runs = words.mapInArrow(_hot_runs(hot), "run array<int>, n long").groupBy("run").agg(F.sum("n").alias("n"))
+            runs = found_runs.limit(MAX_RUNS + 1).toArrow()
+            if runs.num_rows <= MAX_RUNS or level >= top[0]["n"]:
                 break
+            whole = False
             level = top[len(top) // 4]["n"] if top[len(top) // 4]["n"] > level else top[0]["n"]
             top = [t for t in top if t["n"] >= level]
-        if len(runs) > MAX_RUNS:
-            runs = words.mapInArrow(_hot_runs(hot), "run array<string>, n long").groupBy("run").agg(F.sum("n").alias("n")).collect()
-        found = merge_runs([(r["run"], r["n"]) for r in runs], level, room, known)
+        if runs.num_rows > MAX_RUNS:
+            runs = found_runs.toArrow()
+        # few runs: the next round takes more pairs, as every round reads all words
+        wanted = max(pairs_per_round, wanted // 4) if not whole else wanted * 2 if runs.num_rows <= MAX_RUNS // 8 else wanted
+        names = hot.names.to_pylist()
+        found = merge_runs([([names[i] for i in r], n) for r, n in zip(runs.column("run").to_pylist(), runs.column("n").to_pylist(), strict=True)], level, room, known)
         room = size - len(K.SPECIAL_TOKENS) - len(known)
         merges += found
         if room <= 0:
             break
-        done = checkpoint(words.mapInArrow(_apply(found), "symbols array<string>, n long, deltas array<struct<a: string, b: string, d: long>>"))
-        change = done.where(F.size("deltas") > 0).select(F.explode("deltas").alias("p"), "n").select("p.a", "p.b", (F.col("p.d") * F.col("n")).alias("n"))
+        done = checkpoint(words.mapInArrow(_apply(found, hot), "symbols array<string>, a string, b string, n long"))
+        change = done.where(F.col("a").isNotNull()).select("a", "b", "n")
         counts = checkpoint(counts.unionByName(change).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
-        words = done.where(F.size("symbols") > 1).select("symbols", "n")
+        words = done.where(F.col("a").isNull() & (F.size("symbols") > 1)).select("symbols", "n")
     tokens = list(dict.fromkeys([*K.SPECIAL_TOKENS, *letters, *(join_symbols(a, b) for a, b, _ in merges)]))[:size]
     return spark.createDataFrame(list(zip(tokens, range(len(tokens)), strict=True)), "token string, id int"), merges, rounds
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,21 @@ def test_substring_vocabulary(spark):
                 want[("##" if i else "") + w[i:j]] += n
     got = [(r["token"], r["n"]) for r in S.vocab_substrings(df, "text", 5, longest=2).orderBy("id").collect()]
     assert got == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_rounds_take_more_pairs_while_runs_are_few(spark):
+    texts = _texts(3)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tokens, merges = one_by_one(texts, 160)
+    vocab, got, rounds = S.merges_of(df, "text", 160, pairs_per_round=2)
+    assert got == merges and [r["token"] for r in vocab.orderBy("id").collect()] == tokens
+    assert rounds <= 10 < len(merges) / 10
+
+
+def test_hot_runs_stay_inside_of_words():
+    hot = S.HotPairs([("a", "##b"), ("##b", "##c"), ("##c", "a")])
+    words = [["a", "##b", "##x", "##b", "##c"], ["x", "##y"], ["a", "##b", "##c"], ["a", "##b"]]
+    at, begins, ends, of = hot.spans(pa.array(words, pa.list_(pa.string())))
+    flat = [s for w in words for s in w]
+    assert [(flat[i:j], w) for i, j, w in zip(begins, ends, of, strict=True)] == [(["a", "##b"], 0), (["##b", "##c"], 0), (["a", "##b", "##c"], 2), (["a", "##b"], 3)]
+    assert [hot.names[i].as_py() if i >= 0 else None for i in at.tolist()] == [s if s in ("a", "##b", "##c") else None for s in flat]
