@@ -8,8 +8,6 @@ or the file sink, so they work on a cluster (no driver-side collect).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +70,7 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
 
 
 _STATE = "h string, id long, replaced long"
+_SEEN = "h string, id long"
 #: Batches after which the digests seen so far are written as one table.
 COMPACT_EVERY = 16
 
@@ -79,11 +78,12 @@ COMPACT_EVERY = 16
 def _seen(spark: SparkSession, root: str, before: int) -> DataFrame:
     """Digest -> highest id of all batches before ``before``: the newest whole table and the batches after it."""
     base = max((b for b in _batches(spark, f"{root}/seen") if b <= before), default=None)
-    paths = [f"{root}/state/batch={b}" for b in _batches(spark, f"{root}/state") if (base or 0) <= b < before]
-    parts = [spark.read.schema("h string, id long").parquet(p) for p in ([f"{root}/seen/batch={base}"] if base is not None else []) + paths]
-    if not parts:
-        return spark.createDataFrame([], "h string, id long")
-    return reduce(DataFrame.unionAll, parts).groupBy("h").agg(F.max("id").alias("id"))
+    paths = [f"{root}/seen/batch={base}"] if base is not None else []
+    paths += [f"{root}/state/batch={b}" for b in _batches(spark, f"{root}/state") if (base or 0) <= b < before]
+    if not paths:
+        return spark.createDataFrame([], _SEEN)
+    # one scan of all of them: its small files share tasks
+    return spark.read.schema(_SEEN).parquet(*paths).groupBy("h").agg(F.max("id").alias("id"))
 
 
 def store_latest(batch: DataFrame, no: int, text: str, order_id: str, root: str, compact_every: int = COMPACT_EVERY) -> None:
