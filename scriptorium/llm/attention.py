@@ -17,7 +17,7 @@ NAMES = ("embed", "query", "key", "value", "out", "place", "classes", "bias")
 _LARGEST = np.float32(60)
 # Distance of a key from a query, and what the causal mask lets through.
 _DISTANCE = (BLOCK + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK)[None, :]
-_CAUSAL = np.where(_DISTANCE >= 0, 0.0, -1e9).astype(np.float32)
+_ALLOWED = (_DISTANCE >= 0).astype(np.float32)
 _FIRST = np.where(np.arange(2 * BLOCK) < BLOCK, -1e9, 0.0).astype(np.float32)  # a text's first block has none before it
 
 
@@ -68,18 +68,26 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return (x @ np.ones(x.shape[-1], x.dtype))[..., None]
 
 
+def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights as one product: numpy would make one of every block."""
+    return (x.reshape(-1, x.shape[-1]) @ weights).reshape(*x.shape[:-1], weights.shape[1])
+
+
 def _attend(p, tables, window, masked):
+    """Queries, keys, values, shares of attention, the values mixed by them, and what the classes are read from."""
     own = window[:, BLOCK:]
-    q, k, v = tables[0][own], tables[1][window], tables[2][window]
+    q, k, v = np.take(tables[0], own, axis=0), np.take(tables[1], window, axis=0), np.take(tables[2], window, axis=0)
     s = q @ k.transpose(0, 2, 1)
     s += p["place"][np.maximum(_DISTANCE, 0)][None]
     _bounded(s)
-    s += _CAUSAL[None]
-    s += masked[:, None, :]
     np.exp(s, out=s)
+    s *= _ALLOWED
+    s[masked[:, 0] < 0, :, :BLOCK] = 0
     s /= _sums(s)
     mixed = s @ v
-    return q, k, v, s, mixed, p["embed"][own] + mixed @ p["out"]
+    h = _times(mixed, p["out"])
+    h += np.take(p["embed"], own, axis=0)
+    return q, k, v, s, mixed, h
 
 
 def tables(p):
@@ -93,7 +101,7 @@ def log_probabilities(p, made, prior, window, masked, targets) -> np.ndarray:
     h = _attend(p, made, window, masked)[-1].reshape(-1, p["embed"].shape[1])
     logits = h @ p["classes"].T
     logits += p["bias"]
-    logits += prior[window[:, BLOCK:].ravel()]
+    logits += np.take(prior, window[:, BLOCK:].ravel(), axis=0)
     _bounded(logits)
     wanted = logits[np.arange(len(logits)), targets.ravel()]
     np.exp(logits, out=logits)
@@ -105,68 +113,79 @@ def gradients(p, prior, window, masked, targets, weights):
     width, embed_type = p["embed"].shape[1], p["embed"].dtype
     scale = np.float32(1 / np.sqrt(width))
     # Only the inputs of the batch have tables and gradients; ``near`` numbers them.
-    prior_of = window[:, BLOCK:].ravel()
     met = np.zeros(len(p["embed"]), bool)
     met[window.ravel()] = True
-    kinds, near = np.flatnonzero(met), (np.cumsum(met) - 1)[window]
-    own = near[:, BLOCK:]
-    p = {**p, "embed": p["embed"][kinds]}
+    kinds, near = np.flatnonzero(met), np.take(np.cumsum(met) - 1, window)
+    prior = np.take(prior, window[:, BLOCK:].ravel(), axis=0)
+    p = {**p, "embed": np.take(p["embed"], kinds, axis=0)}
     q, k, v, a, mixed, h = _attend(p, tables(p), near, masked)
     flat = h.reshape(-1, width)
     prob = flat @ p["classes"].T
     prob += p["bias"]
-    prob += prior[prior_of]
+    prob += prior
     _bounded(prob)
     np.exp(prob, out=prob)
     prob /= _sums(prob)
     t, w = targets.ravel(), weights.ravel().astype(np.float32)
     total = max(1.0, float(w.sum()))
-    loss = float(-(np.log(np.maximum(prob[np.arange(len(t)), t], 1e-30)) * w).sum() / total)
-    prob[np.arange(len(t)), t] -= 1
+    at = np.arange(len(t)), t
+    wanted = prob[at]
+    loss = float(-(np.log(np.maximum(wanted, 1e-30)) * w).sum() / total)
+    prob[at] = wanted - 1
     prob *= (w / total)[:, None]
     g = {"classes": prob.T @ flat, "bias": prob.sum(axis=0)}
     dh = (prob @ p["classes"]).reshape(h.shape)
     g["out"] = mixed.reshape(-1, width).T @ dh.reshape(-1, width)
-    dm = dh @ p["out"].T
+    dm = _times(dh, p["out"].T)
     dv = a.transpose(0, 2, 1) @ dm
     da = dm @ v.transpose(0, 2, 1)
     da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
-    ds = a * da
-    place = ds.sum(axis=0)
-    g["place"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), place.ravel() * (_DISTANCE.ravel() >= 0), 2 * BLOCK).astype(np.float32)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    x, xo = p["embed"][near].reshape(-1, width), p["embed"][own].reshape(-1, width)
+    da *= a
+    g["place"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), da.sum(axis=0).ravel() * (_DISTANCE.ravel() >= 0), 2 * BLOCK).astype(np.float32)
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    x, xo = np.take(p["embed"], near.ravel(), axis=0), np.take(p["embed"], near[:, BLOCK:].ravel(), axis=0)
     g["query"] = xo.T @ dq.reshape(-1, width) * scale
     g["key"] = x.T @ dk.reshape(-1, width)
     g["value"] = x.T @ dv.reshape(-1, width)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, BLOCK:] += dh + dq @ p["query"].T * scale
-    columns, at = np.ascontiguousarray(dx.reshape(-1, width).T), near.ravel()
-    g["embed"] = kinds, np.stack([np.bincount(at, c, len(kinds)) for c in columns], axis=1).astype(embed_type)
+    dx = _times(dk, p["key"].T)
+    dx += _times(dv, p["value"].T)
+    dh += _times(dq, p["query"].T) * scale
+    dx[:, BLOCK:] += dh
+    cells = np.take(np.arange(len(kinds) * width).reshape(-1, width), near, axis=0)
+    g["embed"] = kinds, np.bincount(cells.ravel(), dx.ravel(), len(kinds) * width).reshape(-1, width).astype(embed_type)
     return loss, g
 
 
 class Adam:
-    """Adam; a table whose gradient comes as (rows, gradient) moves in these rows only, each by its own count of steps."""
+    """Adam; a table whose gradient comes as (rows, gradient) moves in these rows only, each by its own count of steps.
+
+    The other parameters have one count and move together, as one array."""
 
     def __init__(self, p, rate: float):
         self.rate, self.t = rate, {n: 0 for n in p}
-        self.m = {n: np.zeros_like(x) for n, x in p.items()}
-        self.v = {n: np.zeros_like(x) for n, x in p.items()}
+        self.m, self.v = {}, {}
 
     def step(self, p, g) -> None:
-        for n in p:
-            if isinstance(g[n], tuple):
-                rows, own = g[n]
-                if not isinstance(self.t[n], np.ndarray):
-                    self.t[n] = np.zeros(len(p[n]), np.int32)
-                self.t[n][rows] += 1
-                m, v = self.m[n][rows], self.v[n][rows]
-                p[n][rows] -= self._move(m, v, own, self.t[n][rows][:, None].astype(np.float32))
-                self.m[n][rows], self.v[n][rows] = m, v
-            else:
+        whole = [n for n in p if not isinstance(g[n], tuple)]
+        for n in p.keys() - set(whole):
+            rows, own = g[n]
+            if n not in self.m:
+                self.t[n] = np.zeros(len(p[n]), np.int32)
+                self.m[n], self.v[n] = np.zeros_like(p[n]), np.zeros_like(p[n])
+            t = np.take(self.t[n], rows) + 1
+            m, v = (np.take(x[n], rows, axis=0) for x in (self.m, self.v))
+            p[n][rows] = np.take(p[n], rows, axis=0) - self._move(m, v, own, t[:, None].astype(np.float32))
+            self.t[n][rows], self.m[n][rows], self.v[n][rows] = t, m, v
+        if whole:
+            flat = np.concatenate([g[n].ravel() for n in whole])
+            if "" not in self.m:
+                self.m[""], self.v[""] = np.zeros_like(flat), np.zeros_like(flat)
+            for n in whole:
                 self.t[n] += 1
-                p[n] -= self._move(self.m[n], self.v[n], g[n], self.t[n])
+            moves, at = self._move(self.m[""], self.v[""], flat, self.t[whole[0]]), 0
+            for n in whole:
+                p[n] -= moves[at : at + p[n].size].reshape(p[n].shape)
+                at += p[n].size
 
     def _move(self, m, v, g, t):
         m *= 0.9

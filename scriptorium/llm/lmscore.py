@@ -61,6 +61,7 @@ SMOOTH = 2.0
 STEP_BLOCKS = 128
 _SCORE_BLOCKS = 128
 _SLICE = 1 << 19
+_FREED = 1 << 24
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _BLANK = np.zeros(256, bool)
@@ -84,13 +85,13 @@ class Cut:
     lengths: np.ndarray
     letters: np.ndarray
 
-    def starts(self) -> np.ndarray:
-        """First 6 bytes of each word as a number that sorts like them."""
-        begin = np.cumsum(self.lengths) - self.lengths
+    def starts(self, words=slice(None)) -> np.ndarray:
+        """First 6 bytes of each of these words as a number that sorts like them."""
+        begin, lengths = (np.cumsum(self.lengths) - self.lengths)[words], self.lengths[words]
         out = np.zeros(len(begin), np.int64)
         for k in range(6):
             at = np.minimum(begin + k, max(0, len(self.letters) - 1))
-            out = out << 8 | np.where(k < self.lengths, self.letters[at] if len(self.letters) else 0, 0).astype(np.int64)
+            out = out << 8 | np.where(k < lengths, self.letters[at] if len(self.letters) else 0, 0).astype(np.int64)
         return out
 
 
@@ -113,22 +114,33 @@ def kept_company(c: Cut, ends: np.ndarray):
     kind = pairs >> 15
     order = np.lexsort((-pairs, sums, kind))
     last = order[np.flatnonzero(np.diff(kind[order], append=-1))]  # the group with most occurrences of each kind
-    return kinds, np.bincount(kind, sums, len(kinds)).astype(np.int64), (pairs[last] & 0x7FFF) << 48 | c.starts()[at]
+    return kinds, np.bincount(kind, sums, len(kinds)).astype(np.int64), (pairs[last] & 0x7FFF) << 48 | c.starts(at)
 
 
 def cut(raw: bytes) -> Cut:
+    return _cut(raw)[0]
+
+
+def _cut(raw: bytes) -> tuple[Cut, np.ndarray]:
+    """The words, and the places where they start."""
     b = np.frombuffer(raw, np.uint8)
-    inside = ~_BLANK[b]
+    inside = ~np.take(_BLANK, b)
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts = edge[::2]
     if not len(starts):
-        return Cut(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return Cut(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), starts
     lengths = edge[1::2] - starts
-    v = _LOWER[b[inside]]
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(v)) - np.repeat(begin, lengths)
-    hashes = mix(np.add.reduceat((v + np.uint64(1)) * _AT[place & 4095], begin) + lengths.astype(np.uint64))
-    return Cut(hashes | np.uint64(2), lengths, v)  # never END_WORD
+    v = np.take(_LOWER, b[inside])
+    ends = np.cumsum(lengths)
+    place = np.arange(len(v))
+    place -= np.repeat(ends - lengths, lengths)
+    place &= 4095
+    # Sums of the words as differences of running sums: whole numbers of 64 bits, whose overflow cancels out.
+    sums = np.take(_AT, place)
+    sums *= v + np.uint64(1)
+    sums = np.diff(np.cumsum(sums)[ends - 1], prepend=np.uint64(0))
+    hashes = mix(sums + lengths.astype(np.uint64))
+    return Cut(hashes | np.uint64(2), lengths, v), starts  # never END_WORD
 
 
 def pieces(lengths: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -178,7 +190,8 @@ def slices(texts: list[bytes]):
             parts = [cut(x) for x in _long(texts[i])]
             yield i, j, Cut(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("hashes", "lengths", "letters"))), np.array([sum(len(p.hashes) for p in parts)])
         else:
-            yield i, j, cut(b" ".join(texts[i:j])), np.cumsum([len(t.split()) for t in texts[i:j]])
+            c, starts = _cut(b" ".join(texts[i:j]))
+            yield i, j, c, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[i:j]]))
         i = j
 
 
@@ -227,13 +240,14 @@ class Vocabulary:
         first = np.cumsum(per_word) - per_word
         n = int(per_word.sum())
         out = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n)
+        to, of = first[whole], back[whole]
         for o, x in zip(out, (inputs, klass, inside), strict=True):
-            o[first[whole]] = x[back[whole]]
+            o[to] = np.take(x, of)
         lengths, letters = c.lengths[~whole], c.letters[np.repeat(~whole, c.lengths)]
         keys = word = np.zeros(0, np.int64)
         if len(lengths):
             rest = np.ones(n, bool)
-            rest[first[whole]] = False
+            rest[to] = False
             out[0][rest] = 1 + INPUTS + (mix(pieces(lengths, letters)) & np.uint64(SHARED - 1)).astype(np.int64)
             out[1][first[~whole]] = SPELLED
             keys, word = byte_sequences(lengths, letters)
@@ -263,6 +277,12 @@ def _find(table: np.ndarray, values: np.ndarray):
     return at, table[at] == values
 
 
+def _keep_memory() -> None:
+    """Lets a worker use the memory of freed arrays again.  The C library hands it back to the system, and gets it
+    page by page, unless an array as large as this one was freed before; its pages are never touched."""
+    np.empty(_FREED, np.uint8)
+
+
 def held_out(id_col):
     """crc32 of the id as text, modulo 10, is 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -278,6 +298,7 @@ def count_words(train: DataFrame) -> DataFrame:
     """(kind, id, n, place): words by hash with the place to sort them by, and the number of training texts."""
 
     def run(batches):
+        _keep_memory()
         for batch in batches:
             texts = binary_texts(batch.column(0))
             if not texts:
@@ -325,6 +346,7 @@ def read_into_units(train: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFra
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array(n), pa.nulls(len(ids), pa.binary())], names)
 
     def run(batches):
+        _keep_memory()
         v = shared.value
         pairs = np.zeros(N_INPUTS * CLASSES, np.int64)
         for batch in batches:
@@ -461,6 +483,7 @@ def train_round(units: DataFrame, prior: np.ndarray, flat: np.ndarray, rate: flo
     def learn(batches):
         from pyspark import TaskContext
 
+        _keep_memory()
         with one_blas_thread():
             prior, begin = shared.value
             p = A.unpack(begin, N_INPUTS, CLASSES, WIDTH)
@@ -520,6 +543,7 @@ def score_rows(texts: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((v, flat))
 
     def run(batches):
+        _keep_memory()
         with one_blas_thread():
             v, flat = shared.value
             p = A.unpack(flat, N_INPUTS, CLASSES, WIDTH)

@@ -280,3 +280,44 @@ def test_places_of_the_slice_with_most_occurrences():
     w = M.weighed(n, place)
     assert (w > 0).all() and int(w.argmax()) == 1 and (w % (1 << 47) == place >> 16).all()
     assert M.weighed(np.array([10**9]), place[:1])[0] == 0x7FFF << 47 | place[0] >> 16
+
+
+def test_texts_are_cut_in_one_pass():
+    """The words are those of split(), whose lists are not built."""
+
+    class Whole(bytes):
+        def split(self, *_):
+            raise AssertionError("split again")
+
+    rng = random.Random(6)
+    some = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x00", b"\x1c", b"a", b"Bc", "é".encode(), b"x" * 50]
+    texts = [b"".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts += [b"", b" ", b"x" * 5000, b"end", b""]
+    [(_, _, c, ends)] = M.slices([Whole(t) for t in texts])
+    words = [t.lower().split() for t in texts]
+    assert ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
+    flat = [w for ws in words for w in ws]
+    assert c.lengths.tolist() == [len(w) for w in flat] and bytes(c.letters.astype(np.uint8)) == b"".join(flat)
+    at = np.arange(len(flat))[::3]
+    assert c.starts(at).tolist() == c.starts()[at].tolist()
+    # the hash of a word does not depend on where it stands
+    for w in set(flat):
+        assert {int(h) for h, x in zip(c.hashes, flat, strict=True) if x == w} == {int(M.cut(w).hashes[0])}
+
+
+def test_whole_tables_move_together(monkeypatch):
+    """One update for the rows met and one for all other parameters; each moves as it does alone."""
+    rng = np.random.default_rng(5)
+    p = {n: rng.random(s).astype(np.float32) for n, s in (("embed", (6, 3)), ("query", (3, 3)), ("bias", (4,)))}
+    alone = {n: {n: x.copy()} for n, x in p.items()}
+    adam, single, moves = A.Adam(p, 0.1), {n: A.Adam(x, 0.1) for n, x in alone.items()}, []
+    move = A.Adam._move
+    monkeypatch.setattr(A.Adam, "_move", lambda self, *a: (moves.append(self), move(self, *a))[1])
+    for rows in ([1, 4], [0, 4], [2, 3]):
+        g = {n: rng.standard_normal(x.shape).astype(np.float32) for n, x in p.items()}
+        g["embed"] = np.array(rows), g["embed"][rows]
+        adam.step(p, g)
+        for n, x in alone.items():
+            single[n].step(x, {n: g[n]})
+    assert sum(a is adam for a in moves) == 2 * 3
+    assert all((p[n] == alone[n][n]).all() for n in p)
