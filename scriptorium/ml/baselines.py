@@ -8,20 +8,26 @@ with the metric operators of this package.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.text import explode_rows, tokenise_ws
+from ..functions.text import tokenise_ws
 from ..operators import metrics as M
 from ..operators.order import fraction_split
-from ..session import checkpoint
+from ..session import bound_batches, checkpoint
+from . import softmax
 from .linear import fit_labels, label_scores
+from .tokens import PIECE, ROLES, lengths, line_up, places, token_groups, vocabulary
 
 
 def _split(df: DataFrame, key: str, seed=1337):
@@ -84,30 +90,12 @@ def pair_regression(df: DataFrame, s1: str, s2: str, score: str, key: str) -> Da
     return M.pearson(pred, "prediction", "label")
 
 
-def token_features(df: DataFrame, tokens: str, tags: str, key: str) -> DataFrame:
-    """(key, pos, _f, _y): the word, the previous and the next one of every token, and its tag."""
-    rows = df.select(key, F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t")).alias("_z"), F.col(tokens).alias("_ws"))
-    rows = explode_rows(rows, "_z", "z", pos="pos", keep=[key, "_ws"])
-    ctx = F.array(
-        F.concat(F.lit("w="), F.lower(F.col("z.w"))),
-        F.concat(F.lit("p="), F.coalesce(F.lower(F.get(F.col("_ws"), F.col("pos") - 1)), F.lit("<s>"))),
-        F.concat(F.lit("n="), F.coalesce(F.lower(F.get(F.col("_ws"), F.col("pos") + 1)), F.lit("</s>"))),
-    )
-    return rows.select(key, "pos", ctx.alias("_f"), F.col("z.t").alias("_y"))
-
-
-def transition_weights(df: DataFrame, tags: str, labels: list[str]) -> np.ndarray:
-    """log P(tag | tag before) - log P(tag), smoothed; row ``len(labels)`` is the sequence start.
+def transition_weights(pairs: np.ndarray, labels: list[str]) -> np.ndarray:
+    """log P(tag | tag before) - log P(tag), smoothed, of the counts of all (tag before, tag); row ``len(labels)`` is the sequence start.
 
     Transitions that IOB2 forbids (``I-x`` after anything but ``B-x`` and ``I-x``) are impossible.
     """
-    edges = F.transform(F.col(tags), lambda t, i: F.struct(F.when(i == 0, F.lit("")).otherwise(F.get(F.col(tags), i - 1)).alias("a"), t.alias("b")))
-    rows = explode_rows(df.select(edges.alias("_e")), "_e", "e", keep=[]).groupBy("e.a", "e.b").count().collect()  # at most (labels + 1)^2 rows
-    place = {t: i for i, t in enumerate(labels)} | {"": len(labels)}
-    n = np.full((len(labels) + 1, len(labels)), 0.1)
-    for r in rows:
-        if r["a"] in place and r["b"] in place:
-            n[place[r["a"]], place[r["b"]]] += r["count"]
+    n = pairs + 0.1
     weights = np.log(n / n.sum(axis=1, keepdims=True)) - np.log(n.sum(axis=0) / n.sum())
     for b, t in enumerate(labels):
         if t.startswith("I-"):
@@ -157,34 +145,78 @@ def tagger(df: DataFrame, tokens: str, tags: str, key: str, features: int = 1 <<
 
 def tagged(df: DataFrame, tokens: str, tags: str, key: str, features: int = 1 << 18, transitions: bool = True) -> DataFrame:
     """(key, gold, pred) of the held-out sequences."""
-    from pyspark.ml.functions import vector_to_array
-
     # the digest of its key says where a sequence belongs, so whole sequences are told apart before they become tokens; one without a key belongs nowhere
     train, test = _split(df.select(key, tokens, tags).where(F.col(key).isNotNull()), key)
-    train = checkpoint(train)
-    pipe = Pipeline(
-        stages=[
-            StringIndexer(inputCol="_y", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
-            HashingTF(inputCol="_f", outputCol="features", numFeatures=features),
-            LogisticRegression(family="multinomial", maxIter=30, regParam=0.01),
-        ]
-    )
-    model = pipe.fit(token_features(train, tokens, tags, key))
-    labels = model.stages[0].labels
-    pred = model.transform(token_features(test, tokens, tags, key))
-    names = F.array(*[F.lit(x) for x in labels])
-    # regroup per sequence: a group is one document, which was one row before
-    seq = pred.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "_y", vector_to_array("probability").alias("_p")))).alias("_s"))
-    moves = transition_weights(train, tags, labels) if transitions else np.zeros((len(labels) + 1, len(labels)))
-
-    @F.arrow_udf("array<int>")
-    def decode(probabilities: pa.Array) -> pa.Array:
-        per_token = probabilities.flatten()
-        p = np.asarray(per_token.flatten()).reshape(len(per_token), -1)[:, : len(labels)]
-        scores = np.log(np.maximum(p, 1e-12))
-        ends = np.asarray(probabilities.offsets)
-        path = viterbi_all(scores, np.diff(ends), moves)
-        return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(path, pa.int32()))
-
-    seq = seq.select(key, F.col("_s._y").alias("gold"), decode(F.col("_s._p")).alias("_t"))
-    return seq.select(key, "gold", F.transform("_t", lambda t: F.get(names, t)).alias("pred"))
+    groups = token_groups(train, tokens, tags, features)
+    labels, pairs = _labels(groups)
+    model = softmax.fit(groups, labels, features)
+    moves = transition_weights(pairs, labels) if transitions else np.zeros((len(labels) + 1, len(labels)))
+    # a group is one document, which was one row before; several rows of a key are one sequence
+    rows = test.groupBy(key).agg(F.collect_list(F.struct(F.transform(tokens, F.lower).alias("w"), F.col(tags).alias("t"))).alias("_d"))
+    bound_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast((model.weights, model.intercepts))
+    shape = StructType([df.schema[key], *[StructField(c, ArrayType(StringType())) for c in ("gold", "pred")]])
+    return rows.mapInArrow(_decoder(sent, moves, labels, features), shape)
+
+
+def _labels(groups: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Tags of all tokens, in ``StringIndexer``'s alphabetical order, and how often each follows each (last row: comes first)."""
+    found = [(r["names"], np.frombuffer(bytes(r["seen"]), np.int64), np.frombuffer(bytes(r["moves"]), np.int64)) for r in groups.select("names", "seen", "moves").collect()]  # a row of some megabytes of tokens each
+    labels = sorted({t for names, seen, _ in found for t, n in zip(names, seen, strict=True) if n}, key=lambda t: t.encode("utf-16-be", "surrogatepass"))
+    place = {t: k for k, t in enumerate(labels)}
+    pairs = np.zeros((len(labels) + 1, len(labels)))
+    for names, _, moves in found:
+        known = [k for k, t in enumerate(names) if t in place]
+        at = [place[names[k]] for k in known]
+        pairs[np.ix_([*at, len(labels)], at)] += moves.reshape(-1, len(names))[np.ix_([*known, len(names)], known)]
+    return labels, pairs
+
+
+def _decoder(sent, moves: np.ndarray, labels: list[str], features: int):
+    """(key, gold, pred) of rows of (key, list of (words, tags))."""
+
+    def scores(line: np.ndarray, found: pa.Array) -> np.ndarray:
+        weights, intercepts = sent.value
+        classes = len(intercepts)
+        words = vocabulary(found, features)
+        p = np.empty((len(line), classes))
+        into, more = np.empty((PIECE, classes)), np.empty((PIECE, classes))
+        for s in range(1, len(line) - 1, PIECE):
+            own, at = np.unique(line[s - 1 : min(s + PIECE, len(line) - 1) + 1], return_inverse=True)
+            n = len(at) - 2
+            softmax.margins(np.take(weights, words[own].ravel(), axis=0), at * len(ROLES), into[:n], more[:n])
+            p[s : s + n] = softmax.probabilities(into[:n] + intercepts)
+        return p
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs = batch.column(1)
+        words, tags = (docs.flatten().field(c) for c in ("w", "t"))
+        owner = np.repeat(np.arange(len(docs)), lengths(docs))
+        both = np.asarray(pc.and_(words.is_valid(), tags.is_valid()).to_numpy(zero_copy_only=False), bool)
+        words, tags, owner = words.filter(pa.array(both)), tags.filter(pa.array(both)), owner[both]
+        tagged_ = lengths(tags)
+        sizes = np.maximum(lengths(words), tagged_)
+        line, starts, found = line_up(words, sizes)
+        at = places(sizes, starts)
+        p = scores(line, found)[at]
+        gold = np.full(len(line), -1)
+        gold[places(tagged_, starts)] = np.arange(int(tagged_.sum()))
+        gold, of, pos = gold[at], np.repeat(owner, sizes), places(sizes, np.zeros(len(sizes), np.int64))
+        tag = tags.flatten().take(pa.array(gold, pa.int64(), mask=gold < 0))
+        if (np.diff(owner) == 0).any():  # rows of one key: their tokens by place, tag and probabilities
+            rank = {t: k for k, t in enumerate(sorted((t for t in tag.unique().to_pylist() if t is not None), key=str.encode))}
+            by_tag = np.array([rank.get(t, -1) for t in tag.to_pylist()])
+            order = np.lexsort((*p.T[::-1], by_tag, pos, of))
+            p, tag = p[order], tag.take(pa.array(order))
+        sizes = np.bincount(of, minlength=len(docs))
+        path = viterbi_all(np.log(np.maximum(p[:, : len(labels)], 1e-12)), sizes, moves)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        best = pa.array(labels, pa.string()).take(pa.array(path))
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, tag), pa.ListArray.from_arrays(ends, best)], [batch.schema.field(0).name, "gold", "pred"])
+        return out.filter(pa.array(sizes > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield part(batch)
+
+    return run
