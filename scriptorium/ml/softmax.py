@@ -7,6 +7,7 @@ meet by blocks of features, as in ``linear``; the driver takes the steps of Bree
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ from .linear import BLOCK, _added
 from .tokens import BETWEEN, PIECE, ROLES, pieces_of
 
 _SUMS = "block int, sums binary"
-#: Passes whose shuffle files may stay before they are dropped.
-_KEEP = 4
+#: Bytes of weights up to which the files of all passes may stay.
+_SMALL = 1 << 20
 
 
 @dataclass
@@ -173,7 +174,7 @@ class _Objective:
     def __init__(self, groups: DataFrame, counts: _Counts, reg: float):
         spark = groups.sparkSession
         self.rows = groups.select("words", "line", "own", "sizes").coalesce(2 * spark.sparkContext.defaultParallelism)  # a few tasks make sums as wide as the weights, however many groups there are
-        self.spark, self.counts, self.reg, self.passes = spark, counts, reg, 0
+        self.spark, self.counts, self.reg = spark, counts, reg
         self.n = counts.tokens.sum()
         each = counts.by_class.sum(axis=1)
         mean = each / self.n
@@ -193,9 +194,9 @@ class _Objective:
         sent = self.spark.sparkContext.broadcast((weights, intercepts))
         expected, loss = _met(self.rows.mapInArrow(_expected(sent, len(weights)), _SUMS), len(weights), weights.shape[1] - 1)
         sent.destroy()
-        self.passes += 1
-        if self.passes % _KEEP == 0:
-            self.spark._jvm.System.gc()  # Spark drops the files of a shuffle when the driver forgets it
+        if x.nbytes > _SMALL:
+            gc.collect()
+            self.spark._jvm.System.gc()  # Spark drops the files of a shuffle when the driver forgets it; each pass leaves as many as the tasks' sums
         counts = self.counts
         each = counts.by_class.sum(axis=1, keepdims=True)
         off = np.concatenate([expected, each - expected.sum(axis=1, keepdims=True)], axis=1) - counts.by_class
