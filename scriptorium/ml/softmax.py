@@ -95,7 +95,7 @@ def counted(groups: DataFrame, labels: list[str], features: int) -> _Counts:
     classes = len(labels) + 1
     columns = groups.select("words", "line", "own", "sizes", "tags", "names")
     sums, tokens = _met(columns.mapInArrow(_counter({t: k for k, t in enumerate(labels)}, classes, features), _SUMS), features, classes + 1)
-    by_class = sums[:, :classes]
+    by_class = sums[:, :classes].copy()
     return _Counts(by_class, by_class.sum(axis=1) + sums[:, classes], tokens if len(tokens) else np.zeros(classes))
 
 
@@ -176,7 +176,7 @@ class _Objective:
         self.rows = groups.select("words", "line", "own", "sizes").coalesce(2 * spark.sparkContext.defaultParallelism)  # a few tasks make sums as wide as the weights, however many groups there are
         self.spark, self.counts, self.reg = spark, counts, reg
         self.n = counts.tokens.sum()
-        each = counts.by_class.sum(axis=1)
+        self.each = each = counts.by_class.sum(axis=1)
         mean = each / self.n
         spread = np.sqrt(np.maximum((counts.squares - each * mean) / (self.n - 1), 0)) if self.n > 1 else np.zeros(len(each))
         self.scale = np.divide(1, spread, out=np.zeros(len(each)), where=spread > 0)[:, None]
@@ -185,7 +185,7 @@ class _Objective:
 
     def raw(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights and intercepts for features as they are."""
-        return x[:-1] * self.scale, x[-1] - (x[:-1] * self.centre).sum(axis=0)
+        return x[:-1] * self.scale, x[-1] - self.centre[:, 0] @ x[:-1]
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         if self.seen[0] is not None and np.array_equal(self.seen[0], x):
@@ -197,15 +197,21 @@ class _Objective:
         if x.nbytes > _SMALL:
             gc.collect()
             self.spark._jvm.System.gc()  # Spark drops the files of a shuffle when the driver forgets it; each pass leaves as many as the tasks' sums
-        counts = self.counts
-        each = counts.by_class.sum(axis=1, keepdims=True)
-        off = np.concatenate([expected, each - expected.sum(axis=1, keepdims=True)], axis=1) - counts.by_class
+        counts, gradient = self.counts, np.empty_like(x)
+        off = gradient[:-1]  # in place: a copy is as large as the weights
+        off[:, :-1] = expected
+        off[:, -1] = self.each - expected.sum(axis=1)
+        del sent, expected
+        off -= counts.by_class
         tokens = off.sum(axis=0) / len(ROLES)
-        value = (loss[0] - (counts.by_class * weights).sum() - counts.tokens @ intercepts) / self.n
-        gradient = np.empty_like(x)
-        gradient[:-1] = (self.scale * off - self.centre * tokens) / self.n + self.reg * x[:-1]
+        value = (loss[0] - np.einsum("ij,ij->", counts.by_class, weights) - counts.tokens @ intercepts) / self.n
+        del weights
+        off *= self.scale
+        off -= self.centre * tokens
+        off /= self.n
+        off += self.reg * x[:-1]
         gradient[-1] = tokens / self.n
-        self.seen = x, (value + self.reg / 2 * float((x[:-1] ** 2).sum()), gradient)
+        self.seen = x, (value + self.reg / 2 * float(np.vdot(x[:-1], x[:-1])), gradient)
         return self.seen[1]
 
 
@@ -280,6 +286,7 @@ def minimise(f, x: np.ndarray, iterations: int, tolerance: float, memory: int =
     """Breeze's L-BFGS with Spark ML's stopping rules; returns the point and the value after every step."""
     value, gradient = f(x)
     history, recent, steps, failed = [value], [np.inf], [], False
+    kept = [np.empty((2, *x.shape)) for _ in range(memory)]  # steps and changes of the gradient, the latest first
     while len(history) <= iterations:
         if len(recent) > 1 and abs(value - max(recent)) <= tolerance * history[0]:
             break
@@ -303,9 +310,13 @@ def minimise(f, x: np.ndarray, iterations: int, tolerance: float, memory: int =
         failed = False
         new = x + t * d
         value, g = f(new)
-        s, y = new - x, g - gradient
+        kept.insert(0, kept.pop())
+        s, y = kept[0]
+        np.subtract(new, x, out=s)
+        np.subtract(g, gradient, out=y)
         steps = [(s, y, np.vdot(s, y)), *steps[: memory - 1]]
         x, gradient = new, g
+        del new, g, d, phi
         history.append(value)
         recent = [*recent, value][-window:]
     return x, history
